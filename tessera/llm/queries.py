@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality
+from . import htmltext, packing, quality, secrets, warc
+from .common import shared_dir
 
 try:
     import public_tokenizers
@@ -29,6 +31,21 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY, RANKS)
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = htmltext.extract(table(spark, sf_dir, "pages"))
+    return texts.select("page_id", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), out)
+    return warc.read(spark, out).drop("archive", "url")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
