@@ -80,9 +80,9 @@ ORACLE = f"""
 WITH lines AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
 ), hashed AS (
-  SELECT doc_id, lines, list_transform(lines, x -> ('0x' || substr(md5(x), 1, 8))::BIGINT) AS h FROM lines
+  SELECT doc_id, lines, list_transform(lines, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS h FROM lines
 ), ended AS (
-  SELECT doc_id, lines, list_filter(range(1, len(h) + 1), i -> (h[i] + 31 * CASE WHEN i > 1 THEN h[i - 1] ELSE 0 END) % {DIVISOR} = 0 OR i = len(h)) AS ends FROM hashed
+  SELECT doc_id, lines, list_filter(range(1, len(h) + 1), lambda i: (h[i] + 31 * CASE WHEN i > 1 THEN h[i - 1] ELSE 0 END) % {DIVISOR} = 0 OR i = len(h)) AS ends FROM hashed
 ), each AS (
   SELECT doc_id, lines, unnest(ends) AS e, unnest(list_prepend(0, ends[:-2])) AS s FROM ended
 ), chunks AS (
