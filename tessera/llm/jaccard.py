@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut, documents_of, drop_cut, mix, ngrams, prefix_sums, slices, span_hashes, words
+from .common import LOWER, bitmap_of, cut, documents_of, drop_cut, in_bitmap, mix, ngrams, prefix_sums, slices, span_hashes, words
 from .components import components
 
 GAP = np.zeros(256, bool)
@@ -40,7 +40,7 @@ GAP[[32, 9, 10, 11, 12, 13]] = True
 GROUPS = 64
 FIRST = 4
 LARGE = 8192
-SKETCH, BITMAP = 18, 26  # powers of two: counters, bits
+SKETCH = 18  # 2**SKETCH counters
 
 
 def least_overlap(total: np.ndarray | int, percent: int):
@@ -83,28 +83,6 @@ class Order:
         return np.sort((self.level[s >> np.uint64(64 - SKETCH)] << np.uint64(60)) | (s >> np.uint64(4)))
 
 
-def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = mix(keys) >> np.uint64(64 - BITMAP)
-    return (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
-
-
-def bitmap_of(keys: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of BITMAP bits of the column's values; its words are or-ed in Spark."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot = mix(batch.column(0).to_numpy().astype(np.int64).view(np.uint64)) >> np.uint64(64 - BITMAP)
-            word, inverse = np.unique(slot >> np.uint64(6), return_inverse=True)
-            bits = np.zeros(len(word), np.uint64)
-            np.bitwise_or.at(bits, inverse, np.uint64(1) << (slot & np.uint64(63)))
-            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(bits.view(np.int64))], names=["word", "bits"])
-
-    rows = keys.select(column).mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()  # 2**(BITMAP-6) rows at most
-    out = np.zeros(1 << (BITMAP - 6), np.uint64)
-    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
-    return out
-
-
 def points(s: list[np.ndarray]) -> np.ndarray:
     """Counts per group, at most 255 (which then bounds nothing)."""
     out = np.zeros((len(s), GROUPS), np.uint8)

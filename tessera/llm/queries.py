@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, htmltext, jaccard, linededup, packing, quality, secrets, warc
+from . import ann, decontam, htmltext, jaccard, linededup, packing, quality, secrets, suffixdedup, warc
 from .common import shared_dir
 
 try:
@@ -44,6 +44,10 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("page_id", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 

@@ -83,14 +83,16 @@ def info(name: str) -> bytes:
     return gzip.compress(header([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(None, name)), ("WARC-Date", DATE), ("WARC-Filename", name), ("Content-Type", "application/warc-fields"), ("Content-Length", len(block))]) + block + b"\r\n\r\n", 6, mtime=0)
 
 
-def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, url, html, refers_to of every row."""
+def with_notes(pages: DataFrame, least: int = 0) -> DataFrame:
+    """Every row of pages (page_id, url, html, digest), and before it in the order of (page_id, digest, note) a narrow row for each revisit's page_id and digest that holds refers_to alone. So the payloads are shuffled once, to be sorted, and meet no join."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    keyed = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    # counted per digest with a partial aggregate first; only payloads that occur again meet the wide rows
-    again = keyed.where(F.octet_length("html") >= least).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null").select("digest", "last")
-    joined = keyed.join(again, "digest", "left")
-    return joined.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
+    keyed = rows.withColumn("digest", F.unhex(F.sha1(F.col("html").cast("binary"))))
+    narrow = keyed.where(F.octet_length("html") >= least).select("page_id", "digest")
+    # counted per digest with a partial aggregate first; Spark can split the join of a frequent digest
+    again = narrow.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null").select("digest", "last")
+    revisits = narrow.join(again, "digest").where(~F.col("page_id").eqNullSafe(F.col("last"))).groupBy("page_id", "digest").agg(F.max("last").alias("refers_to"))
+    text = F.lit(None).cast("string")
+    return keyed.select("page_id", "url", "html", "digest", F.lit(None).cast("long").alias("refers_to"), F.lit(1).alias("note")).unionByName(revisits.select("page_id", text.alias("url"), text.alias("html"), "digest", "refers_to", F.lit(0).alias("note")))
 
 
 def with_shards(rows: DataFrame, pages: DataFrame, shard_bytes: int) -> DataFrame:
@@ -134,15 +136,20 @@ def _writer(out: str, roll_bytes: int):
             state.update(shard=shard, part=part, path=name, temporary=temporary, records=0, bytes=0, sha=hashlib.sha256(), file=store.open_output_stream(f"{root}/{temporary}"))
             put(info(name))
 
+        note: tuple = ()
         for frame in frames:
-            for shard, page_id, url, html, refers_to in zip(frame["shard"], frame["page_id"], frame["url"], frame["html"], frame["refers_to"], strict=True):
+            for shard, page_id, url, html, digest, refers_to in zip(*(frame[c] for c in ("shard", "page_id", "url", "html", "digest", "refers_to")), strict=True):
+                page_id = None if pd.isna(page_id) else int(page_id)
+                if html is None:
+                    note = page_id, digest, int(refers_to)
+                    continue
                 if state and (state["shard"] != shard or state["bytes"] >= roll_bytes):
                     part = state["part"] + 1 if state["shard"] == shard else 0
                     close()
                     begin(shard, part)
                 elif not state:
                     begin(shard, 0)
-                put(record(None if pd.isna(page_id) else int(page_id), url, html.encode(), None if pd.isna(refers_to) else int(refers_to)))
+                put(record(page_id, url, html.encode(), note[2] if note[:2] == (page_id, digest) else None))
                 state["records"] += 1
         close()
         yield pd.DataFrame(done, columns=["path", "records", "bytes", "sha256", "temporary"])
@@ -154,9 +161,9 @@ def write(pages: DataFrame, out: str, shard_bytes: int = 64 << 20, roll_bytes: i
     """Write every row of pages (page_id, url, html) as a WARC record below ``out``, a folder that all tasks reach."""
     store, root = filesystem(out)
     store.create_dir(f"{root}/_temporary", recursive=True)
-    rows = with_shards(with_revisits(pages, least), pages, shard_bytes)
-    rows = rows.select("shard", "page_id", "url", "html", "refers_to").repartitionByRange("shard").sortWithinPartitions("shard", "page_id", "url", "html")
-    rows = rows.select("shard", F.col("page_id").cast("string").alias("page_id"), "url", "html", F.col("refers_to").cast("string").alias("refers_to"))
+    rows = with_shards(with_notes(pages, least), pages, shard_bytes)
+    rows = rows.repartitionByRange("shard").sortWithinPartitions("shard", "page_id", "digest", "note", "url")
+    rows = rows.select("shard", F.col("page_id").cast("string").alias("page_id"), "url", "html", "digest", F.col("refers_to").cast("string").alias("refers_to"))
     files = cut(rows.mapInPandas(_writer(out, roll_bytes), MANIFEST))
     listed = []
     for f in files.orderBy("path").toLocalIterator():  # one row a file
