@@ -23,6 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import BASE, LOWER, documents_of, mix, prefix_sums, slices, span_hashes
 
@@ -136,8 +137,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, epochs: int
     return np.frombuffer(found[0][0], np.float32) if found else np.zeros((1 << BITS) + 1, np.float32)
 
 
-def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """doc_id and score (0 to 1) of every row."""
+def score(docs: DataFrame, weights: np.ndarray, keep_text: bool = False) -> DataFrame:
+    """All columns of docs, without its text unless asked for, and score (0 to 1)."""
     held = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,11 +150,11 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                 total += sums[at[1:]] - sums[at[:-1]]
                 n += at[1:] - at[:-1]
             s = 1 / (1 + np.exp(-np.clip(w[-1] + GAIN * total / np.maximum(n, 1), -35, 35)))
-            arrays = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "text"]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(s)], names=[*(x for x in batch.schema.names if x != "text"), "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(s)], names=[*kept, "score"])
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
-    return docs.mapInArrow(run, ", ".join([*kinds, "score double"]))
+    kept = [c for c in docs.columns if keep_text or c != "text"]
+    fields = [T.StructField(f.name, f.dataType, True) for f in docs.schema if f.name in kept]
+    return docs.mapInArrow(run, T.StructType([*fields, T.StructField("score", T.DoubleType())]))
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
