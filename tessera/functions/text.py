@@ -146,7 +146,7 @@ def split_question(question: Column) -> Column:
     for phrase in ("有什么区别", "区别是什么"):
         subject = F.replace(subject, F.lit(phrase), F.lit(""))
     subject = F.replace(F.trim(F.regexp_replace(subject, "[？?。！!]+$", "")), F.lit("对比"), F.lit("和"))
-    parts = F.filter(F.transform(F.split(subject, "和|与|以及"), F.trim), lambda p: F.length(p) > 0)
+    parts = F.filter(F.transform(F.split(subject, "和|与|以及"), lambda x: F.trim(x)), lambda p: F.length(p) > 0)
     compared = F.transform(parts, lambda p: F.concat(p, F.lit(" 的关键结论是什么")))
     both = F.array(F.concat(F.trim(F.replace(q, F.lit("如何"), F.lit(""))), F.lit(" 的原因")), F.concat(F.trim(F.replace(q, F.lit("为什么"), F.lit(""))), F.lit(" 的做法")))
     none = F.array().cast(STRING_ARRAY)

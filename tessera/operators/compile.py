@@ -206,7 +206,7 @@ def incremental_plan(concepts: DataFrame, articles: DataFrame, links: DataFrame)
     from .graph import impact
 
     direct = concepts.join(articles.select("concept_id", F.col("concept_id").alias("article")), "concept_id").select("concept_id", "article")
-    path = lambda df, c: df.select(F.col("concept_id").alias(c), F.explode(F.filter(F.transform("paths", F.trim), lambda p: p != "")).alias("path")).distinct()
+    path = lambda df, c: df.select(F.col("concept_id").alias(c), F.explode(F.filter(F.transform("paths", lambda p: F.trim(p)), lambda p: p != "")).alias("path")).distinct()
     shared = path(concepts, "concept_id").join(path(articles, "article"), "path").select("concept_id", "article")
     hits = direct.unionByName(shared).distinct()
     reached = impact(links.where("relation in ('depends_on', 'wiki_link')"), hits.select(F.col("article").alias("root")).distinct()).select(F.col("node").alias("concept_id")).distinct()

@@ -118,7 +118,7 @@ def claims(answers: DataFrame, key: str = "answer_id", column: str = "answer") -
 
 def simple_claims(answers: DataFrame, key: str = "answer_id", column: str = "answer") -> DataFrame:
     """key, claim_index, claim for answers of plain sentences, without Python."""
-    parts = F.filter(F.transform(F.split(column, r"(?<=[。；;.])\s*"), F.trim), lambda c: F.length(c) > 0)
+    parts = F.filter(F.transform(F.split(column, r"(?<=[。；;])\s*"), lambda x: F.trim(x)), lambda c: F.length(c) > 0)
     return answers.select(key, F.posexplode(parts).alias("claim_index", "claim"))
 
 

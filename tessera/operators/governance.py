@@ -12,7 +12,7 @@ from ..functions import text as T
 
 def covered_paths(files: DataFrame, articles: DataFrame) -> DataFrame:
     """path of every known file that some article names (paths without anchors)."""
-    named = articles.select(T.path_key(F.explode("source_paths")).alias("path")).where("path != ''").distinct()
+    named = articles.select(F.explode(F.transform("source_paths", T.path_key)).alias("path")).where("path != ''").distinct()
     return files.select(T.path_key(F.col("path")).alias("path")).distinct().join(named, "path", "left_semi")
 
 

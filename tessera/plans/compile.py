@@ -1 +1,176 @@
-"""Queries."""
+"""Ingest and compile queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions import vocabulary as V
+from ..operators import compile as C
+from ..operators.adapt import sql_views, table, view
+from .catalogue import query
+
+#: Files with telling names.
+NAMED = "id, source_id, lang || '/' || CASE id % 9 WHEN 0 THEN 'overview.md' WHEN 1 THEN 'README.md' WHEN 2 THEN 'architecture.txt' WHEN 3 THEN 'CLAUDE.md' WHEN 4 THEN 'config.yml' WHEN 5 THEN 'pic.png' ELSE 'f' || id || '.txt' END AS path, content, size"
+NAMED_SQL = f"{sql_views('files')}, named AS (SELECT {NAMED} FROM files)"
+
+
+def named(spark: SparkSession, sf: str) -> DataFrame:
+    return view(spark, sf, "files").selectExpr("id", "source_id", NAMED.split("source_id, ", 1)[1].rsplit(", content", 1)[0], "content", "size")
+
+
+SCORE_SQL = "CASE " + " ".join(f"WHEN starts_with(name, '{p}')" + (" OR name = 'claude.md'" if p == "readme." else "") + f" THEN {s}" for p, s in V.NAME_SCORES) + " ELSE greatest(10, 50 - length(content) // 10000) END"
+RANK_SQL = f"{NAMED_SQL}, scored AS (SELECT *, {SCORE_SQL} AS score FROM (SELECT *, lower(string_split(path, '/')[-1]) AS name FROM named)), placed AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, lower(path), path, id)::INT AS place FROM scored)"
+
+
+def unique(files: DataFrame) -> DataFrame:
+    """With the id in the path, so that order within a source is fixed."""
+    return files.withColumn("path", F.concat("path", F.lit("#"), F.lpad(F.col("id").cast("string"), 9, "0")))
+
+
+@query(f"WITH {RANK_SQL} SELECT id, score::INT AS score FROM placed")
+def file_rank(spark: SparkSession, sf: str) -> DataFrame:
+    return C.ranked_files(named(spark, sf)).select("id", F.col("score").cast("int").alias("score"))
+
+
+@query(f"WITH {NAMED_SQL} SELECT CASE WHEN path LIKE 'en/%' THEN 'english' ELSE split_part(path, '/', 1) END AS \"group\", count(*) AS files, sum(length(content))::BIGINT AS chars FROM named GROUP BY 1")
+def group_sources(spark: SparkSession, sf: str) -> DataFrame:
+    return C.groups(named(spark, sf), [("^en/", "english")])
+
+
+@query(f"WITH {NAMED_SQL} SELECT lower(string_split(path, '.')[-1]) AS extension, count(*) AS n FROM named GROUP BY 1")
+def ext_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return C.extension_histogram(named(spark, sf))
+
+
+@query(f"WITH {NAMED_SQL} SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(path), '[^a-z0-9]+')) AS word FROM named) WHERE length(word) >= 3 GROUP BY 1 ORDER BY n DESC, word LIMIT 12")
+def top_keywords(spark: SparkSession, sf: str) -> DataFrame:
+    return C.top_keywords(named(spark, sf))
+
+
+@query(f"WITH {NAMED_SQL}, f AS (SELECT source_id, path, sha256(content) AS digest, (lower(path) LIKE '%.png')::INT AS b FROM named), g AS (SELECT source_id, count(*) AS files, sha256(array_to_string(list_sort(list(path)), chr(10))) AS path_hash, sha256(array_to_string(list_sort(list(path || ':' || digest)), chr(10))) AS manifest_hash, sum(b) AS b FROM f GROUP BY 1) SELECT source_id, files, path_hash, manifest_hash, CASE WHEN b = 0 THEN 'DOCUMENT' WHEN b * 2 >= files THEN 'ASSET_HEAVY' ELSE 'MIXED' END AS profile FROM g")
+def bundle_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
+    return C.fingerprints(named(spark, sf))
+
+
+BATCH_SQL = f"""{NAMED_SQL.replace("END AS path", "END || '#' || lpad(id::VARCHAR, 9, '0') AS path")}, scored AS (SELECT source_id, path, length(content) AS n, {SCORE_SQL} AS score FROM (SELECT *, lower(string_split(path, '/')[-1]) AS name FROM named)), placed AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, lower(path), path) AS place FROM scored),
+ fold AS (SELECT source_id, path, place, 0 AS batch, n AS used FROM placed WHERE place = 1 UNION ALL SELECT p.source_id, p.path, p.place, CASE WHEN f.used > 0 AND f.used + p.n > 40000 THEN f.batch + 1 ELSE f.batch END, CASE WHEN f.used > 0 AND f.used + p.n > 40000 THEN p.n ELSE f.used + p.n END FROM fold f JOIN placed p ON p.source_id = f.source_id AND p.place = f.place + 1)"""
+
+
+@query(f"WITH RECURSIVE {BATCH_SQL} SELECT source_id, path, batch FROM fold")
+def batch_split(spark: SparkSession, sf: str) -> DataFrame:
+    return C.batches(unique(named(spark, sf)))
+
+
+@query(f"WITH RECURSIVE {BATCH_SQL} SELECT source_id, batch, sha256(source_id || ':' || batch || ':' || array_to_string(list_sort(list(path)), ':')) AS digest FROM fold GROUP BY 1, 2")
+def batch_hash(spark: SparkSession, sf: str) -> DataFrame:
+    return C.batch_hash(C.batches(unique(named(spark, sf))))
+
+
+@query()
+def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts into chunks; checked in the tests against its invariants."""
+    return C.chunked(view(spark, sf, "articles"), "article_key", "content")
+
+
+CONCEPTS = "doc_id AS position, CASE WHEN doc_id % 2 = 0 THEN 'Topic ' ELSE 'topic_' END || (doc_id % 60) AS concept_id, substr(text, 1, CAST(10 + doc_id % 7 AS INT)) AS title, substr(text, 20, CAST(30 + doc_id % 11 AS INT)) AS description, source || '/' || (doc_id % 9) AS path, substr(text, 1, 12) AS snippet"
+
+
+@query(f"""WITH c AS (SELECT *, 'topic-' || (position % 60) AS slug FROM (SELECT {CONCEPTS} FROM documents))
+SELECT slug, arg_max(title, (length(title), -position)) AS title, arg_max(description, (length(description), -position)) AS description, array_to_string(list_sort(list_distinct(list(path))), ',') AS paths, count(DISTINCT snippet)::INT AS n_snippets FROM c GROUP BY slug""")
+def concept_merge(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "documents").selectExpr(*CONCEPTS_LIST)
+    m = C.merge_concepts(c.select("position", "concept_id", "title", "description", F.array("path").alias("paths"), F.array("snippet").alias("snippets")))
+    return m.select("slug", "title", "description", F.array_join("paths", ",").alias("paths"), F.size("snippets").alias("n_snippets"))
+
+
+CONCEPTS_LIST = ["doc_id AS position", "CASE WHEN doc_id % 2 = 0 THEN 'Topic ' ELSE 'topic_' END || (doc_id % 60) AS concept_id", "substr(text, 1, CAST(10 + doc_id % 7 AS INT)) AS title", "substr(text, 20, CAST(30 + doc_id % 11 AS INT)) AS description", "source || '/' || (doc_id % 9) AS path", "substr(text, 1, 12) AS snippet"]
+
+
+@query("SELECT doc_id % 20 AS source_id, 'p' || doc_id AS path, CASE WHEN doc_id % 5 = 0 THEN 'NEW' ELSE 'CHANGED' END AS change FROM documents WHERE doc_id % 5 = 0 OR doc_id % 7 = 0")
+def changed_sources(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents")
+    new = d.selectExpr("doc_id % 20 AS source_id", "'p' || doc_id AS path", "text", "n_chars AS size", "CASE WHEN doc_id % 7 = 0 THEN NULL ELSE lang END AS format")
+    old = d.where("doc_id % 5 != 0").selectExpr("doc_id % 20 AS source_id", "'p' || doc_id AS path", "text", "n_chars AS size", "lang AS format")
+    return C.changed_files(new, old)
+
+
+MARKDOWN = "'# ' || lang || '\n' || coalesce(substr(text, 1, 80), '') || '\n## Details ' || doc_id || '\n' || source || '\n### End\nlast'"
+
+
+@query(f"WITH m AS (SELECT doc_id, string_split({MARKDOWN.replace(chr(10), '__NL__').replace('__NL__', chr(10))}, chr(10)) AS l FROM documents), t AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS text FROM m), h AS (SELECT doc_id, i - 1 AS line, length(regexp_extract(text, '^(#+)', 1)) AS level, trim(regexp_replace(text, '^#+\\s*', '')) AS heading FROM t WHERE regexp_matches(text, '^#{{1,6}}\\s+\\S')) SELECT doc_id, line::INT AS line, level::INT AS level, heading, (lead(line) OVER (PARTITION BY doc_id ORDER BY line))::INT AS end_line FROM h")
+def toc(spark: SparkSession, sf: str) -> DataFrame:
+    return C.toc(_markdown(spark, sf), "doc_id", "content")
+
+
+def _markdown(spark: SparkSession, sf: str) -> DataFrame:
+    nl = F.lit("\n")
+    return table(spark, sf, "documents").select("doc_id", F.concat(F.lit("# "), "lang", nl, F.coalesce(F.substring("text", 1, 80), F.lit("")), F.lit("\n## Details "), F.col("doc_id").cast("string"), nl, "source", F.lit("\n### End\nlast")).alias("content"))
+
+
+@query("SELECT doc_id, '### End' || chr(10) || 'last' AS section FROM documents")
+def section_read(spark: SparkSession, sf: str) -> DataFrame:
+    return C.section(_markdown(spark, sf), "doc_id", "content", "end")
+
+
+@query("SELECT doc_id, CASE WHEN contains(lower(substr(text, 1, 50)), 'the') THEN '=== A' || chr(10) || substr(text, 1, 50) || chr(10) ELSE '' END || CASE WHEN contains(lower(source), 'src1') THEN '=== B ' || source ELSE '' END AS part FROM documents WHERE contains(lower(substr(text, 1, 50)), 'the') OR contains(lower(source), 'src1')")
+def section_select(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select("doc_id", "text", "source", F.concat(F.lit("=== A\n"), F.substring("text", 1, 50), F.lit("\n=== B "), "source").alias("t"))
+    hit = F.lower(F.substring("text", 1, 50)).contains("the") | F.lower("source").contains("src1")
+    return d.where(hit).select("doc_id", C.select_sections(F.col("t"), ["The", "src1"], 500).alias("part"))
+
+
+@query("""WITH e AS (SELECT DISTINCT concept_id FROM (SELECT 'c' || doc_id AS concept_id FROM documents WHERE doc_id % 10 = 0))
+SELECT 'enhance' AS kind, concept_id FROM e UNION ALL SELECT 'propagate', 'c' || (doc_id + 1) FROM documents d WHERE doc_id % 10 = 0 AND EXISTS (SELECT 1 FROM documents x WHERE x.doc_id = d.doc_id + 1) UNION ALL SELECT 'create', 'new-' || doc_id FROM documents WHERE doc_id % 25 = 0""")
+def incremental_plan(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents")
+    a = d.select(F.concat(F.lit("c"), "doc_id").alias("concept_id"), F.array(F.concat(F.lit("p"), "doc_id")).alias("paths"))
+    hit = d.where("doc_id % 20 = 0").select(F.concat(F.lit("c"), "doc_id").alias("concept_id"), F.array(F.lit("other")).alias("paths"))
+    path = d.where("doc_id % 20 = 10").select(F.concat(F.lit("q"), "doc_id").alias("concept_id"), F.array(F.concat(F.lit(" p"), "doc_id")).alias("paths"))
+    new = d.where("doc_id % 25 = 0").select(F.concat(F.lit("new-"), "doc_id").alias("concept_id"), F.array(F.lit(" ")).alias("paths"))
+    ids = d.select("doc_id")
+    links = ids.where("doc_id % 10 = 0").join(ids.select((F.col("doc_id") - 1).alias("doc_id")), "doc_id").select(F.concat(F.lit("c"), "doc_id").alias("upstream"), F.concat(F.lit("c"), (F.col("doc_id") + 1).cast("string")).alias("downstream"), F.lit("depends_on").alias("relation"))
+    ignored = ids.where("doc_id % 10 = 5").select(F.lit("c0").alias("upstream"), F.concat(F.lit("c"), "doc_id").alias("downstream"), F.lit("related").alias("relation"))
+    return C.incremental_plan(hit.unionByName(path).unionByName(new), a, links.unionByName(ignored))
+
+
+@query("""SELECT 'b' || s_suppkey AS bundle_id, CASE s_suppkey % 5 WHEN 0 THEN 'SKIP' WHEN 1 THEN 'EXISTING_SOURCE_UPDATE' WHEN 2 THEN 'AMBIGUOUS' WHEN 3 THEN 'AMBIGUOUS' ELSE 'NEW_SOURCE' END AS decision,
+ CASE WHEN s_suppkey % 5 <> 4 THEN s_suppkey END AS source_id, CASE s_suppkey % 5 WHEN 0 THEN 170 WHEN 1 THEN 130 WHEN 2 THEN 70 WHEN 3 THEN 50 ELSE 0 END AS best FROM supplier""")
+def source_decision(spark: SparkSession, sf: str) -> DataFrame:
+    s = table(spark, sf, "supplier")
+    sources = s.selectExpr("s_suppkey AS source_id", "s_suppkey AS ordinal", "'code' AS code", "'ACTIVE' AS status", "'UPLOAD' AS type", "s_name AS name", "'ph' || s_suppkey AS path_hash", "'mh' || s_suppkey AS manifest_hash", "array('t' || s_suppkey, 'u' || s_suppkey) AS tops", "'' AS summary")
+    bundles = s.selectExpr("'b' || s_suppkey AS bundle_id", "CASE WHEN s_suppkey % 5 IN (0, 1, 2, 3) THEN upper(s_name) ELSE 'other' END AS name", "CASE WHEN s_suppkey % 5 IN (0, 1) THEN 'ph' || s_suppkey ELSE 'none' END AS path_hash", "CASE WHEN s_suppkey % 5 = 0 THEN 'mh' || s_suppkey ELSE 'none' END AS manifest_hash", "CASE s_suppkey % 5 WHEN 0 THEN array('t' || s_suppkey, 'u' || s_suppkey) WHEN 2 THEN array('T' || s_suppkey) ELSE array('zz') END AS tops")
+    return C.decide_sources(bundles, sources).select("bundle_id", "decision", "source_id", "best")
+
+
+@query("SELECT doc_id, 'topic-' || lang || '-x1' AS slug, 'a-' || doc_id || '-b' AS ascii, 'Topic ' || CASE lang WHEN 'en' THEN 'En' WHEN 'fr' THEN 'Fr' WHEN 'de' THEN 'De' WHEN 'es' THEN 'Es' ELSE upper(lang[1]) || lang[2:] END || ' X1' AS title, 'dir/' || doc_id || '.md' AS path, 'target' AS link, (length(text) - length(replace(text, 'the', ''))) // 3 AS occurrences FROM documents")
+def scalar_text(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents")
+    slug = T.concept_slug(F.concat(F.lit("  Topic "), "lang", F.lit("__X1!")))
+    return d.select("doc_id", slug.alias("slug"), T.ascii_slug(F.concat(F.lit("-A "), F.col("doc_id").cast("string"), F.lit(" éB "))).alias("ascii"), T.slug_title(slug).alias("title"), T.path_key(F.concat(F.lit(" dir\\"), F.col("doc_id").cast("string"), F.lit(".md#x"))).alias("path"), T.wiki_target(F.lit(" target #h|label")).alias("link"), T.occurrences(F.col("text"), "the").alias("occurrences"))
+
+
+@query("SELECT doc_id, lang || '=' || source || ' ' || (1000 + doc_id % 9000) AS keywords, 'v' || doc_id AS title, 'review_status: passed' AS status FROM documents")
+def front_matter_and_keywords(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents")
+    code = (F.lit(1000) + F.col("doc_id") % 9000).cast("string")
+    text = F.concat("lang", F.lit("="), "source", F.lit(" and "), code, F.lit(" "), code, F.lit(" 12 123456"))
+    md = F.concat(F.lit("---\ntitle: v"), F.col("doc_id").cast("string"), F.lit("\nreview_status: pending\n---\n# x\ntitle: other"))
+    return d.select("doc_id", F.array_join(T.referential_keywords(text), " ").alias("keywords"), T.front_matter(md, "title").alias("title"), F.concat(F.lit("review_status: "), T.front_matter(T.with_review_status(md, F.lit("passed")), "review_status")).alias("status"))
+
+
+@query("WITH c AS (SELECT doc_id, lang || '=' || source AS k FROM documents) SELECT 'c' || doc_id AS concept_id, CASE WHEN doc_id % 2 = 0 THEN 'a,b,p' || doc_id ELSE 'a,b' END AS paths, CASE WHEN doc_id % 2 = 0 THEN 'x=1,' || k ELSE 'x=1' END AS keywords, CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'added' ELSE '' END ELSE 'old' END AS summary FROM c")
+def enhance_merge(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents")
+    name = F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("concept_id")
+    a = d.select(name, F.array(F.lit("a"), F.lit("b")).alias("paths"), F.array(F.lit("x=1")).alias("keywords"), F.when(F.col("doc_id") % 3 == 0, "").otherwise("old").alias("summary"))
+    b = d.where("doc_id % 2 = 0").select(name, F.array(F.lit("b"), F.concat(F.lit("p"), F.col("doc_id").cast("string"))).alias("paths"), F.concat(F.lit("is "), "lang", F.lit("="), "source", F.lit(" now")).alias("content"), F.lit("added").alias("summary"))
+    return C.enhance(a, b).select("concept_id", F.array_join("paths", ",").alias("paths"), F.array_join("keywords", ",").alias("keywords"), "summary")
+
+
+@query("""SELECT 'g' || doc_id AS "group", CASE WHEN doc_id % 2 = 0 THEN 'k' || doc_id ELSE 'g' || doc_id END AS concept_id, CASE WHEN doc_id % 2 = 0 THEN 'T' ELSE 'G' || doc_id END AS title FROM documents""")
+def concept_parse(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("doc_id").cast("string")
+    reply = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('[{"id":"k'), n, F.lit('","title":"T"}]'))).when(F.col("doc_id") % 3 == 0, "[]").otherwise("no json")
+    return C.parse_concepts(table(spark, sf, "documents").select(F.concat(F.lit("g"), n).alias("group"), reply.alias("reply"))).select("group", "concept_id", "title")
