@@ -42,12 +42,19 @@ def without_citations(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, ARTICLE, ""), SOURCE, ""), r"\s+", " "))
 
 
-def hard_facts(claim: Column) -> Column:
-    """Distinct lower-case literals that evidence must hold; Han terms only beside others."""
-    c = F.coalesce(claim, F.lit(""))
+def hard_facts(claim: Column, named: tuple[str, ...] = ()) -> Column:
+    """Distinct lower-case literals that evidence must hold. Han terms of three or more characters count beside others if they hold one of the ``named`` words, which are a deployment's own and none by default."""
+    c = F.replace(F.replace(F.coalesce(claim, F.lit("")), F.lit("**"), F.lit("")), F.lit("`"), F.lit(""))
+    c = F.trim(F.regexp_replace(F.regexp_replace(c, r"(?m)^#+\s*", ""), r"(?<=\s|^)\d+\.\s+", ""))
     latin = F.array_distinct(T.lower_all(F.concat(*(T.found(c, p, 1) for p in (NUMBER, SNAKE, QUALIFIED, URL_PATH, SYMBOL, LATIN)))))
-    han = T.found(c, r"\p{IsHan}{3,}")
-    return F.when(F.size(latin) > 0, F.array_distinct(F.concat(latin, F.filter(han, lambda h: F.length(h) >= 3)))).otherwise(latin)
+    if not named:
+        return latin
+    han = F.filter(T.found(c, r"\p{IsHan}{3,}"), lambda h: T.any_of(h, list(named)))
+    return F.when(F.size(latin) > 0, F.array_distinct(F.concat(latin, han))).otherwise(latin)
+
+
+def evidence_tokens(text: Column) -> Column:
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{IsAlphabetic}\p{IsDigit}_./-]+")
 
 
 def _cited(text: str) -> list[str]:
@@ -138,7 +145,7 @@ def direct_line(text: Column) -> Column:
 def validate(cited: DataFrame, evidence: DataFrame) -> DataFrame:
     """Adds overlap and status to citations (claim, kind, target): NOT_FOUND, SKIPPED, VERIFIED or DEMOTED. evidence: kind, target, text."""
     rows = cited.withColumn("_facts", hard_facts(without_citations(F.col("claim")))).join(evidence.select("kind", "target", F.col("text").alias("_text")), ["kind", "target"], "left")
-    shared = F.size(F.array_intersect("_facts", hard_facts(F.col("_text"))))
+    shared = F.size(F.array_intersect("_facts", evidence_tokens(F.col("_text"))))
     overlap = F.when(F.size("_facts") > 0, shared / F.size("_facts")).otherwise(0.0)
     claim = direct_line(F.col("claim"))
     lines = F.filter(F.transform(F.split("_text", "\r?\n"), direct_line), lambda x: x != "")
