@@ -3,9 +3,10 @@
 Vectors are scaled by the largest norm and given one more coordinate that makes all norms equal, so the largest inner
 product is the nearest point. ``curves`` random projections to ``dims`` coordinates, each shifted at random, are quantised
 and put in Hilbert order; Spark range-partitions (curve, position), which gives every vector its rank on each curve. A
-query looks at the ranks within ``window`` of the table to either side on every curve, in blocks of ``block`` vectors;
-each block and group of queries is a task of bounded size that computes exact products, and the best of all blocks and
-curves are merged.
+query looks at the ranks within ``window`` of the table to either side on every curve, which lie in its own block of that
+many vectors and the two next to it. A task holds at most ``asked_at_once`` or so queries of a block with their best so
+far and streams the block's vectors past them in exact products, so its memory doesn't grow with the table; the best of
+all blocks and curves are merged.
 
 The window is a share of the table, not a number of rows: in nearly isotropic vectors the neighbours of a point lie all
 along a curve, and a fixed number of rows would lose recall as the table grows. The share is the price of recall; both
@@ -22,7 +23,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -97,39 +97,61 @@ def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _best(k: int):
-    def run(key: tuple, data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        columns = ["query", "gid", "score"]
-        if data.empty or asked.empty:
-            return pd.DataFrame({"query": pd.Series(dtype="int64"), "gid": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        v, ids = np.stack(data["embedding"].to_numpy()), data["gid"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        v, ids = v[order], ids[order]
-        out = []
-        for at in range(0, len(asked), 1024):
-            part = asked.iloc[at : at + 1024]
-            scores = np.stack(part["sought"].to_numpy()) @ v.T
-            n = min(k, len(ids))
-            # all that reach the k-th best, so equal scores keep the smaller ids
-            least = np.partition(scores, len(ids) - n, axis=1)[:, len(ids) - n]
-            for q, row, low in zip(part["query"].to_numpy(), scores, least, strict=True):
-                hit = np.flatnonzero(row >= low)
-                hit = hit[np.argsort(-row[hit], kind="stable")][:n]
-                out.append(pd.DataFrame({"query": q, "gid": ids[hit], "score": row[hit]}))
-        return pd.concat(out, ignore_index=True)[columns]
+    """Streams rows sorted by (curve, block, share), queries first, then vectors by id: holds one share of queries and their k best so far."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, q, ids, best, who = None, [], [], None, None
+
+        def flush() -> pa.RecordBatch | None:
+            if best is None:
+                return None
+            row, col = np.nonzero(best > -np.inf)
+            return pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(who[row, col]), pa.array(best[row, col])], names=["query", "gid", "score"])
+
+        for batch in batches:
+            fields = [batch.column(i).to_numpy() for i in range(5)]
+            cuts = [0, *(np.flatnonzero(np.any([f[1:] != f[:-1] for f in fields[:4]], axis=0)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo == hi:
+                    continue
+                now = tuple(int(f[lo]) for f in fields[:3])
+                if now != key:
+                    if (out := flush()) is not None:
+                        yield out
+                    key, q, ids, best, who = now, [], [], None, None
+                v, gid = matrix(batch.column(5).slice(lo, hi - lo)), fields[4][lo:hi]
+                if fields[3][lo] == 0:
+                    q.append(v)
+                    ids.append(gid)
+                    continue
+                if best is None:
+                    if not q:
+                        continue
+                    q, ids = np.concatenate(q), np.concatenate(ids)
+                    best, who = np.full((len(q), k), -np.inf), np.zeros((len(q), k), np.int64)
+                for at in range(0, len(v), 1024):
+                    scores = q @ v[at : at + 1024].T
+                    better = np.flatnonzero((scores > best[:, -1:]).any(1))
+                    both = np.hstack([best[better], scores[better]])
+                    names = np.hstack([who[better], np.broadcast_to(gid[at : at + 1024], scores[better].shape)])
+                    order = np.argsort(-both, axis=1, kind="stable")[:, :k]  # equal scores keep the smaller ids, which come first
+                    best[better], who[better] = np.take_along_axis(both, order, 1), np.take_along_axis(names, order, 1)
+        if (out := flush()) is not None:
+            yield out
 
     return run
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, curves: int = 8, dims: int = 10, bits: int = 6, window: float = 0.1, block: int = 2048, asked_at_once: int = 4096, seed: int = 7) -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, k: int = 20, curves: int = 8, dims: int = 10, bits: int = 6, window: float = 0.1, asked_at_once: int = 2048, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row whose vec_id is divisible by ``every``."""
     rows = cut(usable(vectors))
     asks = F.col("vec_id") % every == 0
     points = rows.groupBy("embedding").agg(F.min("vec_id").alias("gid"), F.max(asks).alias("asked"))
     points = cut(points)
     n, top = points.agg(F.count("*"), F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)))).first()
+    reach = block = max(1, int(window * n))
     blocks = max(1, -(-n // block))
-    reach = max(1, int(window * n))
-    groups = max(1, -(-int((2 * window * n + 2 * block) / every) // asked_at_once))
+    groups = max(1, -(-3 * block // every // asked_at_once))
     curved = points.select("gid", "embedding", "asked").mapInArrow(_curved(top or 1.0, curves, dims, bits, seed), "curve int, position long, role int, gid long, embedding array<double>")
     ordered = curved.repartitionByRange("curve", "position", "gid", "role").sortWithinPartitions("curve", "position", "gid", "role")
     ranked = cut(ordered.mapInArrow(_ranked, "curve int, position long, role int, gid long, embedding array<double>, part int, index long"))
@@ -139,13 +161,12 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, curves: int = 8, di
     parts = ranked.select("curve", "part").distinct().join(before, ["curve", "part"], "left")
     parts = parts.withColumn("before", F.coalesce("before", F.max(F.col("before")).over(Window.partitionBy("curve").orderBy("part")), F.lit(0)))
     placed = ranked.join(parts, ["curve", "part"]).withColumn("at", F.col("index") + F.col("before"))
-    data = placed.where("role = 0").select("curve", F.floor(F.col("at") / block).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("share"), "gid", "embedding")
+    data = placed.where("role = 0").select("curve", F.floor(F.col("at") / block).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("share"), F.lit(1).alias("role"), "gid", "embedding")
     low = F.greatest(F.lit(0), F.floor((F.col("at") - reach) / block))
     high = F.least(F.lit(blocks - 1), F.floor((F.col("at") + reach) / block))
-    asked = placed.where("role = 1").select("curve", F.explode(F.sequence(low, F.greatest(low, high))).alias("block"), F.pmod(F.xxhash64("gid"), F.lit(groups)).cast("int").alias("share"), "gid", "embedding")
-    by = ["curve", "block", "share"]
-    asked = asked.toDF("curve_", "block_", "share_", "query", "sought")
-    found = data.groupBy(*by).cogroup(asked.groupBy("curve_", "block_", "share_")).applyInPandas(_best(k + 1), "query long, gid long, score double")
+    asked = placed.where("role = 1").select("curve", F.explode(F.sequence(low, F.greatest(low, high))).alias("block"), F.pmod(F.xxhash64("gid"), F.lit(groups)).cast("int").alias("share"), F.lit(0).alias("role"), "gid", "embedding")
+    dealt = data.unionByName(asked).repartition("curve", "block", "share").sortWithinPartitions("curve", "block", "share", "role", "gid")
+    found = dealt.mapInArrow(_best(k + 1), "query long, gid long, score double")
     merged = found.groupBy("query", "gid").agg(F.max("score").alias("score"))
     best = merged.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "gid"))).where(F.col("place") <= k + 1).drop("place")
     # each point stands for its k+1 smallest ids
