@@ -6,7 +6,7 @@ DataFrame functions only. Three pattern kinds (assign, access, hex) give the bas
 
 The models are first-order transition tables over 65 symbols, trained from labelled samples: random strings (hexadecimal,
 base-64 and base-36 digests of a range of numbers) against ordinary ones (the words of the ``sample_docs`` documents with the smallest
-hashes of doc_id, a documented bound, as they stand and in upper case, and plain numbers). Only the 65 x 65 counts per
+hashes of doc_id, a documented bound, as they stand and in upper case, plain numbers, bars of one character). Only the 65 x 65 counts per
 label reach the driver. Every whole text is then scanned, row by row, without a shuffle.
 
 Positions are code points, ends exclusive. Null and empty texts have no span; repeated rows and null doc_ids are scanned
@@ -71,18 +71,23 @@ def train(docs: DataFrame, sample_docs: int = 2000, samples: int = 4000) -> list
     rows = documents_of(docs)
     chosen = rows.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     text = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select(F.regexp_replace(F.regexp_replace(F.regexp_replace("text", KINDS["assign"], " "), SURE["access"], " "), SURE["hex"], " ").alias("text"))
-    word = text.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9_/=+-]{4,}"), F.lit(0))).alias("word"))
+    word = text.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9_/=+-]{4,}"), F.lit(0))).alias("word")).where("length(word) < 20")  # longer ones may be what is looked for
     ids = spark.range(samples)
     digest = F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 256)
     number = ids.select(F.substring(F.translate(digest, "abcdef", "123456"), 1, 16).alias("word"))
-    ordinary = word.unionByName(word.select(F.upper("word").alias("word"))).unionByName(number)
+    bar = ids.where(f"id < {10 * N}").select(F.repeat(F.substring(F.lit(SYMBOLS), (F.col("id") % N + 1).cast("int"), F.lit(1)), F.lit(30)).alias("word"))
+    ordinary = word.unionByName(word.select(F.upper("word").alias("word"))).unionByName(number).unionByName(bar)
     base36 = F.upper(F.conv(F.substring(digest, 1, 15), 16, 36))
     random = ids.select(digest.alias("word")).unionByName(ids.select(F.regexp_replace(F.base64(F.unhex(digest)), r"[\s=]", "").alias("word"))).unionByName(ids.select(base36.alias("word")))
-    counts = [[[0.5] * (N + 1) for _ in range(N + 1)] for _ in range(2)]
+    counts = [[[0.02] * (N + 1) for _ in range(N + 1)] for _ in range(2)]
     at = {c: i for i, c in enumerate(SYMBOLS)}
     for label, pair, count in _pairs(ordinary.where("length(word) > 1"), 0).unionByName(_pairs(random.where("length(word) > 1"), 1)).collect():  # two tables of 65 x 65 at most
         counts[label][at.get(pair[0], N)][at.get(pair[1], N)] += count
-    chance = [[[math.log(x / sum(row)) for x in row] for row in table] for table in counts]
+    chance = []
+    for t in counts:  # transitions seldom seen lean on how frequent the second symbol is
+        total = sum(map(sum, t))
+        each = [sum(row[j] for row in t) / total for j in range(N + 1)]
+        chance.append([[math.log((x + 8 * each[j]) / (sum(row) + 8)) for j, x in enumerate(row)] for row in t])
     return [[b - a for a, b in zip(x, y, strict=True)] for x, y in zip(*chance, strict=True)]
 
 
