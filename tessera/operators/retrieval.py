@@ -6,14 +6,22 @@ Questions are a stated set (read once, broadcast only behind a row check by the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocabulary as V
 
+try:
+    import ahocorasick
+except ImportError:  # then the nested-loop join does the same
+    ahocorasick = None
+
+MOST_TOKENS = 200_000
 HIT = ["question_id", "channel", "evidence_type", "key", "concept_id", "title", "content", "path", "score"]
 
 
@@ -26,19 +34,48 @@ def question_tokens(questions: DataFrame, most: int = 8) -> DataFrame:
 def like_scores(questions: DataFrame, docs: DataFrame, id_column: str, weights: dict[str, float], most: int = 8) -> DataFrame:
     """question_id, id, score: the weights of the columns that hold a token, summed over tokens.
 
-    Substring matching has no key to join on, so distinct tokens meet the documents in one nested loop whose inner side is the (small) token
-    list; each document then sums its own tokens before anything is shuffled.
+    Substring matching has no key to join on. Up to ``MOST_TOKENS`` distinct tokens (a checked bound) become one automaton that
+    is broadcast, and each text is read once, whatever the number of tokens; beyond that, or without the library, documents and
+    tokens meet in a nested-loop join. Either way a document sums nothing until its (id, token) rows meet the questions.
     """
     tokens = question_tokens(questions, most)
     distinct = tokens.select("token").distinct()
     columns = {c: F.lower(F.coalesce(F.col(c), F.lit(""))).alias(f"_{c}") for c in weights}
     rows = docs.select(F.col(id_column).alias("id"), *columns.values())
-    per = reduce(lambda a, b: a + b, (F.when(F.contains(F.col(f"_{c}"), F.col("token")), w).otherwise(0.0) for c, w in weights.items()))
-    matched = rows.join(distinct, reduce(lambda a, b: a | b, (F.contains(F.col(f"_{c}"), F.col("token")) for c in weights)))
-    scored = matched.select("id", "token", per.alias("s"))
+    few = [r.token for r in distinct.limit(MOST_TOKENS + 1).collect()] if ahocorasick else []
+    if few and len(few) <= MOST_TOKENS:
+        scored = _found(rows, few, list(weights.values()))
+    else:
+        per = reduce(lambda a, b: a + b, (F.when(F.contains(F.col(f"_{c}"), F.col("token")), w).otherwise(0.0) for c, w in weights.items()))
+        matched = rows.join(distinct, reduce(lambda a, b: a | b, (F.contains(F.col(f"_{c}"), F.col("token")) for c in weights)))
+        scored = matched.select("id", "token", per.alias("s"))
     return scored.join(tokens, "token").groupBy("question_id", "id").agg(F.sum("s").alias("score"))
 
 
+def _found(rows: DataFrame, tokens: list[str], weights: list[float]) -> DataFrame:
+    """id, token, s: each token that a text of a row holds, and the sum of the weights of the columns that hold it."""
+    held = rows.sparkSession.sparkContext.broadcast(tokens)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton = ahocorasick.Automaton()
+        for t in held.value:
+            automaton.add_word(t, t)
+        automaton.make_automaton()
+        for frame in frames:
+            ids, names, sums = [], [], []
+            for key, *texts in frame.itertuples(index=False):
+                got: dict[str, float] = {}
+                for text, w in zip(texts, weights, strict=True):
+                    for t in {t for _, t in automaton.iter(text)}:
+                        got[t] = got.get(t, 0.0) + w
+                ids.extend([key] * len(got))
+                names.extend(got)
+                sums.extend(got.values())
+            yield pd.DataFrame({"id": pd.Series(ids, dtype=frame["id"].dtype), "token": pd.Series(names, dtype="object"), "s": pd.Series(sums, dtype="float64")})
+
+    return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, token string, s double")
+
+
 def top_k(scores: DataFrame, k: int, *ties: str) -> DataFrame:
     """The k best per question with their rank."""
     w = Window.partitionBy("question_id").orderBy(F.desc("score"), *ties)
