@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -162,7 +163,15 @@ def bitmap_of(keys: DataFrame, column: str) -> np.ndarray:
             np.bitwise_or.at(bits, inverse, np.uint64(1) << (slot & np.uint64(63)))
             yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(bits.view(np.int64))], names=["word", "bits"])
 
-    rows = keys.select(column).mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()  # 2**(BITMAP-6) rows at most
+    def packed(frame: pd.DataFrame) -> pd.DataFrame:
+        part = frame["word"].iloc[0] >> 14
+        bits = np.zeros(1 << 14, np.int64)
+        bits[frame["word"].to_numpy() - (part << 14)] = frame["bits"].to_numpy()
+        return pd.DataFrame({"part": [part], "bits": [bits.tobytes()]})
+
+    words_ = keys.select(column).mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    parts = words_.groupBy(F.shiftright("word", 14)).applyInPandas(packed, "part long, bits binary").collect()  # 2**(BITMAP-20) rows of 128 KB at most
     out = np.zeros(1 << (BITMAP - 6), np.uint64)
-    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    for part, bits in parts:
+        out[part << 14 : (part + 1) << 14] = np.frombuffer(bits, np.uint64)
     return out

@@ -10,11 +10,12 @@ R-tree. Summed minima of two points (or of a point and a node's upper corner) bo
 and pairs; pairs that survive and aren't linked already are verified on the sets themselves.
 
 * First join: buckets of each set's first ``FIRST`` keys, with the sets at hand; every pair is decided there, and a
-  bucket gives a spanning forest of its links, never all pairs.
+  bucket gives a spanning forest of its links, never all pairs. The sets travel as 32-bit tokens; pairs so near the
+  threshold that this could matter are verified later on all bits.
 * Second join: the remaining keys, with the points alone, only where sets of different components meet; pairs that
   the first join has decided are skipped, those the bounds leave are verified in a join with the sets.
 
-Together they decide every pair that can reach the threshold, so components are exact. What is broadcast (a sketch, three
+Together they decide every pair that can reach the threshold, so components are exact. What is broadcast (a sketch, four
 bitmaps) has a fixed size whatever the input. Buckets of more than ``LARGE`` sets are dealt by size class, each set to
 its own and the next.
 
@@ -38,7 +39,7 @@ from .components import components
 GAP = np.zeros(256, bool)
 GAP[[32, 9, 10, 11, 12, 13]] = True
 GROUPS = 64
-FIRST = 4
+FIRST = 5
 LARGE = 8192
 SKETCH = 18  # 2**SKETCH counters
 
@@ -87,7 +88,7 @@ def points(s: list[np.ndarray]) -> np.ndarray:
     """Counts per group, at most 255 (which then bounds nothing)."""
     out = np.zeros((len(s), GROUPS), np.uint8)
     for i, x in enumerate(s):
-        out[i] = np.minimum(np.bincount((x >> np.uint64(20)).astype(np.int64) % GROUPS, minlength=GROUPS), 255)
+        out[i] = np.minimum(np.bincount(x.astype(np.int64) % GROUPS, minlength=GROUPS), 255)
     return out
 
 
@@ -120,12 +121,20 @@ class Tree:
         return at[bound >= least_overlap(n + self.n[at], percent)]
 
 
-def linked(s: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the sets."""
+#: Tokens of 32 bits travel to the first join; a count of them may be off by a few, so pairs this near the threshold are verified again on all bits.
+MARGIN = 2
+
+
+def linked(s: list[np.ndarray], size: np.ndarray, percent: int) -> list[tuple[int, int, bool]]:
+    """A spanning forest of the links among the sets (sorted 32-bit tokens, true sizes), and the pairs too near the threshold to tell: (a, b, sure)."""
+
+    def judge(shared, total):
+        over = lambda k: (shared + k > 0) & (100 * (shared + k) >= percent * (total - shared - k))
+        return over(-MARGIN), over(MARGIN)
+
     if len(s) == 2:
-        n = len(np.intersect1d(s[0], s[1], assume_unique=True))
-        return [(0, 1)] if n and 100 * n >= percent * (len(s[0]) + len(s[1]) - n) else []
-    size = np.array([len(x) for x in s])
+        sure, maybe = judge(len(np.intersect1d(s[0], s[1])), int(size.sum()))
+        return [(0, 1, bool(sure))] if maybe else []
     order = np.argsort(size, kind="stable")
     s, size = [s[i] for i in order], size[order]
     tree = Tree(points(s), size)
@@ -144,10 +153,12 @@ def linked(s: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         else:
             shared = np.array([mine[ids[starts[j] : ends[j]]].sum() for j in at])
         mine[ids[starts[i] : ends[i]]] = 0
-        for j in at[100 * shared >= percent * (size[i] + size[at] - shared)]:
+        sure, maybe = judge(shared, size[i] + size[at])
+        for j in at[sure]:
             if root[j] != root[i]:
-                out.append((int(order[i]), int(order[j])))
+                out.append((int(order[i]), int(order[j]), True))
                 root[root == root[j]] = root[i]
+        out.extend((int(order[i]), int(order[j]), False) for j in at[maybe & ~sure] if root[j] != root[i])
     return out
 
 
@@ -252,13 +263,14 @@ def cluster(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
                 yield k, c
 
     def with_sets(batches):
-        names, held, size = ["key", "class", "set", "shingles"], [], 0
-        kinds = pa.schema([("key", pa.int64()), ("class", pa.int32()), ("set", pa.int64()), ("shingles", pa.binary())])
+        names, held, size = ["key", "class", "set", "n", "tokens"], [], 0
+        kinds = pa.schema([("key", pa.int64()), ("class", pa.int32()), ("set", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())])
         for one, s, keys in each(batches):
             first = keys[:FIRST]
+            tokens = (s >> np.uint64(32)).astype(np.uint32).tobytes()
             for k, c in dealt(first[in_bitmap(live.value, first)], len(s)):
-                held.append((k, c, one, s.tobytes()))
-                size += 8 * len(s)
+                held.append((k, c, one, len(s), tokens))
+                size += len(tokens)
             if size > 4 << 20:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
                 held, size = [], 0
@@ -266,35 +278,53 @@ def cluster(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
 
     def forest(batches):
-        a, b = [], []
+        out = []
         for group in groups(batches):
             ids, at = np.unique(group.column(2).to_numpy(), return_index=True)
             if len(ids) > 1:
-                s = [np.frombuffer(group.column(3)[int(i)].as_buffer(), np.uint64) for i in at]
-                for i, j in linked(s, percent):
-                    a.append(ids[i])
-                    b.append(ids[j])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    bucketed = known.mapInArrow(with_sets, "key long, class int, set long, shingles binary").repartition("key", "class").sortWithinPartitions("key", "class")
-    links = cut(bucketed.mapInArrow(forest, "a long, b long").distinct())
+                s = [np.frombuffer(group.column(4)[int(i)].as_buffer(), np.uint32) for i in at]
+                out.extend((min(ids[i], ids[j]), max(ids[i], ids[j]), sure) for i, j, sure in linked(s, group.column(3).to_numpy()[at], percent))
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.bool_())], names=["a", "b", "sure"])
+
+    bucketed = known.mapInArrow(with_sets, "key long, class int, set long, n long, tokens binary").repartition("key", "class").sortWithinPartitions("key", "class")
+    decided = cut(bucketed.mapInArrow(forest, "a long, b long, sure boolean").distinct())
+    links, unsure = decided.where("sure").select("a", "b"), decided.where("NOT sure").select("a", "b")
     comps = cut(components(links))
 
     def with_points(batches):
-        names, held = ["key", "class", "set", "n", "place", "first", "point"], []
-        kinds = pa.schema([("key", pa.int64()), ("class", pa.int32()), ("set", pa.int64()), ("n", pa.int64()), ("place", pa.int64()), ("first", pa.binary()), ("point", pa.binary())])
+        """One row for each set: its point, its first keys, and its live keys with their places."""
+        names, held = ["set", "n", "first", "point", "keys", "places"], []
+        kinds = pa.schema([("set", pa.int64()), ("n", pa.int64()), ("first", pa.binary()), ("point", pa.binary()), ("keys", pa.binary()), ("places", pa.binary())])
         for one, s, keys in each(batches):
             alive = np.flatnonzero(in_bitmap(live.value, keys))
             if len(alive):
-                point, first = points([s])[0].tobytes(), keys[:FIRST].tobytes()
-                for i in alive.tolist():
-                    held.extend((k, c, one, len(s), i, first, point) for k, c in dealt(keys[i : i + 1], len(s)))
-            if len(held) > 20_000:
+                held.append((one, len(s), keys[:FIRST].tobytes(), points([s])[0].tobytes(), keys[alive].tobytes(), alive.astype(np.int32).tobytes()))
+            if len(held) > 2000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
                 held = []
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
 
+    def by_component(batches):
+        for batch in batches:
+            k = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(0)]
+            c = np.repeat(batch.column(1).to_numpy(), [len(x) for x in k])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(k) if k else np.zeros(0, np.int64)), pa.array(c)], names=["key", "comp"])
+
+    def spread(batches):
+        names, held = ["key", "class", "set", "n", "place", "first", "point", "comp"], []
+        kinds = pa.schema([("key", pa.int64()), ("class", pa.int32()), ("set", pa.int64()), ("n", pa.int64()), ("place", pa.int64()), ("first", pa.binary()), ("point", pa.binary()), ("comp", pa.int64())])
+        for batch in batches:
+            for one, size, first, point, keys, places, comp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keys, places = np.frombuffer(keys, np.uint64), np.frombuffer(places, np.int32)
+                for i in np.flatnonzero(in_bitmap(mixed.value, keys)).tolist():
+                    held.extend((k, c, one, size, int(places[i]), first, point, comp) for k, c in dealt(keys[i : i + 1], size))
+                if len(held) > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+                    held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+
     def surviving(batches):
         out: list[tuple[int, int]] = []
         for group in groups(batches):
@@ -307,24 +337,41 @@ def cluster(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
             size, place = group.column(3).to_numpy()[at], group.column(4).to_numpy()[at]
             byten = np.argsort(size, kind="stable")
             at, ids, comp, size, place = at[byten], ids[byten], comp[byten], size[byten], place[byten]
-            firsts = [frozenset(np.frombuffer(group.column(5)[int(i)].as_py(), np.int64).tolist()) for i in at]
-            p = np.stack([np.frombuffer(group.column(6)[int(i)].as_py(), np.uint8) for i in at])
-            tree = Tree(p, size)
-            for i in range(len(ids)):
-                js = tree.candidates(i, percent)
+            firsts, p = group.column(5), group.column(6)
+            tree = Tree(np.stack([np.frombuffer(p[int(i)].as_buffer(), np.uint8) for i in at]), size) if len(ids) > 12 else None
+            for i in range(len(ids) - 1):
+                # the smaller of two linked sets has a shared key among even fewer of its first keys
+                if place[i] > size[i] - least_overlap(2 * size[i], percent):
+                    continue
+                js = np.arange(i + 1, len(ids)) if tree is None else tree.candidates(i, percent)
                 js = js[comp[js] != comp[i]]
+                wanted = least_overlap(size[i] + size[js], percent)
                 # what stands behind the key in the common order, the key and what stands before it
                 most = np.minimum(size[i] - place[i], size[js] - place[js]) + np.minimum(place[i], place[js])
-                js = js[most >= least_overlap(size[i] + size[js], percent)]
-                out.extend((min(ids[i], ids[j]), max(ids[i], ids[j])) for j in js if not firsts[i] & firsts[j])
+                js = js[(most >= wanted) & (100 * size[i] >= percent * size[js])]
+                if not len(js):
+                    continue
+                mine = frozenset(np.frombuffer(firsts[int(at[i])].as_buffer(), np.int64).tolist())
+                point = np.frombuffer(p[int(at[i])].as_buffer(), np.uint8).astype(np.int64)
+                point[point == 255] = 1 << 30
+                for j in js.tolist():
+                    if not mine.isdisjoint(np.frombuffer(firsts[int(at[j])].as_buffer(), np.int64).tolist()):
+                        continue
+                    other = np.frombuffer(p[int(at[j])].as_buffer(), np.uint8).astype(np.int64)
+                    other[other == 255] = 1 << 30
+                    if min(int(np.minimum(point, other).sum()), int(size[i])) >= least_overlap(int(size[i] + size[j]), percent):
+                        out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
             if len(out) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
                 out = []
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
 
     where = comps.select(F.col("node").alias("set"), F.col("component").alias("comp"))
-    pointed = known.mapInArrow(with_points, "key long, class int, set long, n long, place long, first binary, point binary").join(where, "set", "left").select("key", "class", "set", "n", "place", "first", "point", F.coalesce("comp", "set").alias("comp"))
-    maybe = cut(pointed.repartition("key", "class").sortWithinPartitions("key", "class").mapInArrow(surviving, "a long, b long").distinct())
+    pointed = cut(known.mapInArrow(with_points, "set long, n long, first binary, point binary, keys binary, places binary").join(where, "set", "left").withColumn("comp", F.coalesce("comp", "set")))
+    apart = pointed.select("keys", "comp").mapInArrow(by_component, "key long, comp long").groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
+    mixed = sc.broadcast(bitmap_of(apart, "key"))
+    dealt_rows = pointed.select("set", "n", "first", "point", "keys", "places", "comp").mapInArrow(spread, "key long, class int, set long, n long, place long, first binary, point binary, comp long")
+    maybe = cut(dealt_rows.repartition("key", "class").sortWithinPartitions("key", "class").mapInArrow(surviving, "a long, b long").unionByName(unsure).distinct())
     asked = sc.broadcast(bitmap_of(maybe.select(F.col("a").alias("x")).unionByName(maybe.select(F.col("b").alias("x"))), "x"))
 
     def whole(batches):
