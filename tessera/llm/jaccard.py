@@ -13,7 +13,8 @@ and pairs; pairs that survive and aren't linked already are verified on the sets
   bucket gives a spanning forest of its links, never all pairs. The sets travel as 32-bit tokens; pairs so near the
   threshold that this could matter are verified later on all bits.
 * Second join: the remaining keys, with the points alone, only where sets of different components meet; pairs that
-  the first join has decided are skipped, those the bounds leave are verified in a join with the sets.
+  the first join has decided are skipped, those the bounds leave meet finer points (groups in proportion to the set) and,
+  if these bounds leave them too, are verified in a join with the sets.
 
 Together they decide every pair that can reach the threshold, so components are exact. What is broadcast (a sketch, four
 bitmaps) has a fixed size whatever the input. Buckets of more than ``LARGE`` sets are dealt by size class, each set to
@@ -92,6 +93,20 @@ def points(s: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def fine_point(x: np.ndarray) -> np.ndarray:
+    """Counts in so many more groups (a power of two) that each holds about two shingles, at most 255."""
+    n = 1 << max(6, int(len(x) // 2).bit_length())
+    return np.minimum(np.bincount((x >> np.uint64(20)).astype(np.int64) & (n - 1), minlength=n), 255).astype(np.uint8)
+
+
+def fine_bound(a: np.ndarray, b: np.ndarray) -> int:
+    """The summed minima of two fine points; the finer one is folded to the other's groups."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    a, b = a.astype(np.int64), b.astype(np.int64)
+    a[a == 255] = b[b == 255] = 1 << 30
+    return int(np.minimum(a, b.reshape(-1, len(a)).sum(0)).sum())
+
+
 class Tree:
     """An R-tree packed in order of set size: upper corners of leaves of 16 points and of nodes of 16 leaves."""
 
@@ -372,7 +387,28 @@ def cluster(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     mixed = sc.broadcast(bitmap_of(apart, "key"))
     dealt_rows = pointed.select("set", "n", "first", "point", "keys", "places", "comp").mapInArrow(spread, "key long, class int, set long, n long, place long, first binary, point binary, comp long")
     maybe = cut(dealt_rows.repartition("key", "class").sortWithinPartitions("key", "class").mapInArrow(surviving, "a long, b long").unionByName(unsure).distinct())
-    asked = sc.broadcast(bitmap_of(maybe.select(F.col("a").alias("x")).unionByName(maybe.select(F.col("b").alias("x"))), "x"))
+
+    def ids_of(pairs: DataFrame):
+        return sc.broadcast(bitmap_of(pairs.select(F.col("a").alias("x")).unionByName(pairs.select(F.col("b").alias("x"))), "x"))
+
+    first_asked = ids_of(maybe)
+
+    def fine(batches):
+        for one, s, _ in each(batches):
+            if in_bitmap(first_asked.value, np.array([one], np.int64).view(np.uint64))[0]:
+                yield pa.RecordBatch.from_arrays([pa.array([one]), pa.array([len(s)]), pa.array([fine_point(s).tobytes()], pa.binary())], names=["set", "n", "point"])
+
+    def bounded(batches):
+        for batch in batches:
+            n = batch.column(2).to_numpy() + batch.column(4).to_numpy()
+            p, q = ([np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column(k)] for k in (3, 5))
+            ok = [fine_bound(x, y) >= least_overlap(int(m), percent) for x, y, m in zip(p, q, n, strict=True)]
+            yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+
+    fines = cut(known.mapInArrow(fine, "set long, n long, point binary").groupBy("set").agg(F.first("n").alias("n"), F.first("point").alias("point")))
+    paired = maybe.join(fines.toDF("a", "na", "pa"), "a").join(fines.toDF("b", "nb", "pb"), "b").select("a", "b", "na", "pa", "nb", "pb")
+    maybe = cut(paired.mapInArrow(bounded, "a long, b long"))
+    asked = ids_of(maybe)
 
     def whole(batches):
         for one, s, _ in each(batches):
