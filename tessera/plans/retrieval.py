@@ -11,8 +11,6 @@ from ..operators import retrieval as R
 from ..operators.adapt import sql_views, table, view
 from .catalogue import query
 
-PATHS = F.filter(F.array("path", "path2"), lambda p: p != "")
-
 
 def quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
