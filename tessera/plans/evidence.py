@@ -146,7 +146,7 @@ def evidence_projection(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", E.project_text(F.lit("see ev#1 and ev#12 but ev#7"), names).alias("text"))
 
 
-SCORES = "doc_id % 100 AS task_id, 'k' || doc_id AS key, text AS content, (doc_id % 23) / 20.0 - 0.05 AS score"
+SCORES = "doc_id % 100 AS task_id, 'k' || doc_id AS key, text AS content, (doc_id % 23) / 20.0 - 0.06 AS score"
 
 
 @query(f"""WITH h AS (SELECT {SCORES} FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, key) AS n FROM h) SELECT task_id, 'ev#' || n AS anchor_id, substr(content, 1, 200) AS claim, round(CASE WHEN score <= 0 THEN 0.2 WHEN score < 0.55 THEN least(0.95, score + 0.55) WHEN score >= 1 THEN 1.0 ELSE score END, 9)::DOUBLE AS confidence FROM r WHERE n <= 3""")
