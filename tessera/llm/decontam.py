@@ -1,11 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Benchmark items become words; their word n-grams are counted over all documents. An n-gram of an item is a seed if it is
-rare: it is among the rarer half of the item's n-grams, or in few documents beyond those that hold the item's rarest one
-(so an item that leaked into a third of the corpus keeps its seeds). Each document looks its own n-grams up in the seeds;
-around the hits of an item a passage of the document is aligned with the item by Smith-Waterman over words (match 2,
-mismatch -1, gap -1). The score is the best local alignment's over the item's best possible; from ``threshold`` on the
-document counts as contaminated, which a verbatim half of an item reaches as well as an edited or paraphrased whole.
+Benchmark items become words, and every word n-gram of an item is a seed, however many documents hold it: n-grams that an
+edit broke are in none, so a cut by document counts could leave the copies of an edited item without any. Each document
+looks its own n-grams up in the seeds; around the hits of an item a passage of the document is aligned with the item by
+Smith-Waterman over words (match 2, mismatch -1, gap -1). The score is the best local alignment's over the item's best
+possible; from ``threshold`` on the document counts as contaminated, which a verbatim half of an item reaches as well as
+an edited or paraphrased whole. Passages whose words can't reach it, in any order, aren't aligned; that loses nothing and
+is what common n-grams cost.
 
 Seeds are a property of the benchmark, which is read in blocks of at most ``block_bytes`` of text, so what is broadcast
 has a fixed bound; a larger benchmark takes more passes over the documents. No document is shuffled.
@@ -81,15 +82,27 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, where
 
 
-def align(item: np.ndarray, text: np.ndarray, hits: np.ndarray) -> tuple[int, int]:
-    """The best alignment near the hits (word places): windows of an item's length and a half about each, long runs of them in pieces that overlap by two item lengths."""
+def reachable(kinds: np.ndarray, times: np.ndarray, passage: np.ndarray) -> int:
+    """No alignment of an item (its different words and how often each occurs) with the passage has more matches than this."""
+    passage = np.sort(passage)
+    held = np.searchsorted(passage, kinds, "right") - np.searchsorted(passage, kinds, "left")
+    return int(np.minimum(held, times).sum())
+
+
+def align(item: np.ndarray, text: np.ndarray, hits: np.ndarray, least: float = 0.0) -> tuple[int, int]:
+    """The best alignment near the hits (word places) if it scores ``least``: windows of an item's length and a half about each, long runs of them in pieces that overlap by two item lengths."""
     m = len(item)
     best = (0, 0)
+    kinds, times = np.unique(item, return_counts=True)
     lows, highs = np.maximum(0, hits - m - m // 2), np.minimum(len(text), hits + m + m // 2 + 4)
     gaps = np.flatnonzero(lows[1:] > highs[:-1]) + 1
     for low, high in zip(lows[np.append(0, gaps)], highs[np.append(gaps - 1, len(hits) - 1)], strict=True):
         for at in range(int(low), int(high), 8 * m):
-            score, where = smith_waterman(item, text[at : min(int(high), at + 10 * m)])
+            piece = text[at : min(int(high), at + 10 * m)]
+            most = 2 * reachable(kinds, times, piece)
+            if most < least or most <= best[0]:
+                continue
+            score, where = smith_waterman(item, piece)
             if score > best[0]:
                 best = score, at + where
             if best[0] == 2 * m:
@@ -97,22 +110,6 @@ def align(item: np.ndarray, text: np.ndarray, hits: np.ndarray) -> tuple[int, in
     return best
 
 
-def _counts(seeds: Seeds, n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(seeds.hashes), np.int64)
-        for batch, _, _ in slices(batches, "text"):
-            h, first = word_hashes(batch.column(batch.schema.names.index("text")))
-            at, seed = seeds.find(ngrams(h, n))
-            doc = np.searchsorted(first, at, "right") - 1
-            inside = at + n <= first[doc + 1]
-            pairs = np.unique(doc[inside].astype(np.int64) * len(total) + seed[inside]) if len(at) else at
-            total += np.bincount(pairs % max(1, len(total)), minlength=len(total)).astype(np.int64)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["seed", "docs"])
-
-    return run
-
-
 def _marked(seeds: Seeds, ids: list, items: list[np.ndarray], n: int, threshold: float, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, _, _ in slices(batches, "text"):
@@ -132,9 +129,10 @@ def _marked(seeds: Seeds, ids: list, items: list[np.ndarray], n: int, threshold:
             cuts = np.flatnonzero((np.diff(owner) != 0) | (np.diff(item) != 0)) + 1
             for p, d, i in zip(np.split(places, cuts), owner[np.append(0, cuts)] if len(owner) else [], item[np.append(0, cuts)] if len(item) else [], strict=False):
                 text, wanted = h[first[d] : first[d + 1]], items[i]
-                score, where = align(wanted, text, np.unique(p - first[d]))
+                wants = threshold if len(wanted) >= least else 1.0
+                score, where = align(wanted, text, np.unique(p - first[d]), wants * 2 * len(wanted) - 1e-6)
                 share = score / (2 * len(wanted))
-                if share >= (threshold if len(wanted) >= least else 1.0):
+                if share >= wants:
                     found[d].append({"item_id": ids[i], "score": round(share, 6), "word": int(where), "n_words": len(wanted)})
             kind = batch.schema.field("matches").type
             yield pa.RecordBatch.from_arrays([pa.array(found, kind) if c == "matches" else batch.column(c) for c in batch.schema.names], names=batch.schema.names)
@@ -142,20 +140,7 @@ def _marked(seeds: Seeds, ids: list, items: list[np.ndarray], n: int, threshold:
     return run
 
 
-def rare(df: np.ndarray, owners: np.ndarray, docs: int, spare: float) -> np.ndarray:
-    """Which n-grams (document counts, owning items) are seeds."""
-    keep = np.zeros(len(df), bool)
-    order = np.lexsort((df, owners))
-    cuts = np.flatnonzero(np.diff(owners[order])) + 1
-    for part in np.split(order, cuts) if len(order) else []:
-        counts = df[part]
-        ok = counts - counts[0] <= max(1.0, spare * docs)
-        ok |= counts <= counts[(len(part) - 1) // 2]
-        keep[part[ok]] = True
-    return keep
-
-
-def mark(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: float = 0.5, least: int = 8, spare: float = 1e-4, block_bytes: int = 8 << 20) -> DataFrame:
+def mark(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: float = 0.5, least: int = 8, block_bytes: int = 8 << 20) -> DataFrame:
     """All columns of docs, and ``matches``: the benchmark items that each row holds, with score, the word where the alignment ends and the item's words."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
@@ -172,15 +157,8 @@ def mark(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: float = 0
         grams = [ngrams(x, n) for x in held]
         hashes = np.concatenate(grams)
         owners = np.repeat(np.arange(len(rows)), [len(g) for g in grams])
-        everything = Seeds(hashes, owners)
-        text = docs.select(F.col("text").cast("string").alias("text"))
-        counted = text.mapInArrow(_counts(everything, n), "seed long, docs long").groupBy("seed").agg(F.sum("docs").alias("docs")).collect()  # one row for each of the block's n-grams at most
-        df = np.zeros(len(everything.hashes), np.int64)
-        for seed, k in counted:
-            df[seed] = k
-        keep = rare(df[np.searchsorted(everything.hashes, hashes)], owners, text.count(), spare) if len(hashes) else np.zeros(0, bool)
         # through a broadcast, once for each executor
-        shared = spark.sparkContext.broadcast((Seeds(hashes[keep], owners[keep]), [r.item_id for r in rows], held))
+        shared = spark.sparkContext.broadcast((Seeds(hashes, owners), [r.item_id for r in rows], held))
         out = out.mapInArrow(_late(shared, n, threshold, least), schema)
     return out
 

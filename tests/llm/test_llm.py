@@ -146,6 +146,30 @@ def test_decontamination(spark, docs, empty):
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0 and decontam.contaminated(empty, bench).count() == 0
 
 
+def test_decontamination_finds_every_edited_copy(spark):
+    rng = random.Random(8)
+    items = [prose(rng, n, 5000) for n in (40, 40, 42, 40)]
+    leaks = [(0, 5, 2), (1, 7, 50), (2, 6, 1000)]  # item, every so manyth word changed, copies
+    rows, wanted = [], set()
+    for i, every, copies in leaks:
+        edited = " ".join("changed" if k % every == every - 1 else w for k, w in enumerate(items[i].split()))
+        for _ in range(copies):
+            wanted.add((len(rows), i))
+            rows.append((len(rows), f"{prose(rng, 9)} {edited} {prose(rng, 9)}"))
+    common = " ".join(items[3].split()[:4])
+    rows += [(len(rows) + k, f"{prose(rng, 60)} {common} {prose(rng, 60)}") for k in range(300)]  # hits of an item without a leak
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(d, bench).collect()} == wanted
+
+
+def test_alignment_bound():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        a, b = rng.integers(0, 9, rng.integers(1, 20)), rng.integers(0, 9, rng.integers(0, 40))
+        assert decontam.smith_waterman(a, b)[0] <= 2 * decontam.reachable(*np.unique(a, return_counts=True), b)
+
+
 def test_smith_waterman():
     def plain(a, b):
         h = np.zeros((len(a) + 1, len(b) + 1), int)
