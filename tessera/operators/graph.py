@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,23 +33,26 @@ def edges(articles: DataFrame) -> DataFrame:
     return found.unionByName(back).distinct()
 
 
-def impact(links: DataFrame, roots: DataFrame, most: int = 20) -> DataFrame:
+def impact(links: DataFrame, roots: DataFrame) -> DataFrame:
     """root, node, depth: what each root (column root) reaches downstream, at its smallest depth, roots themselves left out.
 
-    A frontier join per level with an anti-join against what has been seen; every level is written out so that lineage stays
-    short and lost executors cost one level.
+    A frontier join per level with an anti-join against what has been seen, until a level is empty; every level is written
+    out so that lineage stays short and lost executors cost one level, and what has been seen is written anew after every
+    sixteenth so that its plan stays short on deep chains.
     """
     from .common import cut
 
     links = links.select("upstream", "downstream").distinct()
     seen = cut(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct())
     frontier = seen
-    for depth in range(1, most + 1):
+    for depth in count(1):
         step = frontier.join(links, frontier.node == links.upstream).select("root", F.col("downstream").alias("node")).distinct()
         frontier = cut(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if depth % 16 == 0:
+            seen = cut(seen)
     return seen.where("depth > 0")
 
 

@@ -212,6 +212,13 @@ def impact_bfs(spark: SparkSession, sf: str) -> DataFrame:
     return graph.impact(e, e.where("upstream LIKE 'doc-%0'").select(F.col("upstream").alias("root")))
 
 
+@query()
+def impact_all(spark: SparkSession, sf: str) -> DataFrame:
+    """impact_bfs from every upstream article, however deep; checked in the tests."""
+    e = edges(spark, sf)
+    return graph.impact(e, e.select(F.col("upstream").alias("root")))
+
+
 @query(f"WITH {EDGE_SQL}, links AS (SELECT article_key, string_split(string_split(link, '|')[1], '#')[1] AS target FROM full_articles WHERE link <> '') SELECT count(*) AS links, count(c.concept_id) AS resolved, count(*) - count(c.concept_id) AS unresolved, count(DISTINCT l.article_key) AS articles FROM links l LEFT JOIN (SELECT DISTINCT concept_id FROM full_articles) c ON target = concept_id")
 def link_totals(spark: SparkSession, sf: str) -> DataFrame:
     a = articles(spark, sf).select("article_key", "concept_id", F.concat(F.lit("t "), "concept_id").alias("title"), F.col("linked").alias("content"))

@@ -12,6 +12,7 @@ from tessera.operators import governance as G
 from tessera.operators import graph
 from tessera.operators import retrieval as R
 from tessera.operators import versioning as X
+from tessera.plans import governance
 from tessera.sources import files, java
 from tessera.streaming import ingest
 
@@ -112,6 +113,43 @@ def test_edges_and_impact(spark):
     assert reached == {"payment-timeout": 1, "retry-policy": 2, "refund-manual-review": 2}
 
 
+def test_impact_has_no_depth_limit(spark):
+    pairs = [(f"n{i:02}", f"n{i + 1:02}") for i in range(22)] + [("n19", "n05"), ("n03", "m1"), ("m1", "n02"), ("x1", "n12")]
+    links = spark.createDataFrame([(a, b, "depends_on") for a, b in pairs], "upstream string, downstream string, relation string")
+    wanted = set()
+    for root in {a for a, _ in pairs}:
+        depth, queue = {root: 0}, [root]
+        for node in queue:
+            for a, b in pairs:
+                if a == node and b not in depth:
+                    depth[b] = depth[node] + 1
+                    queue.append(b)
+        wanted |= {(root, node, d) for node, d in depth.items() if d}
+    found = graph.impact(links, links.selectExpr("upstream AS root")).collect()
+    assert max(d for _, _, d in wanted) > 20 and {tuple(r) for r in found} == wanted and len(found) == len(wanted)
+    article = spark.createDataFrame([("n00", ["p"])], "concept_id string, paths array<string>")
+    kinds = {r.concept_id: r.kind for r in C.incremental_plan(article, article, links).collect()}
+    assert kinds == {"n00": "enhance"} | {node: "propagate" for root, node, _ in wanted if root == "n00"}
+
+
+def test_impact_all_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    down = {}
+    for r in governance.edges(spark, sf).collect():
+        down.setdefault(r.upstream, set()).add(r.downstream)
+    wanted = set()
+    for root in down:
+        depth, queue = {root: 0}, [root]
+        for node in queue:
+            for b in down.get(node, ()):
+                if b not in depth:
+                    depth[b] = depth[node] + 1
+                    queue.append(b)
+        wanted |= {(root, node, d) for node, d in depth.items() if d}
+    found = governance.impact_all(spark, sf).collect()
+    assert {tuple(r) for r in found} == wanted and len(found) == len(wanted)
+
+
 def test_ledger(spark):
     rows = spark.createDataFrame([(0, "k", "s", "5", "times", "c", 0.8, ["ev#1"]), (1, "k", "s", "5", "times", "c", 0.9, ["ev#2", "ev#1"]), (2, "k", "s", "3", "times", "d", 0.7, ["ev#3"]), (3, "z", "s", "1", "", "e", 0.54, ["ev#4"])], "position long, fact_key string, subject string, value_text string, unit string, claim string, confidence double, anchors array<string>")
     merged = E.merge_findings(rows)
