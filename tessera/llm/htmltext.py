@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 DEEP = 400
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-UNSEEN = frozenset("head script style template noscript iframe object canvas audio video svg math datalist noembed noframes title meta link base".split())
+UNSEEN = frozenset("head script style template noscript iframe object canvas audio video datalist noembed noframes title meta link base".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset hr menu".split())
 BLOCK = SPACED | frozenset("html body div section article header footer nav aside main address form li dt dd tr caption details summary figcaption center legend option optgroup thead tbody tfoot td th hgroup search dialog".split())
 CLOSES_P = SPACED | frozenset("div section article header footer nav aside main address form details summary center dialog hgroup search figcaption li dt dd".split())
@@ -46,8 +46,15 @@ IMPLIED = {
 }
 TAG = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|)|[\"'])*+)(?:>|\Z))", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+#: In svg and math: what isn't shown, and what stands apart from its neighbours.
+FOREIGN_UNSEEN = frozenset("desc defs metadata symbol clippath mask pattern marker annotation annotation-xml".split())
+FOREIGN_APART = frozenset("text mtr mtd mfrac".split())
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.S)
+MARK = re.compile(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|([{};])", re.S)
+SHOWS = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([\w-]+)([^;]*)", re.I)
+WIDTH = re.compile(r"\(\s*(min|max)-width\s*:\s*([\d.]+)(px|em|rem)\s*\)")
+#: Pages are read as on a screen of so many pixels' width.
+SCREEN = 1280
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -129,13 +136,13 @@ def parse(page: str) -> tuple[Node, list[str]]:
                 push("tbody", {})
             push("tr", {})
         node = push(tag, attrs)
-        if m[3].rstrip().endswith("/") and tag not in BLOCK and tag in ("svg", "math"):
+        if m[3].rstrip().endswith("/") and tag not in BLOCK and any(n.tag in ("svg", "math") for n in stack):
             stack[-1] is node and stack.pop()
         elif tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             inner = page[at : close.start() if close else len(page)]
             node.children.append(html.unescape(inner) if tag in ("textarea", "title") else inner)
-            if tag == "style":
+            if tag == "style" and on_screen(attrs.get("media", "")):
                 styles.append(inner)
             stack[-1] is node and stack.pop()
             at = close.end() if close else len(page)
@@ -143,19 +150,97 @@ def parse(page: str) -> tuple[Node, list[str]]:
     return root, styles
 
 
-def hidden_selectors(styles: list[str]) -> set[str]:
-    return {s.strip().lower() for sheet in styles for selectors, body in RULE.findall(sheet) if HIDES.search(body) for s in selectors.split(",") if re.fullmatch(r"[.#]?[\w-]+", s.strip())}
-
-
-def visible(node: Node, selectors: set[str]) -> bool:
+def on_screen(media: str) -> bool:
+    """Whether a media query list applies to a wide screen; features other than the width count as absent."""
+
+    def one(query: str) -> bool:
+        first, *rest = (x.strip() for x in re.split(r"\band\b", query))
+        negated = first.startswith("not ")
+        first = re.sub(r"^(?:not|only)\s+", "", first)
+        features = rest if first in ("all", "screen") else [first, *rest]
+        known = [WIDTH.fullmatch(f) for f in features]
+        if not all(known):  # print, speech, or a feature that isn't judged: "not print" applies, "not (feature)" stays undecided
+            return negated and not first.startswith("(") and first not in ("all", "screen")
+        fits = all((SCREEN >= x if m[1] == "min" else SCREEN <= x) for m in known for x in [float(m[2]) * (1 if m[3] == "px" else 16)])
+        return fits != negated
+
+    media = media.strip().lower()
+    return not media or any(one(q.strip()) for q in media.split(","))
+
+
+def rules(sheet: str) -> Iterator[tuple[str, str]]:
+    """Selectors and declarations of the style rules that apply to a screen, in their order; rules nested in others don't count."""
+    sheet = COMMENT.sub(" ", sheet)
+    stack: list[list] = []  # kind, applies, selectors, declarations
+    at = 0
+    marks = [(m.start(), m[1]) for m in MARK.finditer(sheet) if m[1]]
+    for i, mark in [*marks, *[(len(sheet), "}")] * len(marks)]:
+        kind, applies = stack[-1][:2] if stack else ("group", True)
+        if mark == "{":
+            before, _, prelude = sheet[at:i].rpartition(";")
+            if kind == "style":
+                stack[-1][3] += before + ";"
+            prelude = prelude.strip()
+            name = re.match(r"@([\w-]+)", prelude)
+            if kind != "group":
+                stack.append(["other", False, "", ""])
+            elif not name:
+                stack.append(["style", applies, prelude, ""])
+            else:
+                rest, word = prelude[name.end() :].strip(), name[1].lower()
+                met = on_screen(rest) if word == "media" else word == "layer" or word == "supports" and not rest.lower().startswith("not")
+                stack.append(["group" if word in ("media", "supports", "layer") else "other", applies and met, "", ""])
+            at = i + 1
+        elif mark == "}":
+            if stack:
+                kind, applies, selectors, held = stack.pop()
+                if kind == "style" and applies:
+                    yield selectors, held + sheet[at:i]
+            at = min(i + 1, len(sheet))
+        elif kind == "group":
+            at = i + 1
+
+
+def shows(body: str) -> Iterator[tuple[str, bool, bool]]:
+    """Property, whether it is marked important and whether it hides, of the declarations that bear on visibility."""
+    for name, value, rest in SHOWS.findall(body):
+        name, value = name.lower(), value.lower()
+        yield name, "!important" in re.sub(r"\s", "", rest.lower()), value == "none" if name == "display" else value in ("hidden", "collapse")
+
+
+def hidden_selectors(styles: list[str]) -> dict[str, dict[str, tuple]]:
+    """Of each plain selector that some rule hides or shows, by property: importance, specificity, place of the rule that wins, and whether it hides."""
+    found: dict[str, dict[str, tuple]] = {}
+    place = 0
+    for sheet in styles:
+        for selectors, body in rules(sheet):
+            for name, important, hides in shows(body):
+                place += 1
+                for s in selectors.split(","):
+                    s = s.strip().lower()
+                    if re.fullmatch(r"[.#]?[\w-]+", s):
+                        held = found.setdefault(s, {})
+                        held[name] = max(held.get(name, (False, 0, 0, False)), (important, {".": 1, "#": 2}.get(s[0], 0), place, hides))
+    return found if any(w[3] for held in found.values() for w in held.values()) else {}
+
+
+def visible(node: Node, selectors: dict[str, dict[str, tuple]]) -> bool:
     a = node.attrs
     if node.tag in UNSEEN:
         return False
     if not a and not selectors:
         return True
-    if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or HIDES.search(a.get("style", "")) or node.tag == "input" and a.get("type", "").lower() == "hidden":
+    if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or node.tag == "input" and a.get("type", "").lower() == "hidden":
         return False
-    return not (selectors and (node.tag in selectors or f"#{a.get('id', '').lower()}" in selectors or any(f".{c.lower()}" in selectors for c in a.get("class", "").split())))
+    wins: dict[str, tuple] = {}
+    if selectors:
+        for s in [node.tag, f"#{a.get('id', '').lower()}", *(f".{c.lower()}" for c in a.get("class", "").split())]:
+            for name, rule in selectors.get(s, {}).items():
+                wins[name] = max(wins.get(name, rule), rule)
+    for place, (name, important, hides) in enumerate(shows(a.get("style", ""))):
+        rule = (important, 3, place, hides)
+        wins[name] = max(wins.get(name, rule), rule)
+    return not any(rule[3] for rule in wins.values())
 
 
 class Page:
@@ -202,7 +287,7 @@ class Page:
         return "\n".join(self.lines)
 
 
-def cells(table: Node, selectors: set[str], tables: int) -> Iterator[list[tuple[str, int]]]:
+def cells(table: Node, selectors: dict[str, dict[str, tuple]], tables: int) -> Iterator[list[tuple[str, int]]]:
     """The rows of a table: each cell's text and the columns it spans; what is no row stands alone."""
     loose: list = []
     for part in [x for child in table.children for x in (child.children if isinstance(child, Node) and child.tag in ("thead", "tbody", "tfoot") and visible(child, selectors) else [child])]:
@@ -254,12 +339,14 @@ def aligned(rows: list[list[tuple[str, int]]]) -> Iterator[str]:
             yield " | ".join(line).rstrip()
 
 
-def render(root: Node, selectors: set[str], tables: int = 0) -> str:
+def render(root: Node, selectors: dict[str, dict[str, tuple]], tables: int = 0) -> str:
     page = Page()
     todo: list[tuple] = [("open", root, {"pre": False})]
     while todo:
         what, node, state = todo.pop()
         if what == "close":
+            if state.get("foreign") and node.tag in FOREIGN_APART:
+                page.inline(" ")
             spaced = node.tag in SPACED and not (node.tag in ("ul", "ol", "menu") and state.get("list"))
             if node.tag in BLOCK:
                 page.stop(spaced)
@@ -278,7 +365,7 @@ def render(root: Node, selectors: set[str], tables: int = 0) -> str:
             else:
                 page.inline(node)
             continue
-        if not visible(node, selectors):
+        if not visible(node, selectors) or state.get("foreign") and node.tag in FOREIGN_UNSEEN:
             continue
         if node.tag == "br":
             page.put("".join(page.line)) if page.line else page.put("")
@@ -311,7 +398,13 @@ def render(root: Node, selectors: set[str], tables: int = 0) -> str:
             page.marks.append(mark)
         elif node.tag in ("pre", "textarea"):
             inner = state | {"pre": True}
+        elif node.tag in ("svg", "math"):
+            inner = state | {"foreign": True}
         children = node.children
+        if state.get("foreign") and node.tag in FOREIGN_APART:
+            page.inline(" ")
+            if node.tag == "mfrac":
+                children = [x for c in children for x in (c, " ")]
         if node.tag == "details" and "open" not in node.attrs:
             children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
         todo.append(("close", node, inner if node.tag in ("li", "dd") else state))

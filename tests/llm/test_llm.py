@@ -199,6 +199,21 @@ def test_html(page, text):
     assert htmltext.to_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<style>@media print{.nav{display:none}}</style><p class=nav>x", "x"), ("<style>@media (max-width:600px){.menu{display:none}}</style><p class=menu>x", "x"), ("<style media=print>p{display:none}</style><p>x", "x"),
+        ("<style>@media screen and (min-width: 40em){.a{display:none}} .b{color:red}</style><p class=a>no</p><p class=b>x", "x"), ("<style>@media not print{.a{display:none}}</style><p class=a>no</p>x", "x"),
+        ("<style>@media print{.a{color:red}} .a{display:none}</style><p class=a>no</p>x", "x"), ("<style>/* .a{display:none} */ @import 'y;{'; @supports (display:grid){.b{display:none}}</style><p class=a>x</p><p class=b>no", "x"),
+        ("<style>.x{display:none} p{color:red} .x{display:block}</style><p class=x>x", "x"), ("<style>.x{display:block} .x{display:none}</style><p class=x>no</p>x", "x"), ("<style>.x{display:none!important} .x{display:block}</style><p class=x>no</p>x", "x"),
+        ("<style>#i{display:none} .x{display:block}</style><p class=x id=i>no</p>x", "x"), ("<style>.x{display:none}</style><p class=x style='display:block'>x", "x"), ("<style>.x{display:none</style><p class=x>no</p>x", "x"),
+        ("a <svg><title>t</title><defs><text>no</text></defs><path d='M0'/><text>b</text><text>c</text></svg> d", "a b c d"), ("<p>so <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>no</annotation></math>.", "so x= 1 2 ."),
+    ],
+)
+def test_html_screen_rules_and_foreign_text(page, text):
+    assert htmltext.to_text(page) == text
+
+
 def test_html_odd_pages(spark):
     assert "deep" in htmltext.to_text("<div>" * 5000 + "deep")
     assert htmltext.to_text("<table>" * 60 + "x") == "x" and isinstance(htmltext.to_text("<" * 2000 + "='" * 500), str)
