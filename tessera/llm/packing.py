@@ -120,12 +120,11 @@ def _packed(vocabulary: str, ranks: str | None, end: int, size: int):
     return run
 
 
-def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, end: int = 2, size: int = 1024, nearly: float = 0.985, fan_in: int = 16, carry: int = 100_000) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, end: int = 2, size: int = 1024, nearly: float = 0.985, fan_in: int = 16) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document.
 
     ``ranks`` optionally names the same vocabulary as a rank file, for the shorter way. ``nearly``: bins filled to this
-    share are final. ``carry``: of the underfull bins of a group in a round, so many at most go up, emptiest first; the others are final as
-    they are, which bounds a task's memory and costs only density.
+    share are final; all others go up.
     """
     placed = cut(documents_of(docs).mapInArrow(_packed(vocabulary, ranks, end, size), PIECES))
     full = int(size * nearly)
@@ -135,7 +134,6 @@ def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, end: int =
 
     def again(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["fill", "bin"], ascending=[True, True], ignore_index=True)
-        frame = frame.iloc[:carry]
         bins, offsets, fills = best_fit(frame["fill"].to_numpy(np.int64), size)
         home = np.zeros(len(fills), np.int64)
         first = offsets == 0

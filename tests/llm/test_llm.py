@@ -379,6 +379,13 @@ def test_packing(spark, texts, docs, empty):
     assert packing.pack(empty, queries.VOCABULARY, queries.RANKS).count() == 0
 
 
+def test_packing_merges_every_underfull_bin(spark):
+    many = spark.range(0, 100_000, 1, 1).selectExpr("id AS doc_id", "'a a a a' AS text")  # 5 of 8 tokens
+    docs = many.union(spark.range(100_000, 100_001, 1, 1).selectExpr("id", "'a a a a a'")).coalesce(1).union(spark.range(100_001, 100_003, 1, 2).selectExpr("id", "'a'"))
+    found = packing.pack(docs, queries.VOCABULARY, queries.RANKS, size=8).where("doc_id >= 100000").collect()
+    assert sorted(r.length for r in found) == [2, 2, 6] and len({r.sequence_id for r in found}) == 2  # a piece of 2 fills the sequence of 6
+
+
 def test_best_fit():
     bins, offsets, fills = packing.best_fit(np.array([5, 7, 3, 5, 10]), 10)
     assert fills.tolist() == [10, 10, 10] and (fills <= 10).all() and sorted(zip(bins.tolist(), offsets.tolist(), strict=True)) == [(0, 0), (1, 0), (1, 7), (2, 0), (2, 5)]
