@@ -1,27 +1,28 @@
 """N-gram Jaccard join with a count-vector R-tree.
 
-A document's set is its distinct word shingles as 64-bit hashes. Documents with equal sets are one set. Two sets that
-reach the threshold share one of their first ``n - ceil(0.8 n) + 1`` shingles in any order common to all; the order here
-puts shingles that a count sketch of the whole corpus finds frequent last, so boilerplate makes no large buckets. Sets
-that share such a key are candidates.
-
-Within a bucket of candidates, shingles are hashed into ``GROUPS`` groups; a set's counts per group are a point of an
-R-tree. Summed minima of two points (or of a point and a node's upper corner) bound the overlap, and with it prune nodes
-and pairs; pairs that survive and aren't linked already are verified on the sets themselves.
-
-* First join: buckets of each set's first ``FIRST`` keys, with the sets at hand; every pair is decided there, and a
-  bucket gives a spanning forest of its links, never all pairs. The sets travel as 32-bit tokens; pairs so near the
-  threshold that this could matter are verified later on all bits.
-* Second join: the remaining keys, with the points alone, only where sets of different components meet; pairs that
-  the first join has decided are skipped, those the bounds leave meet finer points (groups in proportion to the set) and,
-  if these bounds leave them too, are verified in a join with the sets.
-
-Together they decide every pair that can reach the threshold, so components are exact. What is broadcast (a sketch, four
-bitmaps) has a fixed size whatever the input. Buckets of more than ``LARGE`` sets are dealt by size class, each set to
-its own and the next.
+A document's set is its distinct word shingles as 64-bit hashes; documents with equal sets are one set, named by its
+smallest doc_id. A set of more than ``PART`` shingles is cut by hash into parts of about 128 to 256; if two sets reach
+the threshold, some part of them does (the whole ratio is a mean of the parts' ratios), and there the two share one of
+the first ``m - ceil(0.8 m) + 1`` shingles in any order common to all. The order here puts shingles that a count sketch
+of the whole corpus finds frequent last, so boilerplate makes no large buckets. Shingles of a part are hashed into
+``GROUPS`` groups; the counts per group are its point. Summed minima of two points bound the overlap.
+
+* Near sets: the parts that share such a key meet as points in an R-tree, whose nodes' upper corners and then the points
+  themselves prune what can't reach the threshold. What is left connects *near* sets; a bucket gives a spanning forest
+  of them, never pairs. The first ``FIRST`` keys come first; all others follow only where different groups of near sets
+  meet. Every link lies within a group of near sets.
+* Links: the sets of each group meet once, whole, in an R-tree with finer points; pairs that survive and aren't linked
+  already are verified on all bits. A group gives a spanning forest of its links.
+
+Buckets of more than ``LARGE`` parts and groups of more than ``BLOCK`` sets (or ``BLOCK_SHINGLES`` shingles) are split by
+hash. What the splits leave apart is compared in a second pass, in which all but the commonest component of a bucket or
+group visit every split; only where thousands of sets are near each other without being linked does this grow with the
+square of their number, in blocks of bounded memory. Components are exact. What is broadcast (a sketch, bitmaps) has a
+fixed size whatever the input.
 
 Null texts are empty; sets without shingles link with nothing; rows with a null doc_id get a null component and link
-with nothing; rows that repeat a doc_id are one node. Other columns are ignored; empty tables give no rows.
+with nothing; rows that repeat a doc_id are one node, with the shingles of each row's own text. Very long texts are sets
+of many parts. Other columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +30,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,9 +39,12 @@ from .components import components
 
 GAP = np.zeros(256, bool)
 GAP[[32, 9, 10, 11, 12, 13]] = True
-GROUPS = 64
+GROUPS = 128
+PART = 256
 FIRST = 5
 LARGE = 8192
+BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
+LEAF = 16
 SKETCH = 18  # 2**SKETCH counters
 
 
@@ -50,13 +53,13 @@ def least_overlap(total: np.ndarray | int, percent: int):
     return -(-percent * total // (100 + percent))
 
 
-def shingle_sets(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
+def shingle_sets(rows: int, data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
     data = LOWER[data]
     starts, ends, first = words(data, offsets, GAP)
     h = span_hashes(prefix_sums(data), starts, ends)
     grams = ngrams(h, n)
     out = []
-    for i in range(batch.num_rows):
+    for i in range(rows):
         a, b = first[i], first[i + 1]
         if b - a >= n:
             out.append(np.unique(grams[a : b - n + 1]))
@@ -71,7 +74,7 @@ def set_ids(s: np.ndarray) -> tuple[int, int]:
     """Two independent 64-bit hashes of a set."""
     one = mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(len(s))
     two = mix(s * np.uint64(0x2545F4914F6CDD1D) + np.uint64(9)).sum(dtype=np.uint64)
-    return int(mix(np.array([one], np.uint64)).view(np.int64)[0]), int(mix(np.array([two], np.uint64)).view(np.int64)[0])
+    return tuple(mix(np.array([one, two], np.uint64)).view(np.int64).tolist())
 
 
 class Order:
@@ -82,84 +85,152 @@ class Order:
         self.level = np.clip(np.ceil(np.log2(np.maximum(ratio, 1))), 0, 7).astype(np.uint64)
 
     def keys(self, s: np.ndarray) -> np.ndarray:
-        return np.sort((self.level[s >> np.uint64(64 - SKETCH)] << np.uint64(60)) | (s >> np.uint64(4)))
+        return (self.level[s >> np.uint64(64 - SKETCH)] << np.uint64(60)) | (s >> np.uint64(4))
 
 
-def points(s: list[np.ndarray]) -> np.ndarray:
-    """Counts per group, at most 255 (which then bounds nothing)."""
-    out = np.zeros((len(s), GROUPS), np.uint8)
-    for i, x in enumerate(s):
-        out[i] = np.minimum(np.bincount(x.astype(np.int64) % GROUPS, minlength=GROUPS), 255)
-    return out
-
-
-def fine_point(x: np.ndarray) -> np.ndarray:
-    """Counts in so many more groups (a power of two) that each holds about two shingles, at most 255."""
-    n = 1 << max(6, int(len(x) // 2).bit_length())
-    return np.minimum(np.bincount((x >> np.uint64(20)).astype(np.int64) & (n - 1), minlength=n), 255).astype(np.uint8)
+def cuts_of(n: int, percent: int) -> list[int]:
+    """Numbers of parts (powers of two) at which a set of n shingles meets others: by its own size and by the largest that can link with it."""
+    by = lambda size: max(0, (size - 1) // PART).bit_length()
+    return [1 << k for k in range(by(n), by(100 * n // percent) + 1)]
 
 
-def fine_bound(a: np.ndarray, b: np.ndarray) -> int:
-    """The summed minima of two fine points; the finer one is folded to the other's groups."""
-    a, b = (a, b) if len(a) <= len(b) else (b, a)
-    a, b = a.astype(np.int64), b.astype(np.int64)
-    a[a == 255] = b[b == 255] = 1 << 30
-    return int(np.minimum(a, b.reshape(-1, len(a)).sum(0)).sum())
+def counted(x: np.ndarray, groups: int) -> np.ndarray:
+    """Counts per group, at most 255 (which then bounds nothing)."""
+    return np.minimum(np.bincount((x >> np.uint64(20)).astype(np.int64) & (groups - 1), minlength=groups), 255).astype(np.uint8)
+
+
+def parts_of(s: np.ndarray, order: Order, percent: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For each part of a set: the number of parts, its size, its keys in order, its point."""
+    k = order.keys(s)
+    for level in cuts_of(len(s), percent):
+        part = (s & np.uint64(level - 1)).astype(np.int64)
+        at = np.lexsort((k, part)) if level > 1 else np.argsort(k)
+        keys = mix(k[at] ^ np.uint64(0x9E3779B97F4A7C15 * level & (1 << 64) - 1))
+        low = 0
+        for size in np.bincount(part, minlength=level).tolist():
+            if size:
+                mine = at[low : low + size]
+                yield level, size, keys[low : low + size - -(-percent * size // 100) + 1], counted(s[mine], GROUPS)
+                low += size
+
+
+def bounds(rows: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Summed minima of points (or upper corners) and a point, or of points pair by pair."""
+    least = np.minimum(rows, p)
+    out = least.sum(1, dtype=np.int64)
+    full = (least == 255).any(1)
+    out[full] = 1 << 40
+    return out
 
 
 class Tree:
-    """An R-tree packed in order of set size: upper corners of leaves of 16 points and of nodes of 16 leaves."""
+    """An R-tree packed in order of size: upper corners of leaves of LEAF points and of nodes of LEAF leaves."""
 
     def __init__(self, p: np.ndarray, n: np.ndarray):
-        self.p, self.n = p.astype(np.int64), n
-        self.p[p == 255] = 1 << 30
-        cuts = np.arange(0, len(n), 16)
-        self.leaf = np.maximum.reduceat(self.p, cuts)
-        self.low, self.high = n[cuts], np.maximum.reduceat(n, cuts)
-        self.node = np.maximum.reduceat(self.leaf, np.arange(0, len(cuts), 16))
-
-    def candidates(self, i: int, percent: int) -> np.ndarray:
-        """Points after i (in order of size) whose overlap with it may reach the threshold."""
+        self.p, self.n = p, n
+        cuts = np.arange(0, len(n), LEAF)
+        self.leaf, self.low = np.maximum.reduceat(p, cuts), n[cuts]
+        self.node = np.maximum.reduceat(self.leaf, np.arange(0, len(cuts), LEAF))
+
+    def candidates(self, i: int, percent: int, apart: np.ndarray | None = None) -> np.ndarray:
+        """Points after i (in order of size) whose overlap with it may reach the threshold; of those that ``apart`` marks."""
         p, n = self.p[i], int(self.n[i])
         end = int(np.searchsorted(self.n, 100 * n // percent, "right"))
-        first, last = (i + 1) // 16, -(-end // 16)
-        if first >= last:
-            return np.zeros(0, np.int64)
-        nodes = np.arange(first // 16, -(-last // 16))
-        ok = np.minimum(self.node[nodes], p).sum(1) >= least_overlap(2 * n, percent)
-        leaves = (nodes[ok][:, None] * 16 + np.arange(16)).ravel()
-        leaves = leaves[(leaves >= first) & (leaves < last)]
-        ok = np.minimum(self.leaf[leaves], p).sum(1) >= least_overlap(n + np.maximum(self.low[leaves], n), percent)
-        at = (leaves[ok][:, None] * 16 + np.arange(16)).ravel()
-        at = at[(at > i) & (at < end)]
-        bound = np.minimum(np.minimum(self.p[at], p).sum(1), n)
-        return at[bound >= least_overlap(n + self.n[at], percent)]
-
-
-#: Tokens of 32 bits travel to the first join; a count of them may be off by a few, so pairs this near the threshold are verified again on all bits.
-MARGIN = 2
-
-
-def linked(s: list[np.ndarray], size: np.ndarray, percent: int) -> list[tuple[int, int, bool]]:
-    """A spanning forest of the links among the sets (sorted 32-bit tokens, true sizes), and the pairs too near the threshold to tell: (a, b, sure)."""
-
-    def judge(shared, total):
-        over = lambda k: (shared + k > 0) & (100 * (shared + k) >= percent * (total - shared - k))
-        return over(-MARGIN), over(MARGIN)
-
-    if len(s) == 2:
-        sure, maybe = judge(len(np.intersect1d(s[0], s[1])), int(size.sum()))
-        return [(0, 1, bool(sure))] if maybe else []
+        wanted = np.arange(i + 1, end)
+        if apart is not None:
+            wanted = wanted[apart[i + 1 : end]]
+        if not len(wanted):
+            return wanted
+        leaves = np.unique(wanted // LEAF)
+        nodes = np.unique(leaves // LEAF)
+        ok = bounds(self.node[nodes], p) >= least_overlap(2 * n, percent)
+        leaves = leaves[np.isin(leaves // LEAF, nodes[ok])]
+        leaves = leaves[bounds(self.leaf[leaves], p) >= least_overlap(n + np.maximum(self.low[leaves], n), percent)]
+        kept = np.zeros(end // LEAF + 1, bool)
+        kept[leaves] = True
+        wanted = wanted[kept[wanted // LEAF]]
+        return wanted[bounds(self.p[wanted], p) >= least_overlap(n + self.n[wanted], percent)]
+
+
+def joined(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest node that each of n nodes reaches by the links a-b."""
+    lab = np.arange(n)
+    while True:
+        m = np.minimum(lab[a], lab[b])
+        new = lab.copy()
+        np.minimum.at(new, a, m)
+        np.minimum.at(new, b, m)
+        np.minimum.at(new, lab[a], m)
+        np.minimum.at(new, lab[b], m)
+        new = new[new]
+        if (new == lab).all():
+            return lab
+        lab = new
+
+
+def near(bucket: np.ndarray, comp: np.ndarray, n: np.ndarray, m: np.ndarray, place: np.ndarray, point: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (of component names) of what may reach the threshold within runs of equal ``bucket``. n: sizes of the sets, m: of the parts that meet, place: of the key in the part."""
+    cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    length = np.diff(np.append(cuts, len(bucket)))
+    names, c = np.unique(comp, return_inverse=True)
+
+    def may(i, j):
+        wanted = least_overlap(m[i] + m[j], percent)
+        most = np.minimum(m[i] - place[i], m[j] - place[j]) + np.minimum(place[i], place[j])
+        return (c[i] != c[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (most >= wanted), wanted
+
+    left, right = [], []
+    small = np.repeat(length <= LEAF, length)
+    for d in range(1, min(LEAF, int(length.max(initial=1)))):  # one leaf: all of it against each other, all such buckets at once
+        i = np.flatnonzero(small[:-d] & (bucket[d:] == bucket[:-d]))
+        ok, wanted = may(i, i + d)
+        i, wanted = i[ok], wanted[ok]
+        for at in range(0, len(i), 1 << 16):
+            x = i[at : at + (1 << 16)]
+            x = x[bounds(point[x], point[x + d]) >= wanted[at : at + (1 << 16)]]
+            left.append(c[x])
+            right.append(c[x + d])
+    for at, k in zip(cuts[length > LEAF], length[length > LEAF], strict=True):
+        own, root = np.unique(c[at : at + k], return_inverse=True)
+        if len(own) == 1:
+            continue
+        by = np.argsort(m[at : at + k], kind="stable")
+        tree, root, first = Tree(point[at : at + k][by], m[at : at + k][by]), root[by], at + by
+        for i in range(k - 1):
+            js = tree.candidates(i, percent, root != root[i])
+            js = js[may(first[i], first[js])[0]]
+            if len(js):
+                gone = np.unique(root[js])
+                left.append(np.full(len(gone), c[first[i]]))
+                right.append(np.array([c[first[j]] for j in js[np.unique(root[js], return_index=True)[1]]]))
+                root[np.isin(root, gone)] = root[i]
+                if (root == root[0]).all():
+                    break
+    if not left:
+        return names[:0], names[:0]
+    lab = joined(np.concatenate(left), np.concatenate(right), len(names))
+    moved = np.flatnonzero(lab != np.arange(len(names)))
+    return names[lab[moved]], names[moved]
+
+
+def linked(s: list[np.ndarray], percent: int, root: np.ndarray | None = None, guest: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among the sets (sorted 64-bit shingles). ``root``: components known before; ``guest``: pairs without one of these are decided."""
+    size = np.array([len(x) for x in s])
     order = np.argsort(size, kind="stable")
     s, size = [s[i] for i in order], size[order]
-    tree = Tree(points(s), size)
+    root = np.arange(len(s)) if root is None else np.unique(root, return_inverse=True)[1][order]
+    guest = None if guest is None else guest[order]
+    groups = min(512, max(64, 1 << int(np.median(size) // 2).bit_length()))
+    tree = Tree(np.stack([counted(x, groups) for x in s]), size)
     tokens, ids = np.unique(np.concatenate(s), return_inverse=True)
     ends = np.cumsum(size)
     starts = ends - size
-    mine, root, out = np.zeros(len(tokens), np.int32), np.arange(len(s)), []
-    for i in range(len(s)):
-        at = tree.candidates(i, percent)
-        at = at[root[at] != root[i]]
+    mine, out = np.zeros(len(tokens), np.int32), []
+    for i in range(len(s) - 1):
+        apart = root != root[i]
+        if guest is not None and not guest[i]:
+            apart &= guest
+        at = tree.candidates(i, percent, apart)
         if not len(at):
             continue
         mine[ids[starts[i] : ends[i]]] = 1
@@ -168,12 +239,11 @@ def linked(s: list[np.ndarray], size: np.ndarray, percent: int) -> list[tuple[in
         else:
             shared = np.array([mine[ids[starts[j] : ends[j]]].sum() for j in at])
         mine[ids[starts[i] : ends[i]]] = 0
-        sure, maybe = judge(shared, size[i] + size[at])
-        for j in at[sure]:
-            if root[j] != root[i]:
-                out.append((int(order[i]), int(order[j]), True))
-                root[root == root[j]] = root[i]
-        out.extend((int(order[i]), int(order[j]), False) for j in at[maybe & ~sure] if root[j] != root[i])
+        at = at[shared >= least_overlap(size[i] + size[at], percent)]
+        gone, which = np.unique(root[at], return_index=True)
+        out.extend((int(order[i]), int(order[j])) for j in at[which])
+        if len(gone):
+            root[np.isin(root, gone)] = root[i]
     return out
 
 
@@ -184,7 +254,7 @@ def groups(batches: Iterator[pa.RecordBatch], by: int = 2) -> Iterator[pa.Record
     def same(a: pa.RecordBatch, i: int, b: pa.RecordBatch, j: int) -> bool:
         return all(a.column(k)[i] == b.column(k)[j] for k in range(by))
 
-    def joined() -> pa.RecordBatch:
+    def whole() -> pa.RecordBatch:
         return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
     for batch in batches:
@@ -198,16 +268,43 @@ def groups(batches: Iterator[pa.RecordBatch], by: int = 2) -> Iterator[pa.Record
         for a, b in zip(cuts, cuts[1:], strict=False):
             part = batch.slice(a, b - a)
             if held and not (a == 0 and same(held[-1], held[-1].num_rows - 1, part, 0)):
-                yield joined()
+                yield whole()
                 held = []
             held.append(part)
     if held:
-        yield joined()
+        yield whole()
+
+
+def binary_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column without nulls, and its n+1 offsets from 0."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return data[ends[0] : ends[-1]], ends - ends[0]
+
 
+def points_column(p: np.ndarray) -> pa.Array:
+    offsets = np.arange(len(p) + 1, dtype=np.int32) * p.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(p), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(p))])
 
-def size_classes(n: int) -> tuple[int, int]:
-    c = int(np.log(max(1, n)) / np.log(1.25))
-    return c, c + 1
+
+PLACED = "key long, split int, home long, n long, m int, place int, comp long, point binary"
+
+
+def _sketch(rows: DataFrame) -> np.ndarray:
+    """The sum of the tasks' counters; a part of them at a time, streamed."""
+
+    def added(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums[part] = sums.get(part, 0) + np.frombuffer(counts.as_buffer(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "counts"])
+
+    kind = "part int, counts binary"
+    found = rows.where("part is not null").select("part", "counts").mapInArrow(added, kind).repartition("part").mapInArrow(added, kind).orderBy("part").collect()  # 64 parts of a fixed size
+    return np.concatenate([np.frombuffer(r.counts, np.int64) for r in found]) if found else np.zeros(1 << SKETCH)
 
 
 def cluster(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -215,220 +312,224 @@ def cluster(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     text = documents_of(docs)
 
-    def sketched(batches):
-        counts = np.zeros(1 << SKETCH, np.int64)
-        for batch, data, offsets in slices(batches, "text"):
-            for s in shingle_sets(batch, data, offsets, n):
-                counts += np.bincount((s >> np.uint64(64 - SKETCH)).astype(np.int64), minlength=1 << SKETCH) if len(s) > 50_000 else 0
-                if len(s) <= 50_000:
-                    np.add.at(counts, (s >> np.uint64(64 - SKETCH)).astype(np.int64), 1)
-        for k in range(64):
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([counts.reshape(64, -1)[k].astype(np.int32).tobytes()], pa.binary())], names=["part", "counts"])
-
-    def summed(frame: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in frame["counts"])
-        return pd.DataFrame({"part": [frame["part"].iloc[0]], "counts": [total.tobytes()]})
-
     def described(batches):
+        """A row for each document, and at last the task's counters of shingles."""
+        names = ["doc_id", "n", "set", "set2", "part", "counts"]
+        counts = np.zeros(1 << SKETCH, np.int64)
         for batch, data, offsets in slices(batches, "text"):
-            sets = shingle_sets(batch, data, offsets, n)
+            sets = shingle_sets(batch.num_rows, data, offsets, n)
             ids = [set_ids(s) if len(s) else (0, 0) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in ids], pa.int64()), pa.array([b for _, b in ids], pa.int64())], names=["doc_id", "n", "set", "set2"])
-
-    parts = text.mapInArrow(sketched, "part long, counts binary").groupBy("part").applyInPandas(summed, "part long, counts binary").orderBy("part").collect()  # 64 parts of a fixed size
-    counts = np.concatenate([np.frombuffer(r.counts, np.int64) for r in parts]) if parts else np.zeros(1 << SKETCH)
-    order = sc.broadcast(Order(counts))
-    rows = cut(text.mapInArrow(described, "doc_id long, n long, set long, set2 long"))
+            slot = (np.concatenate(sets) >> np.uint64(64 - SKETCH)).astype(np.int64)
+            counts += np.bincount(slot, minlength=1 << SKETCH)
+            k = batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in ids], pa.int64()), pa.array([b for _, b in ids], pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
+        if counts.any():
+            none = pa.nulls(64, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(64), pa.int32()), pa.array([x.tobytes() for x in counts.reshape(64, -1)], pa.binary())], names=names)
+
+    first_pass = cut(text.mapInArrow(described, "doc_id long, n long, set long, set2 long, part int, counts binary"))
+    rows = first_pass.where("part is null").drop("part", "counts")
+    order = sc.broadcast(Order(_sketch(first_pass)))
+    named = rows.where("doc_id is not null and n > 0")
+    homes = cut(named.groupBy("set", "set2", "n").agg(F.min("doc_id").alias("home")))
+    is_home = sc.broadcast(bitmap_of(homes, "home"))
     known = text.where("doc_id is not null")
 
-    def each(batches):
-        """A set and its keys, once in each task."""
-        seen: set[int] = set()
-        for batch, data, offsets in slices(batches, "text"):
-            for s in shingle_sets(batch, data, offsets, n):
-                if len(s):
-                    one, _ = set_ids(s)
-                    if one not in seen:
-                        seen.add(one)
-                        yield one, s, order.value.keys(s)[: len(s) - -(-percent * len(s) // 100) + 1]
-
-    def chunks(found: Iterator[tuple], names: list[str], most: int = 1 << 16):
-        """Batches from tuples of equally long arrays."""
-        held, rows_ = [], 0
-        for x in found:
-            held.append(x)
-            rows_ += len(x[0])
-            if rows_ >= most:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
-                held, rows_ = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
+    def held_by(bits):
+        """Only documents whose doc_id the bitmap has."""
 
-    def all_keys(batches):
-        yield from chunks(((k.view(np.int64), np.full(len(k), one)) for one, _, k in each(batches)), ["key", "set"])
+        def run(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(in_bitmap(bits.value, batch.column(0).to_numpy().view(np.uint64))))
 
-    shared = cut(known.mapInArrow(all_keys, "key long, set long").groupBy("key").agg(F.min("set").alias("low"), F.max("set").alias("high"), F.count("*").alias("times")).where("low != high").select("key", "times"))
-    live = sc.broadcast(bitmap_of(shared, "key"))
-    large = sc.broadcast(bitmap_of(shared.where(F.col("times") > LARGE), "key"))
-
-    def dealt(keys: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
-        hot = in_bitmap(large.value, keys)
-        for k, h in zip(keys.view(np.int64).tolist(), hot.tolist(), strict=True):
-            for c in size_classes(size) if h else (0,):
-                yield k, c
-
-    def with_sets(batches):
-        names, held, size = ["key", "class", "set", "n", "tokens"], [], 0
-        kinds = pa.schema([("key", pa.int64()), ("class", pa.int32()), ("set", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())])
-        for one, s, keys in each(batches):
-            first = keys[:FIRST]
-            tokens = (s >> np.uint64(32)).astype(np.uint32).tobytes()
-            for k, c in dealt(first[in_bitmap(live.value, first)], len(s)):
-                held.append((k, c, one, len(s), tokens))
-                size += len(tokens)
+        return run
+
+    def pointed(batches):
+        """A row for each part of each set."""
+        kinds = pa.schema([("home", pa.int64()), ("set", pa.int64()), ("set2", pa.int64()), ("n", pa.int64()), ("level", pa.int32()), ("m", pa.int32()), ("keys", pa.binary()), ("point", pa.binary())])
+        seen: set[tuple] = set()
+        held, size = [], 0
+        for batch, data, offsets in slices(held_by(is_home)(batches), "text"):
+            for home, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.num_rows, data, offsets, n), strict=True):
+                ids = set_ids(s) if len(s) else None
+                if ids is None or (home, *ids) in seen:
+                    continue
+                seen.add((home, *ids))
+                for level, m, keys, point in parts_of(s, order.value, percent):
+                    held.append((home, *ids, len(s), level, m, keys.tobytes(), point.tobytes()))
+                    size += len(keys) * 8 + GROUPS
+            if len(seen) > 100_000:  # repeated rows stand close together or cost a row more
+                seen.clear()
             if size > 4 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), kinds, strict=True)], schema=kinds)
                 held, size = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
-
-    def forest(batches):
-        out = []
-        for group in groups(batches):
-            ids, at = np.unique(group.column(2).to_numpy(), return_index=True)
-            if len(ids) > 1:
-                s = [np.frombuffer(group.column(4)[int(i)].as_buffer(), np.uint32) for i in at]
-                out.extend((min(ids[i], ids[j]), max(ids[i], ids[j]), sure) for i, j, sure in linked(s, group.column(3).to_numpy()[at], percent))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.bool_())], names=["a", "b", "sure"])
-
-    bucketed = known.mapInArrow(with_sets, "key long, class int, set long, n long, tokens binary").repartition("key", "class").sortWithinPartitions("key", "class")
-    decided = cut(bucketed.mapInArrow(forest, "a long, b long, sure boolean").distinct())
-    links, unsure = decided.where("sure").select("a", "b"), decided.where("NOT sure").select("a", "b")
-    comps = cut(components(links))
-
-    def with_points(batches):
-        """One row for each set: its point, its first keys, and its live keys with their places."""
-        names, held = ["set", "n", "first", "point", "keys", "places"], []
-        kinds = pa.schema([("set", pa.int64()), ("n", pa.int64()), ("first", pa.binary()), ("point", pa.binary()), ("keys", pa.binary()), ("places", pa.binary())])
-        for one, s, keys in each(batches):
-            alive = np.flatnonzero(in_bitmap(live.value, keys))
-            if len(alive):
-                held.append((one, len(s), keys[:FIRST].tobytes(), points([s])[0].tobytes(), keys[alive].tobytes(), alive.astype(np.int32).tobytes()))
-            if len(held) > 2000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
-                held = []
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), kinds, strict=True)], schema=kinds)
 
-    def by_component(batches):
-        for batch in batches:
-            k = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(0)]
-            c = np.repeat(batch.column(1).to_numpy(), [len(x) for x in k])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(k) if k else np.zeros(0, np.int64)), pa.array(c)], names=["key", "comp"])
+    same_set = ["home", "set", "set2", "n"]
+    parts = cut(known.mapInArrow(pointed, "home long, set long, set2 long, n long, level int, m int, keys binary, point binary").join(homes.select(*same_set), same_set, "left_semi").drop("set", "set2"))
 
-    def spread(batches):
-        names, held = ["key", "class", "set", "n", "place", "first", "point", "comp"], []
-        kinds = pa.schema([("key", pa.int64()), ("class", pa.int32()), ("set", pa.int64()), ("n", pa.int64()), ("place", pa.int64()), ("first", pa.binary()), ("point", pa.binary()), ("comp", pa.int64())])
-        for batch in batches:
-            for one, size, first, point, keys, places, comp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                keys, places = np.frombuffer(keys, np.uint64), np.frombuffer(places, np.int32)
-                for i in np.flatnonzero(in_bitmap(mixed.value, keys)).tolist():
-                    held.extend((k, c, one, size, int(places[i]), first, point, comp) for k, c in dealt(keys[i : i + 1], size))
-                if len(held) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
-                    held = []
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+    def keyed(bits, column):
+        """(key, the column) for all keys, or those in the bitmap."""
+
+        def run(batches):
+            for batch in batches:
+                data, offsets = binary_of(batch.column(0))
+                keys, who = data.view(np.uint64), np.repeat(batch.column(1).to_numpy(), np.diff(offsets) // 8)
+                if bits is not None:
+                    ok = in_bitmap(bits.value, keys)
+                    keys, who = keys[ok], who[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(who)], names=["key", column])
 
-    def surviving(batches):
-        out: list[tuple[int, int]] = []
-        for group in groups(batches):
-            ids, at = np.unique(group.column(2).to_numpy(), return_index=True)
-            if len(ids) < 2:
+        return run
+
+    def shared_by_two(df: DataFrame, column: str, bits=None) -> DataFrame:
+        pairs = df.select("keys", column).mapInArrow(keyed(bits, column), f"key long, {column} long")
+        return pairs.groupBy("key").agg(F.min(column).alias("low"), F.max(column).alias("high"), F.count("*").alias("times")).where("low != high").select("key", "times")
+
+    shared = cut(shared_by_two(parts, "home"))
+    live = sc.broadcast(bitmap_of(shared, "key"))
+    most = shared.agg(F.max("times")).first()[0] or 0
+    large = sc.broadcast(bitmap_of(shared.where(F.col("times") > LARGE), "key")) if most > LARGE else None
+    splits = -(-2 * most // LARGE)
+
+    def dealt(only, hot, first):
+        """The parts under their keys in bitmap ``only``; the first ``first`` keys of a set, or all. Keys in ``hot`` alone (with the split still to come), or all others. first: large keys split by hash."""
+
+        def run(batches):
+            for batch in batches:
+                data, offsets = binary_of(batch.column(batch.schema.names.index("keys")))
+                column = lambda c: batch.column(batch.schema.names.index(c)).to_numpy()  # noqa: E731, B023
+                keys, length = data.view(np.uint64), np.diff(offsets) // 8
+                row = np.repeat(np.arange(batch.num_rows), length)
+                place = np.arange(len(keys)) - np.repeat(offsets[:-1] // 8, length)
+                ok = in_bitmap(only.value, keys)
+                if first:
+                    ok &= place < np.repeat(-(-first // column("level")), length)
+                if hot:
+                    bits, wanted = hot
+                    ok &= in_bitmap(bits.value, keys) == wanted
+                keys, row, place = keys[ok], row[ok], place[ok]
+                split = np.zeros(len(keys), np.int32)
+                if first and large:
+                    home = column("home").astype(np.uint64)[row]
+                    split = np.where(in_bitmap(large.value, keys), mix(home * np.uint64(0x9E3779B97F4A7C15) ^ keys) % np.uint64(splits), np.uint64(0)).astype(np.int32)
+                points = binary_of(batch.column(batch.schema.names.index("point")))[0].reshape(-1, GROUPS)
+                for at in range(0, len(keys), 1 << 15):
+                    r = row[at : at + (1 << 15)]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 15)].view(np.int64)), pa.array(split[at : at + (1 << 15)]), *(pa.array(column(c)[r]) for c in ("home", "n", "m")), pa.array(place[at : at + (1 << 15)].astype(np.int32)), pa.array(column("comp")[r]), points_column(points[r])], names=["key", "split", "home", "n", "m", "place", "comp", "point"])
+
+        return run
+
+    def near_ones(batches):
+        """Spanning forests of buckets; a bucket on the border of two batches waits for the next."""
+
+        def found(chunk):
+            key, split, _, size, m, place, comp = (chunk.column(k).to_numpy() for k in range(7))
+            bucket = np.cumsum(np.append(0, (key[1:] != key[:-1]) | (split[1:] != split[:-1])))
+            points = binary_of(chunk.column(7))[0].reshape(-1, GROUPS)
+            a, b = near(bucket, comp, size, m.astype(np.int64), place.astype(np.int64), points, percent)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            comp = group.column(7).to_numpy()[at]
-            if (comp == comp[0]).all():
+            held.append(batch)
+            if sum(x.num_rows for x in held) < 1 << 15:
                 continue
-            size, place = group.column(3).to_numpy()[at], group.column(4).to_numpy()[at]
-            byten = np.argsort(size, kind="stable")
-            at, ids, comp, size, place = at[byten], ids[byten], comp[byten], size[byten], place[byten]
-            firsts, p = group.column(5), group.column(6)
-            tree = Tree(np.stack([np.frombuffer(p[int(i)].as_buffer(), np.uint8) for i in at]), size) if len(ids) > 12 else None
-            for i in range(len(ids) - 1):
-                # the smaller of two linked sets has a shared key among even fewer of its first keys
-                if place[i] > size[i] - least_overlap(2 * size[i], percent):
-                    continue
-                js = np.arange(i + 1, len(ids)) if tree is None else tree.candidates(i, percent)
-                js = js[comp[js] != comp[i]]
-                wanted = least_overlap(size[i] + size[js], percent)
-                # what stands behind the key in the common order, the key and what stands before it
-                most = np.minimum(size[i] - place[i], size[js] - place[js]) + np.minimum(place[i], place[js])
-                js = js[(most >= wanted) & (100 * size[i] >= percent * size[js])]
-                if not len(js):
-                    continue
-                mine = frozenset(np.frombuffer(firsts[int(at[i])].as_buffer(), np.int64).tolist())
-                point = np.frombuffer(p[int(at[i])].as_buffer(), np.uint8).astype(np.int64)
-                point[point == 255] = 1 << 30
-                for j in js.tolist():
-                    if not mine.isdisjoint(np.frombuffer(firsts[int(at[j])].as_buffer(), np.int64).tolist()):
-                        continue
-                    other = np.frombuffer(p[int(at[j])].as_buffer(), np.uint8).astype(np.int64)
-                    other[other == 255] = 1 << 30
-                    if min(int(np.minimum(point, other).sum()), int(size[i])) >= least_overlap(int(size[i] + size[j]), percent):
-                        out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
-            if len(out) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
-                out = []
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
-
-    where = comps.select(F.col("node").alias("set"), F.col("component").alias("comp"))
-    pointed = cut(known.mapInArrow(with_points, "set long, n long, first binary, point binary, keys binary, places binary").join(where, "set", "left").withColumn("comp", F.coalesce("comp", "set")))
-    apart = pointed.select("keys", "comp").mapInArrow(by_component, "key long, comp long").groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
-    mixed = sc.broadcast(bitmap_of(apart, "key"))
-    dealt_rows = pointed.select("set", "n", "first", "point", "keys", "places", "comp").mapInArrow(spread, "key long, class int, set long, n long, place long, first binary, point binary, comp long")
-    maybe = cut(dealt_rows.repartition("key", "class").sortWithinPartitions("key", "class").mapInArrow(surviving, "a long, b long").unionByName(unsure).distinct())
-
-    def ids_of(pairs: DataFrame):
-        return sc.broadcast(bitmap_of(pairs.select(F.col("a").alias("x")).unionByName(pairs.select(F.col("b").alias("x"))), "x"))
+            chunk = pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
+            key, split = chunk.column(0).to_numpy(), chunk.column(1).to_numpy()
+            last = int(np.flatnonzero((key != key[-1]) | (split != split[-1])).max(initial=-1)) + 1
+            if last:
+                yield found(chunk.slice(0, last))
+            held = [chunk.slice(last)]
+        if held:
+            yield found(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
-    first_asked = ids_of(maybe)
+    def forest(placed: DataFrame) -> DataFrame:
+        return placed.repartition("key", "split").sortWithinPartitions("key", "split").mapInArrow(near_ones, "a long, b long").distinct()
 
-    def fine(batches):
-        for one, s, _ in each(batches):
-            if in_bitmap(first_asked.value, np.array([one], np.int64).view(np.uint64))[0]:
-                yield pa.RecordBatch.from_arrays([pa.array([one]), pa.array([len(s)]), pa.array([fine_point(s).tobytes()], pa.binary())], names=["set", "n", "point"])
+    alone = parts.withColumn("comp", F.col("home"))
+    edges = cut(forest(alone.mapInArrow(dealt(live, None, FIRST), PLACED)))
+    comps = components(edges)
+    placed = cut(parts.join(comps.select(F.col("node").alias("home"), F.col("component").alias("comp")), "home", "left").withColumn("comp", F.coalesce("comp", "home")))
+    drop_cut(parts)
+    apart = cut(shared_by_two(placed, "comp", live))
+    mixed = sc.broadcast(bitmap_of(apart, "key"))
+    hot_keys = apart.where(F.col("times") > LARGE)
+    if hot_keys.isEmpty():
+        more = placed.mapInArrow(dealt(mixed, None, 0), PLACED)
+    else:
+        hot = sc.broadcast(bitmap_of(hot_keys, "key"))
+        more = placed.mapInArrow(dealt(mixed, (hot, False), 0), PLACED)
+        visiting = placed.mapInArrow(dealt(mixed, (hot, True), 0), PLACED)
+        major = visiting.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("major"), F.ceil(2 * F.sum("count") / LARGE).cast("int").alias("splits"))
+        spread = F.when(F.col("comp") == F.col("major"), F.array(F.pmod(F.xxhash64("home", "key"), F.col("splits")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("splits") - 1))
+        visiting = visiting.join(major, "key").withColumn("split", F.explode(spread)).select(*more.columns)
+        more = more.unionByName(visiting)
+    edges2 = cut(edges.unionByName(forest(more)))
+    drop_cut(placed)
+    members = cut(components(edges2).toDF("home", "comp").join(homes.groupBy("home").agg(F.max("n").alias("n")), "home"))
+
+    # the sets of a group of near ones meet
+    def met(batches):
+        """Links among the sets of each (comp, block); memory: one block."""
+        held: list[tuple] = []
+        last, out = None, []
+
+        def found():
+            home = np.array([x[0] for x in held])
+            root, guest = (np.array([x[k] for x in held]) for k in (2, 3))
+            if len(np.unique(root)) > 1:
+                out.extend((int(home[i]), int(home[j])) for i, j in linked([x[1] for x in held], percent, root, guest if guest.any() else None))
 
-    def bounded(batches):
-        for batch in batches:
-            n = batch.column(2).to_numpy() + batch.column(4).to_numpy()
-            p, q = ([np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column(k)] for k in (3, 5))
-            ok = [fine_bound(x, y) >= least_overlap(int(m), percent) for x, y, m in zip(p, q, n, strict=True)]
-            yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
-
-    fines = cut(known.mapInArrow(fine, "set long, n long, point binary").groupBy("set").agg(F.first("n").alias("n"), F.first("point").alias("point")))
-    paired = maybe.join(fines.toDF("a", "na", "pa"), "a").join(fines.toDF("b", "nb", "pb"), "b").select("a", "b", "na", "pa", "nb", "pb")
-    maybe = cut(paired.mapInArrow(bounded, "a long, b long"))
-    asked = ids_of(maybe)
-
-    def whole(batches):
-        for one, s, _ in each(batches):
-            if in_bitmap(asked.value, np.array([one], np.int64).view(np.uint64))[0]:
-                yield pa.RecordBatch.from_arrays([pa.array([one]), pa.array([s.view(np.int64).tolist()], pa.list_(pa.int64()))], names=["set", "shingles"])
-
-    sets = known.mapInArrow(whole, "set long, shingles array<long>").groupBy("set").agg(F.first("shingles").alias("shingles"))
-    left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
-    shared_n = F.size(F.array_intersect("sa", "sb"))
-    late = maybe.join(left, "a").join(right, "b").where(100 * shared_n >= percent * (F.size("sa") + F.size("sb") - shared_n)).select("a", "b")
-
-    # from sets to the smallest doc_id of each, and on to components of doc_ids
-    named = rows.where("doc_id is not null and n > 0")
-    homes = cut(named.groupBy("set", "set2", "n").agg(F.min("doc_id").alias("home")))
-    home = homes.select(F.col("set"), F.col("home"))
-    sure = links.unionByName(cut(late)).join(home.toDF("a", "x"), "a").join(home.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    twice = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low != high").select("doc_id")
-    same = named.join(twice, "doc_id").join(homes, ["set", "set2", "n"]).select(F.col("doc_id").alias("a"), F.col("home").alias("b"))
-    final = components(sure.unionByName(same)).toDF("home", "component")
+        for batch, data, offsets in slices(batches, "text"):
+            who = [batch.column(k).to_pylist() for k in (0, 1, 2, 3, 4)]
+            for comp, block, home, root, guest, s in zip(*who, shingle_sets(batch.num_rows, data, offsets, n), strict=True):
+                if (comp, block) != last:
+                    if held:
+                        found()
+                    held, last = [], (comp, block)
+                if len(s):
+                    held.append((home, s, root, guest))
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+                out.clear()
+        if held:
+            found()
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+
+    def links_of(dealt_out: DataFrame, bits) -> DataFrame:
+        """dealt_out: home, comp, block, root, guest."""
+        texts = known.mapInArrow(held_by(bits), "doc_id long, text string").withColumnRenamed("doc_id", "home")
+        meeting = texts.join(dealt_out, "home").select("comp", "block", "home", "root", "guest", "text")
+        return cut(meeting.repartition("comp", "block").sortWithinPartitions("comp", "block").mapInArrow(met, "a long, b long").where("a != b").distinct())
+
+    blocks = cut(members.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
+    hashed = lambda seed: F.pmod(F.xxhash64("home", F.lit(seed)), F.col("blocks")).cast("int")
+    own = members.join(blocks, "comp")
+    twice = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array(hashed(0), hashed(1) + F.col("blocks")))
+    links = links_of(own.select("home", "comp", F.explode(twice).alias("block"), F.col("home").alias("root"), F.lit(False).alias("guest")), sc.broadcast(bitmap_of(members, "home")))
+    exact = components(links)
+    split = blocks.where("blocks > 1")
+    again = []
+    if not split.isEmpty():
+        rooted = cut(members.join(split, "comp").join(exact.toDF("home", "root"), "home", "left").withColumn("root", F.coalesce("root", "home")))
+        major = rooted.groupBy("comp", "root").count().groupBy("comp").agg(F.max_by("root", F.struct("count", "root")).alias("major"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
+        rooted = rooted.join(major, "comp")
+        stay = rooted.select("home", "comp", hashed(0).alias("block"), "root", F.lit(False).alias("guest"))
+        visit = rooted.where("root != major").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where(F.col("block") != hashed(0)).select("home", "comp", "block", "root", F.lit(True).alias("guest"))
+        again.append(links_of(stay.unionByName(visit), sc.broadcast(bitmap_of(rooted, "home"))))
+
+    # documents that hold several texts join their sets
+    several = named.groupBy("doc_id").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low != high").select("doc_id")
+    if not several.isEmpty():
+        again.append(named.join(several, "doc_id").join(homes, ["set", "set2", "n"]).select(F.col("doc_id").alias("a"), F.col("home").alias("b")))
+    for more_links in again:
+        exact = components(exact.toDF("a", "b").unionByName(more_links))
     drop_cut(shared)
-    out = rows.join(homes, ["set", "set2", "n"], "left").join(final, "home", "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "home", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    drop_cut(apart)
+    out = rows.join(homes, ["set", "set2", "n"], "left").join(exact.toDF("home", "component"), "home", "left")
+    name = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "home", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), name.alias("component_id"))

@@ -416,29 +416,43 @@ def test_jaccard(spark, texts, docs, empty):
     assert jaccard.cluster(empty).count() == 0
 
 
-def test_jaccard_second_join(spark, monkeypatch):
-    """With one key in the first join, the second has links to find; small buckets are dealt by size class."""
-    monkeypatch.setattr(jaccard, "FIRST", 1)
-    monkeypatch.setattr(jaccard, "LARGE", 4)
-    rng = random.Random(9)
+def near_copies(rng, sizes, edits, copies):
+    """Groups of edited copies around the threshold."""
     rows = []
-    for c in range(12):
-        base = prose(rng, 120, 2000).split()
-        for _ in range(9):
+    for c, size in enumerate(sizes):
+        base = prose(rng, size, 20 * size).split()
+        for _ in range(copies):
             w = list(base)
-            for _ in range(rng.randrange(5)):
+            for _ in range(rng.randrange(edits * size // 100 + 1)):
                 w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
             rows.append((len(rows) + c, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize(("first", "large", "block"), [(1, 4, 3), (5, 4, 2048), (2, 8192, 4), (5, 8192, 2048)])
+def test_jaccard_splits(spark, monkeypatch, first, large, block):
+    """With few first keys the others have sets to find; small buckets and groups are split and visited; long texts have several parts."""
+    for name, value in (("FIRST", first), ("LARGE", large), ("BLOCK", block)):
+        monkeypatch.setattr(jaccard, name, value)
+    rows = near_copies(random.Random(9), [120] * 8 + [300, 500, 1000, 1500], 5, 9)
     found = jaccard.cluster(spark.createDataFrame(rows, "doc_id long, text string"))
     assert collections.Counter(tuple(r) for r in found.select("doc_id", "n_shingles", "component_id").collect()) == plain_clusters(rows)
 
 
+def test_jaccard_on_the_threshold_of_very_long_texts(spark):
+    """450,000 words each, 399,997 of 499,995 shingles in common (80.0002 %), and a pair just below."""
+    pair = lambda name, own: [" ".join([f"{name}{i}" for i in range(400_001)] + [f"{name}{side}{i}" for i in range(own)]) for side in "xy"]
+    texts = pair("a", 49_999) + pair("b", 50_003)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.cluster(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    assert [found[i][1] for i in range(4)] == [0, 0, 2, 3] and found[0][0] == 449_996
+
+
 def test_tree_bound_is_safe():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 1 << 62, rng.integers(20, 80)).astype(np.uint64)) for _ in range(40)]
     sets += [np.unique(np.concatenate([s[: int(len(s) * 0.93)], rng.integers(0, 1 << 62, 2).astype(np.uint64)])) for s in sets]
     sets.sort(key=len)
-    tree = jaccard.Tree(jaccard.points(sets), np.array([len(s) for s in sets]))
+    tree = jaccard.Tree(np.stack([jaccard.counted(s, 64) for s in sets]), np.array([len(s) for s in sets]))
     for i, a in enumerate(sets):
         near = {j for j in range(i + 1, len(sets)) if 100 * len(np.intersect1d(a, sets[j])) >= 80 * len(np.union1d(a, sets[j]))}
         assert near <= set(tree.candidates(i, 80).tolist())
