@@ -46,6 +46,19 @@ def drop_cut(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of df has that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def columns_of(df: DataFrame) -> list[F.Column]:
+    """All columns of df, whatever signs their names hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
 def documents_of(df: DataFrame, *more: str) -> DataFrame:
     """doc_id as long and text (null: empty), and the named columns; any others are left out."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)

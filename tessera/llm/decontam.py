@@ -12,8 +12,9 @@ Seeds are a property of the benchmark, which is read in blocks of at most ``bloc
 has a fixed bound; a larger benchmark takes more passes over the documents. No document is shuffled.
 
 Items of fewer than ``least`` words match only verbatim, those of fewer than 4 never. Null or empty texts match nothing;
-null ids stay null; repeated documents are judged each, items with equal id and text once; any other columns of the
-documents are kept.
+null ids stay null; repeated documents are judged each, items with equal id and text once. A very long text is aligned in
+pieces around its hits. An empty benchmark or table of documents is no error. Other columns of the documents are kept,
+whatever their names, but for one called like the column that ``mark`` adds.
 """
 
 from __future__ import annotations
@@ -110,7 +111,7 @@ def align(item: np.ndarray, text: np.ndarray, hits: np.ndarray, least: float = 0
     return best
 
 
-def _marked(seeds: Seeds, ids: list, items: list[np.ndarray], n: int, threshold: float, least: int):
+def _marked(seeds: Seeds, ids: list, items: list[np.ndarray], n: int, threshold: float, least: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, _, _ in slices(batches, "text"):
             h, first = word_hashes(batch.column(batch.schema.names.index("text")))
@@ -118,7 +119,7 @@ def _marked(seeds: Seeds, ids: list, items: list[np.ndarray], n: int, threshold:
             doc = np.searchsorted(first, at, "right") - 1
             inside = at + n <= first[doc + 1]
             at, seed, doc = at[inside], seed[inside], doc[inside]
-            found: list[list] = [x or [] for x in batch.column("matches").to_pylist()]
+            found: list[list] = [x or [] for x in batch.column(batch.schema.names.index(name)).to_pylist()]
             # one entry for each seed hit and item that holds the seed
             reps = seeds.first[seed + 1] - seeds.first[seed]
             places = np.repeat(at, reps)
@@ -134,19 +135,19 @@ def _marked(seeds: Seeds, ids: list, items: list[np.ndarray], n: int, threshold:
                 share = score / (2 * len(wanted))
                 if share >= wants:
                     found[d].append({"item_id": ids[i], "score": round(share, 6), "word": int(where), "n_words": len(wanted)})
-            kind = batch.schema.field("matches").type
-            yield pa.RecordBatch.from_arrays([pa.array(found, kind) if c == "matches" else batch.column(c) for c in batch.schema.names], names=batch.schema.names)
+            at = batch.schema.names.index(name)
+            yield pa.RecordBatch.from_arrays([pa.array(found, batch.schema.field(k).type) if k == at else batch.column(k) for k in range(batch.num_columns)], names=batch.schema.names)
 
     return run
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: float = 0.5, least: int = 8, block_bytes: int = 8 << 20) -> DataFrame:
-    """All columns of docs, and ``matches``: the benchmark items that each row holds, with score, the word where the alignment ends and the item's words."""
+def mark(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: float = 0.5, least: int = 8, block_bytes: int = 8 << 20, name: str = "matches") -> DataFrame:
+    """All columns of docs, and ``name`` (of a column of docs called so nothing is left): the benchmark items that each row holds, with score, the word where the alignment ends and the item's words."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-2 * size // block_bytes) if size > block_bytes else 1
-    out = docs.withColumn("text", F.col("text").cast("string")).withColumn("matches", F.from_json(F.lit("[]"), MATCHES))
+    out = docs.withColumn("text", F.col("text").cast("string")).withColumn(name, F.from_json(F.lit("[]"), MATCHES))
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in out.schema])
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()  # block_bytes at most, but for chance
@@ -159,13 +160,13 @@ def mark(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: float = 0
         owners = np.repeat(np.arange(len(rows)), [len(g) for g in grams])
         # through a broadcast, once for each executor
         shared = spark.sparkContext.broadcast((Seeds(hashes, owners), [r.item_id for r in rows], held))
-        out = out.mapInArrow(_late(shared, n, threshold, least), schema)
+        out = out.mapInArrow(_late(shared, n, threshold, least, name), schema)
     return out
 
 
-def _late(shared, n: int, threshold: float, least: int):
+def _late(shared, n: int, threshold: float, least: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _marked(*shared.value, n, threshold, least)(batches)
+        yield from _marked(*shared.value, n, threshold, least, name)(batches)
 
     return run
 

@@ -1,16 +1,20 @@
 """Line dedup: content-defined chunks of lines, repeated chunks removed. DataFrame functions only.
 
-A line's hash is the first 32 bits of its MD5; a rolling hash over ``WINDOW`` line hashes ends a chunk where it is
-divisible by ``DIVISOR``. A border depends on nothing but the lines in that window, so the same passage is cut the same way
-wherever it is shifted to. A chunk of two or more lines with some visible character that occurs more than once in the corpus is kept at its
-first place (smallest doc_id, then first line) and removed from all others.
+A line's hash is the first 32 bits of its MD5; a rolling hash over ``WINDOW`` line hashes marks a line where it is
+divisible by ``DIVISOR``, and the first of successive marked lines ends a chunk. So a chunk has two lines or more (a mark
+on the first line or the last but one ends none), and a border depends on nothing but the three lines up to it: the same
+passage is cut the same way wherever it is shifted to, but for its edges. A chunk of two or more lines with some visible
+character that occurs more than once in the corpus is kept at its first place (smallest doc_id, then first line) and
+removed from all others.
 
 Chunks first meet by a 64-bit hash alone; only those whose hash occurs again are compared by their bytes, as keys of an
 aggregate that each task combines before it shuffles. What a frequent chunk's occurrences are then told is one row, in a
 join that Spark can split. No group is ever gathered but the removed chunks of one document.
 
-Null texts are empty; a null doc_id comes after all others; rows that share doc_id and text are treated alike (each of
-them keeps the first places that their doc_id holds). Other columns pass through. Empty tables give none.
+Null texts are empty (and stay null); a null doc_id comes after all others; rows that share doc_id and text are treated
+alike (each of them keeps the first places that their doc_id holds). A text of one line has no chunk; very long texts
+cost time and memory in proportion to their lines. Other columns pass through unchanged, whatever their names; only
+columns called as the two counts that ``dedup`` adds are replaced. Empty tables give none.
 """
 
 from __future__ import annotations
@@ -18,9 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import columns_of, cut, free
 
-WINDOW, DIVISOR = 2, 3
+WINDOW, DIVISOR = 2, 2
 LAST = (1 << 63) - 1
 
 
@@ -29,15 +33,17 @@ def line_hash(line: Column) -> Column:
 
 
 def with_chunks(docs: DataFrame) -> DataFrame:
-    """Adds ``lines`` and ``chunks``: array<struct<first, n>> of line numbers from 0."""
-    rows = docs.withColumn("lines", F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1))
+    """doc_id, text, and ``lines`` and ``chunks``: array<struct<first, n>> of line numbers from 0."""
+    rows = docs.select("doc_id", "text").withColumn("lines", F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1))
     rows = rows.withColumn("hashes", F.transform("lines", line_hash))
     before = lambda i: F.when(i > 0, F.get("hashes", i - 1)).otherwise(0)
-    closes = lambda i: ((F.get("hashes", i) + 31 * before(i)) % DIVISOR == 0) | (i == F.size("hashes") - 1)
-    rows = rows.withColumn("ends", F.filter(F.sequence(F.lit(0), F.size("hashes") - 1), closes))
+    rows = rows.withColumn("marks", F.transform("hashes", lambda h, i: (h + 31 * before(i)) % DIVISOR == 0))
+    last = F.size("marks") - 1
+    closes = lambda i: (i == last) | ((i > 0) & (i != last - 1) & F.get("marks", i) & ~F.get("marks", i - 1))
+    rows = rows.withColumn("ends", F.filter(F.sequence(F.lit(0), last), closes))
     start = lambda k: F.when(k > 0, F.get("ends", k - 1) + 1).otherwise(0)
     chunk = lambda e, k: F.struct(start(k).alias("first"), (e - start(k) + 1).alias("n"))
-    return rows.withColumn("chunks", F.transform("ends", chunk)).drop("hashes", "ends")
+    return rows.withColumn("chunks", F.transform("ends", chunk)).drop("hashes", "marks", "ends")
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
@@ -55,20 +61,24 @@ def removed(docs: DataFrame) -> DataFrame:
     places = repeated.groupBy("hash", "chunk", "doc").agg(F.min("first").alias("first"), F.count("*").alias("n"))
     kept = places.groupBy("hash", "chunk").agg(F.min("doc").alias("home"), F.min_by("first", "doc").alias("line"), F.sum("n").alias("n")).where("n > 1").select("hash", "chunk", "home", "line")
     told = repeated.join(kept, ["hash", "chunk"]).where("doc != home or first != line")
-    return told.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("first", "n")).alias("gone"))
+    return told.groupBy("doc", "text_hash").agg(F.array_sort(F.collect_list(F.struct("first", "n"))).alias("gone"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """All columns of docs with ``text`` rid of repeated chunks, and n_lines, n_removed."""
-    columns = docs.columns
+def dedup(docs: DataFrame, n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
+    """All columns of docs with ``text`` rid of repeated chunks, and the numbers of its lines and removed lines under the given names."""
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
-    gone = removed(docs.select("doc_id", "text"))
-    rows = docs.withColumn("doc", F.coalesce("doc_id", F.lit(LAST))).withColumn("text_hash", F.xxhash64("text")).join(gone.hint("shuffle_hash"), ["doc", "text_hash"], "left")
+    doc, text_hash, gone = (free(docs, x) for x in ("doc", "text_hash", "gone"))
+    told = removed(docs.select("doc_id", "text")).toDF(doc, text_hash, gone)
+    rows = docs.withColumn(doc, F.coalesce("doc_id", F.lit(LAST))).withColumn(text_hash, F.xxhash64("text")).join(told.hint("shuffle_hash"), [doc, text_hash], "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    leaves = lambda i: F.exists("gone", lambda g: (i >= g["first"]) & (i < g["first"] + g["n"]))
-    count = F.coalesce(F.aggregate("gone", F.lit(0), lambda a, g: a + g["n"]), F.lit(0)).cast("long")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda _, i: ~leaves(i)), "\n"))
-    return rows.select(*(text.alias("text") if c == "text" else F.col(c) for c in columns), F.size(lines).cast("long").alias("n_lines"), count.alias("n_removed"))
+    # what stays: the lines before, between and after the removed chunks, which come sorted
+    until = lambda k: F.coalesce(F.get(gone, k)["first"], F.size(lines))
+    since = lambda k: F.when(k > 0, F.get(gone, k - 1)["first"] + F.get(gone, k - 1)["n"]).otherwise(0)
+    stays = F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda k: F.slice(lines, since(k) + 1, until(k) - since(k))))
+    count = F.coalesce(F.aggregate(gone, F.lit(0), lambda a, g: a + g["n"]), F.lit(0)).cast("long")
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(stays, "\n")).alias("text")
+    passed = [text if name == "text" else c for c, name in zip(columns_of(docs), docs.columns, strict=True) if name.lower() not in (n_lines.lower(), n_removed.lower())]
+    return rows.select(*passed, F.size(lines).cast("long").alias(n_lines), count.alias(n_removed))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -81,8 +91,10 @@ WITH lines AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
 ), hashed AS (
   SELECT doc_id, lines, list_transform(lines, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS h FROM lines
+), marked AS (
+  SELECT doc_id, lines, list_transform(range(1, len(h) + 1), lambda i: (h[i] + 31 * CASE WHEN i > 1 THEN h[i - 1] ELSE 0 END) % {DIVISOR} = 0) AS m FROM hashed
 ), ended AS (
-  SELECT doc_id, lines, list_filter(range(1, len(h) + 1), lambda i: (h[i] + 31 * CASE WHEN i > 1 THEN h[i - 1] ELSE 0 END) % {DIVISOR} = 0 OR i = len(h)) AS ends FROM hashed
+  SELECT doc_id, lines, list_filter(range(1, len(m) + 1), lambda i: i = len(m) OR (i > 1 AND i <> len(m) - 1 AND m[i] AND NOT m[i - 1])) AS ends FROM marked
 ), each AS (
   SELECT doc_id, lines, unnest(ends) AS e, unnest(list_prepend(0, ends[:-2])) AS s FROM ended
 ), chunks AS (

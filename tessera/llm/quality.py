@@ -137,8 +137,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, epochs: int
     return np.frombuffer(found[0][0], np.float32) if found else np.zeros((1 << BITS) + 1, np.float32)
 
 
-def score(docs: DataFrame, weights: np.ndarray, keep_text: bool = False) -> DataFrame:
-    """All columns of docs, without its text unless asked for, and score (0 to 1)."""
+def score(docs: DataFrame, weights: np.ndarray, keep_text: bool = False, name: str = "score") -> DataFrame:
+    """All columns of docs, without its text unless asked for, and ``name``: the score (0 to 1); a column of docs called so goes."""
     held = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,11 +150,11 @@ def score(docs: DataFrame, weights: np.ndarray, keep_text: bool = False) -> Data
                 total += sums[at[1:]] - sums[at[:-1]]
                 n += at[1:] - at[:-1]
             s = 1 / (1 + np.exp(-np.clip(w[-1] + GAIN * total / np.maximum(n, 1), -35, 35)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(s)], names=[*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)) for c in kept), pa.array(s)], names=[*kept, name])
 
-    kept = [c for c in docs.columns if keep_text or c != "text"]
+    kept = [c for c in docs.columns if (keep_text or c != "text") and c.lower() != name.lower()]
     fields = [T.StructField(f.name, f.dataType, True) for f in docs.schema if f.name in kept]
-    return docs.mapInArrow(run, T.StructType([*fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*fields, T.StructField(name, T.DoubleType())]))
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
