@@ -1,21 +1,25 @@
 """Deterministic sharded WARC writer and the reader that takes its archives back.
 
-Records are range-sorted by page_id into shards whose borders follow from the table alone (byte sums over at most
-``BUCKETS`` equal steps of page_id), so every run writes the same archives. A task writes its shards as a stream: each
-record is a gzip member of its own with a regenerated header, id, block and payload digest; a file is closed and the
-next begun once it exceeds ``roll_bytes`` compressed. Files are written under temporary names of their attempt; the
-driver then moves those of the attempts that counted to their final names and writes the manifest, again through a
-temporary name. Readers open only what the manifest lists, so what a lost attempt left behind is never read.
+Records are range-sorted by page_id (then payload digest) into shards of some ``shard_bytes`` of payload each, whose
+borders follow from the table alone: running byte sums in that order, so no outlying id moves them, and every run writes
+the same archives. A task writes its shards as a stream: each record is a gzip member of its own with a regenerated
+header, id, block and payload digest; a file is closed and the next begun once it exceeds ``roll_bytes`` compressed.
+Files are written under temporary names of their attempt; tasks then move those of the attempts that counted to their
+final names (a move that has happened already is none), and the driver writes the manifest, again through a temporary
+name. Readers open only what the manifest lists, so what a lost attempt left behind is never read. What the driver holds
+is one border for each shard.
 
 Of records with equal payloads of at least ``least`` bytes the one with the largest page_id is a response and the others
 are revisits that refer to it. Rows that repeat that page_id with that payload are responses each. A null page_id comes
 first and is a revisit if a payload equal to its own has a page_id, else a response; null html is an empty payload; a
 null url is written as ``urn:page:<page_id>``. An empty table gives no archive and an empty manifest. Other columns are ignored.
+Rows with one page_id and one payload share a shard, however many.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import gzip
 import hashlib
 import json
@@ -23,13 +27,18 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, drop_cut
 
-BUCKETS = 65536
+#: Tasks that write at a time; more shards share them.
+MOST_TASKS = 20_000
 DATE = "2020-01-01T00:00:00Z"
 MANIFEST = "path string, records long, bytes long, sha256 string, temporary string"
 RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, archive string"
@@ -95,21 +104,68 @@ def with_notes(pages: DataFrame, least: int = 0) -> DataFrame:
     return keyed.select("page_id", "url", "html", "digest", F.lit(None).cast("long").alias("refers_to"), F.lit(1).alias("note")).unionByName(revisits.select("page_id", text.alias("url"), text.alias("html"), "digest", "refers_to", F.lit(0).alias("note")))
 
 
-def with_shards(rows: DataFrame, pages: DataFrame, shard_bytes: int) -> DataFrame:
-    """Adds ``shard``: steps of page_id, joined in order until they hold ``shard_bytes`` of payload."""
-    low, high = pages.agg(F.min(F.col("page_id").cast("long")), F.max(F.col("page_id").cast("long"))).first()
-    low, high = (0, 0) if low is None else (low, high)
-    step = (high - low) // BUCKETS + 1
-    bucket = F.coalesce(F.floor((F.col("page_id").cast("decimal(38,0)") - F.lit(low)) / F.lit(step)).cast("long"), F.lit(-1))
-    sums = pages.select("page_id", F.octet_length("html").alias("size")).groupBy(bucket.alias("bucket")).agg(F.sum("size").alias("size")).orderBy("bucket").collect()  # BUCKETS + 1 rows at most
-    shard, filled, found = 0, 0, []
-    for b, size in sums:
-        if filled >= shard_bytes:
-            shard, filled = shard + 1, 0
-        filled += size or 0
-        found.append((b, shard))
-    table = rows.sparkSession.createDataFrame(found or [(-2, 0)], "bucket long, shard long")
-    return rows.withColumn("bucket", bucket).join(F.broadcast(table), "bucket").drop("bucket")
+def borders(pages: DataFrame, shard_bytes: int) -> tuple[list, list]:
+    """The page_ids and digests with which the shards begin, in order."""
+
+    def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            size = batch.column(2).to_numpy()
+            ends = seen + np.cumsum(size)
+            seen = int(ends[-1]) if len(ends) else seen
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ends - size), pa.array(ends), pa.array(np.full(len(size), part, np.int64))], names=["page_id", "digest", "low", "high", "part"])
+
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    sizes = pages.select(F.col("page_id").cast("long").alias("page_id"), F.unhex(F.sha1(html.cast("binary"))).alias("digest"), F.octet_length(html).cast("long").alias("size")).groupBy("page_id", "digest").agg(F.sum("size").alias("size"))
+    placed = cut(sizes.repartitionByRange("page_id", "digest").sortWithinPartitions("page_id", "digest").mapInArrow(running, "page_id long, digest binary, low long, high long, part long"))
+    before, total = {}, 0
+    for part, high in placed.groupBy("part").agg(F.max("high")).orderBy("part").collect():  # a row for each partition
+        before[part], total = total, total + high
+    shift = placed.sparkSession.createDataFrame(list(before.items()) or [(-1, 0)], "part long, shift long")
+    shard = F.floor((F.col("low") + F.col("shift")) / shard_bytes)
+    found = placed.join(F.broadcast(shift), "part").groupBy(shard.alias("shard")).agg(F.min(F.struct("page_id", "digest")).alias("first")).orderBy("shard").collect()  # a row for each shard
+    drop_cut(placed)
+    return [r.first.page_id for r in found], [bytes(r.first.digest) for r in found]
+
+
+def with_shards(rows: DataFrame, pages: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
+    """Adds ``shard`` to rows (page_id, digest, ...); and the number of shards."""
+    ids, digests = borders(pages, shard_bytes)
+    held = rows.sparkSession.sparkContext.broadcast((ids, digests))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, digests = held.value
+        nulls = sum(x is None for x in ids)
+        known = np.array(ids[nulls:], np.int64)
+        for batch in batches:
+            page, digest = (batch.column(batch.schema.names.index(c)) for c in ("page_id", "digest"))
+            none = page.is_null().to_numpy(zero_copy_only=False)
+            x = page.fill_null(0).to_numpy()
+            low = np.where(none, 0, nulls + np.searchsorted(known, x, "left"))
+            high = np.where(none, nulls, nulls + np.searchsorted(known, x, "right"))
+            for i in np.flatnonzero(low < high).tolist():  # a shard begins within this page_id
+                high[i] = bisect.bisect_right(digests, digest[i].as_py(), int(low[i]), int(high[i]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.maximum(high - 1, 0))], names=[*batch.schema.names, "shard"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("shard", T.LongType())])), max(1, len(ids))
+
+
+def _moved(out: str):
+    """Moves files to their final names."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, root = filesystem(out)
+        for frame in frames:
+            for path, temporary in zip(frame["path"], frame["temporary"], strict=True):
+                if store.get_file_info(f"{root}/{temporary}").type != fs.FileType.NotFound:
+                    store.move(f"{root}/{temporary}", f"{root}/{path}")
+                elif store.get_file_info(f"{root}/{path}").type == fs.FileType.NotFound:
+                    raise FileNotFoundError(path)
+            yield frame
+
+    return run
 
 
 def _writer(out: str, roll_bytes: int):
@@ -161,18 +217,20 @@ def write(pages: DataFrame, out: str, shard_bytes: int = 64 << 20, roll_bytes: i
     """Write every row of pages (page_id, url, html) as a WARC record below ``out``, a folder that all tasks reach."""
     store, root = filesystem(out)
     store.create_dir(f"{root}/_temporary", recursive=True)
-    rows = with_shards(with_notes(pages, least), pages, shard_bytes)
-    rows = rows.repartitionByRange("shard").sortWithinPartitions("shard", "page_id", "digest", "note", "url")
+    rows, shards = with_shards(with_notes(pages, least), pages, shard_bytes)
+    tasks = min(shards, MOST_TASKS)
+    # a task has every so manieth shard, and its rows come in order
+    rows = rows.repartitionById(tasks, (F.col("shard") % tasks).cast("int")).sortWithinPartitions("shard", "page_id", "digest", "note", "url")
     rows = rows.select("shard", F.col("page_id").cast("string").alias("page_id"), "url", "html", "digest", F.col("refers_to").cast("string").alias("refers_to"))
     files = cut(rows.mapInPandas(_writer(out, roll_bytes), MANIFEST))
-    listed = []
-    for f in files.orderBy("path").toLocalIterator():  # one row a file
-        store.move(f"{root}/{f.temporary}", f"{root}/{f.path}")
-        listed.append(json.dumps({"path": f.path, "records": f.records, "bytes": f.bytes, "sha256": f.sha256}))
+    done = cut(files.repartition(tasks, "path").mapInPandas(_moved(out), MANIFEST))
     with store.open_output_stream(f"{root}/_temporary/manifest.jsonl") as f:
-        f.write("".join(x + "\n" for x in listed).encode())
+        for r in done.orderBy("path").toLocalIterator():  # one row a file
+            f.write((json.dumps({"path": r.path, "records": r.records, "bytes": r.bytes, "sha256": r.sha256}) + "\n").encode())
     store.move(f"{root}/_temporary/manifest.jsonl", f"{root}/manifest.jsonl")
     store.delete_dir(f"{root}/_temporary")
+    drop_cut(files)
+    drop_cut(done)
 
 
 def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
