@@ -3,15 +3,17 @@
 Vectors are scaled by the largest norm and given one more coordinate that makes all norms equal, so the largest inner
 product is the nearest point. ``curves`` random projections to ``dims`` coordinates, each shifted at random, are quantised
 and put in Hilbert order; Spark range-partitions (curve, position), which gives every vector its rank on each curve. A
-query looks at the ranks within ``window`` of the table to either side on every curve, which lie in its own block of that
-many vectors and the two next to it. A task holds at most ``asked_at_once`` or so queries of a block with their best so
-far and streams the block's vectors past them in exact products, so its memory doesn't grow with the table; the best of
-all blocks and curves are merged.
-
-The window is a share of the table, not a number of rows: in nearly isotropic vectors the neighbours of a point lie all
-along a curve, and a fixed number of rows would lose recall as the table grows. The share is the price of recall; both
-are parameters. Identical vectors are one point of the index that stands for up to k+1 smallest ids, which is all that
-can be among a query's k nearest, so a vector shared by a third of all rows costs no more than another.
+curve's ranks make blocks of ``window`` vectors; a query looks at its own block and the two next to it, on every curve. The
+window is a fixed number of rows, so all work grows with the table and not with its square. On the curves vectors travel
+as one signed byte a coordinate with a scale; a task holds one block and streams the queries past it, and merges what it
+finds for a query before it emits. The best of all blocks and curves are merged, and those few more than k that are left
+are reranked by exact products of the original vectors, each summed in one fixed order.
+
+Many curves with small windows see far fewer vectors for the same recall than few curves with large ones: a neighbour is
+near on a curve more often than its share of the rows, and the smaller the window the more so. In isotropic vectors a
+fixed window still loses recall as the table grows; ``curves`` and ``window`` raise it (figures in the README). Identical
+vectors are one point of the index that stands for up to k+1 smallest ids, which is all that can be among a query's k
+nearest, so a vector shared by a third of all rows costs no more than another.
 
 Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do those whose length isn't
 the most frequent one, nor rows with a null vec_id; of rows that repeat a vec_id the smallest vector counts. A table
@@ -62,21 +64,30 @@ def keys(x: np.ndarray, curves: int, dims: int, bits: int, seed: int) -> np.ndar
     return out
 
 
+#: Candidates beyond k that are reranked by exact products, for what the bytes round away.
+SPARE = 12
+#: Queries whose best a task holds at a time.
+HELD = 50_000
+
+
 def _curved(top: float, curves: int, dims: int, bits: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                v = matrix(part.column(1))
+                v, gid = matrix(part.column(1)), part.column(0).to_numpy()
                 norm = np.linalg.norm(v, axis=1)
                 points = np.column_stack([v / top, np.sqrt(np.maximum(0, 1 - (norm / top) ** 2))])
                 asked = part.column(2).to_numpy(zero_copy_only=False).astype(bool)
                 seekers = np.column_stack([v / norm[:, None], np.zeros(len(v))])[asked]
                 data, query = keys(points, curves, dims, bits, seed), keys(seekers, curves, dims, bits, seed)
-                for role, rows, where in ((0, part, data), (1, part.filter(pa.array(asked)), query)):
-                    n = rows.num_rows
+                scale = np.abs(v).max(1) / 127
+                coded = [x.tobytes() for x in np.rint(v / scale[:, None]).astype(np.int8)]
+                whole = [x.tobytes() for x in v[asked].astype(np.float32)]
+                for role, ids, where, code, factor in ((0, gid, data, coded, scale), (1, gid[asked], query, whole, np.ones(int(asked.sum())))):
+                    n, code = len(ids), pa.array(code, pa.binary())
                     for c in range(curves if n else 0):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, c, np.int32)), pa.array(where[c].astype(np.int64)), pa.array(np.full(n, role, np.int32)), rows.column(0), rows.column(1)], names=["curve", "position", "role", "gid", "embedding"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, c, np.int32)), pa.array(where[c].astype(np.int64)), pa.array(np.full(n, role, np.int32)), pa.array(ids), pa.array(factor), code], names=["curve", "position", "role", "gid", "scale", "code"])
 
     return run
 
@@ -96,79 +107,103 @@ def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(c), part, np.int32)), pa.array(index)], names=[*batch.schema.names, "part", "index"])
 
 
-def _best(k: int):
-    """Streams rows sorted by (curve, block, share), queries first, then vectors by id: holds one share of queries and their k best so far."""
+class Best:
+    """The best few of each query so far."""
+
+    def __init__(self, k: int):
+        self.k, self.row = k, {}
+        self.score, self.who = np.full((1024, k), -np.inf), np.full((1024, k), -1)
+
+    def rows(self, queries: list[int]) -> np.ndarray:
+        out = np.array([self.row.setdefault(q, len(self.row)) for q in queries], np.int64)
+        while len(self.row) > len(self.score):
+            self.score = np.vstack([self.score, np.full_like(self.score, -np.inf)])
+            self.who = np.vstack([self.who, np.full_like(self.who, -1)])
+        return out
+
+    def add(self, queries: list[int], gid: np.ndarray, scores: np.ndarray) -> None:
+        """Scores: queries x gid. A vector met on several curves has the same score on all and counts once."""
+        at = self.rows(queries)
+        i, j = np.nonzero(scores > self.score[at, -1:])
+        new = ~(self.who[at[i]] == gid[j][:, None]).any(1)
+        i, j = i[new], j[new]
+        if not len(i):
+            return
+        some, inverse = np.unique(i, return_inverse=True)
+        count = np.bincount(inverse)
+        place = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+        more, names = np.full((len(some), count.max()), -np.inf), np.full((len(some), count.max()), -1)
+        more[inverse, place], names[inverse, place] = scores[i, j], gid[j]
+        both, who = np.hstack([self.score[at[some]], more]), np.hstack([self.who[at[some]], names])
+        order = np.lexsort((who, -both), axis=1)[:, : self.k]
+        self.score[at[some]], self.who[at[some]] = np.take_along_axis(both, order, 1), np.take_along_axis(who, order, 1)
+
+    def flush(self) -> pa.RecordBatch:
+        ids = np.array(list(self.row), np.int64)
+        row, col = np.nonzero(self.score[: len(ids)] > -np.inf)
+        out = pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(self.who[row, col]), pa.array(self.score[row, col])], names=["query", "gid", "score"])
+        self.__init__(self.k)
+        return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, q, ids, best, who = None, [], [], None, None
 
-        def flush() -> pa.RecordBatch | None:
-            if best is None:
-                return None
-            row, col = np.nonzero(best > -np.inf)
-            return pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(who[row, col]), pa.array(best[row, col])], names=["query", "gid", "score"])
+def _best(k: int):
+    """Streams rows sorted by (curve, block, role): holds a block's vectors, and lets the queries pass."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, key, block, gids = Best(k), None, [], []
         for batch in batches:
-            fields = [batch.column(i).to_numpy() for i in range(5)]
-            cuts = [0, *(np.flatnonzero(np.any([f[1:] != f[:-1] for f in fields[:4]], axis=0)) + 1).tolist(), batch.num_rows]
+            curve, number, role, gid, scale = (batch.column(i).to_numpy() for i in range(5))
+            cuts = [0, *(np.flatnonzero((curve[1:] != curve[:-1]) | (number[1:] != number[:-1]) | (role[1:] != role[:-1])) + 1).tolist(), batch.num_rows]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 if lo == hi:
                     continue
-                now = tuple(int(f[lo]) for f in fields[:3])
-                if now != key:
-                    if (out := flush()) is not None:
-                        yield out
-                    key, q, ids, best, who = now, [], [], None, None
-                v, gid = matrix(batch.column(5).slice(lo, hi - lo)), fields[4][lo:hi]
-                if fields[3][lo] == 0:
-                    q.append(v)
-                    ids.append(gid)
-                    continue
-                if best is None:
-                    if not q:
-                        continue
-                    q, ids = np.concatenate(q), np.concatenate(ids)
-                    best, who = np.full((len(q), k), -np.inf), np.zeros((len(q), k), np.int64)
-                for at in range(0, len(v), 1024):
-                    scores = q @ v[at : at + 1024].T
-                    better = np.flatnonzero((scores > best[:, -1:]).any(1))
-                    both = np.hstack([best[better], scores[better]])
-                    names = np.hstack([who[better], np.broadcast_to(gid[at : at + 1024], scores[better].shape)])
-                    order = np.argsort(-both, axis=1, kind="stable")[:, :k]  # equal scores keep the smaller ids, which come first
-                    best[better], who[better] = np.take_along_axis(both, order, 1), np.take_along_axis(names, order, 1)
-        if (out := flush()) is not None:
-            yield out
+                if (curve[lo], number[lo]) != key:
+                    key, block, gids = (curve[lo], number[lo]), [], []
+                raw = b"".join(batch.column(5).slice(lo, hi - lo).to_pylist())
+                if role[lo] == 0:
+                    block.append(np.frombuffer(raw, np.int8).reshape(hi - lo, -1) * scale[lo:hi, None].astype(np.float32))
+                    gids.append(gid[lo:hi])
+                elif block:
+                    v, names = np.concatenate(block), np.concatenate(gids)
+                    block, gids = [v], [names]
+                    q = np.frombuffer(raw, np.float32).reshape(hi - lo, -1)
+                    for at in range(0, len(q), 1024):
+                        best.add(gid[lo + at : min(hi, lo + at + 1024)].tolist(), names, (q[at : at + 1024] @ v.T).astype(np.float64))
+                    if len(best.row) > HELD:
+                        yield best.flush()
+        if best.row:
+            yield best.flush()
 
     return run
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, curves: int = 8, dims: int = 10, bits: int = 6, window: float = 0.1, asked_at_once: int = 2048, seed: int = 7) -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, k: int = 20, curves: int = 32, dims: int = 12, bits: int = 3, window: int = 256, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row whose vec_id is divisible by ``every``."""
     rows = cut(usable(vectors))
     asks = F.col("vec_id") % every == 0
     points = rows.groupBy("embedding").agg(F.min("vec_id").alias("gid"), F.max(asks).alias("asked"))
     points = cut(points)
     n, top = points.agg(F.count("*"), F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)))).first()
-    reach = block = max(1, int(window * n))
-    blocks = max(1, -(-n // block))
-    groups = max(1, -(-3 * block // every // asked_at_once))
-    curved = points.select("gid", "embedding", "asked").mapInArrow(_curved(top or 1.0, curves, dims, bits, seed), "curve int, position long, role int, gid long, embedding array<double>")
+    blocks = max(1, -(-n // window))
+    curved = points.select("gid", "embedding", "asked").mapInArrow(_curved(top or 1.0, curves, dims, bits, seed), "curve int, position long, role int, gid long, scale double, code binary")
     ordered = curved.repartitionByRange("curve", "position", "gid", "role").sortWithinPartitions("curve", "position", "gid", "role")
-    ranked = cut(ordered.mapInArrow(_ranked, "curve int, position long, role int, gid long, embedding array<double>, part int, index long"))
+    ranked = cut(ordered.mapInArrow(_ranked, "curve int, position long, role int, gid long, scale double, code binary, part int, index long"))
     sizes = ranked.where("role = 0").groupBy("curve", "part").count()
     before = sizes.withColumn("before", F.coalesce(F.sum("count").over(Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("curve", "part", "before")
     # one row for each partition and curve: as many as tasks, not as rows; parts of queries alone follow their curve's last
     parts = ranked.select("curve", "part").distinct().join(before, ["curve", "part"], "left")
     parts = parts.withColumn("before", F.coalesce("before", F.max(F.col("before")).over(Window.partitionBy("curve").orderBy("part")), F.lit(0)))
-    placed = ranked.join(parts, ["curve", "part"]).withColumn("at", F.col("index") + F.col("before"))
-    data = placed.where("role = 0").select("curve", F.floor(F.col("at") / block).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("share"), F.lit(1).alias("role"), "gid", "embedding")
-    low = F.greatest(F.lit(0), F.floor((F.col("at") - reach) / block))
-    high = F.least(F.lit(blocks - 1), F.floor((F.col("at") + reach) / block))
-    asked = placed.where("role = 1").select("curve", F.explode(F.sequence(low, F.greatest(low, high))).alias("block"), F.pmod(F.xxhash64("gid"), F.lit(groups)).cast("int").alias("share"), F.lit(0).alias("role"), "gid", "embedding")
-    dealt = data.unionByName(asked).repartition("curve", "block", "share").sortWithinPartitions("curve", "block", "share", "role", "gid")
-    found = dealt.mapInArrow(_best(k + 1), "query long, gid long, score double")
-    merged = found.groupBy("query", "gid").agg(F.max("score").alias("score"))
-    best = merged.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "gid"))).where(F.col("place") <= k + 1).drop("place")
+    placed = ranked.join(parts, ["curve", "part"]).withColumn("block", F.least(F.floor((F.col("index") + F.col("before")) / window), F.lit(blocks - 1)))
+    near = F.filter(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1), lambda b: (b >= 0) & (b < blocks))
+    dealt = placed.select("curve", F.explode(F.when(F.col("role") == 0, F.array("block")).otherwise(near)).alias("block"), "role", "gid", "scale", "code")
+    dealt = dealt.repartition("curve", "block").sortWithinPartitions("curve", "block", "role", "gid")
+    found = dealt.mapInArrow(_best(k + 1 + SPARE), "query long, gid long, score double").groupBy("query", "gid").agg(F.max("score").alias("score"))
+    first = Window.partitionBy("query").orderBy(F.desc("score"), "gid")
+    few = found.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k + 1 + SPARE).select("query", "gid")
+    # one product for each pair, in one order
+    pairs = few.join(points.select(F.col("gid").alias("query"), F.col("embedding").alias("q")), "query").join(points.select("gid", F.col("embedding").alias("v")), "gid")
+    exact = pairs.select("query", "gid", F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x).alias("score"))
+    best = exact.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k + 1).drop("place")
     # each point stands for its k+1 smallest ids
     members = rows.join(points.select("embedding", "gid"), "embedding").select("gid", "vec_id")
     few = members.withColumn("place", F.row_number().over(Window.partitionBy("gid").orderBy("vec_id"))).where(F.col("place") <= k + 1).groupBy("gid").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))

@@ -290,7 +290,7 @@ def test_ann(spark):
     rows = [(i, x.tolist(), 1.0) for i, x in enumerate(v)]
     odd = [(5000, None, 1.0), (5001, [], 1.0), (5002, [0.0] * 16, 1.0), (5003, [float("nan")] * 16, 1.0), (5004, [None] + [1.0] * 15, 1.0), (5020, [1.0] * 3, 1.0), (None, [1.0] * 16, 1.0), (5, v[5].tolist(), 1.0)]
     found = collections.defaultdict(list)
-    for r in ann.search(spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, score double"), asked_at_once=10).collect():
+    for r in ann.search(spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, score double")).collect():
         found[r.query_id].append((r["rank"], r.vec_id, r.score))
     assert set(found) == set(range(0, 1500, 20))
     hit = 0
