@@ -177,7 +177,7 @@ def _best(k: int):
     return run
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, curves: int = 32, dims: int = 12, bits: int = 3, window: int = 256, seed: int = 7) -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, k: int = 20, curves: int = 72, dims: int = 12, bits: int = 3, window: int = 128, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row whose vec_id is divisible by ``every``."""
     rows = cut(usable(vectors))
     asks = F.col("vec_id") % every == 0
