@@ -71,15 +71,14 @@ def facts_block(entities: DataFrame, facts: DataFrame, relations: DataFrame, mos
     return rows.select("entity_id", F.concat(F.lit("实体="), "canonical_name", F.coalesce("facts", F.lit("")), F.coalesce("edges", F.lit(""))).alias("block"))
 
 
-def entity_search(questions: DataFrame, entities: DataFrame, blocks: DataFrame, limit: int = 5, most: int = 8) -> DataFrame:
+def entity_search(questions: DataFrame, entities: DataFrame, blocks: DataFrame, limit: int = 5) -> DataFrame:
     """question_id, entity_id, score, rank: entities whose name holds a token, the first ``max(2 limit, 8)`` by name, then scored by names and facts."""
-    from .retrieval import question_tokens, top_k
+    from .retrieval import first_holders, question_tokens, top_k
 
-    tokens = question_tokens(questions, most)
+    tokens = question_tokens(questions)
     names = entities.select("entity_id", F.lower("simple_name").alias("simple"), F.lower("canonical_name").alias("canonical"), "simple_name", "unresolved")
-    w = Window.partitionBy("question_id").orderBy("simple_name", "entity_id")
-    mentioned = names.join(tokens, F.contains(F.col("simple"), F.col("token")) | F.contains(F.col("canonical"), F.col("token"))).select("question_id", "entity_id", "simple_name").distinct()
-    first = mentioned.withColumn("n", F.row_number().over(w)).where(F.col("n") <= max(2 * limit, 8)).select("question_id", "entity_id")
+    short = names.select(F.col("entity_id").alias("id"), F.coalesce("simple", F.lit("")).alias("simple"), F.coalesce("canonical", F.lit("")).alias("canonical"), F.coalesce("simple_name", F.lit("")).alias("simple_name"))
+    first = first_holders(short, tokens, ["simple", "canonical"], "simple_name", max(2 * limit, 8)).select("question_id", F.col("id").alias("entity_id"))
     full = first.join(names, "entity_id").join(blocks, "entity_id").join(tokens, "question_id")
     hit = lambda c, x: F.when(F.contains(c, F.col("token")), x).otherwise(0.0)
     scored = full.groupBy("question_id", "entity_id", "unresolved").agg(F.sum(hit(F.col("simple"), 3.0) + hit(F.col("canonical"), 2.5) + hit(F.lower("block"), 1.0)).alias("s"))

@@ -7,8 +7,8 @@ Questions are a stated set (read once, broadcast only behind a row check by the
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,62 +18,134 @@ from ..functions import vocabulary as V
 
 try:
     import ahocorasick
-except ImportError:  # then the nested-loop join does the same
+except ImportError:  # then every token is looked for in turn
     ahocorasick = None
 
+#: (question, token) rows that are broadcast at a time; more questions take more passes over the documents.
 MOST_TOKENS = 200_000
 HIT = ["question_id", "channel", "evidence_type", "key", "concept_id", "title", "content", "path", "score"]
 
 
-def question_tokens(questions: DataFrame, most: int = 8) -> DataFrame:
-    """question_id, token: each question's tokens, the ``most`` longest (ties in alphabetical order)."""
-    ranked = F.array_sort(F.transform(T.tokens(F.col("question")), lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t"))))
-    return questions.select("question_id", F.explode(F.slice(F.transform(ranked, lambda s: s["t"]), 1, most)).alias("token"))
+def question_tokens(questions: DataFrame) -> DataFrame:
+    """question_id, token: all tokens of each question."""
+    return questions.select("question_id", F.explode(T.tokens(F.col("question"))).alias("token"))
 
 
-def like_scores(questions: DataFrame, docs: DataFrame, id_column: str, weights: dict[str, float], most: int = 8) -> DataFrame:
-    """question_id, id, score: the weights of the columns that hold a token, summed over tokens.
+def token_blocks(tokens: DataFrame) -> Iterator[list[tuple]]:
+    """The (question_id, token) rows in blocks of some ``MOST_TOKENS``, whole questions each."""
+    n = tokens.count()
+    blocks = -(-2 * n // MOST_TOKENS) if n > MOST_TOKENS else 1
+    for b in range(blocks):
+        mine = tokens if blocks == 1 else tokens.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b)
+        yield [(r.question_id, r.token) for r in mine.collect()]  # a block at a time
 
-    Substring matching has no key to join on. Up to ``MOST_TOKENS`` distinct tokens (a checked bound) become one automaton that
-    is broadcast, and each text is read once, whatever the number of tokens; beyond that, or without the library, documents and
-    tokens meet in a nested-loop join. Either way a document sums nothing until its (id, token) rows meet the questions.
+
+def finder(tokens: list[str]):
+    """A function that gives the numbers of the tokens that a text holds."""
+    if not ahocorasick:
+        return lambda text: {i for i, t in enumerate(tokens) if t in text}
+    automaton = ahocorasick.Automaton()
+    for i, t in enumerate(tokens):
+        automaton.add_word(t, i)
+    automaton.make_automaton()
+    return lambda text: {i for _, i in automaton.iter(text)} if tokens else set()
+
+
+def like_top(questions: DataFrame, docs: DataFrame, id_column: str, channels: dict[str, dict[str, float]], k: int) -> DataFrame:
+    """question_id, channel, id, score, rank: for each channel the k best documents of each question; a document scores the
+    weights of the channel's columns that hold a token, summed over the question's tokens.
+
+    Substring matching has no key to join on. The tokens of a block of questions become one automaton that is broadcast; each
+    task reads each text once for all channels and questions and keeps its k best of each, so that what is shuffled is bounded
+    by the questions. Ties go to the smaller id.
     """
-    tokens = question_tokens(questions, most)
-    distinct = tokens.select("token").distinct()
-    columns = {c: F.lower(F.coalesce(F.col(c), F.lit(""))).alias(f"_{c}") for c in weights}
-    rows = docs.select(F.col(id_column).alias("id"), *columns.values())
-    few = [r.token for r in distinct.limit(MOST_TOKENS + 1).collect()] if ahocorasick else []
-    if few and len(few) <= MOST_TOKENS:
-        scored = _found(rows, few, list(weights.values()))
-    else:
-        per = reduce(lambda a, b: a + b, (F.when(F.contains(F.col(f"_{c}"), F.col("token")), w).otherwise(0.0) for c, w in weights.items()))
-        matched = rows.join(distinct, reduce(lambda a, b: a | b, (F.contains(F.col(f"_{c}"), F.col("token")) for c in weights)))
-        scored = matched.select("id", "token", per.alias("s"))
-    return scored.join(tokens, "token").groupBy("question_id", "id").agg(F.sum("s").alias("score"))
-
-
-def _found(rows: DataFrame, tokens: list[str], weights: list[float]) -> DataFrame:
-    """id, token, s: each token that a text of a row holds, and the sum of the weights of the columns that hold it."""
-    held = rows.sparkSession.sparkContext.broadcast(tokens)
+    tokens = question_tokens(questions)
+    columns = list(dict.fromkeys(c for weights in channels.values() for c in weights))
+    rows = docs.select(F.col(id_column).alias("id"), *(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(f"_{c}") for c in columns))
+    kind, asked = rows.schema["id"].dataType.simpleString(), tokens.schema["question_id"].dataType.simpleString()
+    out = None
+    for block in token_blocks(tokens):
+        part = rows.mapInPandas(_best_of_task(spark_broadcast(rows, block), columns, channels, k), f"question_id {asked}, channel string, id {kind}, score double")
+        out = part if out is None else out.unionByName(part)
+    w = Window.partitionBy("question_id", "channel").orderBy(F.desc("score"), "id")
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def spark_broadcast(df: DataFrame, value):
+    return df.sparkSession.sparkContext.broadcast(value)
+
 
+def _best_of_task(held, columns: list[str], channels: dict[str, dict[str, float]], k: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = ahocorasick.Automaton()
-        for t in held.value:
-            automaton.add_word(t, t)
-        automaton.make_automaton()
+        names = list(dict.fromkeys(t for _, t in held.value))
+        number = {t: i for i, t in enumerate(names)}
+        ids = list(dict.fromkeys(q for q, _ in held.value))
+        place = {q: i for i, q in enumerate(ids)}
+        askers: list[list[int]] = [[] for _ in names]
+        for q, t in held.value:
+            askers[number[t]].append(place[q])
+        askers = [np.array(x, np.int64) for x in askers]
+        find = finder(names)
+        best: dict[str, pd.DataFrame] = {}
         for frame in frames:
-            ids, names, sums = [], [], []
-            for key, *texts in frame.itertuples(index=False):
-                got: dict[str, float] = {}
-                for text, w in zip(texts, weights, strict=True):
-                    for t in {t for _, t in automaton.iter(text)}:
-                        got[t] = got.get(t, 0.0) + w
-                ids.extend([key] * len(got))
-                names.extend(got)
-                sums.extend(got.values())
-            yield pd.DataFrame({"id": pd.Series(ids, dtype=frame["id"].dtype), "token": pd.Series(names, dtype="object"), "s": pd.Series(sums, dtype="float64")})
-
-    return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, token string, s double")
+            for at in range(0, len(frame), 512):
+                part = frame.iloc[at : at + 512]
+                sums = {c: np.zeros((len(part), len(ids))) for c in channels}
+                for j, c in enumerate(columns, 1):
+                    weights = [(sums[channel], w[c]) for channel, w in channels.items() if c in w]
+                    for i, text in enumerate(part.iloc[:, j]):
+                        for t in find(text):
+                            for total, weight in weights:
+                                total[i, askers[t]] += weight
+                for channel, total in sums.items():
+                    i, q = np.nonzero(total)
+                    new = pd.DataFrame({"q": q, "id": part["id"].to_numpy()[i], "score": total[i, q]})
+                    both = pd.concat([best[channel], new]) if channel in best else new
+                    both = both.sort_values(["q", "score", "id"], ascending=[True, False, True], kind="stable")
+                    best[channel] = both[both.groupby("q").cumcount() < k]
+        for channel, rows in best.items():
+            yield pd.DataFrame({"question_id": [ids[q] for q in rows["q"]], "channel": channel, "id": rows["id"].to_numpy(), "score": rows["score"].to_numpy()})
+
+    return run
+
+
+def first_holders(rows: DataFrame, tokens: DataFrame, columns: list[str], order: str, most: int) -> DataFrame:
+    """question_id, id, order: of the rows (id, lower-case columns, order) of which a column holds a token of the question, the first ``most`` of each question by order and id. Each task reads its texts once and keeps its first ones."""
+
+    def found(held):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names = list(dict.fromkeys(t for _, t in held.value))
+            number = {t: i for i, t in enumerate(names)}
+            ids = list(dict.fromkeys(q for q, _ in held.value))
+            place = {q: i for i, q in enumerate(ids)}
+            askers: list[list[int]] = [[] for _ in names]
+            for q, t in held.value:
+                askers[number[t]].append(place[q])
+            find = finder(names)
+            best = None
+            for frame in frames:
+                for at in range(0, len(frame), 512):
+                    part = frame.iloc[at : at + 512].sort_values(["order", "id"], kind="stable")
+                    holds = np.zeros((len(part), len(ids)), bool)
+                    for i, texts in enumerate(zip(*(part[c] for c in columns), strict=True)):
+                        for t in set().union(*map(find, texts)):
+                            holds[i, askers[t]] = True
+                    i, q = np.nonzero(holds & (np.cumsum(holds, axis=0) <= most))
+                    new = pd.DataFrame({"q": q, "id": part["id"].to_numpy()[i], "order": part["order"].to_numpy()[i]})
+                    both = (pd.concat([best, new]) if best is not None else new).sort_values(["q", "order", "id"], kind="stable")
+                    best = both[both.groupby("q").cumcount() < most]
+            if best is not None:
+                yield pd.DataFrame({"question_id": [ids[q] for q in best["q"]], "id": best["id"].to_numpy(), "order": best["order"].to_numpy()})
+
+        return run
+
+    kind, asked, out = rows.schema["id"].dataType.simpleString(), tokens.schema["question_id"].dataType.simpleString(), None
+    rows = rows.select("id", *columns, F.col(order).alias("order"))
+    for block in token_blocks(tokens):
+        part = rows.mapInPandas(found(spark_broadcast(rows, block)), f"question_id {asked}, id {kind}, order string")
+        out = part if out is None else out.unionByName(part)
+    w = Window.partitionBy("question_id").orderBy("order", "id")
+    return out.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).drop("n")
 
 
 def top_k(scores: DataFrame, k: int, *ties: str) -> DataFrame:
@@ -86,18 +158,24 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{Nd}]+"), lambda w: w != "")
 
 
-def fts_match(questions: DataFrame, docs: DataFrame, id_column: str, column: str, most_terms: int = 4) -> DataFrame:
-    """question_id, id, score: documents that hold all of a question's terms (its ``most_terms`` longest), ranked by 0.1 for each occurrence of a term.
+def fts_match(questions: DataFrame, docs: DataFrame, id_column: str, column: str) -> DataFrame:
+    """question_id, id, score: documents that hold all of a question's different terms, ranked by 0.1 for each occurrence of one.
 
-    An inverted-index join: terms meet the documents' distinct words by equality, then a count per pair decides.
+    Each question meets the documents through its rarest term (by document counts), then all its terms are looked up in
+    each of these documents' words; a frequent term joins nothing.
     """
-    ranked = F.array_sort(F.transform(F.array_distinct(words_of(F.col("question"))), lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t"))))
-    terms = questions.select("question_id", F.slice(F.transform(ranked, lambda s: s["t"]), 1, most_terms).alias("terms")).where(F.size("terms") > 0)
-    wanted = terms.select("question_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("word"))
-    words = docs.select(F.col(id_column).alias("id"), F.explode(words_of(F.col(column))).alias("word")).join(wanted.select("word").distinct(), "word", "left_semi")
-    counts = words.groupBy("id", "word").agg(F.count("*").alias("n"))
-    found = counts.join(wanted, "word").groupBy("question_id", "id", "n_terms").agg(F.count("*").alias("hit"), F.sum("n").alias("n"))
-    return found.where("hit = n_terms").select("question_id", "id", (F.col("n") * 0.1).alias("score"))
+    words = docs.select(F.col(id_column).alias("id"), words_of(F.col(column)).alias("words"))
+    terms = questions.select("question_id", F.array_distinct(words_of(F.col("question"))).alias("terms")).where(F.size("terms") > 0)
+    wanted = terms.select("question_id", F.explode("terms").alias("word"))
+    each = words.select("id", F.explode(F.array_distinct("words")).alias("word")).join(wanted.select("word").distinct(), "word", "left_semi")
+    held = each.groupBy("word").agg(F.count("*").alias("n"))
+    rarest = wanted.join(held, "word", "left").groupBy("question_id").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("word"), F.min(F.coalesce("n", F.lit(0))).alias("n")).where("n > 0")
+    pairs = each.join(rarest.select("question_id", "word"), "word").select("question_id", "id")
+    met = words.join(pairs, "id").join(terms, "question_id")
+    # pairs are few for each document and hold all terms or go
+    whole = met.where(F.size(F.array_except("terms", "words")) == 0)
+    n = F.size(F.filter("words", lambda w: F.array_contains("terms", w)))
+    return whole.select("question_id", "id", (n * 0.1).alias("score"))
 
 
 def rewrite(questions: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
@@ -174,14 +252,57 @@ def keep_relevant(hits: DataFrame) -> DataFrame:
     return hits.withColumn("_some", some).where(F.col("relevant") | (F.col("_some") == 0)).drop("_some")
 
 
+#: Values of query vectors that are broadcast at a time.
+MOST_VALUES = 8_000_000
+
+
 def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int, places: int = 9) -> DataFrame:
-    """question_id, id, score, rank: the k vectors of the largest cosine for each query (question_id, embedding). Norms are taken once per vector; products run in the JVM and each task keeps its k best before the shuffle."""
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x))
-    left = queries.select("question_id", F.col("embedding").alias("q"), norm("embedding").alias("nq")).where(F.col("nq") > 0)
-    right = vectors.select("id", F.col("embedding").alias("v"), norm("embedding").alias("nv")).where(F.col("nv") > 0)
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda a, x: a + x)
-    pairs = right.join(left, F.size("q") == F.size("v"))
-    return top_k(pairs.select("question_id", "id", F.round(dot / (F.col("nq") * F.col("nv")), places).alias("score")), k, "id")
+    """question_id, id, score, rank: the k vectors of the largest cosine for each query (question_id, embedding); vectors of another width don't meet, those without a norm take no part.
+
+    The queries are a stated set: blocks of at most ``MOST_VALUES`` numbers are broadcast, each task multiplies its vectors with
+    a block and keeps the k best of each query, so the vectors themselves are never shuffled.
+    """
+    usable = lambda df, name: df.select(F.col(name).alias("id"), F.col("embedding").cast("array<double>").alias("v")).where("v is not null and size(v) > 0 and forall(v, x -> x is not null) and exists(v, x -> x != 0)")
+    left, right = usable(queries, "question_id"), usable(vectors, "id")
+    kind, asked = right.schema["id"].dataType.simpleString(), left.schema["id"].dataType.simpleString()
+    n = left.agg(F.sum(F.size("v"))).first()[0] or 0
+    blocks, out = max(1, -(-2 * n // MOST_VALUES) if n > MOST_VALUES else 1), None
+    for b in range(blocks):
+        mine = left if blocks == 1 else left.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
+        part = right.mapInPandas(_nearest_of_task(spark_broadcast(right, [(r.id, r.v) for r in mine.collect()]), k, places), f"question_id {asked}, id {kind}, score double")
+        out = part if out is None else out.unionByName(part)
+    return top_k(out, k, "id")
+
+
+def _nearest_of_task(held, k: int, places: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        widths: dict[int, list] = {}
+        for q, v in held.value:
+            widths.setdefault(len(v), []).append((q, v))
+        asked = {w: ([q for q, _ in rows], _unit(np.array([v for _, v in rows]))) for w, rows in widths.items()}
+        best: dict[int, pd.DataFrame] = {}
+        for frame in frames:
+            width = frame["v"].map(len)
+            for w, (_, q) in asked.items():
+                rows = frame[width == w]
+                for at in range(0, len(rows), 2048):
+                    part = rows.iloc[at : at + 2048]
+                    scores = np.round(q @ _unit(np.stack(part["v"])).T, places)
+                    few = np.argsort(-scores, axis=1, kind="stable")[:, :k] if len(part) <= k else np.argpartition(-scores, k - 1, axis=1)[:, :k]
+                    least = np.take_along_axis(scores, few, 1).min(1)
+                    i, j = np.nonzero(scores >= least[:, None])  # equal scores all stay, the ids decide
+                    new = pd.DataFrame({"q": i, "id": part["id"].to_numpy()[j], "score": scores[i, j]})
+                    both = pd.concat([best[w], new]) if w in best else new
+                    both = both.sort_values(["q", "score", "id"], ascending=[True, False, True], kind="stable")
+                    best[w] = both[both.groupby("q").cumcount() < k]
+        for w, rows in best.items():
+            yield pd.DataFrame({"question_id": [asked[w][0][q] for q in rows["q"]], "id": rows["id"].to_numpy(), "score": rows["score"].to_numpy()})
+
+    return run
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
 def best_chunk(hits: DataFrame) -> DataFrame:

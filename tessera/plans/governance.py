@@ -247,7 +247,7 @@ def facts_block(spark: SparkSession, sf: str) -> DataFrame:
 SEARCH = "p_partkey AS question_id, CASE WHEN p_partkey % 2 = 0 THEN lower(p_name) ELSE 'mode ' || p_brand END AS question"
 
 
-@query(f"""WITH {BLOCK_SQL}, tok AS (SELECT DISTINCT question_id, token FROM (SELECT question_id, unnest(regexp_extract_all(lower(question), '[a-z0-9=_-]{{2,}}')) AS token FROM (SELECT {SEARCH} FROM part WHERE p_partkey % 40 = 0 AND p_partkey % 2 = 0))),
+@query(f"""WITH {BLOCK_SQL}, tok AS (SELECT DISTINCT question_id, token FROM (SELECT question_id, unnest(regexp_extract_all(lower(question), '[a-z0-9=_-]{{2,}}')) AS token FROM (SELECT {SEARCH} FROM part))),
  m AS (SELECT DISTINCT question_id, entity_id, simple_name FROM tok, entities WHERE contains(lower(simple_name), token) OR contains(lower(canonical_name), token)),
  first AS (SELECT question_id, entity_id FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY simple_name, entity_id) AS n FROM m) WHERE n <= 10),
  s AS (SELECT question_id, entity_id, unresolved, sum(CASE WHEN contains(lower(simple_name), token) THEN 3.0 ELSE 0 END + CASE WHEN contains(lower(canonical_name), token) THEN 2.5 ELSE 0 END + CASE WHEN contains(lower(block), token) THEN 1.0 ELSE 0 END) AS s FROM first JOIN entities USING (entity_id) JOIN blocks USING (entity_id) JOIN tok USING (question_id) GROUP BY ALL),
@@ -255,5 +255,5 @@ SEARCH = "p_partkey AS question_id, CASE WHEN p_partkey % 2 = 0 THEN lower(p_nam
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, entity_id)::INT AS rank FROM w WHERE score > 0) WHERE rank <= 5""")
 def entity_search(spark: SparkSession, sf: str) -> DataFrame:
     e, b = blocks(spark, sf)
-    q = spark.sql(f"SELECT {SEARCH} FROM {{p}} WHERE p_partkey % 40 = 0 AND p_partkey % 2 = 0", p=table(spark, sf, "part"))
+    q = spark.sql(f"SELECT {SEARCH} FROM {{p}}", p=table(spark, sf, "part"))
     return graph.entity_search(q, e, b)

@@ -26,7 +26,7 @@ SQL_CAMEL = "flatten(list_transform(regexp_extract_all(question, '[A-Z][A-Za-z0-
 SQL_TOKENS = f"""tokens AS (SELECT question_id, question, list_distinct_ordered AS tokens FROM (SELECT question_id, question, list_reduce(list_transform(list_concat(
  list_transform(regexp_extract_all(question, '[A-Za-z0-9_./-]+\\.[A-Za-z0-9_./-]+'), lambda x: lower(x)), list_transform(regexp_extract_all(question, '[A-Za-z][A-Za-z0-9_-]*(?:\\.[A-Za-z0-9_-]+)+'), lambda x: lower(x)),
  {SQL_CAMEL}, regexp_extract_all(lower(question), '[A-Za-z0-9=_-]{{2,}}'), {SQL_GRAMS}), lambda x: [x]), lambda a, x: CASE WHEN list_contains(a, x[1]) THEN a ELSE list_concat(a, x) END) AS list_distinct_ordered FROM questions))"""
-SQL_TOP_TOKENS = "picked AS (SELECT question_id, token FROM (SELECT question_id, token, row_number() OVER (PARTITION BY question_id ORDER BY length(token) DESC, token) AS n FROM (SELECT question_id, unnest(tokens) AS token FROM tokens)) WHERE n <= 8)"
+SQL_TOP_TOKENS = "picked AS (SELECT question_id, unnest(tokens) AS token FROM tokens)"
 
 
 @query(f"WITH {sql_views('questions')}, {SQL_TOKENS} SELECT question_id, array_to_string(tokens, ' ') AS tokens, len(tokens)::INT AS n FROM tokens")
@@ -57,7 +57,7 @@ CONTRIBUTION = {"question_text": 3.0, "answer_text": 4.0}
 
 
 def _channel(spark: SparkSession, sf: str, docs: DataFrame, key: str, weights: dict[str, float], k: int = 8) -> DataFrame:
-    return R.top_k(R.like_scores(view(spark, sf, "questions"), docs, key, weights), k, "id").select("question_id", "id", "score", "rank")
+    return R.like_top(view(spark, sf, "questions"), docs, key, {"channel": weights}, k).select("question_id", "id", "score", "rank")
 
 
 def _like_sql(docs_cte: str, docs: str, key: str, weights: dict[str, float], k: int = 8) -> str:
@@ -100,7 +100,7 @@ def contribution_like_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SQL_WORDS = "list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{Nd}}]+'), lambda w: w <> '')"
-FTS_SQL = f"""terms AS (SELECT question_id, word, count(*) OVER (PARTITION BY question_id) AS n_terms FROM (SELECT question_id, word, row_number() OVER (PARTITION BY question_id ORDER BY length(word) DESC, word) AS n FROM (SELECT DISTINCT question_id, unnest({SQL_WORDS.format(c='question')}) AS word FROM questions)) WHERE n <= 4),
+FTS_SQL = f"""terms AS (SELECT question_id, word, count(*) OVER (PARTITION BY question_id) AS n_terms FROM (SELECT DISTINCT question_id, unnest({SQL_WORDS.format(c='question')}) AS word FROM questions)),
  held AS (SELECT id, word, count(*) AS n FROM (SELECT doc_id AS id, unnest({SQL_WORDS.format(c="coalesce(text, '')")}) AS word FROM documents) WHERE word IN (SELECT word FROM terms) GROUP BY ALL),
  fts AS (SELECT question_id, id, sum(n) * 0.1 AS score FROM held JOIN terms USING (word) GROUP BY question_id, id, n_terms HAVING count(*) = n_terms)"""
 
@@ -125,13 +125,9 @@ def channel_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hits(spark: SparkSession, sf: str, k: int = 8) -> DataFrame:
-    """The reference-key and the chunk channel."""
-    parts = [("refkey", REFKEY), ("article_chunk_fts", CHUNK)]
-    out = None
-    for channel, weights in parts:
-        part = _channel(spark, sf, view(spark, sf, "articles"), "article_key", weights, k).select("question_id", F.lit(channel).alias("channel"), F.lit("ARTICLE").alias("evidence_type"), F.col("id").alias("key"), "score", "rank")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """The reference-key and the chunk channel, in one pass over the articles."""
+    found = R.like_top(view(spark, sf, "questions"), view(spark, sf, "articles"), "article_key", {"refkey": REFKEY, "article_chunk_fts": CHUNK}, k)
+    return found.select("question_id", "channel", F.lit("ARTICLE").alias("evidence_type"), F.col("id").alias("key"), "score", "rank")
 
 
 def _hits_sql() -> str:
