@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import vocabulary as V
 
+# --- fixed values: the patterns of tokens ---------------------------------------------------------------------------------
 PATH = r"[A-Za-z0-9_./-]+\.[A-Za-z0-9_./-]+"
 CONFIG_KEY = r"[A-Za-z][A-Za-z0-9_-]*(?:\.[A-Za-z0-9_-]+)+"
 CAMEL = r"[A-Z][A-Za-z0-9]+(?:[A-Z][A-Za-z0-9]+)+"
@@ -52,15 +53,17 @@ def tokens(question: Column) -> Column:
     return F.array_distinct(F.concat(lower_all(found(q, PATH)), lower_all(found(q, CONFIG_KEY)), camel, found(F.lower(q), ASCII), han_grams(q)))
 
 
+def after_comparison(q: Column) -> Column:
+    """What follows the first mark of a comparison, if anything does."""
+    at = F.instr(q, V.COMPARISON_MARK)
+    return F.when((at > 0) & (at - 1 < F.length(q) - 2), F.trim(F.substring(q, at + 2, F.length(q)))).otherwise(q)
+
+
 def focus(question: Column) -> Column:
-    """The part of a question that names its subject."""
-    q = F.trim(F.coalesce(question, F.lit("")))
-    at = F.instr(q, "对比")
-    q = F.when((at > 0) & (at - 1 < F.length(q) - 2), F.trim(F.substring(q, at + 2, F.length(q)))).otherwise(q)
-    for phrase in ("有什么区别", "区别是什么", "的关键结论是什么"):
-        q = F.replace(q, F.lit(phrase), F.lit(""))
-    q = F.regexp_replace(q, "[？?。！!]+$", "")
-    return F.trim(F.regexp_replace(F.trim(F.regexp_replace(q, "是什么$", "")), "吗$", ""))
+    """The part of a question that names its subject: fixed phrases and endings go."""
+    q = reduce(lambda x, phrase: F.replace(x, F.lit(phrase), F.lit("")), V.SUBJECT_PHRASES, after_comparison(F.trim(F.coalesce(question, F.lit("")))))
+    first, *rest = V.SUBJECT_ENDINGS
+    return reduce(lambda x, ending: F.trim(F.regexp_replace(x, ending, "")), rest, F.regexp_replace(q, first, ""))
 
 
 def is_special(t: Column) -> Column:
@@ -141,11 +144,8 @@ def task_type(question: Column) -> Column:
 def split_question(question: Column) -> Column:
     """Up to three partial questions; none for a plain question."""
     q = F.trim(F.coalesce(question, F.lit("")))
-    at = F.instr(q, "对比")
-    subject = F.when((at > 0) & (at - 1 < F.length(q) - 2), F.trim(F.substring(q, at + 2, F.length(q)))).otherwise(q)
-    for phrase in ("有什么区别", "区别是什么"):
-        subject = F.replace(subject, F.lit(phrase), F.lit(""))
-    subject = F.replace(F.trim(F.regexp_replace(subject, "[？?。！!]+$", "")), F.lit("对比"), F.lit("和"))
+    subject = reduce(lambda x, phrase: F.replace(x, F.lit(phrase), F.lit("")), V.SUBJECT_PHRASES[:2], after_comparison(q))
+    subject = F.replace(F.trim(F.regexp_replace(subject, V.SUBJECT_ENDINGS[0], "")), F.lit(V.COMPARISON_MARK), F.lit("和"))
     parts = F.filter(F.transform(F.split(subject, "和|与|以及"), lambda x: F.trim(x)), lambda p: F.length(p) > 0)
     compared = F.transform(parts, lambda p: F.concat(p, F.lit(" 的关键结论是什么")))
     both = F.array(F.concat(F.trim(F.replace(q, F.lit("如何"), F.lit(""))), F.lit(" 的原因")), F.concat(F.trim(F.replace(q, F.lit("为什么"), F.lit(""))), F.lit(" 的做法")))
@@ -212,3 +212,43 @@ def with_review_status(markdown: Column, status: Column) -> Column:
 def prompt_cut(prompt: Column, system: Column, budget: int) -> Column:
     room = F.greatest(F.lit(0), F.lit(budget) - F.length(system) - 200)
     return F.substring(prompt, F.lit(1), room)
+
+
+def clamp(limit: int, default: int, most: int) -> int:
+    """A caller's limit: the default where it is not positive, at most ``most``."""
+    return default if limit <= 0 else min(limit, most)
+
+
+def vector_literal(values: Column) -> Column:
+    """``[x,y,...]`` of an array of numbers; null for none."""
+    return F.when(F.size(values) > 0, F.concat(F.lit("["), F.array_join(F.transform(values, lambda x: x.cast("string")), ","), F.lit("]")))
+
+
+def vector_of(literal: Column) -> Column:
+    """The array of a vector literal; null where it isn't one."""
+    bare = F.regexp_extract(F.trim(literal), r"^\[(.*)\]$", 1)
+    return F.when(bare != "", F.transform(F.split(bare, ","), lambda x: F.trim(x).cast("double")))
+
+
+def json_has(array: Column, kind: str, name: str, value: Column) -> Column:
+    """Whether a JSON array of objects (its schema: kind) has one whose field ``name`` is value."""
+    return F.coalesce(F.exists(F.from_json(array, kind), lambda e: e[name].eqNullSafe(value)), F.lit(False))
+
+
+def json_append(array: Column, kind: str, element: Column) -> Column:
+    """The JSON array with one object more; null and what doesn't parse count as empty."""
+    old = F.coalesce(F.from_json(array, kind), F.from_json(F.lit("[]"), kind))
+    return F.to_json(F.concat(old, F.array(element)))
+
+
+def json_remove(array: Column, kind: str, name: str, value: Column) -> Column:
+    """The JSON array without the objects whose field ``name`` is value."""
+    old = F.coalesce(F.from_json(array, kind), F.from_json(F.lit("[]"), kind))
+    return F.to_json(F.filter(old, lambda e: ~e[name].eqNullSafe(value)))
+
+
+def unfenced(text: Column) -> Column:
+    """The body of the first code fence of a text; the text itself where no whole fence stands in it."""
+    bare = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", ""))
+    body = F.regexp_extract(bare, r"(?s)```[^\n]*\n(.*?)```", 1)
+    return F.when(bare.rlike(r"(?s)```[^\n]*\n.*?```"), F.regexp_replace(body, r"^\s+|\s+$", "")).otherwise(bare)

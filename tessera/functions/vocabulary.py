@@ -40,3 +40,22 @@ SKIP_DIRS = [".git", "target", "dist", "node_modules"]
 INGEST_CHARS = 65536
 NAME_SCORES = [("overview.", 100), ("readme.", 95), ("architecture.", 85), ("domain.", 80), ("design.", 75), ("api.", 70), ("config.", 60)]
 BINARY_ENDINGS = [".png", ".jpg", ".jpeg", ".gif", ".pdf", ".zip", ".mp4", ".mov"]
+
+# --- fixed values: questions and evidence that are accepted beside the general rule -----------------------------------
+FLOW_QUESTIONS = ["流程", "链路", "步骤", "怎么跑", "怎么走", "运行路径"]
+FLOW_SIGNALS = ["主链路", "链路", "流程", "source sync", "compile graph", "query graph", "pending_queries", "contributions", "资料先进入", "再进入编译层", "提交问题", "启动问答链路"]
+CAPABILITY_QUESTIONS = ["支持", "接入", "入口", "方式", "能力", "有哪些"]
+CAPABILITY_TOPICS = ["开发", "接入", "入口", "方式", "能力", "api", "cli", "mcp", "http", "web", "sdk"]
+CAPABILITY_SIGNALS = ["api", "cli", "mcp", "http", "web", "sdk", "入口", "接入"]
+LIST_SEPARATORS = ["、", " / ", "·"]
+UPKEEP_ANCHORS = ["trans-job", "xxljob", "补偿"]
+UPKEEP_ACTIONS = ["维护", "动作", "执行", "任务"]
+UPKEEP_TOKENS = ["trans", "xxljob", "job", "bogo", "买一赠一", "补偿"]
+
+# --- fixed values: what a subject's question is stripped of -------------------------------------------------------------
+COMPARISON_MARK = "对比"
+SUBJECT_PHRASES = ["有什么区别", "区别是什么", "的关键结论是什么"]
+SUBJECT_ENDINGS = ["[？?。！!]+$", "是什么$", "吗$"]
+
+# --- fixed values: marks of repaired answers ----------------------------------------------------------------------------
+NO_EVIDENCE = "当前证据不足"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 from collections.abc import Iterator
 
@@ -45,22 +47,28 @@ def groups(files: DataFrame, rules: list[tuple[str, str]] = ()) -> DataFrame:
 
 
 def batches(files: DataFrame, most: int = 40_000) -> DataFrame:
-    """source_id, path, batch: files of a source in their order, a new batch where the characters would exceed ``most``. A fold over one source's lengths (not its texts)."""
-    ordered = ranked_files(files).select("source_id", "path", "place", F.length("content").alias("n"))
-    rows = ordered.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("place", "path", "n"))).alias("files"))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("used"), F.array().cast("array<int>").alias("out"))
+    """source_id, path, batch: files of a source in their order, a new batch where the characters would exceed ``most``. One pass over each source's sorted lengths (not its texts), which holds a running sum alone."""
+    ordered = files.select("source_id", "path", file_score(F.col("path"), F.col("content")).alias("score"), F.lower("path").alias("low"), F.length("content").alias("n"))
+    sorted_ = ordered.repartition("source_id").sortWithinPartitions("source_id", F.desc("score"), "low", "path").select("source_id", "path", "n")
 
-    def step(acc: Column, f: Column) -> Column:
-        full = (acc["used"] > 0) & (acc["used"] + f["n"] > most)
-        batch = F.when(full, acc["batch"] + 1).otherwise(acc["batch"])
-        return F.struct(batch.alias("batch"), F.when(full, f["n"]).otherwise(acc["used"] + f["n"]).alias("used"), F.array_append(acc["out"], batch).alias("out"))
+    def numbered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        source, batch, used = None, 0, 0
+        for frame in frames:
+            out = []
+            for s, n in zip(frame["source_id"], frame["n"], strict=True):
+                if s != source:
+                    source, batch, used = s, 0, 0
+                if used > 0 and used + n > most:
+                    batch, used = batch + 1, 0
+                used += n
+                out.append(batch)
+            yield pd.DataFrame({"source_id": frame["source_id"], "path": frame["path"], "batch": out})
 
-    numbered = rows.select("source_id", "files", F.aggregate("files", start, step, lambda a: a["out"]).alias("numbers"))
-    return numbered.select("source_id", F.explode(F.arrays_zip("files", "numbers")).alias("z")).select("source_id", F.col("z.files.path").alias("path"), F.col("z.numbers").alias("batch"))
+    return sorted_.mapInPandas(numbered, f"source_id {files.schema['source_id'].dataType.simpleString()}, path string, batch int")
 
 
 def batch_hash(rows: DataFrame) -> DataFrame:
-    """source_id, batch, digest of group, number and paths."""
+    """source_id, batch, digest of source, number and paths. A batch holds at most so many characters of text, so its paths are few."""
     joined = F.array_join(F.array_sort(F.collect_list("path")), ":")
     return rows.groupBy("source_id", "batch").agg(F.sha2(F.concat_ws(":", F.first("source_id").cast("string"), F.first("batch").cast("string"), joined), 256).alias("digest"))
 
@@ -76,13 +84,40 @@ def top_keywords(files: DataFrame, most: int = 12) -> DataFrame:
 
 
 def fingerprints(files: DataFrame) -> DataFrame:
-    """source_id, files, path_hash, manifest_hash, profile. Each file's own hash is taken before the shuffle."""
+    """source_id, files, path_hash, manifest_hash, profile. Each file's own hash is taken before the shuffle; a source's sorted lines then pass through two running hashes, so none is gathered."""
     rows = files.select("source_id", "path", F.sha2("content", 256).alias("digest"), T.ends_with_any(F.lower("path"), V.BINARY_ENDINGS).cast("long").alias("binary"))
-    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256)
-    out = rows.groupBy("source_id").agg(F.count("*").alias("files"), joined(F.col("path")).alias("path_hash"), joined(F.concat_ws(":", "path", "digest")).alias("manifest_hash"), F.sum("binary").alias("binary"))
+    counts = rows.groupBy("source_id").agg(F.count("*").alias("files"), F.sum("binary").alias("binary"))
+
+    def hashed(column: str, name: str) -> DataFrame:
+        lines = rows.select("source_id", F.col("path") if column == "path" else F.concat_ws(":", "path", "digest")).toDF("source_id", "line")
+        kind = f"source_id {files.schema['source_id'].dataType.simpleString()}, {name} string"
+        return lines.repartition("source_id").sortWithinPartitions("source_id", "line").mapInPandas(_running_hash(name), kind)
+
+    out = counts.join(hashed("path", "path_hash"), "source_id").join(hashed("digest", "manifest_hash"), "source_id")
     return out.select("source_id", "files", "path_hash", "manifest_hash", T.content_profile(F.col("files"), F.col("binary")).alias("profile"))
 
 
+def _running_hash(name: str):
+    """The SHA-256 of each source's lines, which come sorted."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        source, h = None, None
+        for frame in frames:
+            done = []
+            for s, line in zip(frame["source_id"], frame["line"], strict=True):
+                if h is None or s != source:
+                    if h is not None:
+                        done.append((source, h.hexdigest()))
+                    source, h = s, hashlib.sha256(line.encode())
+                else:
+                    h.update(b"\n" + line.encode())
+            yield pd.DataFrame(done, columns=["source_id", name])
+        if h is not None:
+            yield pd.DataFrame([(source, h.hexdigest())], columns=["source_id", name])
+
+    return run
+
+
 ORDERED = re.compile(r"\d+\.\s+.*")
 BREAK = re.compile("\r\n|[\n\v\f\r\x85\u2028\u2029]")
 
@@ -251,7 +286,11 @@ def decide_sources(bundles: DataFrame, sources: DataFrame) -> DataFrame:
     s = usable.select("source_id", "ordinal", T.ascii_slug(F.col("name")).alias("s_name"), F.col("path_hash").alias("s_path"), F.col("manifest_hash").alias("s_manifest"), F.col("tops").alias("s_tops"), T.ascii_slug(F.col("summary")).alias("s_summary"))
     keyed = lambda df, side: df.select("*", F.explode(F.array_distinct(F.concat(F.array(F.concat(F.lit("n"), f"{side}_name"), F.concat(F.lit("p"), F.coalesce(f"{side}_path", F.lit(""))), F.concat(F.lit("m"), F.coalesce(f"{side}_manifest", F.lit("")))), F.transform(slugs(F.col(f"{side}_tops")), lambda t: F.concat(F.lit("t"), t))))).alias("k"))
     by_key = keyed(b, "b").join(keyed(s, "s"), "k").drop("k")
-    by_summary = b.join(s, (F.col("b_name") != "") & F.contains("s_summary", F.col("b_name")))
+    # a summary that holds a name: the names as tokens of one automaton, each summary read once
+    from .retrieval import holders
+
+    found = holders(s.select(F.col("source_id").alias("id"), "s_summary"), b.where("b_name != ''").select(F.col("bundle_id").alias("question_id"), F.col("b_name").alias("token")), ["s_summary"])
+    by_summary = found.toDF("bundle_id", "source_id").join(b, "bundle_id").join(s, "source_id").select(*by_key.columns)
     pairs = by_key.unionByName(by_summary).dropDuplicates(["bundle_id", "source_id"])
     same_tops = (F.size("s_tops") > 0) & (F.col("s_tops") == F.col("b_tops"))
     common = F.size(F.filter(slugs(F.col("s_tops")), lambda t: F.array_contains(slugs(F.col("b_tops")), t)))
@@ -269,3 +308,33 @@ def decide_sources(bundles: DataFrame, sources: DataFrame) -> DataFrame:
     decision = F.when(F.col("skip").isNotNull(), "SKIP").when(F.coalesce("score", F.lit(0)) < 40, "NEW_SOURCE").when(strong & F.col("update"), "EXISTING_SOURCE_UPDATE").when(strong, "EXISTING_SOURCE_APPEND").otherwise("AMBIGUOUS")
     source = F.when(F.col("skip").isNotNull(), F.col("skip")).when(F.coalesce("score", F.lit(0)) >= 40, F.col("source_id"))
     return rows.select("bundle_id", decision.alias("decision"), source.alias("source_id"), F.coalesce("score", F.lit(0)).alias("best"), F.coalesce(gap, F.lit(0)).alias("gap"))
+
+
+def whole_objects(text: str, at: int) -> Iterator[str]:
+    """The objects of a JSON array whose first one begins at or after ``at``, as far as they are whole."""
+    reader = json.JSONDecoder()
+    while (m := re.compile(r"[\s,]*(?=\{)").match(text, at)) is not None:
+        try:
+            _, end = reader.raw_decode(text, m.end())
+        except ValueError:
+            return
+        yield text[m.end() : end]
+        at = end
+
+
+def salvage(replies: DataFrame) -> DataFrame:
+    """group, concept_id, title, description of the whole concept objects that cut-off or fenced replies (group, reply) hold under ``concepts``."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for group, text in zip(frame["group"], frame["reply"], strict=True):
+                at = text.find('"concepts"')
+                begin = text.find("[", at) if at >= 0 else -1
+                for raw in whole_objects(text, begin + 1) if begin >= 0 else ():
+                    concept = json.loads(raw)
+                    if concept.get("id"):
+                        out.append((group, str(concept["id"]), str(concept.get("title") or concept["id"]), str(concept.get("description") or "")))
+            yield pd.DataFrame(out, columns=["group", "concept_id", "title", "description"])
+
+    return replies.select("group", T.unfenced(F.col("reply")).alias("reply")).mapInPandas(run, "group string, concept_id string, title string, description string")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import vocabulary as V
 
 # --- fixed values: literals of citations, sections without claims, hard facts -----------------------------------------
 ARTICLE = r"\[\[(?!→\s*)([^\]|]+)(?:\|[^\]]+)?\]\]"
@@ -143,8 +144,8 @@ def direct_line(text: Column) -> Column:
 
 
 def validate(cited: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Adds overlap and status to citations (claim, kind, target): NOT_FOUND, SKIPPED, VERIFIED or DEMOTED. evidence: kind, target, text."""
-    rows = cited.withColumn("_facts", hard_facts(without_citations(F.col("claim")))).join(evidence.select("kind", "target", F.col("text").alias("_text")), ["kind", "target"], "left")
+    """Adds overlap and status to citations (claim, kind, target): NOT_FOUND, SKIPPED, VERIFIED or DEMOTED. evidence: kind, target, text; of several texts of a target the smallest counts."""
+    rows = cited.withColumn("_facts", hard_facts(without_citations(F.col("claim")))).join(evidence.groupBy("kind", "target").agg(F.min("text").alias("_text")), ["kind", "target"], "left")
     shared = F.size(F.array_intersect("_facts", evidence_tokens(F.col("_text"))))
     overlap = F.when(F.size("_facts") > 0, shared / F.size("_facts")).otherwise(0.0)
     claim = direct_line(F.col("claim"))
@@ -184,8 +185,33 @@ def nearest_citation(claim_rows: DataFrame, checked: DataFrame, key: str = "answ
     return rows.where("cited IS NULL").select(key, "claim_index", near.alias("literal")).where("literal IS NOT NULL")
 
 
-def needs_repair(reports: DataFrame, least: float = 0.6) -> DataFrame:
-    return reports.withColumn("repair", (F.col("demoted") > 0) | (F.col("coverage") < least))
+def needs_repair(reports: DataFrame, least: float = 0.6, rounds: int = 1, done: int = 0) -> DataFrame:
+    """Adds repair to reports (demoted, coverage and, if projections were checked, mismatches), unless ``rounds`` are done."""
+    wrong = F.coalesce("mismatches", F.lit(0)) > 0 if "mismatches" in reports.columns else F.lit(False)
+    return reports.withColumn("repair", F.lit(done < rounds) & ((F.col("demoted") > 0) | (F.col("coverage") < least) | wrong))
+
+
+def repair_claims(claim_rows: DataFrame, checked: DataFrame, key: str = "answer_id") -> DataFrame:
+    """key, claim_index, claim: claims after one round of repair. checked: key, claim_index, ordinal, literal, status.
+
+    A failed citation goes where the claim keeps a verified one; a claim that has none left, or had none, takes the nearest
+    usable citation of its answer or is marked as without evidence.
+    """
+    usable = F.col("status").isin("VERIFIED", "SKIPPED")
+    per = checked.groupBy(key, "claim_index").agg(F.bool_or(F.col("status") == "VERIFIED").alias("_held"), F.collect_set(F.when(F.col("status") == "DEMOTED", F.col("literal"))).alias("_failed"), F.min_by(F.when(usable, F.col("literal")), F.when(usable, F.col("ordinal"))).alias("_own"))
+    rows = claim_rows.select(key, "claim_index", "claim").join(per, [key, "claim_index"], "left")
+    rows = rows.withColumn("_at", F.when(F.col("_own").isNotNull(), F.struct("claim_index", "_own")))
+    w = Window.partitionBy(key).orderBy("claim_index")
+    rows = rows.withColumn("_prev", F.last("_at", True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_next", F.first("_at", True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    back, ahead = F.col("claim_index") - F.col("_prev.claim_index"), F.col("_next.claim_index") - F.col("claim_index")
+    near = F.when(F.col("_next").isNull() | (back <= ahead), F.col("_prev._own")).otherwise(F.col("_next._own"))
+    bare = F.trim(F.regexp_replace(without_citations(F.col("claim")), f"（{V.NO_EVIDENCE}）", ""))
+    marked = F.when(bare == "", F.lit(V.NO_EVIDENCE)).otherwise(F.concat(bare, F.lit(f"（{V.NO_EVIDENCE}）")))
+    supported = F.coalesce(F.concat(bare, F.lit(" "), near), marked)
+    without = F.aggregate("_failed", F.col("claim"), lambda a, x: F.replace(a, x, F.lit("")))
+    cited = F.col("_failed").isNotNull()
+    fixed = F.when(cited & F.col("_held"), without).when(cited & (F.size("_failed") == 0), F.col("claim")).when(~cited & F.col("claim").contains(V.NO_EVIDENCE), F.col("claim")).otherwise(supported)
+    return rows.select(key, "claim_index", fixed.alias("claim"))
 
 
 def merge_findings(findings: DataFrame, least: float = LEAST_CONFIDENCE) -> DataFrame:
@@ -291,6 +317,18 @@ def comparison_pick(findings_: DataFrame, dimensions: list[tuple[str, list[str],
     return ranked.where("(best > 0 AND s = best AND n <= 2) OR (best = 0 AND n = 1)").select("question_id", "dimension", "finding_id")
 
 
+def multi_hop(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """completeness: the share of expected claims (question_id, claim) that the findings (question_id, claim) of their question hold in their text."""
+    rows = expected.select("question_id", F.col("claim").alias("wanted")).join(found.groupBy("question_id").agg(F.collect_set(F.lower("claim")).alias("claims")), "question_id", "left")
+    hit = F.coalesce(F.exists("claims", lambda c: F.contains(c, F.lower("wanted"))), F.lit(False))
+    return rows.agg(F.count("*").alias("expected"), F.count_if(hit).alias("found")).select(F.when(F.col("expected") > 0, F.round(F.col("found") / F.col("expected"), 9)).alias("completeness"))
+
+
+def graph_fact_rate(accepted: DataFrame) -> DataFrame:
+    """accepted_rate: of graph facts (accepted boolean) those that an answer took."""
+    return accepted.agg(F.count("*").alias("n"), F.count_if(F.col("accepted")).alias("a")).select(F.when(F.col("n") > 0, F.round(F.col("a") / F.col("n"), 9)).alias("accepted_rate"))
+
+
 def answer_lines(hits: DataFrame, most: int = 6) -> DataFrame:
     """question_id, place, line, score: the lines of hits (question_id, tokens, content) that answer best: tokens, code marks, assignments and digits add, length beyond 120 takes off; equal texts count once."""
     lines = hits.select("question_id", "tokens", F.explode(F.split("content", "\r?\n")).alias("raw")).withColumn("line", F.trim(F.regexp_replace("raw", r"^\s*(?:[-*]|\d+\.)\s+", "")))

@@ -65,8 +65,8 @@ def transition(articles: DataFrame, target: str, reason: str, ids: DataFrame) ->
 
 def lint(articles: DataFrame) -> DataFrame:
     """concept_id, dimension, message, fixable of every finding."""
-    twice = F.count("*").over(Window.partitionBy("title")) > 1
-    rows = articles.withColumn("_twice", twice)
+    twice = articles.groupBy("title").agg(F.count("*").alias("_n")).where("_n > 1").select("title", F.lit(True).alias("_twice"))
+    rows = articles.select("concept_id", "title", "summary", "lifecycle", "source_paths", "keywords", "review_status").join(twice, "title", "left")
     blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
     # fixed values: the messages
     checks = [
@@ -164,3 +164,17 @@ def task_board(runs: DataFrame, jobs: DataFrame, limit: int = 20) -> tuple[DataF
     """The latest tasks of both kinds, and the status summary over all of them."""
     both = runs.select(F.lit("sync").alias("kind"), "task_id", "status", "updated_at").unionByName(jobs.select(F.lit("job").alias("kind"), "task_id", "status", "updated_at"))
     return both.orderBy(F.desc("updated_at"), "kind", "task_id").limit(limit), both.groupBy("status").agg(F.count("*").alias("n"))
+
+
+def review_loop(articles: DataFrame, fix, rounds: int = 1, threshold: str = "HIGH") -> DataFrame:
+    """Articles (article, sources) after at most ``rounds`` rounds of review and repair, with their route and status. ``fix`` turns the fixable rows (with ``issues``) into articles; each round works on what the one before left fixable."""
+    done, open_ = None, articles
+    for attempt in range(rounds + 1):
+        issues = open_.withColumn("issues", review_issues(F.col("article"), F.col("sources")))
+        severities = F.transform("issues", lambda i: F.substring_index(i, ":", 1))
+        routed = review_route(issues.withColumn("passed", F.size("issues") == 0).withColumn("severities", severities), threshold, attempt=attempt, rounds=rounds)
+        settled = routed.where("route != 'fixable'").select(*articles.columns, "route", "review_status")
+        done = settled if done is None else done.unionByName(settled)
+        if attempt < rounds:
+            open_ = fix(routed.where("route = 'fixable'")).select(*articles.columns)
+    return done

@@ -95,5 +95,45 @@ def link_targets(articles: DataFrame) -> DataFrame:
     return links.join(ids, "target", "left").withColumn("slug", T.concept_slug(F.col("target"))).join(titles, "slug", "left").select("article_key", "target", F.coalesce("by_id", "by_title").alias("resolved"))
 
 
+CORRECTION = "array<struct<`from`:string,note:string>>"
+
+
+def mark_downstream(articles: DataFrame, marks: DataFrame) -> DataFrame:
+    """Articles (concept_id, corrections: JSON array) with a correction appended for each mark (concept_id, upstream, note) that isn't there yet."""
+    new = marks.groupBy("concept_id").agg(F.array_sort(F.collect_set(F.struct(F.col("upstream").alias("from"), "note"))).alias("_new"))
+    rows = articles.join(new, "concept_id", "left")
+    add = F.aggregate("_new", F.coalesce("corrections", F.lit("[]")), lambda a, e: F.when(T.json_has(a, CORRECTION, "from", e["from"]), a).otherwise(T.json_append(a, CORRECTION, e)))
+    return rows.withColumn("corrections", F.when(F.col("_new").isNull(), F.col("corrections")).otherwise(add)).drop("_new")
+
+
+def clear_upstream(articles: DataFrame, cleared: DataFrame) -> DataFrame:
+    """Articles without the corrections that come from the cleared upstream articles (concept_id, upstream)."""
+    gone = cleared.groupBy("concept_id").agg(F.collect_set("upstream").alias("_gone"))
+    rows = articles.join(gone, "concept_id", "left")
+    left = F.aggregate("_gone", F.coalesce("corrections", F.lit("[]")), lambda a, u: T.json_remove(a, CORRECTION, "from", u))
+    return rows.withColumn("corrections", F.when(F.col("_gone").isNull(), F.col("corrections")).otherwise(left)).drop("_gone")
+
+
+def repair_links(articles: DataFrame) -> DataFrame:
+    """article_key, content, fixed, unresolved of articles (article_key, concept_id, title, content): a wiki link that is no concept id but a title becomes that title's concept id, with its anchor and label kept."""
+    links = articles.select("article_key", F.posexplode(T.found(F.col("content"), r"\[\[([^\]]+)\]\]", 1)).alias("place", "raw")).withColumn("target", T.wiki_target(F.col("raw")))
+    ids = articles.select(F.col("concept_id").alias("target"), F.lit(True).alias("known")).distinct()
+    slug = lambda c: T.concept_slug(F.col(c))
+    titles = articles.groupBy(slug("title").alias("slug")).agg(F.min("concept_id").alias("by_title"))
+    found = links.join(ids, "target", "left").withColumn("slug", slug("target")).join(titles, "slug", "left")
+    rest = F.substring("raw", F.length(F.regexp_extract("raw", r"^[^|#]*", 0)) + 1, F.length("raw"))
+    fixed = F.col("known").isNull() & F.col("by_title").isNotNull()
+    new = F.when(fixed, F.concat("by_title", rest)).otherwise(F.col("raw"))
+    per = found.groupBy("article_key").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("place", new.alias("new")))), lambda s: s["new"]).alias("_new"),
+        F.count_if(fixed).alias("fixed"),
+        F.array_sort(F.collect_set(F.when(F.col("known").isNull() & F.col("by_title").isNull(), F.col("target")))).alias("unresolved"),
+    )
+    gaps = F.split("content", r"\[\[[^\]]+\]\]", -1)
+    text = F.array_join(F.zip_with(gaps, F.transform("_new", lambda x: F.concat(F.lit("[["), x, F.lit("]]"))), lambda g, x: F.concat(g, F.coalesce(x, F.lit("")))), "")
+    rows = articles.join(per, "article_key", "left")
+    return rows.select("article_key", F.when(F.col("_new").isNull(), F.col("content")).otherwise(text).alias("content"), F.coalesce("fixed", F.lit(0)).cast("long").alias("fixed"), F.coalesce("unresolved", F.array().cast("array<string>")).alias("unresolved"))
+
+
 def link_totals(targets: DataFrame) -> DataFrame:
     return targets.agg(F.count("*").alias("links"), F.count("resolved").alias("resolved"), F.sum(F.col("resolved").isNull().cast("long")).alias("unresolved"), F.count_distinct("article_key").alias("articles"))

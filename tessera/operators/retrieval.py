@@ -7,6 +7,7 @@ Questions are a stated set (read once, broadcast only behind a row check by the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocabulary as V
+from .common import cut
 
 try:
     import ahocorasick
@@ -148,6 +150,29 @@ def first_holders(rows: DataFrame, tokens: DataFrame, columns: list[str], order:
     return out.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).drop("n")
 
 
+def holders(rows: DataFrame, tokens: DataFrame, columns: list[str]) -> DataFrame:
+    """question_id, id: every pair of a row (id, columns) and a question of which a column holds a token (question_id, token). One pass of an automaton; for tokens that few rows hold, such as whole names."""
+
+    def found(held):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            askers: dict[str, list] = {}
+            for q, t in held.value:
+                askers.setdefault(t, []).append(q)
+            names = list(askers)
+            find = finder(names)
+            for frame in frames:
+                out = {(q, row[0]) for row in frame.itertuples(index=False) for text in row[1:] for t in find(text or "") for q in askers[names[t]]}
+                yield pd.DataFrame({"question_id": pd.Series([q for q, _ in out], dtype="object"), "id": pd.Series([i for _, i in out], dtype=frame["id"].dtype)})
+
+        return run
+
+    kind, asked, out = rows.schema["id"].dataType.simpleString(), tokens.schema["question_id"].dataType.simpleString(), None
+    for block in token_blocks(tokens):
+        part = rows.select("id", *columns).mapInPandas(found(spark_broadcast(rows, block)), f"question_id {asked}, id {kind}")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def top_k(scores: DataFrame, k: int, *ties: str) -> DataFrame:
     """The k best per question with their rank."""
     w = Window.partitionBy("question_id").orderBy(F.desc("score"), *ties)
@@ -232,18 +257,95 @@ def intent_bonus(question: Column, intent: Column, key: Column, concept: Column,
 
 
 def relevance(hits: DataFrame) -> DataFrame:
-    """Adds relevance_score and relevant to hits (question, key, concept_id, title, description, content, paths, score)."""
-    signal = T.high_signal(F.col("question"))
-    rows = hits.withColumn("_signal", signal)
+    """Adds relevance_score and relevant to hits (question, key, concept_id, title, description, content, paths).
+
+    A hit is relevant by its score and the tokens that it holds; a question about a flow or about capabilities also accepts
+    evidence that shows one; a question about upkeep accepts nothing without one of its anchors.
+    """
+    q = F.lower(F.coalesce("question", F.lit("")))
+    rows = hits.withColumn("_signal", T.high_signal(F.col("question")))
     has = lambda c, t: F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), t)
     structured = lambda t: has("key", t) | has("concept_id", t) | has("title", t) | has("description", t) | F.exists("paths", lambda p: F.contains(F.lower(p), t))
     titled = lambda t: has("title", t) | has("description", t)
+    anywhere = lambda t: structured(t) | has("content", t)
     part = lambda t: F.when(structured(t), T.token_weight(t) + 6).when(titled(t), T.token_weight(t) + 4).when(has("content", t), T.token_weight(t) + 2).otherwise(0)
     rows = rows.withColumn("relevance_score", F.aggregate("_signal", F.lit(0), lambda a, t: a + part(t)))
     entities = F.filter("_signal", T.is_entity)
-    strong = F.size(F.filter("_signal", lambda t: T.is_strong(t) & (structured(t) | titled(t) | has("content", t))))
-    accepted = F.when(F.size(entities) > 0, F.exists(entities, structured) | (F.col("relevance_score") >= 8)).otherwise((strong >= 1) | (F.col("relevance_score") >= 5))
-    return rows.withColumn("relevant", (F.col("relevance_score") > 0) & accepted).drop("_signal")
+    strong = F.size(F.filter("_signal", lambda t: T.is_strong(t) & anywhere(t)))
+    general = (F.col("relevance_score") > 0) & F.when(F.size(entities) > 0, F.exists(entities, structured) | (F.col("relevance_score") >= 8)).otherwise((strong >= 1) | (F.col("relevance_score") >= 5))
+
+    def in_any_field(test) -> Column:
+        fields = reduce(lambda a, b: a | b, (test(F.coalesce(F.col(c), F.lit(""))) for c in ("title", "content", "description")))
+        return fields | F.exists("paths", test)
+
+    flows = lambda x: F.contains(x, F.lit("->")) | T.any_of(F.lower(x), V.FLOW_SIGNALS)
+    count = lambda x, parts: reduce(lambda a, b: a + b, (T.occurrences(x, p) for p in parts))
+    capable = lambda x: T.any_of(F.lower(x), V.CAPABILITY_SIGNALS) | (count(x, V.LIST_SEPARATORS) >= 2) | (count(x, ["`"]) >= 4)
+    flow = T.any_of(q, V.FLOW_QUESTIONS) & in_any_field(flows) & ((F.size(entities) == 0) | F.exists(entities, anywhere))
+    capability = T.any_of(q, V.CAPABILITY_QUESTIONS) & F.exists("_signal", lambda t: T.any_of(t, V.CAPABILITY_TOPICS)) & in_any_field(capable)
+    anchors = F.filter("_signal", lambda t: T.any_of(t, V.UPKEEP_TOKENS))
+    strayed = T.any_of(q, V.UPKEEP_ANCHORS) & T.any_of(q, V.UPKEEP_ACTIONS) & (F.size(anchors) > 0) & ~F.exists(anchors, anywhere)
+    return rows.withColumn("relevant", ~strayed & (flow | capability | general)).drop("_signal")
+
+
+def rerank(hits: DataFrame) -> DataFrame:
+    """Hits (question_id, question, channel, key, concept_id, title, description, content, paths, score) with the intent's bonus in their score, ranked anew in their channel: by score, then relevance, then title."""
+    bonus = intent_bonus(F.col("question"), T.intent(F.col("question")), F.col("key"), F.col("concept_id"), F.col("title"), F.col("content"), F.col("paths"))
+    rows = relevance(hits).withColumn("score", F.col("score") + bonus)
+    w = Window.partitionBy("question_id", "channel").orderBy(F.desc("score"), F.desc("relevance_score"), F.lower(F.coalesce("title", F.lit(""))), "key")
+    return rows.withColumn("rank", F.row_number().over(w))
+
+
+def search(questions: DataFrame, channels: dict, rules: list[tuple[str, str]] = (), limit: int = 5, k: int = V.RRF_K) -> tuple[DataFrame, DataFrame]:
+    """The fused hits (question_id, evidence_type, key, score, rank, relevant) and the audit of all channels' hits.
+
+    Questions are rewritten by rules; each channel is a function from the rewritten questions (question_id, question) to hits
+    (question_id, evidence_type, key, concept_id, title, description, content, paths, score), of which the ``limit`` best of a
+    question are taken where the question's strategy gives the channel weight, reranked and fused. Of fused hits those that
+    aren't relevant go, unless none is.
+    """
+    limit = T.clamp(limit, 5, 100)
+    asked = rewrite(questions, list(rules)).select("question_id", F.col("rewritten").alias("question"))
+    weights = channel_weights(asked)
+    found = None
+    for name, channel in channels.items():
+        w = Window.partitionBy("question_id").orderBy(F.desc("score"), "key")
+        part = channel(asked).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_n").withColumn("channel", F.lit(name))
+        found = part if found is None else found.unionByName(part)
+    open_ = found.join(weights.where("weight > 0").select("question_id", "channel"), ["question_id", "channel"]).join(asked, "question_id")
+    # a few rows for each question and channel: written once, so that no channel runs again and each plan stays short
+    ranked = cut(rerank(cut(open_)))
+    fused = fuse(ranked, weights, k, limit)
+    judged = ranked.groupBy("question_id", "evidence_type", "key").agg(F.bool_or("relevant").alias("relevant"))
+    best = keep_relevant(fused.join(judged, ["question_id", "evidence_type", "key"]))
+    return best, audit(ranked.select("question_id", "channel", "evidence_type", "key", "rank", "score"), fused)
+
+
+def research_hits(hits: DataFrame) -> DataFrame:
+    """The hits (of tasks as questions, with evidence_type and ``relevant``) that a research task keeps: the relevant ones, of these those that name an entity of the question in key, concept, title or path if any does, and all graph hits."""
+    named = F.filter(T.high_signal(F.col("question")), lambda t: F.contains(t, F.lit("_")) | F.contains(t, F.lit("-")) | F.contains(t, F.lit("/")) | T.is_ascii(t))
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    holds = lambda t: F.contains(low("key"), t) | F.contains(low("concept_id"), t) | F.contains(low("title"), t) | F.exists("paths", lambda p: F.contains(F.lower(p), t))
+    rows = hits.withColumn("_named", F.col("relevant") & F.exists(named, holds))
+    some = F.max(F.col("_named").cast("int")).over(Window.partitionBy("question_id"))
+    rows = rows.withColumn("_some", some)
+    return rows.where((F.col("evidence_type") == "GRAPH") | (F.col("relevant") & (F.col("_named") | (F.col("_some") == 0)))).drop("_named", "_some")
+
+
+def lexical(questions: DataFrame, docs: DataFrame, id_column: str, weights: dict[str, float], k: int, fts_column: str | None = None, fts_weight: float = 1.0) -> DataFrame:
+    """question_id, id, score: the k best rows that hold any token or, in ``fts_column``, all terms of a question; the weights of the columns that hold a token, and the full-text rank times its weight."""
+    like = like_top(questions, docs, id_column, {"like": weights}, k if fts_column is None else 4 * k).select("question_id", "id", "score")
+    if fts_column is None:
+        return like
+    # whatever holds all terms holds many tokens too; its own like score is taken from the pairs themselves
+    whole = fts_match(questions, docs, id_column, fts_column).select("question_id", "id", (F.col("score") * fts_weight).alias("fts"))
+    texts = docs.select(F.col(id_column).alias("id"), *(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(f"_{c}") for c in weights))
+    tokens = questions.select("question_id", T.tokens(F.col("question")).alias("_tokens"))
+    pairs = whole.join(tokens, "question_id").join(texts, "id")
+    per = lambda t: reduce(lambda a, b: a + b, (F.when(F.contains(F.col(f"_{c}"), t), w).otherwise(0.0) for c, w in weights.items()))
+    full = pairs.select("question_id", "id", (F.aggregate("_tokens", F.lit(0.0), lambda a, t: a + per(t)) + F.col("fts")).alias("score"))
+    both = like.unionByName(full).groupBy("question_id", "id").agg(F.max("score").alias("score"))
+    return top_k(both, k, "id").drop("rank")
 
 
 def keep_relevant(hits: DataFrame) -> DataFrame:

@@ -74,20 +74,17 @@ def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
     return C.chunked(view(spark, sf, "articles"), "article_key", "content")
 
 
-CONCEPTS = "doc_id AS position, CASE WHEN doc_id % 2 = 0 THEN 'Topic ' ELSE 'topic_' END || (doc_id % 60) AS concept_id, substr(text, 1, CAST(10 + doc_id % 7 AS INT)) AS title, substr(text, 20, CAST(30 + doc_id % 11 AS INT)) AS description, source || '/' || (doc_id % 9) AS path, substr(text, 1, 12) AS snippet"
+CONCEPTS = ["doc_id AS position", "CASE WHEN doc_id % 2 = 0 THEN 'Topic ' ELSE 'topic_' END || (doc_id % 60) AS concept_id", "coalesce(text, '') AS title", "source || ' ' || coalesce(text, '') AS description", "source || '/' || (doc_id % 9) AS path", "coalesce(text, '') AS snippet"]
 
 
-@query(f"""WITH c AS (SELECT *, 'topic-' || (position % 60) AS slug FROM (SELECT {CONCEPTS} FROM documents))
+@query(f"""WITH c AS (SELECT *, 'topic-' || (position % 60) AS slug FROM (SELECT {", ".join(CONCEPTS)} FROM documents))
 SELECT slug, arg_max(title, (length(title), -position)) AS title, arg_max(description, (length(description), -position)) AS description, array_to_string(list_sort(list_distinct(list(path))), ',') AS paths, count(DISTINCT snippet)::INT AS n_snippets FROM c GROUP BY slug""")
 def concept_merge(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "documents").selectExpr(*CONCEPTS_LIST)
+    c = table(spark, sf, "documents").selectExpr(*CONCEPTS)
     m = C.merge_concepts(c.select("position", "concept_id", "title", "description", F.array("path").alias("paths"), F.array("snippet").alias("snippets")))
     return m.select("slug", "title", "description", F.array_join("paths", ",").alias("paths"), F.size("snippets").alias("n_snippets"))
 
 
-CONCEPTS_LIST = ["doc_id AS position", "CASE WHEN doc_id % 2 = 0 THEN 'Topic ' ELSE 'topic_' END || (doc_id % 60) AS concept_id", "substr(text, 1, CAST(10 + doc_id % 7 AS INT)) AS title", "substr(text, 20, CAST(30 + doc_id % 11 AS INT)) AS description", "source || '/' || (doc_id % 9) AS path", "substr(text, 1, 12) AS snippet"]
-
-
 @query("SELECT doc_id % 20 AS source_id, 'p' || doc_id AS path, CASE WHEN doc_id % 5 = 0 THEN 'NEW' ELSE 'CHANGED' END AS change FROM documents WHERE doc_id % 5 = 0 OR doc_id % 7 = 0")
 def changed_sources(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
@@ -96,29 +93,28 @@ def changed_sources(spark: SparkSession, sf: str) -> DataFrame:
     return C.changed_files(new, old)
 
 
-MARKDOWN = "'# ' || lang || '\n' || coalesce(substr(text, 1, 80), '') || '\n## Details ' || doc_id || '\n' || source || '\n### End\nlast'"
+MARKDOWN_SQL = "m AS (SELECT doc_id, regexp_split_to_array('# ' || lang || chr(10) || coalesce(text, '') || chr(10) || '## Details ' || doc_id || chr(10) || source || chr(10) || '### End' || chr(10) || 'last', '\\r?\\n') AS l FROM documents), t AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS text FROM m), h AS (SELECT doc_id, i - 1 AS line, length(regexp_extract(text, '^(#+)', 1)) AS level, trim(regexp_replace(text, '^#+\\s*', '')) AS heading FROM t WHERE regexp_matches(text, '^#{1,6}\\s+\\S')), toc AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY line) AS end_line FROM h)"
 
 
-@query(f"WITH m AS (SELECT doc_id, string_split({MARKDOWN.replace(chr(10), '__NL__').replace('__NL__', chr(10))}, chr(10)) AS l FROM documents), t AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS text FROM m), h AS (SELECT doc_id, i - 1 AS line, length(regexp_extract(text, '^(#+)', 1)) AS level, trim(regexp_replace(text, '^#+\\s*', '')) AS heading FROM t WHERE regexp_matches(text, '^#{{1,6}}\\s+\\S')) SELECT doc_id, line::INT AS line, level::INT AS level, heading, (lead(line) OVER (PARTITION BY doc_id ORDER BY line))::INT AS end_line FROM h")
+@query(f"WITH {MARKDOWN_SQL} SELECT doc_id, line::INT AS line, level::INT AS level, heading, end_line::INT AS end_line FROM toc")
 def toc(spark: SparkSession, sf: str) -> DataFrame:
     return C.toc(_markdown(spark, sf), "doc_id", "content")
 
 
 def _markdown(spark: SparkSession, sf: str) -> DataFrame:
     nl = F.lit("\n")
-    return table(spark, sf, "documents").select("doc_id", F.concat(F.lit("# "), "lang", nl, F.coalesce(F.substring("text", 1, 80), F.lit("")), F.lit("\n## Details "), F.col("doc_id").cast("string"), nl, "source", F.lit("\n### End\nlast")).alias("content"))
+    return table(spark, sf, "documents").select("doc_id", F.concat(F.lit("# "), "lang", nl, F.coalesce("text", F.lit("")), F.lit("\n## Details "), F.col("doc_id").cast("string"), nl, "source", F.lit("\n### End\nlast")).alias("content"))
 
 
-@query("SELECT doc_id, '### End' || chr(10) || 'last' AS section FROM documents")
+@query(f"WITH {MARKDOWN_SQL}, f AS (SELECT doc_id, min(line) AS line, arg_min(coalesce(end_line, -1), line) AS stop FROM toc WHERE lower(heading) = 'end' GROUP BY 1) SELECT doc_id, array_to_string(l[line + 1 : CASE WHEN stop < 0 THEN len(l) ELSE stop END], chr(10)) AS section FROM f JOIN m USING (doc_id)")
 def section_read(spark: SparkSession, sf: str) -> DataFrame:
     return C.section(_markdown(spark, sf), "doc_id", "content", "end")
 
 
-@query("SELECT doc_id, CASE WHEN contains(lower(substr(text, 1, 50)), 'the') THEN '=== A' || chr(10) || substr(text, 1, 50) || chr(10) ELSE '' END || CASE WHEN contains(lower(source), 'src1') THEN '=== B ' || source ELSE '' END AS part FROM documents WHERE contains(lower(substr(text, 1, 50)), 'the') OR contains(lower(source), 'src1')")
+@query("WITH t AS (SELECT doc_id, '=== A' || chr(10) || coalesce(text, '') || chr(10) AS a, '=== B ' || source AS b FROM documents), p AS (SELECT doc_id, a, b, array_to_string(list_filter([a, b], lambda p: contains(lower(p), 'the') OR contains(lower(p), 'src1')), '') AS part FROM t) SELECT doc_id, substr(CASE WHEN part <> '' THEN part ELSE a || b END, 1, 500) AS part FROM p")
 def section_select(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", "text", "source", F.concat(F.lit("=== A\n"), F.substring("text", 1, 50), F.lit("\n=== B "), "source").alias("t"))
-    hit = F.lower(F.substring("text", 1, 50)).contains("the") | F.lower("source").contains("src1")
-    return d.where(hit).select("doc_id", C.select_sections(F.col("t"), ["The", "src1"], 500).alias("part"))
+    d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("=== A\n"), F.coalesce("text", F.lit("")), F.lit("\n=== B "), "source").alias("t"))
+    return d.select("doc_id", C.select_sections(F.col("t"), ["The", "src1"], 500).alias("part"))
 
 
 @query("""WITH e AS (SELECT DISTINCT concept_id FROM (SELECT 'c' || doc_id AS concept_id FROM documents WHERE doc_id % 10 = 0))
@@ -174,3 +170,19 @@ def concept_parse(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("doc_id").cast("string")
     reply = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('[{"id":"k'), n, F.lit('","title":"T"}]'))).when(F.col("doc_id") % 3 == 0, "[]").otherwise("no json")
     return C.parse_concepts(table(spark, sf, "documents").select(F.concat(F.lit("g"), n).alias("group"), reply.alias("reply"))).select("group", "concept_id", "title")
+
+
+@query("""SELECT 'g' || doc_id AS "group", 'k' || doc_id AS concept_id, 'T ' || lang AS title, source AS description FROM documents UNION ALL SELECT 'g' || doc_id, 'm' || doc_id, 'm' || doc_id, '' FROM documents WHERE length(source) % 2 = 0""")
+def concept_salvage(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole objects of fenced replies, of which some break off within their second object."""
+    n = F.col("doc_id").cast("string")
+    whole = F.concat(F.lit('{"concepts": [{"id":"k'), n, F.lit('","title":"T '), "lang", F.lit('","description":"'), "source", F.lit('"}, {"id":"m'), n, F.lit('"'))
+    reply = F.when(F.length("source") % 2 == 0, F.concat(F.lit("```json\n"), whole, F.lit("}]}\n```"))).otherwise(F.concat(whole, F.lit(',"title":"x')))
+    return C.salvage(table(spark, sf, "documents").select(F.concat(F.lit("g"), n).alias("group"), reply.alias("reply")))
+
+
+@query("""SELECT doc_id, '---' || chr(10) || 'title: ' || lang || chr(10) || 'sources:' || chr(10) || '  - ' || source || chr(10) || 'review_status: pending' || chr(10) || '---' || chr(10) || chr(10) || '# ' || lang || chr(10) || chr(10) || coalesce(text, '') || chr(10) || chr(10) || '- ' || source AS article, substr(coalesce(text, ''), 1, greatest(0, 4000 - length(lang) - 200)) AS prompt FROM documents""")
+def fallback_articles(spark: SparkSession, sf: str) -> DataFrame:
+    """Articles written without a generator, and prompts cut to their room."""
+    text = F.coalesce("text", F.lit(""))
+    return table(spark, sf, "documents").select("doc_id", C.fallback_article(F.col("lang"), text, F.array("source"), F.array("source")).alias("article"), T.prompt_cut(text, F.col("lang"), 4000).alias("prompt"))

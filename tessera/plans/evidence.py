@@ -71,6 +71,13 @@ def answer_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return E.answer_metrics(E.report(claims, c), c)
 
 
+@query()
+def citation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """Claims after one round of repair; checked in the tests."""
+    claims, c = checked(spark, sf)
+    return E.repair_claims(claims, c)
+
+
 @query()
 def claim_extract(spark: SparkSession, sf: str) -> DataFrame:
     """Claims of markdown answers; checked in the tests."""
@@ -118,17 +125,18 @@ def projection_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return E.projection_candidates(merged(spark, sf), anchors(spark, sf))
 
 
-@query("SELECT 'fact-' || event_id AS fact_key, event_id % 2 = 0 AS covered FROM events WHERE event_id < 300")
+@query("WITH p AS (SELECT event_id, event_id % 2 = 0 AS a FROM events WHERE event_id % 3 <> 2 OR event_id % 2 = 0) SELECT 'fact-' || e.event_id AS fact_key, coalesce(bool_or(p.a), false) AS covered FROM events e LEFT JOIN p USING (event_id) GROUP BY 1")
 def fact_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").where("event_id < 300")
+    e = table(spark, sf, "events")
     p = e.where("event_id % 3 != 2 OR event_id % 2 = 0").selectExpr("'fact-' || event_id AS fact_key", "CASE WHEN event_id % 2 = 0 THEN 'ACTIVE' ELSE 'REMOVED' END AS status")
     return E.fact_coverage(e.selectExpr("'fact-' || event_id AS fact_key"), p)
 
 
-@query("SELECT event_id AS ordinal, 'l' || (event_id % 100) AS literal, CASE WHEN event_id % 100 < 40 THEN 'VERIFIED' ELSE 'DEMOTED' END AS status FROM events WHERE event_id < 1000")
+@query("WITH p AS (SELECT DISTINCT 'l' || (user_id % 60) AS literal, user_id % 3 AS k FROM events), n AS (SELECT literal, count(*) AS n FROM p WHERE k <> 2 GROUP BY 1) SELECT event_id AS ordinal, 'l' || (event_id % 100) AS literal, CASE WHEN n.n = 1 THEN 'VERIFIED' ELSE 'DEMOTED' END AS status FROM events LEFT JOIN n ON n.literal = 'l' || (event_id % 100)")
 def projection_white_list(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").where("event_id < 1000")
-    p = e.where("event_id < 60").selectExpr("'l' || event_id AS literal", "'ACTIVE' AS status").unionByName(e.where("event_id BETWEEN 40 AND 49").selectExpr("'l' || event_id AS literal", "'ACTIVE' AS status")).where("literal NOT IN ('l50','l51','l52','l53','l54','l55','l56','l57','l58','l59')")
+    """Every event cites a literal; users hold the projections, some literals more than one."""
+    e = table(spark, sf, "events")
+    p = e.selectExpr("'l' || (user_id % 60) AS literal", "user_id % 3 AS k").distinct().selectExpr("literal", "CASE WHEN k != 2 THEN 'ACTIVE' ELSE 'REMOVED' END AS status")
     return E.white_list(e.selectExpr("event_id AS ordinal", "'l' || (event_id % 100) AS literal"), p).select("ordinal", "literal", "status")
 
 
@@ -169,9 +177,9 @@ def extractive_answer(spark: SparkSession, sf: str) -> DataFrame:
     return E.answer_lines(h).select("question_id", "line", "score", "place")
 
 
-@query("""WITH f AS (SELECT doc_id % 80 AS question_id, doc_id AS position, CASE WHEN contains(lower(substr(text, 1, 60)), 'the') THEN 6 ELSE 0 END AS s FROM documents), r AS (SELECT *, max(s) OVER (PARTITION BY question_id) AS best, row_number() OVER (PARTITION BY question_id ORDER BY s DESC, position) AS n FROM f) SELECT question_id, 'cause' AS dimension, position AS finding_id FROM r WHERE best > 0 AND s = best AND n <= 2 OR best = 0 AND n = 1""")
+@query("""WITH f AS (SELECT doc_id % 80 AS question_id, doc_id AS position, CASE WHEN contains(lower(coalesce(text, '')), 'the') THEN 6 ELSE 0 END AS s FROM documents), r AS (SELECT *, max(s) OVER (PARTITION BY question_id) AS best, row_number() OVER (PARTITION BY question_id ORDER BY s DESC, position) AS n FROM f) SELECT question_id, 'cause' AS dimension, position AS finding_id FROM r WHERE best > 0 AND s = best AND n <= 2 OR best = 0 AND n = 1""")
 def comparison_pick(spark: SparkSession, sf: str) -> DataFrame:
-    f = table(spark, sf, "documents").selectExpr("doc_id % 80 AS question_id", "doc_id AS finding_id", "doc_id AS position", "substr(text, 1, 60) AS claim")
+    f = table(spark, sf, "documents").selectExpr("doc_id % 80 AS question_id", "doc_id AS finding_id", "doc_id AS position", "coalesce(text, '') AS claim")
     return E.comparison_pick(f, [("cause", ["The"], 6)])
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocabulary as V
+from ..operators import compile as C
+from ..operators import graph
 from ..operators import retrieval as R
 from ..operators.adapt import sql_views, table, view
 from .catalogue import query
@@ -153,34 +155,48 @@ def rrf_audit(spark: SparkSession, sf: str) -> DataFrame:
 CANDIDATES_SQL = "list_filter(tokens, lambda t: regexp_matches(t, '^[a-z0-9_-]{2,}$'))"
 
 
-def _bonus_rows(spark: SparkSession, sf: str) -> DataFrame:
-    q = view(spark, sf, "questions")
-    a = view(spark, sf, "articles").select("doc_id", "article_key", "concept_id", "title", F.lit("").alias("content"), F.expr("CASE doc_id % 4 WHEN 0 THEN 'conf/app.yaml' WHEN 1 THEN 'adr/readme.md' WHEN 2 THEN 'img/a.png' ELSE 'docs/payment.retry.txt' END").alias("p"))
-    return q.join(a, F.pmod(F.col("question_id") + F.col("doc_id"), F.lit(50)) == 0)
+def _hit_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions and the articles that a channel finds for them, each pair once."""
+    pairs_ = hits(spark, sf).select("question_id", F.col("key").alias("article_key")).distinct()
+    return pairs_.join(view(spark, sf, "questions"), "question_id").join(view(spark, sf, "articles"), "article_key")
 
 
-BONUS_SQL = f"""rows AS (SELECT question_id, question, tokens, doc_id, {SQL_INTENT} AS intent, CASE doc_id % 4 WHEN 0 THEN 'conf/app.yaml' WHEN 1 THEN 'adr/readme.md' WHEN 2 THEN 'img/a.png' ELSE 'docs/payment.retry.txt' END AS p, lower(article_key || ' ' || concept_id || ' ' || title) AS names FROM tokens JOIN articles ON (question_id + doc_id) % 50 = 0),
- flags AS (SELECT *, list_bool_or(list_transform(range(1, len({CANDIDATES_SQL}) + 1), lambda i: list_bool_or(list_transform([1, 2, 3], lambda n: i + n <= len({CANDIDATES_SQL}) AND list_bool_or([contains(p, array_to_string({CANDIDATES_SQL}[i : i + n], '.')) OR contains(names, array_to_string({CANDIDATES_SQL}[i : i + n], '.')), contains(p, array_to_string({CANDIDATES_SQL}[i : i + n], '_')) OR contains(names, array_to_string({CANDIDATES_SQL}[i : i + n], '_')), contains(p, array_to_string({CANDIDATES_SQL}[i : i + n], '-')) OR contains(names, array_to_string({CANDIDATES_SQL}[i : i + n], '-'))]))))) AS fact FROM rows)"""
+HIT_PAIRS_SQL = f"{_hits_sql()}, met AS (SELECT question_id, question, tokens, a.* FROM (SELECT DISTINCT question_id, key FROM hits) JOIN tokens USING (question_id) JOIN articles a ON key = article_key)"
+WINDOWS_SQL = " OR ".join(f"contains({c}, array_to_string({CANDIDATES_SQL}[i : i + n], '{sep}'))" for c in ("p", "whole") for sep in "._-")
+BONUS_SQL = f"""rows AS (SELECT question_id, question, tokens, doc_id, {SQL_INTENT} AS intent, CASE doc_id % 4 WHEN 0 THEN 'conf/app.yaml' WHEN 1 THEN 'adr/readme.md' WHEN 2 THEN 'img/a.png' ELSE 'docs/payment.retry.txt' END AS p, lower(article_key || ' ' || concept_id || ' ' || title) AS names, lower(article_key || ' ' || concept_id || ' ' || title || ' ' || content) AS whole FROM met),
+ flags AS (SELECT *, list_bool_or(list_transform(range(1, len({CANDIDATES_SQL}) + 1), lambda i: list_bool_or(list_transform([1, 2, 3], lambda n: i + n <= len({CANDIDATES_SQL}) AND ({WINDOWS_SQL}))))) AS fact FROM rows)"""
 
 
-@query(f"""WITH {sql_views('questions', 'articles')}, {SQL_TOKENS}, {BONUS_SQL}
+@query(f"""WITH {HIT_PAIRS_SQL}, {BONUS_SQL}
 SELECT question_id, doc_id, (CASE WHEN intent = 'CONFIGURATION' THEN CASE WHEN fact THEN 18 ELSE 0 END + CASE WHEN p LIKE '%.yaml' THEN 6 ELSE 0 END - CASE WHEN p LIKE '%.png' THEN 18 ELSE 0 END - CASE WHEN {sql_any("(names || ' ' || p)", V.META_PARTS)} THEN 10 ELSE 0 END
  WHEN intent = 'ARCHITECTURE' OR {sql_any('lower(question)', V.INTENTS['ARCHITECTURE'])} THEN CASE WHEN {sql_any('p', V.ARCHITECTURE_PARTS)} THEN 12 ELSE 0 END - CASE WHEN p LIKE '%.png' THEN 14 ELSE 0 END - CASE WHEN {sql_any("(names || ' ' || p)", V.META_PARTS)} THEN 8 ELSE 0 END ELSE 0 END)::DOUBLE AS bonus FROM flags""")
 def rerank_bonus(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _bonus_rows(spark, sf)
+    """What the intent adds to every hit of the two channels."""
+    rows = _hit_pairs(spark, sf).withColumn("p", F.expr("CASE doc_id % 4 WHEN 0 THEN 'conf/app.yaml' WHEN 1 THEN 'adr/readme.md' WHEN 2 THEN 'img/a.png' ELSE 'docs/payment.retry.txt' END"))
     bonus = R.intent_bonus(F.col("question"), T.intent(F.col("question")), F.col("article_key"), F.col("concept_id"), F.col("title"), F.col("content"), F.array("p"))
     return rows.select("question_id", "doc_id", bonus.alias("bonus"))
 
 
-@query(f"""WITH {sql_views('questions', 'articles')}, {SQL_TOKENS}, signal AS (SELECT question_id, list_filter(tokens, lambda t: length(t) > 1 AND (regexp_matches(t, '^[\\x00-\\x7F]+$') AND length(t) >= 4 OR regexp_matches(t, '[_\\-=/.]'))) AS s FROM tokens WHERE NOT regexp_matches(question, '\\p{{Han}}')),
- rows AS (SELECT question_id, doc_id, s, lower(article_key) AS k, lower(title) AS t, lower(summary) AS d, lower(path) AS p, lower(content) AS c FROM signal JOIN articles ON (question_id + doc_id) % 20 = 0 WHERE len(s) > 0),
- scored AS (SELECT question_id, doc_id, list_sum(list_transform(s, lambda x: (CASE WHEN regexp_matches(x, '[_\\-=/.]') THEN 6 WHEN length(x) >= 6 THEN 5 ELSE 4 END + 6) * (contains(k, x) OR contains(t, x) OR contains(d, x) OR contains(p, x))::INT + (CASE WHEN regexp_matches(x, '[_\\-=/.]') THEN 6 WHEN length(x) >= 6 THEN 5 ELSE 4 END + 2) * (NOT (contains(k, x) OR contains(t, x) OR contains(d, x) OR contains(p, x)) AND contains(c, x))::INT)) AS score,
-  len(list_filter(s, lambda x: contains(k, x) OR contains(t, x) OR contains(d, x) OR contains(p, x))) > 0 AS structured FROM rows)
-SELECT question_id, doc_id, score::INT AS relevance_score, score > 0 AND (structured OR score >= 8) AS relevant FROM scored""")
+SQL_SPECIAL, SQL_ASCII, SQL_HAN = "regexp_matches(t, '[_\\-=/.]')", "regexp_matches(t, '^[\\x00-\\x7F]+$')", "regexp_matches(t, '\\p{Han}')"
+SQL_GENERIC = f"(t IN ({', '.join(map(quoted, V.GENERIC_TOKENS))}) OR length(t) <= 1 OR starts_with(t, '请') OR suffix(t, '什么') OR regexp_matches(t, '^[{V.GENERIC_CHARS}]+$'))"
+SQL_WEIGHT = f"(CASE WHEN {SQL_SPECIAL} THEN 6 WHEN {SQL_ASCII} THEN CASE WHEN length(t) >= 6 THEN 5 ELSE 4 END WHEN {SQL_HAN} AND length(t) >= 4 THEN 5 WHEN {SQL_HAN} AND length(t) = 3 THEN 4 ELSE 3 END)"
+FOCUS_SQL = f"""f1 AS (SELECT question_id, trim(question) AS q FROM questions), f2 AS (SELECT question_id, CASE WHEN instr(q, '对比') > 0 AND instr(q, '对比') - 1 < length(q) - 2 THEN trim(substr(q, instr(q, '对比') + 2)) ELSE q END AS q FROM f1),
+ focused AS (SELECT question_id, trim(regexp_replace(trim(regexp_replace(regexp_replace(replace(replace(replace(q, '有什么区别', ''), '区别是什么', ''), '的关键结论是什么', ''), '[？?。！!]+$', ''), '是什么$', '')), '吗$', '')) AS question FROM f2),
+ {SQL_TOKENS.replace("tokens AS (SELECT question_id, question, list_distinct_ordered", "ftokens AS (SELECT question_id, question, list_distinct_ordered").replace("FROM questions))", "FROM focused))")},
+ kept AS (SELECT question_id, list_filter(tokens, lambda t: NOT {SQL_GENERIC} AND (({SQL_ASCII} AND length(t) >= 4) OR {SQL_SPECIAL} OR ({SQL_HAN} AND length(t) >= 2))) AS k FROM ftokens),
+ signal AS (SELECT question_id, CASE WHEN len(k) > 0 THEN k ELSE list_filter(tokens, lambda t: NOT {SQL_GENERIC})[1:3] END AS s FROM kept JOIN tokens USING (question_id))"""
+STRUCTURED_SQL = "(contains(k, t) OR contains(ti, t) OR contains(d, t) OR contains(p, t))"
+
+
+@query(f"""WITH {HIT_PAIRS_SQL}, {FOCUS_SQL},
+ rows AS (SELECT question_id, doc_id, s, lower(article_key) AS k, lower(title) AS ti, lower(summary) AS d, lower(path) AS p, lower(content) AS c FROM met JOIN signal USING (question_id)),
+ judged AS (SELECT question_id, doc_id, coalesce(list_sum(list_transform(s, lambda t: CASE WHEN {STRUCTURED_SQL} THEN {SQL_WEIGHT} + 6 WHEN contains(c, t) THEN {SQL_WEIGHT} + 2 ELSE 0 END)), 0)::INT AS score,
+  list_filter(s, lambda t: {SQL_SPECIAL} OR {SQL_ASCII}) AS entities, len(list_filter(s, lambda t: ({SQL_SPECIAL} OR {SQL_ASCII}) AND {STRUCTURED_SQL})) > 0 AS named, len(list_filter(s, lambda t: ({SQL_SPECIAL} OR {SQL_ASCII} OR ({SQL_HAN} AND length(t) >= 3)) AND ({STRUCTURED_SQL} OR contains(c, t)))) AS strong FROM rows)
+SELECT question_id, doc_id, score AS relevance_score, score > 0 AND CASE WHEN len(entities) > 0 THEN named OR score >= 8 ELSE strong >= 1 OR score >= 5 END AS relevant FROM judged""")
 def relevance_filter(spark: SparkSession, sf: str) -> DataFrame:
-    q = view(spark, sf, "questions").where(~F.col("question").rlike(r"\p{IsHan}")).where(F.size(T.high_signal(F.col("question"))) > 0)
-    a = view(spark, sf, "articles").select("doc_id", F.col("article_key").alias("key"), F.lit("").alias("concept_id"), "title", F.col("summary").alias("description"), "content", F.array("path").alias("paths"), F.lit(1.0).alias("score"))
-    return R.relevance(q.join(a, F.pmod(F.col("question_id") + F.col("doc_id"), F.lit(20)) == 0)).select("question_id", "doc_id", "relevance_score", "relevant")
+    """Scores and acceptance of every hit of the two channels, for all questions."""
+    rows = _hit_pairs(spark, sf).select("question_id", "question", "doc_id", F.col("article_key").alias("key"), F.lit("").alias("concept_id"), "title", F.col("summary").alias("description"), "content", F.array("path").alias("paths"))
+    return R.relevance(rows).select("question_id", "doc_id", "relevance_score", "relevant")
 
 
 RULES = [("config", "参数 retry"), ("retry", "重试"), ("class", "源码")]
@@ -229,3 +245,73 @@ SELECT question_id, ({sql_any('lower(q)', V.COMPARISONS)} AND (coalesce(first >
 def deep_research_route(spark: SparkSession, sf: str) -> DataFrame:
     q = view(spark, sf, "questions").selectExpr("question_id", "question || CASE question_id % 4 WHEN 0 THEN ' a、b、c 区别' WHEN 1 THEN ' 为什么' WHEN 2 THEN ' x vs y, z' ELSE '' END AS q")
     return q.select("question_id", T.is_deep(F.col("q")).alias("deep"), T.task_type(F.col("q")).alias("task"))
+
+
+def _channels(spark: SparkSession, sf: str, k: int) -> dict:
+    """The nine channels over articles, files, question-answer pairs, parts as entities, and embeddings; each from questions to hits."""
+    articles, files, answered = view(spark, sf, "articles"), view(spark, sf, "files").withColumn("preview", T.excerpt(F.col("content"))), pairs(spark, sf)
+    vectors = table(spark, sf, "embeddings")
+    none = F.array().cast("array<string>")
+    article = articles.select(F.col("article_key").alias("key"), "concept_id", "title", F.col("summary").alias("description"), "content", F.filter(F.array("path", "path2"), lambda p: p != "").alias("paths"), "doc_id")
+    file = files.select("id", F.col("path").alias("key"), F.lit("").alias("concept_id"), F.col("path").alias("title"), F.lit("").alias("description"), "content", F.array("path").alias("paths"))
+    fields = ["question_id", "evidence_type", "key", "concept_id", "title", "description", "content", "paths", "score"]
+
+    def hits_of(found: DataFrame, details: DataFrame, on: str, kind: str) -> DataFrame:
+        return found.join(details, on).withColumn("evidence_type", F.lit(kind)).select(*fields)
+
+    def chunks_of(rows: DataFrame, key: str, more: DataFrame) -> DataFrame:
+        cut_ = C.chunked(rows, key, "content").withColumnRenamed(key, "owner")
+        return cut_.join(more, "owner").withColumn("id", F.concat_ws("#", F.col("owner").cast("string"), F.col("chunk_index").cast("string")))
+
+    article_chunks = chunks_of(articles, "article_key", articles.select(F.col("article_key").alias("owner"), "title", "concept_id"))
+    file_chunks = chunks_of(files, "id", files.select(F.col("id").alias("owner"), "path"))
+    entities = spark.sql("SELECT p_partkey AS entity_id, p_name AS canonical_name, split_part(p_name, ' ', 2) AS simple_name, p_size % 5 = 0 AS unresolved FROM {p}", p=table(spark, sf, "part"))
+    lines = spark.sql("SELECT l_partkey AS entity_id, l_orderkey * 10 + l_linenumber AS id, 'flag' AS predicate, l_returnflag AS value, 'supplies' AS edge_type, CAST(l_suppkey AS STRING) AS dst, l_discount AS confidence, false AS tombstoned, CAST(NULL AS STRING) AS superseded_by FROM {l}", l=table(spark, sf, "lineitem"))
+    blocks = graph.facts_block(entities, lines, lines)
+    entity = entities.join(blocks, "entity_id").select("entity_id", F.col("canonical_name").alias("key"), F.lit("").alias("concept_id"), F.col("canonical_name").alias("title"), F.lit("").alias("description"), F.col("block").alias("content"), none.alias("paths"))
+
+    def nearest(asked: DataFrame) -> DataFrame:
+        own = vectors.select(F.col("vec_id").alias("question_id"), "embedding").join(asked.select("question_id"), "question_id", "left_semi")
+        return R.cosine_top_k(own, vectors.select(F.col("vec_id").alias("id"), "embedding"), k).drop("rank")
+
+    with_doc = lambda df, doc: hits_of(df.select("question_id", "score", doc.alias("doc_id")), article, "doc_id", "ARTICLE")
+    chunk_hits = lambda df, chunks, details, on, kind: hits_of(df.join(chunks.select("id", F.col("owner").alias(on)), "id").drop("id"), details, on, kind)
+    contribution = answered.select(F.col("query_id").alias("key"), F.lit("").alias("concept_id"), F.col("question_text").alias("title"), F.lit("").alias("description"), F.col("answer_text").alias("content"), none.alias("paths"))
+    rank = Window.partitionBy("question_id").orderBy(F.desc("score"), "id")
+    few = lambda df: df.withColumn("_n", F.row_number().over(rank)).where(F.col("_n") <= k).drop("_n")
+    return {
+        "fts": lambda q: hits_of(few(R.fts_match(q, articles, "article_key", "content")).withColumnRenamed("id", "key"), article, "key", "ARTICLE"),
+        "article_chunk_fts": lambda q: chunk_hits(R.lexical(q, article_chunks, "id", {"chunk": 3.0, "title": 1.5, "concept_id": 1.0}, k, "chunk"), article_chunks, article, "key", "ARTICLE"),
+        "refkey": lambda q: hits_of(R.lexical(q, articles, "article_key", REFKEY, k).withColumnRenamed("id", "key"), article, "key", "ARTICLE"),
+        "source": lambda q: hits_of(R.lexical(q, files, "id", SOURCE, k, "content"), file, "id", "SOURCE"),
+        "source_chunk_fts": lambda q: chunk_hits(R.lexical(q, file_chunks, "id", {"path": 1.5, "chunk": 3.0}, k, "chunk"), file_chunks.withColumn("owner", F.col("path")), file, "key", "SOURCE"),
+        "contribution": lambda q: hits_of(R.lexical(q, answered, "query_id", CONTRIBUTION, k, "answer_text", 4.0).withColumnRenamed("id", "key"), contribution, "key", "CONTRIBUTION"),
+        "graph": lambda q: hits_of(graph.entity_search(q, entities, blocks, k).drop("rank"), entity, "entity_id", "GRAPH"),
+        "article_vector": lambda q: with_doc(nearest(q), F.col("id")),
+        "chunk_vector": lambda q: with_doc(nearest(q), F.floor(F.col("id") / 10)),
+    }
+
+
+def searched(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The nine-channel search of all questions, and its audit."""
+    return R.search(view(spark, sf, "questions"), _channels(spark, sf, 5), RULES, 5)
+
+
+@query()
+def knowledge_search(spark: SparkSession, sf: str) -> DataFrame:
+    """All nine channels: rewrite, strategy, search, rerank, fusion, relevance; checked in the tests."""
+    return searched(spark, sf)[0].select("question_id", "evidence_type", "key", F.round("score", 9).alias("score"), "rank", "relevant")
+
+
+@query()
+def research_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the lexical hits those that a research task keeps; checked in the tests."""
+    rows = _hit_pairs(spark, sf).select("question_id", "question", F.when(F.col("doc_id") % 10 == 0, "GRAPH").otherwise("ARTICLE").alias("evidence_type"), F.col("article_key").alias("key"), "concept_id", "title", F.col("summary").alias("description"), "content", F.array("path").alias("paths"))
+    return R.research_hits(R.relevance(rows)).select("question_id", "key", "evidence_type", "relevant")
+
+
+@query()
+def question_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Partial questions of comparisons and causes; checked in the tests."""
+    q = view(spark, sf, "questions").select("question_id", F.concat("question", F.lit(" 甲和乙有什么区别？")).alias("q"))
+    return q.select("question_id", F.posexplode(T.split_question(F.col("q"))).alias("place", "part"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import versioning as X
 from ..operators.adapt import table
 from .catalogue import query
@@ -55,16 +56,20 @@ def repo_diff(spark: SparkSession, sf: str) -> DataFrame:
     return X.diff(_hashed(spark, sf, "doc_id % 5 != 0", "doc_id % 3 = 0"), _hashed(spark, sf, "doc_id % 7 != 0", "false"))
 
 
-@query("SELECT 'nation' AS type, n_nationkey::VARCHAR AS id, n_name FROM nation UNION ALL SELECT 'region', r_regionkey::VARCHAR, r_name FROM region")
+def _items(spark: SparkSession, sf: str) -> DataFrame:
+    """Three types of entities."""
+    return X.repo_items({"article": (table(spark, sf, "documents"), "doc_id"), "page": (table(spark, sf, "pages"), "page_id"), "order": (table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey")})
+
+
+@query("SELECT 'article' AS type, doc_id::VARCHAR AS id, text AS content FROM documents UNION ALL SELECT 'page', page_id::VARCHAR, html FROM pages UNION ALL SELECT 'order', o_orderkey::VARCHAR, o_orderstatus FROM orders")
 def repo_snapshot(spark: SparkSession, sf: str) -> DataFrame:
-    items = X.repo_items({"nation": (table(spark, sf, "nation"), "n_nationkey"), "region": (table(spark, sf, "region"), "r_regionkey")})
-    return items.select("type", "id", F.coalesce(F.get_json_object("payload", "$.n_name"), F.get_json_object("payload", "$.r_name")).alias("n_name"))
+    field = lambda n: F.get_json_object("payload", f"$.{n}")
+    return _items(spark, sf).select("type", "id", F.when(F.col("type") == "article", field("text")).when(F.col("type") == "page", field("html")).otherwise(field("o_orderstatus")).alias("content"))
 
 
-@query("SELECT n_nationkey, n_name FROM nation")
+@query("SELECT page_id, url, html FROM pages")
 def repo_restore(spark: SparkSession, sf: str) -> DataFrame:
-    items = X.repo_items({"nation": (table(spark, sf, "nation"), "n_nationkey")})
-    return X.restore(items, "nation", "n_nationkey int, n_name string, n_regionkey int").select("n_nationkey", "n_name")
+    return X.restore(_items(spark, sf), "page", "page_id long, url string, html string")
 
 
 @query("SELECT 'f' || doc_id AS path, CASE WHEN doc_id % 7 = 0 THEN 'DELETE' WHEN doc_id % 5 = 0 OR doc_id % 3 = 0 THEN 'WRITE' ELSE 'SKIP' END AS action FROM documents WHERE NOT (doc_id % 7 = 0 AND doc_id % 5 = 0)")
@@ -106,13 +111,29 @@ def job_step_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("step"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END::INT AS has_x, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END::INT AS appended, 0::INT AS removed FROM documents""")
+@query("SELECT doc_id, (source = 'src1' OR lang = 'src1' OR lang = 'en')::INT AS has_en, 3::INT AS appended, ((lang <> source)::INT + ('en' <> source)::INT)::INT AS left_over FROM documents")
 def json_array_edit(spark: SparkSession, sf: str) -> DataFrame:
-    """Membership, append and removal by key in JSON arrays of corrections."""
+    """Membership, append and removal by key in JSON arrays that each row holds."""
     kind = "array<struct<`from`:string,note:string>>"
-    d = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, '[{"from":"x","note":"n"}]').otherwise('[{"from":"y"}]').alias("j"))
-    a = F.from_json("j", kind)
-    has = F.exists(a, lambda e: e["from"] == "x")
-    more = F.when(has, a).otherwise(F.concat(a, F.array(F.struct(F.lit("x").alias("from"), F.lit("new").alias("note")))))
-    gone = F.filter(F.from_json(F.to_json(more), kind), lambda e: ~e["from"].isin("x", "y"))
-    return d.select("doc_id", has.cast("int").alias("has_x"), F.size(more).alias("appended"), F.size(gone).alias("removed"))
+    d = table(spark, sf, "documents").select("doc_id", "source", F.to_json(F.array(F.struct(F.col("source").alias("from"), F.col("lang").alias("note")), F.struct(F.col("lang").alias("from"), F.col("source").alias("note")))).alias("j"))
+    has = T.json_has(F.col("j"), kind, "from", F.lit("en")) | T.json_has(F.col("j"), kind, "from", F.lit("src1"))
+    more = T.json_append(F.col("j"), kind, F.struct(F.lit("en").alias("from"), F.lit("new").alias("note")))
+    size = lambda c: F.size(F.from_json(c, kind))
+    return d.select("doc_id", has.cast("int").alias("has_en"), size(more).alias("appended"), size(T.json_remove(more, kind, "from", F.col("source"))).alias("left_over"))
+
+
+@query("SELECT vec_id, len(embedding)::INT AS width, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6)::DOUBLE AS total FROM embeddings")
+def vector_literals(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors written as literals and read back."""
+    v = table(spark, sf, "embeddings").select("vec_id", T.vector_of(T.vector_literal(F.transform("embedding", lambda x: x.cast("double")))).alias("v"))
+    return v.select("vec_id", F.size("v").alias("width"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_quantity::DOUBLE AS l_quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') UNION ALL SELECT o_orderkey, 0, 0.0 FROM orders WHERE o_orderpriority = '1-URGENT'")
+def chunk_replacement(spark: SparkSession, sf: str) -> DataFrame:
+    """The chunks of some owners replaced by new ones."""
+    from ..operators import compile as C
+
+    old = table(spark, sf, "lineitem").selectExpr("l_orderkey", "CAST(l_linenumber AS LONG) AS l_linenumber", "CAST(l_quantity AS DOUBLE) AS l_quantity")
+    new = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").selectExpr("o_orderkey AS l_orderkey", "CAST(0 AS LONG) AS l_linenumber", "CAST(0 AS DOUBLE) AS l_quantity")
+    return C.replace_chunks(old, new, "l_orderkey")

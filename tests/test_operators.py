@@ -224,3 +224,104 @@ def test_stream(spark, tmp_path):
     ingest.chunk_into(rows, "id", "text", str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(60)
     found = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted(r.chunk for r in found) == ["a\n\nb", "c"]
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_knowledge_search(spark):
+    """Fusion, ranks and audit of the nine channels, worked out again from the audit's rows."""
+    from tessera.plans import retrieval
+
+    questions = retrieval.view(spark, SF, "questions")
+    asked = R.rewrite(questions, retrieval.RULES).select("question_id", F.col("rewritten").alias("question"))
+    weights = {(r.question_id, r.channel): r.weight for r in R.channel_weights(asked).collect()}
+    best, audit = (df.collect() for df in retrieval.searched(spark, SF))
+    assert {r.channel for r in audit} >= {"article_chunk_fts", "refkey", "source", "source_chunk_fts", "contribution", "graph", "article_vector", "chunk_vector"}
+    scores = {}
+    for r in audit:
+        assert r["rank"] <= 5 and weights[r.question_id, r.channel] > 0
+        at = (r.question_id, r.evidence_type, r.key)
+        scores[at] = scores.get(at, 0.0) + weights[r.question_id, r.channel] / (60 + r["rank"])
+    found = {}
+    for r in best:
+        assert abs(scores[r.question_id, r.evidence_type, r.key] - r.score) < 1e-8
+        found.setdefault(r.question_id, []).append(r)
+    for q, rows in found.items():
+        best = sorted((-round(v, 12), k[2], k[1]) for k, v in scores.items() if k[0] == q)[:5]
+        assert {(r.evidence_type, r.key) for r in rows} <= {(t, k) for _, k, t in best}
+        assert all(r.relevant for r in rows) or not any(r.relevant for r in rows)
+
+
+def test_lexical_takes_full_text_matches_too(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x"), (2, "alpha beta", "x"), (3, "alpha alpha beta gamma", "alpha"), (4, None, None)], "id long, text string, title string")
+    q = spark.createDataFrame([(1, "a c"), (2, "beta alpha")], "question_id long, question string")
+    found = {(r.question_id, r.id): round(r.score, 6) for r in R.lexical(q, docs, "id", {"text": 3.0, "title": 1.5}, 5, "text").collect()}
+    assert found == {(1, 1): 0.2, (2, 2): 6.2, (2, 3): 7.8}
+    assert R.lexical(q, docs.limit(0), "id", {"text": 3.0}, 5, "text").count() == 0
+
+
+def test_full_text_match_needs_all_terms(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six"), (2, "one two three four five"), (3, "six six one two three four five")], "id long, text string")
+    q = spark.createDataFrame([(1, "Six, five four three two one?"), (2, "seven one"), (3, "..")], "question_id long, question string")
+    assert {(r.question_id, r.id, round(r.score, 6)) for r in R.fts_match(q, docs, "id", "text").collect()} == {(1, 1, 0.6), (1, 3, 0.7)}
+
+
+def test_relevance_of_flows_capabilities_and_upkeep(spark):
+    kind = "question_id long, question string, evidence_type string, key string, concept_id string, title string, description string, content string, paths array<string>"
+    rows = [
+        (1, "下单流程怎么走", "ARTICLE", "a", "", "t", "", "客户端 -> 网关", []), (1, "下单流程怎么走", "ARTICLE", "b", "", "t", "", "nothing", []),
+        (2, "有哪些接入方式", "ARTICLE", "a", "", "t", "", "`x` `y`", []), (2, "有哪些接入方式", "ARTICLE", "b", "", "t", "", "none", []),
+        (3, "trans-job 补偿任务怎么执行", "ARTICLE", "a", "", "trans-job", "", "x", []), (3, "trans-job 补偿任务怎么执行", "ARTICLE", "b", "", "怎么执行", "", "x", []),
+    ]
+    found = {(r.question_id, r.key): r.relevant for r in R.relevance(spark.createDataFrame(rows, kind)).collect()}
+    assert found == {(1, "a"): True, (1, "b"): False, (2, "a"): True, (2, "b"): False, (3, "a"): True, (3, "b"): False}
+    more = [(4, "RoutePlanner reads what", e, k, "", t, "", c, []) for e, k, t, c in (("ARTICLE", "a", "RoutePlanner", "x"), ("ARTICLE", "b", "other", "routeplanner route planner reads what"), ("GRAPH", "g", "zzz", "zzz"), ("ARTICLE", "d", "zzz", "zzz"))]
+    assert {r.key for r in R.research_hits(R.relevance(spark.createDataFrame(more, kind))).collect()} == {"a", "g"}
+
+
+def test_small_text_functions(spark):
+    assert T.clamp(0, 5, 20) == 5 and T.clamp(50, 5, 20) == 20 and T.clamp(7, 5, 20) == 7
+    assert one(spark, T.vector_literal(F.array(F.lit(1.5), F.lit(-2.0)))) == "[1.5,-2.0]" and one(spark, T.vector_of(F.lit("[1.5, -2]"))) == [1.5, -2.0] and one(spark, T.vector_of(F.lit("x"))) is None
+    assert one(spark, T.unfenced(F.lit(" see ```json\n{}\n``` "))) == "{}" and one(spark, T.unfenced(F.lit("```json\n{}"))) == "```json\n{}" and one(spark, T.unfenced(F.lit(None).cast("string"))) == ""
+    assert list(C.whole_objects('[{"a":"]}"},{"b":1},{"c', 1)) == ['{"a":"]}"}', '{"b":1}']
+
+
+def test_citation_repair(spark):
+    claims = spark.createDataFrame([(1, 0, "A 1 [[x]] [[y]]"), (1, 1, "B 2 [[z]]"), (1, 2, "C plain"), (2, 0, "D 4 [[w]]"), (2, 1, "E")], "answer_id long, claim_index int, claim string")
+    checked = spark.createDataFrame([(1, 0, 0, "[[x]]", "VERIFIED"), (1, 0, 1, "[[y]]", "DEMOTED"), (1, 1, 2, "[[z]]", "DEMOTED"), (2, 0, 0, "[[w]]", "DEMOTED")], "answer_id long, claim_index int, ordinal int, literal string, status string")
+    found = {(r.answer_id, r.claim_index): r.claim.strip() for r in E.repair_claims(claims, checked).collect()}
+    assert found == {(1, 0): "A 1 [[x]]", (1, 1): "B 2 [[x]]", (1, 2): "C plain [[x]]", (2, 0): "D 4（当前证据不足）", (2, 1): "E（当前证据不足）"}
+
+
+def test_multi_hop_and_graph_rates(spark):
+    expected = spark.createDataFrame([(1, "Timeout is 3"), (1, "retry")], "question_id long, claim string")
+    found = spark.createDataFrame([(1, "the timeout is 30 s")], "question_id long, claim string")
+    assert E.multi_hop(expected, found).first().completeness == 0.5 and E.multi_hop(expected.limit(0), found).first().completeness is None
+    assert E.graph_fact_rate(spark.createDataFrame([(True,), (False,)], "accepted boolean")).first().accepted_rate == 0.5
+
+
+def test_evidence_that_repeats_a_target_counts_once(spark):
+    cited = spark.createDataFrame([(1, 0, "code 12 [[a]]", "ARTICLE", "a")], "answer_id long, claim_index int, claim string, kind string, target string")
+    evidence = spark.createDataFrame([("ARTICLE", "a", "code 12"), ("ARTICLE", "a", "nothing")], "kind string, target string, text string")
+    assert [r.status for r in E.validate(cited, evidence).collect()] == ["VERIFIED"]
+
+
+def test_channels_without_the_automaton(spark, monkeypatch):
+    assert R.finder(["ab", "b"])("xabx") == {0, 1} and R.finder([])("x") == set()
+    monkeypatch.setattr(R, "ahocorasick", None)
+    assert R.finder(["ab", "b"])("xabx") == {0, 1}
+
+
+def test_token_blocks_keep_questions_whole(spark, monkeypatch):
+    monkeypatch.setattr(R, "MOST_TOKENS", 4)
+    q = spark.createDataFrame([(i, f"alpha{i} beta gamma") for i in range(9)], "question_id long, question string")
+    docs = spark.createDataFrame([(i, f"alpha{i} beta") for i in range(9)], "id long, text string")
+    found = R.like_top(q, docs, "id", {"a": {"text": 1.0}, "b": {"text": 2.0}}, 1).collect()
+    assert {(r.question_id, r.channel, r.id, r.score) for r in found} == {(i, c, i, 2.0 * w) for i in range(9) for c, w in (("a", 1), ("b", 2))}
+
+
+def test_questions_split(spark):
+    from tessera.plans import retrieval
+
+    assert {(r.place, r.part[-9:]) for r in retrieval.question_split(spark, SF).collect()} <= {(k, " 的关键结论是什么") for k in range(3)}
