@@ -5,8 +5,10 @@ cover.
 
 1. Dealing. A string's anchor is the leftmost smallest fingerprint among the ``SPAN``-byte fingerprints that it holds (winnowing), and
    the bytes common to all strings that have the anchor at nearly the same place are its bucket's key: equal strings have equal keys. A first pass
-   counts keys, and only buckets that hold more than one place go on; the rest of the corpus is never shuffled.
-2. Sorting. A task takes a block of whole buckets at a time, so its memory is bounded by ``BLOCK`` bytes (or one bucket).
+   counts keys, and only buckets that hold more than one place go on; the rest of the corpus is never shuffled. Buckets
+   of more than ``HOT`` places are split by all their next bytes: each of their strings is a bucket of its own.
+2. Sorting. A task takes a block of whole buckets at a time, so its memory is bounded by ``BLOCK`` bytes and one bucket
+   of at most ``HOT`` places; what equals the row before it byte for byte is a repeat at once and isn't held.
    Positions of the block whose place modulo ``PERIOD`` lies in a difference cover are ranked first, by doubling; then
    all suffixes are sorted by their first 32 bytes, and ties, which are the rule among repeats, are resolved by the ranks of
    two cover positions at equal distance, never by scanning on. Neighbours in this order that share ``DEPTH`` bytes, compared
@@ -27,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, cut, documents_of, in_bitmap, mix, prefix_sums, slices, span_hashes
-from .jaccard import groups
+from .common import bitmap_of, cut, documents_of, drop_cut, in_bitmap, mix, prefix_sums, slices, span_hashes
 
 DEPTH = 400
 SPAN = 64
 REACH = DEPTH - SPAN + 1  # fingerprints in a string
 STEP = 128  # anchors' places within strings, so many to a bucket
 BLOCK = 3 << 20
+HOT = 4096
 #: A difference cover: every distance modulo PERIOD is one between two members.
 PERIOD = 31
 COVER = np.array([1, 5, 11, 24, 25, 27])
@@ -220,11 +222,42 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(place.view(np.int64))], names=["key", "place"])
 
 
+def starts_of(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """All starts of the runs."""
+    n = high - low + 1
+    return np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def _strings(hot):
+    """The hashes and places of all strings of hot buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, data, offsets in _texts(batches):
+            for piece, ends, at in pieces(data, offsets):
+                key, low, high, prefix = bucketed(piece, ends)
+                ok = in_bitmap(hot.value, key)
+                if not ok.any():
+                    continue
+                start = starts_of(low[ok], high[ok])
+                doc = np.searchsorted(ends, start, "right") - 1
+                place = mix(short(ids)[doc] + (start - ends[doc] + at).astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(span_hashes(prefix, start, start + DEPTH).view(np.int64)), pa.array(place.view(np.int64))], names=["key", "place"])
+
+    return run
+
+
 CONTEXT = "key long, half long, text_id binary, first long, last long, bytes binary"
 
 
-def _contexts(live):
+def _contexts(live, hot=None, live_strings=None):
+    """Runs of starts with their bytes; spans that are known to be repeats come without bytes, merged, under keys of their own."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: dict[int, list] = {}  # strings of hot buckets that this task has sent on: bytes, text, place, whether known to be a repeat
+
+        def rows(key, half, texts, first, last, data) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(half.view(np.int64)), pa.array(texts, pa.binary()), pa.array(first), pa.array(last), pa.array(data, pa.binary())], names=["key", "half", "text_id", "first", "last", "bytes"])
+
         for ids, data, offsets in _texts(batches):
             for piece, ends, at in pieces(data, offsets):
                 key, low, high, prefix = bucketed(piece, ends)
@@ -232,27 +265,64 @@ def _contexts(live):
                 key, low, high = key[ok], low[ok], high[ok]
                 if not len(key):
                     continue
-                doc = np.searchsorted(ends, low, "right") - 1
-                whole = span_hashes(prefix, low, high + DEPTH)
-                _, one, same = np.unique(whole, return_index=True, return_inverse=True)
                 raw = piece.tobytes()
-                # runs whose bytes have occurred in this piece: they and the first of them are repeats; one of them goes on
-                twin = np.array([one[same[i]] != i and raw[low[i] : high[i] + DEPTH] == raw[low[one[same[i]]] : high[one[same[i]]] + DEPTH] for i in range(len(key))])
-                sure = twin.copy()
-                sure[one[same[twin]]] = True
-                for what, some in ((True, np.flatnonzero(~twin)), (False, np.flatnonzero(sure))):
+                sure: list[tuple[bytes, int, int]] = []
+                if hot is not None:
+                    split = in_bitmap(hot.value, key)
+                    start = starts_of(low[split], high[split])
+                    key, low, high = key[~split], low[~split], high[~split]
+                    h = span_hashes(prefix, start, start + DEPTH)
+                    ok = in_bitmap(live_strings.value, h)
+                    start, h = start[ok], h[ok]
+                    doc = np.searchsorted(ends, start, "right") - 1
+                    new = []
+                    for i, (p, x, d) in enumerate(zip(start.tolist(), h.tolist(), doc.tolist(), strict=True)):
+                        string, place = raw[p : p + DEPTH], p - int(ends[d]) + at
+                        if (seen := told.get(x)) and seen[0] == string:
+                            sure.append((ids[d], place, place + DEPTH))
+                            if not seen[3]:
+                                sure.append((seen[1], seen[2], seen[2] + DEPTH))
+                                seen[3] = True
+                        else:
+                            told[x] = [string, ids[d], place, False]
+                            new.append(i)
+                    if new:
+                        place = start[new] - ends[doc[new]] + at
+                        yield rows(h[new], h[new], [ids[d] for d in doc[new].tolist()], place, place, [raw[p : p + DEPTH] for p in start[new].tolist()])
+                    if len(told) > 100_000:
+                        told.clear()
+                if len(key):
+                    doc = np.searchsorted(ends, low, "right") - 1
+                    whole = span_hashes(prefix, low, high + DEPTH)
+                    _, one, same = np.unique(whole, return_index=True, return_inverse=True)
+                    # runs whose bytes have occurred in this piece: they and the first of them are repeats; one of them goes on
+                    twin = np.array([one[same[i]] != i and raw[low[i] : high[i] + DEPTH] == raw[low[one[same[i]]] : high[one[same[i]]] + DEPTH] for i in range(len(key))])
+                    known = twin.copy()
+                    known[one[same[twin]]] = True
+                    sure.extend((ids[d], a, b) for d, a, b in zip(doc[known].tolist(), (low[known] - ends[doc[known]] + at).tolist(), (high[known] - ends[doc[known]] + at + DEPTH).tolist(), strict=True))
+                    some = np.flatnonzero(~twin)
                     place = low[some] - ends[doc[some]] + at
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key[some].view(np.int64)), pa.array(whole[some].view(np.int64)), pa.array([ids[d] for d in doc[some].tolist()], pa.binary()), pa.array(place), pa.array(place + high[some] - low[some]), pa.array([raw[low[i] : high[i] + DEPTH] if what else None for i in some.tolist()], pa.binary())],
-                        names=["key", "half", "text_id", "first", "last", "bytes"],
-                    )
+                    yield rows(key[some], whole[some], [ids[d] for d in doc[some].tolist()], place, place + high[some] - low[some], [raw[low[i] : high[i] + DEPTH] for i in some.tolist()])
+                if sure:
+                    spans = [(t, a, b) for t, mine in _by_text(sure).items() for a, b in merged(mine)]
+                    first = np.array([a for _, a, _ in spans], np.int64)
+                    own = mix(short([t for t, _, _ in spans]) + first.astype(np.uint64))
+                    yield rows(own, own, [t for t, _, _ in spans], first, np.array([b - DEPTH for _, _, b in spans], np.int64), [None] * len(spans))
 
     return run
 
 
+def _by_text(spans: list[tuple[bytes, int, int]]) -> dict[bytes, list[tuple[int, int]]]:
+    out: dict[bytes, list[tuple[int, int]]] = {}
+    for t, a, b in spans:
+        out.setdefault(t, []).append((a, b))
+    return out
+
+
 def _sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text_id, start, stop of repeats; rows come sorted by bucket."""
-    block: dict[tuple[bytes, int], bytes] = {}
+    """text_id, start, stop of repeats; rows come sorted by bucket, equal bytes together."""
+    block: dict[tuple[bytes, int], bytes] = {}  # of whole buckets
+    bucket: dict[tuple[bytes, int], bytes] = {}
     size = 0
     out: list[tuple[bytes, int, int]] = []
 
@@ -269,21 +339,33 @@ def _sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         block.clear()
         size = 0
 
-    for group in groups(batches, 1):
-        rows = list(zip(group.column(2).to_pylist(), group.column(3).to_pylist(), group.column(4).to_pylist(), group.column(5), strict=True))
-        mine = {}
-        for t, first, last, data in rows:
-            if data.is_valid:
-                mine[t, first] = data.as_py()
+    now, last = None, None
+    for rows in batches:
+        for key, half, t, first, stop, data in zip(*(rows.column(k).to_pylist() for k in range(6)), strict=True):
+            if data is None:
+                out.append((t, first, stop + DEPTH))
+                continue
+            if key != now:
+                if len(bucket) > 1:
+                    block.update(bucket)
+                    size += sum(map(len, bucket.values()))
+                    if size >= BLOCK:
+                        sort()
+                bucket.clear()
+                now, last = key, None
+            if last and last[0] == half and last[1] == data:
+                if (t, first) != last[2]:
+                    out.append((t, first, stop + DEPTH))
+                    if last[3]:
+                        out.append((*last[2], last[2][1] + len(data)))
+                        last[3] = False
             else:
-                out.append((t, first, last + DEPTH))
-        if len(mine) > 1:
-            block.update(mine)
-            size += sum(map(len, mine.values()))
-        if size >= BLOCK:
-            sort()
+                bucket[t, first] = data
+                last = [half, data, (t, first), True]
         if len(out) > 50_000:
             yield batch()
+    if len(bucket) > 1:
+        block.update(bucket)
     if block:
         sort()
     yield batch()
@@ -293,9 +375,15 @@ def repeats(docs: DataFrame) -> DataFrame:
     """text_id, start, stop: byte spans of repeats in each text, texts by the MD5 of their bytes; spans may overlap."""
     sc = docs.sparkSession.sparkContext
     text = documents_of(docs).select("text")
-    shared = text.mapInArrow(_keys, "key long, place long").groupBy("key").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low != high")
-    live = sc.broadcast(bitmap_of(shared, "key"))
-    found = text.mapInArrow(_contexts(live), CONTEXT).repartition("key").sortWithinPartitions("key")
+    several = lambda rows: rows.groupBy("key").agg(F.min("place").alias("low"), F.max("place").alias("high"), F.count("*").alias("n")).where("low != high").select("key", "n")
+    shared = cut(several(text.mapInArrow(_keys, "key long, place long")))
+    live, hot, strings = sc.broadcast(bitmap_of(shared, "key")), None, None
+    crowded = shared.where(F.col("n") > HOT)
+    if not crowded.isEmpty():
+        hot = sc.broadcast(bitmap_of(crowded, "key"))
+        strings = sc.broadcast(bitmap_of(several(text.mapInArrow(_strings(hot), "key long, place long")), "key"))
+    drop_cut(shared)
+    found = text.mapInArrow(_contexts(live, hot, strings), CONTEXT).repartition("key").sortWithinPartitions("key", "half")
     return found.mapInArrow(_sorted_blocks, "text_id binary, start long, stop long")
 
 
@@ -310,7 +398,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, has_repeats of every document."""
     sc = docs.sparkSession.sparkContext
     text = documents_of(docs)
 
@@ -349,4 +437,4 @@ def dedup(docs: DataFrame) -> DataFrame:
     told = cut_texts.unionByName(copies.select("text_id", F.lit(-1).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(empty).alias("kept")))
     out = rows.join(told, "text_id", "left")
     removed = F.when(F.col("n_removed") < 0, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0)))
-    return out.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"), (removed > 0).alias("has_repeats"))
