@@ -4,12 +4,15 @@ All visible text comes out, boilerplate included. Blocks stand on lines of their
 line between them; list items carry ``-`` or their number, nested ones are indented; table cells are padded so that
 columns align and are joined by `` | ``; preformatted text keeps its white space, other white space collapses.
 
-Hidden: head, script, style, template and embedded-media fallbacks; elements with ``hidden``, ``aria-hidden="true"``,
-inline ``display:none`` or ``visibility:hidden``, hidden inputs, what a closed ``details`` folds away, and elements that a
-style sheet of the page hides by a plain tag, class or id selector.
+Hidden: head, script, style, template and embedded-media fallbacks; hidden inputs; what a closed ``details`` folds away;
+and elements whose ``display`` is none or whose ``visibility`` is hidden, by the ``hidden`` attribute, inline or by a style
+sheet of the page. Of rules the important, then the more specific, then the later one wins; selectors may name tags,
+classes, ids, attributes and ancestors or parents; those with pseudo-classes or sibling combinators are left out.
+``visibility`` is inherited, and a descendant may be visible again. ``aria-hidden`` text is visible and stays.
 
 Null and empty pages give empty text; other columns are ignored; every row gives a row. A page is parsed in one pass
-over its bytes with memory in proportion to that page; nesting beyond ``DEEP`` levels is flattened.
+over its bytes with memory in proportion to that page, however deep it is nested; tables nested more than ``TABLES``
+deep lose their alignment, not their text.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEEP = 400
+TABLES = 64
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 UNSEEN = frozenset("head script style template noscript iframe object canvas audio video datalist noembed noframes title meta link base".split())
@@ -59,34 +62,43 @@ SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("attrs", "children", "tag")
+    __slots__ = ("attrs", "children", "parent", "tag")
 
-    def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children = tag, attrs, []
+    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None = None):
+        self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
 
 
 def parse(page: str) -> tuple[Node, list[str]]:
     """The tree, and the contents of style elements."""
     root = Node("html", {})
     stack, styles, at = [root], [], 0
+    opened: dict[str, int] = {}  # how many of each tag are open, so that a tag without any needs no search
+
+    def close_from(i: int) -> None:
+        for n in stack[i:]:
+            opened[n.tag] -= 1
+        del stack[i:]
 
     def text(raw: str) -> None:
         if raw:
             stack[-1].children.append(html.unescape(raw))
 
     def end(tags: set[str], bounds: set[str]) -> None:
+        if not any(opened.get(t) for t in tags):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
-                del stack[i:]
+                close_from(i)
                 return
             if stack[i].tag in bounds or stack[i].tag == "table":
                 return
 
     def push(tag: str, attrs: dict[str, str]) -> Node:
-        node = Node(tag, attrs)
+        node = Node(tag, attrs, stack[-1])
         stack[-1].children.append(node)
-        if tag not in VOID and len(stack) < DEEP:
+        if tag not in VOID:
             stack.append(node)
+            opened[tag] = opened.get(tag, 0) + 1
         return node
 
     while m := TAG.search(page, at):
@@ -100,14 +112,14 @@ def parse(page: str) -> tuple[Node, list[str]]:
         if m[1]:
             if tag == "br":
                 push("br", {})
-            elif tag == "p" and all(n.tag != "p" for n in stack):
+            elif tag == "p" and not opened.get("p"):
                 push("p", {})
-                stack[-1].tag == "p" and stack.pop()
-            elif tag not in ("html", "body"):
+                close_from(len(stack) - 1)
+            elif tag not in ("html", "body") and opened.get(tag):
                 cell = tag in ("table", "tr", "td", "th", "thead", "tbody", "tfoot", "caption")
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == tag:
-                        del stack[i:]
+                        close_from(i)
                         break
                     if stack[i].tag == "table" or not cell and stack[i].tag in ("td", "th", "caption"):
                         break
@@ -119,7 +131,7 @@ def parse(page: str) -> tuple[Node, list[str]]:
                 root.attrs.setdefault(k, v)
             continue
         if stack[-1].tag == "head" and tag not in UNSEEN and tag not in VOID:
-            stack.pop()
+            close_from(len(stack) - 1)
         if tag in CLOSES_P:
             end({"p"}, {"td", "th", "caption", "button", "object"})
         if tag in IMPLIED:
@@ -136,15 +148,17 @@ def parse(page: str) -> tuple[Node, list[str]]:
                 push("tbody", {})
             push("tr", {})
         node = push(tag, attrs)
-        if m[3].rstrip().endswith("/") and tag not in BLOCK and any(n.tag in ("svg", "math") for n in stack):
-            stack[-1] is node and stack.pop()
+        if m[3].rstrip().endswith("/") and tag not in BLOCK and (opened.get("svg") or opened.get("math")):
+            if stack[-1] is node:
+                close_from(len(stack) - 1)
         elif tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             inner = page[at : close.start() if close else len(page)]
             node.children.append(html.unescape(inner) if tag in ("textarea", "title") else inner)
             if tag == "style" and on_screen(attrs.get("media", "")):
                 styles.append(inner)
-            stack[-1] is node and stack.pop()
+            if stack[-1] is node:
+                close_from(len(stack) - 1)
             at = close.end() if close else len(page)
     text(page[at:])
     return root, styles
@@ -208,39 +222,108 @@ def shows(body: str) -> Iterator[tuple[str, bool, bool]]:
         yield name, "!important" in re.sub(r"\s", "", rest.lower()), value == "none" if name == "display" else value in ("hidden", "collapse")
 
 
-def hidden_selectors(styles: list[str]) -> dict[str, dict[str, tuple]]:
-    """Of each plain selector that some rule hides or shows, by property: importance, specificity, place of the rule that wins, and whether it hides."""
-    found: dict[str, dict[str, tuple]] = {}
+SIMPLE = re.compile(r"([.#]?)([\w-]+)|\[\s*([\w-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([\w-]+))\s*)?\]|(\*)")
+
+
+class Rule:
+    """A selector: the parts of its last compound, those before it with their combinators, and what wins over what."""
+
+    __slots__ = ("before", "last", "sets", "weight")
+
+    def __init__(self, compounds: list[list[tuple]], joints: list[str], weight: tuple, sets: dict[str, tuple]):
+        self.last, self.before, self.weight, self.sets = compounds[-1], list(zip(compounds[:-1], joints, strict=True)), weight, sets
+
+    def meets(self, node: Node) -> bool:
+        if not all(_has(node, x) for x in self.last):
+            return False
+        at = node.parent
+        for k in range(len(self.before) - 1, -1, -1):
+            compound, joint = self.before[k]
+            while at is not None and not all(_has(at, x) for x in compound):
+                if joint == ">":
+                    return False
+                at = at.parent
+            if at is None:
+                return False
+            at = at.parent
+        return True
+
+
+def _has(node: Node, part: tuple[str, str, str | None]) -> bool:
+    kind, name, value = part
+    if kind == "":
+        return node.tag == name
+    if kind == "#":
+        return node.attrs.get("id", "").lower() == name
+    if kind == ".":
+        return name in node.attrs.get("class", "").lower().split()
+    if kind == "[":
+        return name in node.attrs and (value is None or node.attrs[name].lower() == value)
+    return True
+
+
+def compounds_of(selector: str) -> tuple[list[list[tuple]], list[str], tuple] | None:
+    """Compounds, the combinators between them and the specificity; None for what isn't understood."""
+    parts = re.split(r"\s*(>)\s*|\s+", selector)
+    compounds, joints, weight = [], [], [0, 0, 0]
+    for k, part in enumerate(parts):
+        if k % 2:
+            joints.append(part or " ")
+            continue
+        compound, at = [], 0
+        while m := SIMPLE.match(part, at):
+            kind, name = ("[", m[3]) if m[3] else ("*", "") if m[7] else (m[1], m[2])
+            compound.append((kind, name, next((x for x in (m[4], m[5], m[6]) if x is not None), None)))
+            if kind != "*":
+                weight[{"#": 0, ".": 1, "[": 1}.get(kind, 2)] += 1
+            at = m.end()
+        if at != len(part) or not compound:
+            return None
+        compounds.append(compound)
+    return compounds, joints, tuple(weight)
+
+
+def hidden_selectors(styles: list[str]) -> dict[str, list[Rule]]:
+    """The rules that bear on visibility, by a part of their last compound."""
+    found: dict[str, list[Rule]] = {}
     place = 0
     for sheet in styles:
         for selectors, body in rules(sheet):
+            sets: dict[str, tuple] = {}
             for name, important, hides in shows(body):
                 place += 1
-                for s in selectors.split(","):
-                    s = s.strip().lower()
-                    if re.fullmatch(r"[.#]?[\w-]+", s):
-                        held = found.setdefault(s, {})
-                        held[name] = max(held.get(name, (False, 0, 0, False)), (important, {".": 1, "#": 2}.get(s[0], 0), place, hides))
-    return found if any(w[3] for held in found.values() for w in held.values()) else {}
+                sets[name] = max(sets.get(name, (False, 0, False)), (important, place, hides))
+            if not sets:
+                continue
+            for selector in selectors.split(","):
+                if (read := compounds_of(selector.strip().lower())) is None:
+                    continue
+                rule = Rule(*read, sets)
+                kind, name, _ = min(rule.last, key=lambda x: "#.[*".find(x[0]) if x[0] else 2.5)
+                found.setdefault(kind + name if kind in (".", "#", "") else "*", []).append(rule)
+    return found
 
 
-def visible(node: Node, selectors: dict[str, dict[str, tuple]]) -> bool:
+def shown(node: Node, selectors: dict[str, list[Rule]]) -> tuple[bool, bool | None]:
+    """Whether a node is displayed, and whether it sets its visibility (None: inherited)."""
     a = node.attrs
-    if node.tag in UNSEEN:
-        return False
+    if node.tag in UNSEEN or node.tag == "input" and a.get("type", "").lower() == "hidden":
+        return False, None
     if not a and not selectors:
-        return True
-    if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or node.tag == "input" and a.get("type", "").lower() == "hidden":
-        return False
-    wins: dict[str, tuple] = {}
+        return True, None
+    wins: dict[str, tuple] = {"display": (False, (-1, 0, 0), 0, True)} if "hidden" in a else {}
     if selectors:
-        for s in [node.tag, f"#{a.get('id', '').lower()}", *(f".{c.lower()}" for c in a.get("class", "").split())]:
-            for name, rule in selectors.get(s, {}).items():
-                wins[name] = max(wins.get(name, rule), rule)
+        for key in [node.tag, f"#{a.get('id', '').lower()}", *(f".{c}" for c in a.get("class", "").lower().split()), "*"]:
+            for rule in selectors.get(key, ()):
+                if rule.meets(node):
+                    for name, (important, place, hides) in rule.sets.items():
+                        new = (important, rule.weight, place, hides)
+                        wins[name] = max(wins.get(name, new), new)
     for place, (name, important, hides) in enumerate(shows(a.get("style", ""))):
-        rule = (important, 3, place, hides)
-        wins[name] = max(wins.get(name, rule), rule)
-    return not any(rule[3] for rule in wins.values())
+        new = (important, (1 << 30, 0, 0), place, hides)
+        wins[name] = max(wins.get(name, new), new)
+    seen = wins.get("visibility")
+    return not wins.get("display", (0, 0, 0, False))[3], None if seen is None else not seen[3]
 
 
 class Page:
@@ -287,33 +370,43 @@ class Page:
         return "\n".join(self.lines)
 
 
-def cells(table: Node, selectors: dict[str, dict[str, tuple]], tables: int) -> Iterator[list[tuple[str, int]]]:
-    """The rows of a table: each cell's text and the columns it spans; what is no row stands alone."""
+def cells(table: Node, selectors: dict[str, list[Rule]], tables: int, dark: bool) -> Iterator[list[tuple[str, int]]]:
+    """The rows of a table: each cell's text and the columns it spans; what is no row stands alone. dark: whether the table's visibility is hidden."""
     loose: list = []
-    for part in [x for child in table.children for x in (child.children if isinstance(child, Node) and child.tag in ("thead", "tbody", "tfoot") and visible(child, selectors) else [child])]:
+    parts: list[tuple] = []
+    for child in table.children:
+        if not isinstance(child, Node) or child.tag not in ("thead", "tbody", "tfoot"):
+            parts.append((child, dark))
+            continue
+        displayed, seen = shown(child, selectors)
+        if displayed:
+            parts.extend((x, dark if seen is None else not seen) for x in child.children)
+    for part, hid in parts:
         if not isinstance(part, Node) or part.tag != "tr":
-            if not isinstance(part, Node) or part.tag not in ("thead", "tbody", "tfoot"):
-                loose.append(part)
+            loose.append((part, hid))
             continue
-        if not visible(part, selectors):
+        displayed, seen = shown(part, selectors)
+        if not displayed:
             continue
+        unlit = hid if seen is None else not seen
         row = []
         for cell in part.children:
-            if isinstance(cell, Node) and not visible(cell, selectors):
+            displayed, seen = shown(cell, selectors) if isinstance(cell, Node) else (True, None)
+            if not displayed:
                 continue
             if not isinstance(cell, Node) and not cell.strip():
                 continue
             span = cell.attrs.get("colspan", "1").strip() if isinstance(cell, Node) else "1"
             held = Node("div", {})
             held.children = cell.children if isinstance(cell, Node) and cell.tag in ("td", "th") else [cell]
-            row.append((render(held, selectors, tables + 1), max(1, min(100, int(span) if span.isdecimal() else 1))))
+            row.append((render(held, selectors, tables + 1, unlit if seen is None else not seen), max(1, min(1000, int(span) if span.isdecimal() else 1))))
         if row:
             yield row
-    if loose:
+    for unlit in (False, True):
         held = Node("div", {})
-        held.children = loose
-        if shown := render(held, selectors, tables + 1):
-            yield [(shown, 0)]
+        held.children = [x for x, hid in loose if hid == unlit]
+        if text := render(held, selectors, tables + 1, unlit) if held.children else "":
+            yield [(text, 0)]
 
 
 def aligned(rows: list[list[tuple[str, int]]]) -> Iterator[str]:
@@ -339,9 +432,9 @@ def aligned(rows: list[list[tuple[str, int]]]) -> Iterator[str]:
             yield " | ".join(line).rstrip()
 
 
-def render(root: Node, selectors: dict[str, dict[str, tuple]], tables: int = 0) -> str:
+def render(root: Node, selectors: dict[str, list[Rule]], tables: int = 0, dark: bool = False) -> str:
     page = Page()
-    todo: list[tuple] = [("open", root, {"pre": False})]
+    todo: list[tuple] = [("open", root, {"pre": False, "dark": dark})]
     while todo:
         what, node, state = todo.pop()
         if what == "close":
@@ -356,6 +449,8 @@ def render(root: Node, selectors: dict[str, dict[str, tuple]], tables: int = 0)
                     page.marks.clear()
             continue
         if isinstance(node, str):
+            if state["dark"]:
+                continue
             if state["pre"]:
                 first, *rest = node.replace("\r\n", "\n").split("\n")
                 page.line.append(first)
@@ -365,8 +460,11 @@ def render(root: Node, selectors: dict[str, dict[str, tuple]], tables: int = 0)
             else:
                 page.inline(node)
             continue
-        if not visible(node, selectors) or state.get("foreign") and node.tag in FOREIGN_UNSEEN:
+        displayed, seen = shown(node, selectors)
+        if not displayed or state.get("foreign") and node.tag in FOREIGN_UNSEEN:
             continue
+        if seen is not None and seen == state["dark"]:
+            state = state | {"dark": not seen}
         if node.tag == "br":
             page.put("".join(page.line)) if page.line else page.put("")
             page.line.clear()
@@ -377,10 +475,10 @@ def render(root: Node, selectors: dict[str, dict[str, tuple]], tables: int = 0)
         if node.tag in BLOCK:
             page.stop(node.tag in SPACED and not (node.tag in ("ul", "ol", "menu") and state.get("list")))
         if node.tag == "input":
-            page.inline(f" {node.attrs.get('value', '')} ")
+            state["dark"] or page.inline(f" {node.attrs.get('value', '')} ")
             continue
-        if node.tag == "table" and tables < 8:
-            for line in aligned(list(cells(node, selectors, tables))):
+        if node.tag == "table" and tables < TABLES:
+            for line in aligned(list(cells(node, selectors, tables, state["dark"]))):
                 page.put(line)
             page.stop(True)
             continue
@@ -395,7 +493,8 @@ def render(root: Node, selectors: dict[str, dict[str, tuple]], tables: int = 0)
                 state["number"][0] += 1
             inner = state | {"indent": page.indent}
             page.indent += len(mark)
-            page.marks.append(mark)
+            if not state["dark"]:
+                page.marks.append(mark)
         elif node.tag in ("pre", "textarea"):
             inner = state | {"pre": True}
         elif node.tag in ("svg", "math"):
