@@ -39,18 +39,35 @@ NONE_TYPE = "array<struct<start:int,kind:int,end:int>>"
 
 
 def spans(text: Column, pattern: str, kind: int, keep) -> Column:
-    """array<struct<start, kind, end>> of the leftmost non-overlapping matches for which keep(match) holds."""
+    """array<struct<start, kind, end>> of the leftmost non-overlapping matches for which keep(match) holds.
+
+    A match starts where the texts between matches and the matches before it end. The running sum is taken over blocks of
+    about the root of the number of matches, so that no array is copied for each match.
+    """
     NONE = F.from_json(F.lit("[]"), NONE_TYPE)
     found = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    zero = F.struct(F.lit(0).alias("at"), NONE.alias("out"))
+    length = lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
+        end = acc["at"] + length(x)
         one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(x["hit"].isNotNull() & keep(x["hit"]), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(found, zero, step, lambda acc: acc["out"])).otherwise(NONE)
+    def of_block(items: Column, at: Column) -> Column:
+        return F.aggregate(items, F.struct(at.alias("at"), NONE.alias("out")), step, lambda acc: acc["out"])
+
+    def by_blocks(items: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(items))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(items) / width).cast("int") - 1), lambda k: F.slice(items, k * width + 1, width))
+        sized = F.transform(blocks, lambda b: F.struct(b.alias("items"), F.aggregate(b, F.lit(0), lambda a, x: a + length(x)).alias("n")))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        begins = F.aggregate(sized, zero, lambda acc, b: F.struct((acc["at"] + b["n"]).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+        return F.flatten(F.zip_with(blocks, begins, of_block))
+
+    # lambda variables stand for what would else be written out again at each use
+    whole = F.get(F.transform(F.array(found), lambda items: F.when(F.size(items) <= 64, of_block(items, F.lit(0))).otherwise(by_blocks(items))), 0)
+    return F.when(text.rlike(pattern), whole).otherwise(NONE)
 
 
 def base_spans(text: Column) -> list[Column]:
