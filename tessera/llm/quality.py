@@ -29,8 +29,9 @@ from .common import BASE, LOWER, documents_of, mix, prefix_sums, slices, span_ha
 
 BITS = 18
 GAIN = 24.0
-#: A text is read in pieces of so many bytes; a token on a border counts as two.
+#: A text is read in pieces of about so many bytes, cut between tokens; each sees so many tokens before it, which its n-grams need.
 PIECE = 1 << 21
+BEFORE = 4
 
 KIND = np.full(256, 2, np.uint8)
 KIND[[9, 10, 11, 12, 13, 32, 0]] = 0
@@ -38,8 +39,8 @@ KIND[48:58] = KIND[65:91] = KIND[97:123] = 1
 KIND[128:] = 1
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of all features of the texts, and each text's first place in them (n+1 of them)."""
+def features(data: np.ndarray, offsets: np.ndarray, before: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of all features of the texts, and each text's first place in them (n+1 of them); without those that end in the first ``before`` tokens."""
     kind = KIND[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets[:-1]] = True
@@ -72,6 +73,8 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         ok = joined(h, 2)
         kinds.append((mix((shape[:-2] * b + shape[1:-1]) * b + shape[2:])[ok], owner[2:][ok]))
     kinds.append((mix(shape + np.uint64(77)), owner))
+    if before:  # of one text: unigrams, bigrams, trigrams end where their last token stands
+        kinds = [(x[max(0, before - k) :], who[max(0, before - k) :]) for (x, who), k in zip(kinds, (*range(len(kinds) - 1), 0), strict=True)]
     slot = np.concatenate([x for x, _ in kinds]) >> np.uint64(64 - BITS)
     who = np.concatenate([x for _, x in kinds])
     order = np.argsort(who, kind="stable")
@@ -79,13 +82,21 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def parts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """``features`` of a slice; a single long text comes in pieces."""
+    """``features`` of a slice; a single long text comes in pieces whose features together are the whole text's."""
     if len(offsets) > 2 or len(data) <= PIECE:
         yield features(data, offsets)
-    else:
-        for at in range(0, len(data), PIECE):
-            piece = data[at : at + PIECE]
-            yield features(piece, np.array([0, len(piece)]))
+        return
+    kind = KIND[data]
+    change = np.ones(len(data), bool)
+    change[1:] = kind[1:] != kind[:-1]
+    starts = np.flatnonzero(change & (kind > 0))
+    at = 0
+    while at < len(starts):
+        stop = max(at + 1, int(np.searchsorted(starts, starts[at] + PIECE)))
+        before = min(BEFORE, at)
+        piece = data[starts[at - before] : starts[stop] if stop < len(starts) else len(data)]
+        yield features(piece, np.array([0, len(piece)]), before)
+        at = stop
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
