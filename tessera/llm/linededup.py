@@ -1,9 +1,9 @@
 """Line dedup: content-defined chunks of lines, repeated chunks removed. DataFrame functions only.
 
-A line's hash is the first 32 bits of its MD5; a rolling hash over ``WINDOW`` line hashes marks a line where it is
-divisible by ``DIVISOR``, and the first of successive marked lines ends a chunk. So a chunk has two lines or more (a mark
-on the first line or the last but one ends none), and a border depends on nothing but the three lines up to it: the same
-passage is cut the same way wherever it is shifted to, but for its edges. A chunk of two or more lines with some visible
+A line's hash is the first 32 bits of its MD5, and a rolling hash runs over two line hashes; a chunk ends where the rolling
+hash is smaller than those of the lines before and after. Two such places are never neighbours, so a chunk has two lines
+or more (the first line and the last but one end none), and a border depends on nothing but the four lines around it: the
+same passage is cut the same way wherever it is shifted to, but for its edges. A run of equal lines isn't cut. A chunk of two or more lines with some visible
 character that occurs more than once in the corpus is kept at its first place (smallest doc_id, then first line) and
 removed from all others.
 
@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from .common import columns_of, cut, free
 
-WINDOW, DIVISOR = 2, 2
 LAST = (1 << 63) - 1
 
 
@@ -37,13 +36,14 @@ def with_chunks(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text").withColumn("lines", F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1))
     rows = rows.withColumn("hashes", F.transform("lines", line_hash))
     before = lambda i: F.when(i > 0, F.get("hashes", i - 1)).otherwise(0)
-    rows = rows.withColumn("marks", F.transform("hashes", lambda h, i: (h + 31 * before(i)) % DIVISOR == 0))
-    last = F.size("marks") - 1
-    closes = lambda i: (i == last) | ((i > 0) & (i != last - 1) & F.get("marks", i) & ~F.get("marks", i - 1))
+    rows = rows.withColumn("rolling", F.transform("hashes", lambda h, i: (h + 31 * before(i)) % (1 << 32)))
+    last = F.size("rolling") - 1
+    least = lambda i: (F.get("rolling", i) < F.get("rolling", i - 1)) & (F.get("rolling", i) < F.get("rolling", i + 1))
+    closes = lambda i: (i == last) | ((i > 0) & (i < last - 1) & least(i))
     rows = rows.withColumn("ends", F.filter(F.sequence(F.lit(0), last), closes))
     start = lambda k: F.when(k > 0, F.get("ends", k - 1) + 1).otherwise(0)
     chunk = lambda e, k: F.struct(start(k).alias("first"), (e - start(k) + 1).alias("n"))
-    return rows.withColumn("chunks", F.transform("ends", chunk)).drop("hashes", "marks", "ends")
+    return rows.withColumn("chunks", F.transform("ends", chunk)).drop("hashes", "rolling", "ends")
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
@@ -86,15 +86,15 @@ def digest(docs: DataFrame) -> DataFrame:
     return dedup(docs.select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-ORACLE = f"""
+ORACLE = """
 WITH lines AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
 ), hashed AS (
   SELECT doc_id, lines, list_transform(lines, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS h FROM lines
-), marked AS (
-  SELECT doc_id, lines, list_transform(range(1, len(h) + 1), lambda i: (h[i] + 31 * CASE WHEN i > 1 THEN h[i - 1] ELSE 0 END) % {DIVISOR} = 0) AS m FROM hashed
+), rolled AS (
+  SELECT doc_id, lines, list_transform(range(1, len(h) + 1), lambda i: (h[i] + 31 * CASE WHEN i > 1 THEN h[i - 1] ELSE 0 END) % 4294967296) AS r FROM hashed
 ), ended AS (
-  SELECT doc_id, lines, list_filter(range(1, len(m) + 1), lambda i: i = len(m) OR (i > 1 AND i <> len(m) - 1 AND m[i] AND NOT m[i - 1])) AS ends FROM marked
+  SELECT doc_id, lines, list_filter(range(1, len(r) + 1), lambda i: i = len(r) OR (i > 1 AND i < len(r) - 1 AND r[i] < r[i - 1] AND r[i] < r[i + 1])) AS ends FROM rolled
 ), each AS (
   SELECT doc_id, lines, unnest(ends) AS e, unnest(list_prepend(0, ends[:-2])) AS s FROM ended
 ), chunks AS (

@@ -99,12 +99,53 @@ def test_quality_held_out_accuracy(spark):
     assert sum(r.predicted == r.quality for r in held) / len(held) > 0.95
 
 
-def test_quality_pieces(monkeypatch):
-    text = ("The cat, THE DOG 12 !! " * 40).encode()
-    data = np.frombuffer(text, np.uint8)
-    whole = sum(len(s) for s, _ in quality.parts(data, np.array([0, len(data)])))
-    monkeypatch.setattr(quality, "PIECE", 100)
-    assert abs(sum(len(s) for s, _ in quality.parts(data, np.array([0, len(data)]))) - whole) < whole * 0.2
+@pytest.mark.parametrize("piece", [1, 7, 50, 300])
+def test_quality_pieces(monkeypatch, piece):
+    """The pieces of a long text have the features of the whole."""
+    rng = random.Random(1)
+    data = np.frombuffer(" ".join(rng.choice(["word", "Word", "a1", "!!", "x,y", "the the the", "é", "WORD"]) for _ in range(400)).encode(), np.uint8)
+    offsets = np.array([0, len(data)])
+    whole = np.sort(quality.features(data, offsets)[0])
+    monkeypatch.setattr(quality, "PIECE", piece)
+    assert (np.sort(np.concatenate([slot for slot, _ in quality.parts(data, offsets)])) == whole).all()
+
+
+def test_ftrl_and_score_equal_plain_ones():
+    """One coordinate at a time, with dictionaries."""
+    rng = random.Random(2)
+    rows = []
+    for _ in range(60):
+        slots = rng.sample(range(30), 6)
+        rows.append((int(sum(slots) % 3 == 0), np.array(sorted(slots)), np.array([rng.random() for _ in slots])))
+    alpha, beta, l1, l2 = 0.3, 1.0, 0.01, 0.5
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - (l1 if z[i] > 0 else -l1)) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for _ in range(2):
+        for y, slots, values in rows:
+            x = {int(i): float(v) for i, v in zip(slots, values, strict=True)} | {1 << quality.BITS: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * x[i] for i in x)))
+            for i, v in x.items():
+                g = (p - y) * v
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha * w[i]
+                n[i] += g * g
+    found = quality.ftrl(rows, 2, alpha, beta, l1, l2)
+    assert all(abs(found[i] - weight(i)) < 1e-6 for i in [*range(30), 1 << quality.BITS])
+
+
+def test_score_is_a_sparse_dot_product(spark):
+    rng = np.random.default_rng(4)
+    weights = rng.normal(size=(1 << quality.BITS) + 1).astype(np.float32)
+    rows = [(1, "The cat, the cat sat."), (2, ""), (3, None), (4, "word " * 3000)]
+    for r in quality.score(spark.createDataFrame(rows, "doc_id long, text string"), weights).collect():
+        slots = quality.features(np.frombuffer((dict(rows)[r.doc_id] or "").encode(), np.uint8), np.array([0, len((dict(rows)[r.doc_id] or "").encode())]))[0].tolist()
+        total = float(weights[-1]) + sum(quality.GAIN * float(weights[i]) * k / len(slots) for i, k in collections.Counter(slots).items())
+        assert abs(r.score - 1 / (1 + np.exp(-total))) < 1e-6
 
 
 def test_line_dedup_equals_sql(spark):
@@ -114,6 +155,20 @@ def test_line_dedup_equals_sql(spark):
     assert found == sorted(con.sql(f"SELECT doc_id, kept_sha256, n_lines, n_removed FROM ({linededup.ORACLE})").fetchall())
 
 
+def test_line_chunks_have_two_lines_and_find_passages(spark):
+    rng = random.Random(6)
+    found = {}
+    for size in (3, 6, 12, 20):
+        passages = ["\n".join(prose(rng, 12, 10**6) for _ in range(size)) for _ in range(60)]
+        rows = [(60 * k + i, "\n".join([*(prose(rng, 9, 10**6) for _ in range(4)), p, *(prose(rng, 9, 10**6) for _ in range(3))])) for k in range(2) for i, p in enumerate(passages)]
+        d = spark.createDataFrame(rows, "doc_id long, text string")
+        assert all(c.n >= 2 for r in linededup.with_chunks(d).collect() for c in r.chunks)
+        found[size] = linededup.dedup(d).agg(F.sum("n_removed")).first()[0] / (60 * size)
+    assert 0 < found[3] < found[6] < found[12] < found[20] and found[20] > 0.7 and found[6] > 0.2, found
+    long = "\n".join(prose(rng, 3) for _ in range(30_000))
+    assert linededup.dedup(spark.createDataFrame([(1, long), (2, long)], "doc_id long, text string")).where("n_removed >= 30000").count() == 1
+
+
 def test_line_dedup_cases(spark, docs, empty):
     rng = random.Random(2)
     block = [prose(rng, 5) for _ in range(12)]
@@ -163,6 +218,41 @@ def test_decontamination_finds_every_edited_copy(spark):
     assert {(r.doc_id, r.item_id) for r in decontam.contaminated(d, bench).collect()} == wanted
 
 
+def test_decontamination_equals_brute_force(spark):
+    """Every document against every item, with the whole document as the passage."""
+    rng = random.Random(21)
+    items = [prose(rng, rng.randrange(8, 40), 300) for _ in range(8)]
+    rows = []
+    for i in range(60):
+        w = rng.choice(items).split()
+        for _ in range(rng.randrange(0, len(w))):
+            k = rng.randrange(len(w))
+            if rng.random() < 0.5:
+                w[k] = f"e{rng.randrange(99)}"
+            elif rng.random() < 0.5 and len(w) > 4:
+                del w[k]
+            else:
+                w.insert(k, f"i{rng.randrange(99)}")
+        rows.append((i, f"{prose(rng, rng.randrange(60), 300)} {' '.join(w)} {prose(rng, rng.randrange(60), 300)}"))
+
+    def best(a, b):
+        h = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                h[i + 1, j + 1] = max(0, h[i, j] + (2 if a[i] == b[j] else -1), h[i, j + 1] - 1, h[i + 1, j] - 1)
+        return h.max()
+
+    grams = lambda w: {tuple(w[i : i + 4]) for i in range(len(w) - 3)}
+    want = set()
+    for d, text in rows:
+        for i, item in enumerate(items):
+            a, b = item.split(), text.split()
+            if grams(a) & grams(b) and best(a, b) >= 0.5 * 2 * len(a):
+                want.add((d, i))
+    found = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert found == want and len(want) > 20
+
+
 def test_alignment_bound():
     rng = np.random.default_rng(4)
     for _ in range(200):
@@ -191,7 +281,7 @@ def test_smith_waterman():
         ("<ul><li>one<li>two<ol start=3><li>a<li>b</ol></ul>", "- one\n- two\n  3. a\n  4. b"),
         ("<table><tr><th>name<th>n<tr><td>a<td>10<tr><td colspan=2>wide</table>", "name | n\na    | 10\nwide"),
         ("<pre>a\n  b</pre>", "a\n  b"), ("<head><title>t</title></head><body>x<script>var a='<p>';</script><style>p{}</style>", "x"),
-        ("<p hidden>no</p><p style='display: none'>no</p><p aria-hidden=true>no</p>yes", "yes"), ("<style>.ad{display:none}</style><div class='x ad'>no</div>yes", "yes"),
+        ("<p hidden>no</p><p style='display: none'>no</p><p aria-hidden=true>shown</p>yes", "shown\n\nyes"), ("<style>.ad{display:none}</style><div class='x ad'>no</div>yes", "yes"),
         ("<details><summary>s</summary>body</details>", "s"), ("<details open><summary>s</summary>body</details>", "s\nbody"), ("<!-- c --><![CDATA[x]]>y", "xy"), ("<a href='>'>q</a>", "q"), ("<p>unclosed <b>bold", "unclosed bold"), ("</p></div>x", "x"),
     ],
 )
@@ -214,6 +304,20 @@ def test_html_screen_rules_and_foreign_text(page, text):
     assert htmltext.to_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<style>.nav .x{display:none}</style><div class=nav><p><i class=x>no</i>a</div><p class=x>b", "a\n\nb"), ("<style>ul > li.x{display:none}</style><ul><li class=x>no<li>a</ul><div><b class=x>b</b></div>", "- a\n\nb"),
+        ("<style>p.x#i{display:none}</style><p class=x id=i>no<p class=x>a", "a"), ("<style>.a .x{display:none} #i .x{display:block}</style><div class=a id=i><p class=x>x", "x"), ("<style>div .x{display:block} .x{display:none}</style><div><p class=x>x", "x"),
+        ("<style>[data-off]{display:none} [role='note']{display:none}</style><p data-off>no<p role=note>no<p role=x>a", "a"), ("<style>p:hover{display:none} *{display:inline}</style><p>a", "a"), ("<style>.x+p{display:none}</style><i class=x>a</i><p>b", "a\n\nb"),
+        ("<style>.f{display:flex}</style><p hidden class=f>a<p hidden>no", "a"), ("<div style='visibility:hidden'>no<p style='visibility:visible'>a</p>no</div>b", "a\n\nb"), ("<table style='visibility:hidden'><tr><td>no<td style='visibility:visible'>a</table>", "| a"),
+        ("<table><tr><td colspan=150>wide</table>", "wide"), ("<p>" + "<b>" * 700 + "<i hidden>no</i>a", "a"),
+    ],
+)
+def test_html_selectors_and_visibility(page, text):
+    assert htmltext.to_text(page).strip() == text
+
+
 def test_html_odd_pages(spark):
     assert "deep" in htmltext.to_text("<div>" * 5000 + "deep")
     assert htmltext.to_text("<table>" * 60 + "x") == "x" and isinstance(htmltext.to_text("<" * 2000 + "='" * 500), str)
@@ -270,6 +374,17 @@ def test_suffix_dedup(spark, texts, docs, empty):
     assert suffixdedup.dedup(empty).count() == 0
 
 
+def test_suffix_hot_buckets(spark, monkeypatch):
+    """Buckets of a few places are split; periodic texts, common passages with differing tails, and copies."""
+    monkeypatch.setattr(suffixdedup, "HOT", 2)
+    rng = random.Random(31)
+    passage = prose(rng, 100)
+    rows = [(i, f"{prose(rng, 20)}{passage[: 380 + i * 7]}{prose(rng, 60)}") for i in range(24)]
+    rows += [(50, "one line again and again\n" * 60), (51, "one line again and again\n" * 40), (52, passage), (53, passage), (54, None), (55, "z" * 900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    check_suffix(rows, suffixdedup.dedup(docs).collect())
+
+
 def test_suffix_pieces(spark, monkeypatch):
     rng = np.random.default_rng(4)
     data = rng.integers(97, 123, 5000, dtype=np.uint8)
@@ -283,6 +398,25 @@ def test_suffix_pieces(spark, monkeypatch):
     assert whole <= cut and starts == len(data) - 399
 
 
+@pytest.mark.parametrize("path", ["sf0.1", "check_s"])
+def test_ann_recall_on_whole_tables(spark, path):
+    """Nearly isotropic vectors: 2,000 and 10,256 of them."""
+    import os
+
+    if not os.path.exists(f"/root/testdata/{path}/embeddings.parquet"):
+        pytest.skip("no such table")
+    table = queries.table(spark, f"/root/testdata/{path}", "embeddings")
+    rows = table.toPandas()
+    v, ids = np.stack(rows.embedding).astype(float), rows.vec_id.to_numpy()
+    found = ann.search(table).toPandas().groupby("query_id").vec_id.apply(set)
+    hit = []
+    for i in np.flatnonzero(ids % 20 == 0):
+        s = v @ v[i]
+        s[i] = -np.inf
+        hit.append(len(found[ids[i]] & set(ids[np.lexsort((ids, -s))[:20]])) / 20)
+    assert np.mean(hit) > 0.97
+
+
 def test_ann(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(1500, 16)) * rng.uniform(0.5, 2, (1500, 1))
@@ -350,6 +484,47 @@ def test_tokens_are_the_vocabularys(texts):
         assert np.frombuffer(fast(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
+def test_random_strings_are_found(spark):
+    """Planted secrets of several kinds in prose without any known word before them, and ordinary long runs: precision and recall."""
+    rng = random.Random(77)
+    kinds = {"base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "base36": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"}
+    words = [r.w for r in queries.table(spark, SF, "documents").where("lang = 'en'").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where("length(w) between 3 and 9").distinct().orderBy("w").limit(3000).collect()]
+    rows, secret, ordinary = [], 0, 0
+    for i in range(400):
+        text = " ".join(rng.choices(words, k=30))
+        if i % 2:
+            letters = kinds[rng.choice(list(kinds))]
+            text += " " + "".join(rng.choices(letters, k=rng.randrange(32, 65))) + " end"
+            secret += 1
+        else:
+            text += " " + rng.choice(["/", "_", "-"]).join(rng.choices(words, k=6)) + " " + "=" * 30 + " " + "".join(rng.choices(words, k=4)) + " end"
+            ordinary += 1
+        rows.append((i, text))
+    found = {r.doc_id: r.n_random for r in secrets.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    recall = sum(found[i] > 0 for i in range(1, 400, 2)) / secret
+    clean = sum(found[i] == 0 for i in range(0, 400, 2)) / ordinary
+    print("random strings found", recall, "ordinary left alone", clean)
+    assert recall >= 0.97 and clean >= 0.97
+
+
+def test_spans_by_blocks_equal_the_fold(spark):
+    text = " ".join("token = 'abcdef'" if i % 3 else "deadbeef" * 4 for i in range(700))
+    (r,) = secrets.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    base = plain_secrets(text)
+    said = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in base)
+    assert (r.n_assign, r.n_hex) == (466, 234) and r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
+
+
+def test_short_way_gives_the_same_ids_on_a_whole_table(spark):
+    """Every text of sf0.01, by the tokenizers library and by the shorter way."""
+    from tokenizers import Tokenizer
+
+    plain, tokens = Tokenizer.from_file(queries.VOCABULARY), packing.Tokens(queries.VOCABULARY, queries.RANKS)
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    for text, want in zip(texts, plain.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(tokens(text), "<u4").tolist() == want.ids
+
+
 def test_packing(spark, texts, docs, empty):
     from tokenizers import Tokenizer
 
@@ -490,6 +665,46 @@ def test_warc(spark):
     assert warc.read(spark, none).count() == 0
 
 
+def test_warc_shards_follow_bytes_not_ids(spark):
+    rows = [(i, "x" * 90) for i in range(300)] + [(1 << 60, "far"), (-(1 << 60), "near"), (7, "a" * 900), (7, "b" * 900)]
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    ids, digests = warc.borders(pages, 1000)
+    assert 25 <= len(ids) <= 35 and ids == sorted(ids) and ids[0] == -(1 << 60) and ids.count(7) >= 1 and len(digests) == len(ids)
+    sharded, n = warc.with_shards(warc.with_notes(pages.withColumn("url", F.lit("u"))), pages, 1000)
+    sizes = collections.defaultdict(int)
+    for r in sharded.where("note = 1").collect():
+        sizes[r.shard] += len(r.html)
+    assert n == len(ids) and set(sizes) == set(range(n)) and max(sizes.values()) < 2000
+
+
+CLASH = ["n_lines", "n_removed", "gone", "doc", "text_hash", "matches", "score", "place", "_place", "set", "home", "comp", "lines"]
+
+
+def test_stages_pass_other_columns_and_odd_rows(spark):
+    """Nulls, empties, ties, repeats, a long text, and columns called as those that the operators use."""
+    import corpus_pipeline as P
+
+    rng = random.Random(12)
+    block = "\n".join(prose(rng, 6) for _ in range(9))
+    texts = [(1, None), (2, ""), (3, f"own\n{block}"), (4, f"{block}\nlast one"), (5, prose(rng, 200)), (5, "twice"), (5, "twice"), (None, "null id " + prose(rng, 30)), (6, prose(rng, 40_000)), (7, "short")]
+    rows = [(d, t, f"m{i}", {"k": i}, *([i] * len(CLASH))) for i, (d, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, odd map<string,int>, " + ", ".join(f"{c} long" for c in CLASH))
+    for name, stage in P.STAGES[:-1]:
+        after = stage(spark, docs, SF)
+        assert after.columns == docs.columns, name
+        for r in after.collect():
+            (before,) = [x for x in rows if x[2] == r.lang]
+            assert r.doc_id == before[0] and r.odd == before[3] and all(r[c] == before[4] for c in CLASH), name
+            assert name == "line_dedup" or r.text == before[1], name
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+    marks = {r.lang for r in P.drop_lines(spark, docs, SF).collect()}
+    assert marks == {f"m{i}" for i in range(len(rows))}
+    assert {r.lang for r in P.keep_one_copy(spark, docs, SF).collect()} >= {"m0", "m1", "m2", "m7", "m8", "m9"} and P.keep_one_copy(spark, docs, SF).where("doc_id = 5").count() == 1
+    assert P.drop_leaks(spark, docs, SF).count() == len(rows)
+    packed = P.pack(spark, docs, SF)
+    assert packed.where("doc_id = 5").count() == 3 and packed.where("doc_id in (1, 2)").agg(F.sum("length")).first()[0] == 2 and P.pack(spark, docs.limit(0), SF).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 
