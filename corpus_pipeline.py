@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam, jaccard, linededup, packing, quality
-from tessera.llm.common import columns_of, cut, drop_cut, free
+from tessera.llm.common import columns_of, cut, free, made, release
 from tessera.llm.queries import RANKS, VOCABULARY, table
 
 
@@ -67,10 +67,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        new = cut(stage(spark, docs, sf_dir))
-        if k:
-            drop_cut(docs)
-        docs = new
+    docs, before = table(spark, sf_dir, "documents"), made()
+    for _, stage in STAGES:
+        docs = cut(stage(spark, docs, sf_dir))
+        release(spark, before, docs)
     return docs
