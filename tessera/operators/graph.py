@@ -34,7 +34,7 @@ def edges(articles: DataFrame) -> DataFrame:
 
 
 def impact(links: DataFrame, roots: DataFrame) -> DataFrame:
-    """root, node, depth: what each root (column root) reaches downstream, at its smallest depth, roots themselves left out.
+    """root, node, depth, relation: what each root (column root) reaches downstream, at its smallest depth, and the (alphabetically first) relation of the edges that reach it there; roots themselves left out.
 
     A frontier join per level with an anti-join against what has been seen, until a level is empty; every level is written
     out so that lineage stays short and lost executors cost one level, and what has been seen is written anew after every
@@ -42,12 +42,12 @@ def impact(links: DataFrame, roots: DataFrame) -> DataFrame:
     """
     from .common import cut
 
-    links = links.select("upstream", "downstream").distinct()
-    seen = cut(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct())
+    links = links.select("upstream", "downstream", F.col("relation") if "relation" in links.columns else F.lit(None).cast("string").alias("relation")).distinct()
+    seen = cut(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("relation")).distinct())
     frontier = seen
     for depth in count(1):
-        step = frontier.join(links, frontier.node == links.upstream).select("root", F.col("downstream").alias("node")).distinct()
-        frontier = cut(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        step = frontier.select("root", "node").join(links, F.col("node") == links.upstream).groupBy("root", F.col("downstream").alias("node")).agg(F.min("relation").alias("relation"))
+        frontier = cut(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", F.lit(depth).alias("depth"), "relation"))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)

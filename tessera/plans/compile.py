@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions import vocabulary as V
 from ..operators import compile as C
 from ..operators.adapt import sql_views, table, view
+from ..sources import files as S
 from .catalogue import query
 
 #: Files with telling names.
@@ -186,3 +187,19 @@ def fallback_articles(spark: SparkSession, sf: str) -> DataFrame:
     """Articles written without a generator, and prompts cut to their room."""
     text = F.coalesce("text", F.lit(""))
     return table(spark, sf, "documents").select("doc_id", C.fallback_article(F.col("lang"), text, F.array("source"), F.array("source")).alias("article"), T.prompt_cut(text, F.col("lang"), 4000).alias("prompt"))
+
+
+ROUTE_SQL = "CASE " + " ".join(f"WHEN ext IN ({', '.join(repr(e) for e in group)}) THEN '{name}'" for group, name in ((S.TEXT, "TEXT"), (S.DOCUMENT, "NATIVE"), (S.IMAGE, "IMAGE"))) + " ELSE 'NONE' END"
+
+
+@query(f"WITH {NAMED_SQL}, e AS (SELECT id, path, lower(string_split(path, '.')[-1]) AS ext FROM named) SELECT id, {ROUTE_SQL} AS route, CASE WHEN {ROUTE_SQL} = 'IMAGE' THEN '[Image file: ' || path || ']' END AS placeholder FROM e")
+def file_routes(spark: SparkSession, sf: str) -> DataFrame:
+    """How each file is read, and what stands for images."""
+    rows = named(spark, sf).withColumn("route", S.route(F.lower(F.substring_index("path", ".", -1))))
+    return rows.select("id", "route", F.when(F.col("route") == "IMAGE", S.placeholder(F.col("path"))).alias("placeholder"))
+
+
+@query()
+def folder_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The files of the input folder in a fixed order, contents left unread; checked in the tests."""
+    return S.scan(spark, sf, ["parquet"]).select("path", "extension", "size").orderBy("path")

@@ -24,9 +24,19 @@ def evidence(spark: SparkSession, sf: str) -> DataFrame:
     return d.where("doc_id % 10 != 0").selectExpr(*EVIDENCE.split(", ")).unionByName(d.where("doc_id % 4 != 0").selectExpr(*FILE_EVIDENCE.split(", ")))
 
 
-@query("SELECT doc_id AS answer_id, 0 AS claim_index, 0 AS ordinal, '[[doc-' || doc_id || ']]' AS literal, 'ARTICLE' AS kind, 'doc-' || doc_id AS target FROM documents UNION ALL SELECT doc_id, 2, 1, '[→ src/' || doc_id || '.java:L1-L2]', 'SOURCE_FILE', 'src/' || doc_id || '.java' FROM documents")
+#: Whole texts with citations of both kinds, labels, line ranges and notes mixed in.
+CITED = "coalesce(text, '') || ' [[doc-' || doc_id || '|label]]。' || lang || ' [[→ src/' || source || '.md, note]] and [[' || lang || ']] ; ' || coalesce(text, '') || '[→ src/' || doc_id || '.java:L1-L2]；'"
+
+
+@query(f"""WITH a AS (SELECT doc_id, regexp_extract_all({CITED}, '[^。；;]*[。；;]|[^。；;]+') AS s FROM documents), c AS (SELECT doc_id, list_filter(list_transform(s, lambda x: trim(regexp_replace(x, '^\\s+', ''))), lambda x: length(x) > 0) AS claims FROM a),
+ e AS (SELECT doc_id, unnest(range(len(claims))) AS claim_index, unnest(claims) AS claim FROM c),
+ l AS (SELECT doc_id, claim_index, list_concat(list_transform(list_filter(regexp_extract_all(claim, '\\[\\[[^\\]]+\\]\\]'), lambda m: NOT starts_with(m, '[[→')), lambda m: {{'literal': m, 'kind': 'ARTICLE', 'target': trim(string_split(m[3:-3], '|')[1])}}),
+  list_transform(regexp_extract_all(claim, '\\[→\\s*[^\\]]+\\]'), lambda m: {{'literal': '[→ ' || trim(string_split(m[3:-2], ',')[1]) || ']', 'kind': 'SOURCE_FILE', 'target': trim(regexp_replace(trim(string_split(m[3:-2], ',')[1]), ':(?:L)?\\d+(?:-(?:L)?\\d+)?$', ''))}})) AS found FROM e),
+ x AS (SELECT doc_id, claim_index, unnest(range(len(found))) AS i, unnest(found) AS f FROM l)
+SELECT doc_id AS answer_id, claim_index::INT AS claim_index, (row_number() OVER (PARTITION BY doc_id ORDER BY claim_index, i) - 1)::BIGINT AS ordinal, f.literal AS literal, f.kind AS kind, f.target AS target FROM x""")
 def citation_literals(spark: SparkSession, sf: str) -> DataFrame:
-    return E.ordinals(E.simple_claims(answers(spark, sf)))
+    """Every citation of whole texts, with its place."""
+    return E.ordinals(E.simple_claims(table(spark, sf, "documents").selectExpr("doc_id AS answer_id", f"{CITED} AS answer")))
 
 
 @query("SELECT doc_id AS answer_id, array_to_string(list_sort(list_distinct([(1000 + doc_id)::VARCHAR, 'order_' || lang || '_log', 'code', 'writes'])), ',') AS facts FROM documents")

@@ -206,7 +206,7 @@ def dependency_edges(spark: SparkSession, sf: str) -> DataFrame:
     return edges(spark, sf)
 
 
-@query(f"WITH RECURSIVE {EDGE_SQL}, reach(root, node, depth) AS (SELECT DISTINCT upstream, upstream, 0 FROM edges UNION SELECT root, downstream, depth + 1 FROM reach JOIN edges ON node = upstream WHERE depth < 64) SELECT root, node, min(depth)::INT AS depth FROM reach GROUP BY ALL HAVING min(depth) > 0 AND root <> node")
+@query(f"WITH RECURSIVE {EDGE_SQL}, reach(root, node, depth, relation) AS (SELECT DISTINCT upstream, upstream, 0, '' FROM edges UNION SELECT root, downstream, depth + 1, edges.relation FROM reach JOIN edges ON node = upstream WHERE depth < 64) SELECT root, node, min(depth)::INT AS depth, arg_min(relation, (depth, relation)) AS relation FROM reach GROUP BY root, node HAVING min(depth) > 0 AND root <> node")
 def impact_bfs(spark: SparkSession, sf: str) -> DataFrame:
     e = edges(spark, sf)
     return graph.impact(e, e.select(F.col("upstream").alias("root")))
