@@ -6,7 +6,8 @@ cover.
 1. Dealing. A string's anchor is the leftmost smallest fingerprint among the ``SPAN``-byte fingerprints that it holds (winnowing), and
    the bytes common to all strings that have the anchor at nearly the same place are its bucket's key: equal strings have equal keys. A first pass
    counts keys, and only buckets that hold more than one place go on; the rest of the corpus is never shuffled. Buckets
-   of more than ``HOT`` places are split by all their next bytes: each of their strings is a bucket of its own.
+   of more than ``HOT`` places are split by their next bytes, twice if need be, until each of their strings is a bucket
+   of its own.
 2. Sorting. A task takes a block of whole buckets at a time, so its memory is bounded by ``BLOCK`` bytes and one bucket
    of at most ``HOT`` places; what equals the row before it byte for byte is a repeat at once and isn't held.
    Positions of the block whose place modulo ``PERIOD`` lies in a difference cover are ranked first, by doubling; then
@@ -34,7 +35,8 @@ from .common import bitmap_of, cut, documents_of, drop_cut, in_bitmap, mix, pref
 DEPTH = 400
 SPAN = 64
 REACH = DEPTH - SPAN + 1  # fingerprints in a string
-STEP = 128  # anchors' places within strings, so many to a bucket
+#: Anchors' places within strings, so many to a bucket; of hot buckets fewer, at last one.
+STEPS = (128, 32, 1)
 BLOCK = 3 << 20
 HOT = 4096
 #: A difference cover: every distance modulo PERIOD is one between two members.
@@ -89,19 +91,44 @@ def anchored(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return p[cuts], p[np.append(cuts[1:], len(p)) - 1], places[k[cuts]], prefix
 
 
-def bucketed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of string starts of one bucket each: key, first start, last start; and the prefix sums."""
+class Runs:
+    """Runs of string starts of one bucket each: key, first and last start, anchor."""
+
+    def __init__(self, key: np.ndarray, low: np.ndarray, high: np.ndarray, anchor: np.ndarray):
+        self.key, self.low, self.high, self.anchor = key, low, high, anchor
+
+    def __len__(self) -> int:
+        return len(self.key)
+
+    def __getitem__(self, some: np.ndarray) -> Runs:
+        return Runs(self.key[some], self.low[some], self.high[some], self.anchor[some])
+
+
+def dealt(prefix: np.ndarray, low: np.ndarray, high: np.ndarray, anchor: np.ndarray, step: int) -> Runs:
+    """Runs cut where the distance to the anchor passes a multiple of step; the key is of the bytes that all strings of such a distance have in common."""
+    found = []
+    for c in range(int((anchor - high).min(initial=0)) // step, int((anchor - low).max(initial=-1)) // step + 1):
+        a, b = np.maximum(low, anchor - step * c - step + 1), np.minimum(high, anchor - step * c)
+        ok = np.flatnonzero(a <= b)
+        common = anchor[ok] - step * c
+        key = mix(span_hashes(prefix, common, np.minimum(common + DEPTH - step + 1, len(prefix) - 1)) + np.uint64(c + (step << 16)))
+        found.append((key, a[ok], b[ok], anchor[ok]))
+    none = np.zeros(0, np.int64)
+    return Runs(*(np.concatenate(x) for x in zip(*found, strict=True))) if found else Runs(none.view(np.uint64), none, none, none)
+
+
+def bucketed(data: np.ndarray, offsets: np.ndarray) -> tuple[Runs, np.ndarray]:
+    """All runs, and the prefix sums of the bytes."""
     low, high, anchor, prefix = anchored(data, offsets)
-    keys, lows, highs = [], [], []
-    for c in range(-(-REACH // STEP)):
-        a, b = np.maximum(low, anchor - STEP * c - STEP + 1), np.minimum(high, anchor - STEP * c)
-        ok = a <= b
-        # what all strings with the anchor STEP*c to STEP*c+STEP-1 bytes in have in common
-        common = anchor[ok] - STEP * c
-        keys.append(mix(span_hashes(prefix, common, np.minimum(common + DEPTH - STEP + 1, len(data))) + np.uint64(c)))
-        lows.append(a[ok])
-        highs.append(b[ok])
-    return np.concatenate(keys), np.concatenate(lows), np.concatenate(highs), prefix
+    return dealt(prefix, low, high, anchor, STEPS[0]), prefix
+
+
+def refined(runs_: Runs, prefix: np.ndarray, hots: list, tier: int) -> Runs:
+    """The runs of the given tier: those of hot buckets of the tiers before it."""
+    for k in range(tier):
+        runs_ = runs_[in_bitmap(hots[k].value, runs_.key)]
+        runs_ = dealt(prefix, runs_.low, runs_.high, runs_.anchor, STEPS[k + 1])
+    return runs_
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -213,35 +240,16 @@ def short(ids: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(t[:8] for t in ids), np.uint64)
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, data, offsets in _texts(batches):
-        for piece, ends, at in pieces(data, offsets):
-            key, low, _, _ = bucketed(piece, ends)
-            doc = np.searchsorted(ends, low, "right") - 1
-            place = mix(short(ids)[doc] + (low - ends[doc] + at).astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(place.view(np.int64))], names=["key", "place"])
-
-
-def starts_of(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """All starts of the runs."""
-    n = high - low + 1
-    return np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-
-
-def _strings(hot):
-    """The hashes and places of all strings of hot buckets."""
+def _keys(hots: list):
+    """Keys and places of all runs of the tier after the hot ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, data, offsets in _texts(batches):
             for piece, ends, at in pieces(data, offsets):
-                key, low, high, prefix = bucketed(piece, ends)
-                ok = in_bitmap(hot.value, key)
-                if not ok.any():
-                    continue
-                start = starts_of(low[ok], high[ok])
-                doc = np.searchsorted(ends, start, "right") - 1
-                place = mix(short(ids)[doc] + (start - ends[doc] + at).astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(span_hashes(prefix, start, start + DEPTH).view(np.int64)), pa.array(place.view(np.int64))], names=["key", "place"])
+                found = refined(*bucketed(piece, ends), hots, len(hots))
+                doc = np.searchsorted(ends, found.low, "right") - 1
+                place = mix(short(ids)[doc] + (found.low - ends[doc] + at).astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(found.key.view(np.int64)), pa.array(place.view(np.int64))], names=["key", "place"])
 
     return run
 
@@ -249,8 +257,8 @@ def _strings(hot):
 CONTEXT = "key long, half long, text_id binary, first long, last long, bytes binary"
 
 
-def _contexts(live, hot=None, live_strings=None):
-    """Runs of starts with their bytes; spans that are known to be repeats come without bytes, merged, under keys of their own."""
+def _contexts(lives: list, hots: list):
+    """Runs of starts with their bytes; spans that are known to be repeats come without bytes, merged, under keys of their own. lives: for each tier what buckets hold several places; hots: which of them are split in the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: dict[int, list] = {}  # strings of hot buckets that this task has sent on: bytes, text, place, whether known to be a repeat
@@ -260,49 +268,44 @@ def _contexts(live, hot=None, live_strings=None):
 
         for ids, data, offsets in _texts(batches):
             for piece, ends, at in pieces(data, offsets):
-                key, low, high, prefix = bucketed(piece, ends)
-                ok = in_bitmap(live.value, key)
-                key, low, high = key[ok], low[ok], high[ok]
-                if not len(key):
-                    continue
+                every, prefix = bucketed(piece, ends)
                 raw = piece.tobytes()
                 sure: list[tuple[bytes, int, int]] = []
-                if hot is not None:
-                    split = in_bitmap(hot.value, key)
-                    start = starts_of(low[split], high[split])
-                    key, low, high = key[~split], low[~split], high[~split]
-                    h = span_hashes(prefix, start, start + DEPTH)
-                    ok = in_bitmap(live_strings.value, h)
-                    start, h = start[ok], h[ok]
-                    doc = np.searchsorted(ends, start, "right") - 1
-                    new = []
-                    for i, (p, x, d) in enumerate(zip(start.tolist(), h.tolist(), doc.tolist(), strict=True)):
-                        string, place = raw[p : p + DEPTH], p - int(ends[d]) + at
-                        if (seen := told.get(x)) and seen[0] == string:
-                            sure.append((ids[d], place, place + DEPTH))
-                            if not seen[3]:
-                                sure.append((seen[1], seen[2], seen[2] + DEPTH))
-                                seen[3] = True
-                        else:
-                            told[x] = [string, ids[d], place, False]
-                            new.append(i)
-                    if new:
-                        place = start[new] - ends[doc[new]] + at
-                        yield rows(h[new], h[new], [ids[d] for d in doc[new].tolist()], place, place, [raw[p : p + DEPTH] for p in start[new].tolist()])
-                    if len(told) > 100_000:
-                        told.clear()
-                if len(key):
-                    doc = np.searchsorted(ends, low, "right") - 1
-                    whole = span_hashes(prefix, low, high + DEPTH)
+                for tier, live in enumerate(lives):
+                    x = refined(every, prefix, hots, tier)
+                    x = x[in_bitmap(live.value, x.key)]
+                    if tier < len(hots):
+                        x = x[~in_bitmap(hots[tier].value, x.key)]
+                    if not len(x):
+                        continue
+                    doc = np.searchsorted(ends, x.low, "right") - 1
+                    first, last = x.low - ends[doc] + at, x.high - ends[doc] + at
+                    whole = span_hashes(prefix, x.low, x.high + DEPTH)
                     _, one, same = np.unique(whole, return_index=True, return_inverse=True)
+                    bytes_of = lambda i: raw[x.low[i] : x.high[i] + DEPTH]  # noqa: E731, B023
                     # runs whose bytes have occurred in this piece: they and the first of them are repeats; one of them goes on
-                    twin = np.array([one[same[i]] != i and raw[low[i] : high[i] + DEPTH] == raw[low[one[same[i]]] : high[one[same[i]]] + DEPTH] for i in range(len(key))])
+                    twin = np.array([one[same[i]] != i and bytes_of(i) == bytes_of(one[same[i]]) for i in range(len(x))])
                     known = twin.copy()
                     known[one[same[twin]]] = True
-                    sure.extend((ids[d], a, b) for d, a, b in zip(doc[known].tolist(), (low[known] - ends[doc[known]] + at).tolist(), (high[known] - ends[doc[known]] + at + DEPTH).tolist(), strict=True))
-                    some = np.flatnonzero(~twin)
-                    place = low[some] - ends[doc[some]] + at
-                    yield rows(key[some], whole[some], [ids[d] for d in doc[some].tolist()], place, place + high[some] - low[some], [raw[low[i] : high[i] + DEPTH] for i in some.tolist()])
+                    sure.extend((ids[d], a, b + DEPTH) for d, a, b in zip(doc[known].tolist(), first[known].tolist(), last[known].tolist(), strict=True))
+                    some = np.flatnonzero(~twin).tolist()
+                    if tier == len(STEPS) - 1:  # single strings: one of each leaves the task
+                        new = []
+                        for i in some:
+                            string, d, f, h = bytes_of(i), ids[doc[i]], int(first[i]), int(whole[i])
+                            if (seen := told.get(h)) and seen[0] == string:
+                                sure.append((d, f, f + DEPTH))
+                                if not seen[3]:
+                                    sure.append((seen[1], seen[2], seen[2] + DEPTH))
+                                    seen[3] = True
+                            else:
+                                told[h] = [string, d, f, False]
+                                new.append(i)
+                        some = new
+                        if len(told) > 100_000:
+                            told.clear()
+                    if some:
+                        yield rows(x.key[some], whole[some], [ids[d] for d in doc[some].tolist()], first[some], last[some], [bytes_of(i) for i in some])
                 if sure:
                     spans = [(t, a, b) for t, mine in _by_text(sure).items() for a, b in merged(mine)]
                     first = np.array([a for _, a, _ in spans], np.int64)
@@ -375,15 +378,19 @@ def repeats(docs: DataFrame) -> DataFrame:
     """text_id, start, stop: byte spans of repeats in each text, texts by the MD5 of their bytes; spans may overlap."""
     sc = docs.sparkSession.sparkContext
     text = documents_of(docs).select("text")
-    several = lambda rows: rows.groupBy("key").agg(F.min("place").alias("low"), F.max("place").alias("high"), F.count("*").alias("n")).where("low != high").select("key", "n")
-    shared = cut(several(text.mapInArrow(_keys, "key long, place long")))
-    live, hot, strings = sc.broadcast(bitmap_of(shared, "key")), None, None
-    crowded = shared.where(F.col("n") > HOT)
-    if not crowded.isEmpty():
-        hot = sc.broadcast(bitmap_of(crowded, "key"))
-        strings = sc.broadcast(bitmap_of(several(text.mapInArrow(_strings(hot), "key long, place long")), "key"))
-    drop_cut(shared)
-    found = text.mapInArrow(_contexts(live, hot, strings), CONTEXT).repartition("key").sortWithinPartitions("key", "half")
+    lives, hots = [], []
+    for _ in STEPS:  # a pass over the texts for each tier that has buckets to split
+        keys = text.mapInArrow(_keys(hots), "key long, place long").groupBy("key").agg(F.min("place").alias("low"), F.max("place").alias("high"), F.count("*").alias("n"))
+        shared = cut(keys.where("low != high").select("key", "n"))
+        lives.append(sc.broadcast(bitmap_of(shared, "key")))
+        crowded = shared.where(F.col("n") > HOT)
+        more = len(lives) < len(STEPS) and not crowded.isEmpty()
+        if more:
+            hots = [*hots, sc.broadcast(bitmap_of(crowded, "key"))]
+        drop_cut(shared)
+        if not more:
+            break
+    found = text.mapInArrow(_contexts(lives, hots), CONTEXT).repartition("key").sortWithinPartitions("key", "half")
     return found.mapInArrow(_sorted_blocks, "text_id binary, start long, stop long")
 
 

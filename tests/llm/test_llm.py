@@ -388,13 +388,13 @@ def test_suffix_hot_buckets(spark, monkeypatch):
 def test_suffix_pieces(spark, monkeypatch):
     rng = np.random.default_rng(4)
     data = rng.integers(97, 123, 5000, dtype=np.uint8)
-    whole = {k for k in suffixdedup.bucketed(data, np.array([0, len(data)]))[0].tolist()}
+    whole = set(suffixdedup.bucketed(data, np.array([0, len(data)]))[0].key.tolist())
     cut = set()
     starts = 0
     for piece, ends, _ in suffixdedup.pieces(data, np.array([0, len(data)]), 1000):
-        key, low, high, _ = suffixdedup.bucketed(piece, ends)
-        cut |= set(key.tolist())
-        starts += int((high - low + 1).sum())
+        found, _ = suffixdedup.bucketed(piece, ends)
+        cut |= set(found.key.tolist())
+        starts += int((found.high - found.low + 1).sum())
     assert whole <= cut and starts == len(data) - 399
 
 
