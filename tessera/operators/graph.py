@@ -56,12 +56,12 @@ def impact(links: DataFrame, roots: DataFrame) -> DataFrame:
     return seen.where("depth > 0")
 
 
-def facts_block(entities: DataFrame, facts: DataFrame, relations: DataFrame, most: int = 6) -> DataFrame:
-    """entity_id, block: the entity, its most certain facts and its edges as one line."""
+def facts_block(entities: DataFrame, facts: DataFrame, relations: DataFrame, most: int = 6, least: float = 0.0) -> DataFrame:
+    """entity_id, block: the entity, its most certain facts and its edges (of a confidence of ``least`` or more) as one line."""
 
     def listed(rows: DataFrame, text) -> DataFrame:
         w = Window.partitionBy("entity_id").orderBy(F.desc("confidence"), "id")
-        first = rows.where("NOT tombstoned AND superseded_by IS NULL").withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
+        first = rows.where("NOT tombstoned AND superseded_by IS NULL").where(F.col("confidence") >= least).withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
         ordered = F.transform(F.array_sort(F.collect_list(F.struct("n", text.alias("t")))), lambda s: s["t"])
         return first.groupBy("entity_id").agg(F.array_join(ordered, "").alias("text"))
 

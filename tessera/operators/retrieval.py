@@ -309,6 +309,8 @@ def search(questions: DataFrame, channels: dict, rules: list[tuple[str, str]] =
     weights = channel_weights(asked)
     found = None
     for name, channel in channels.items():
+        if channel is None:  # a channel that the deployment lacks has no hits
+            continue
         w = Window.partitionBy("question_id").orderBy(F.desc("score"), "key")
         part = channel(asked).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_n").withColumn("channel", F.lit(name))
         found = part if found is None else found.unionByName(part)
@@ -420,3 +422,16 @@ def vector_worklist(articles: DataFrame, index: DataFrame, profile: str, dims: i
     had = index.select("key", F.col("content_hash").alias("_h"), F.col("profile").alias("_p"), F.col("dims").alias("_d"))
     same = F.col("_h").eqNullSafe(F.col("content_hash")) & F.col("_p").eqNullSafe(F.lit(profile)) & F.col("_d").eqNullSafe(F.lit(dims))
     return hashed.join(had, "key", "left").select("key", "content_hash", F.when(same, "SKIP").otherwise("INDEX").alias("action"))
+
+
+def numbered(rows: DataFrame, order: list) -> DataFrame:
+    """Adds ``place``, from 1, in a total order. Rows are sorted by range; a range's rows are counted on from the ranges before it, so none is sorted in one task."""
+    sorted_ = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()))
+    sizes = sorted_.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each range
+    return sorted_.join(F.broadcast(before.drop("_n")), "_part").withColumn("place", F.col("_before") + F.col("_row") - F.col("_first") + 1).drop("_part", "_row", "_first", "_before")
+
+
+def text_search_config(available: list[str], preferred: str = "jiebacfg") -> str:
+    """The analyser of full-text search: the preferred one where it is there, else ``simple``."""
+    return preferred if preferred in available else "simple"

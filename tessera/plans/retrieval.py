@@ -315,3 +315,17 @@ def question_split(spark: SparkSession, sf: str) -> DataFrame:
     """Partial questions of comparisons and causes; checked in the tests."""
     q = view(spark, sf, "questions").select("question_id", F.concat("question", F.lit(" 甲和乙有什么区别？")).alias("q"))
     return q.select("question_id", F.posexplode(T.split_question(F.col("q"))).alias("place", "part"))
+
+
+@query(f"WITH {sql_views('articles', 'files')} SELECT DISTINCT a.source_id AS article_source, f.source_id AS file_source, f.lang FROM articles a JOIN files f ON a.path = f.path")
+def article_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """The sources that articles and files of one path come from, each pair once."""
+    a = view(spark, sf, "articles").select(F.col("source_id").alias("article_source"), "path")
+    f = view(spark, sf, "files").select(F.col("source_id").alias("file_source"), "path", "lang")
+    return a.join(f, "path").select("article_source", "file_source", "lang").distinct()
+
+
+@query(f"WITH {sql_views('articles')} SELECT row_number() OVER (ORDER BY lifecycle NULLS FIRST, source_id, article_key) AS place, article_key FROM articles")
+def article_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """All articles in a fixed order with their places: sorted by range, numbered by the sizes of the ranges before."""
+    return R.numbered(view(spark, sf, "articles").select("article_key", "source_id", "lifecycle"), [F.asc_nulls_first("lifecycle"), "source_id", "article_key"]).select("place", "article_key")

@@ -137,3 +137,24 @@ def chunk_replacement(spark: SparkSession, sf: str) -> DataFrame:
     old = table(spark, sf, "lineitem").selectExpr("l_orderkey", "CAST(l_linenumber AS LONG) AS l_linenumber", "CAST(l_quantity AS DOUBLE) AS l_quantity")
     new = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").selectExpr("o_orderkey AS l_orderkey", "CAST(0 AS LONG) AS l_linenumber", "CAST(0 AS DOUBLE) AS l_quantity")
     return C.replace_chunks(old, new, "l_orderkey")
+
+
+@query("SELECT o_orderkey AS id, o_orderstatus AS status, 'import' AS snapshot_reason, strftime(TIMESTAMP '2024-06-01 00:00:00', '%Y-%m-%d') AS captured FROM orders WHERE o_orderstatus = 'F'")
+def history_capture(spark: SparkSession, sf: str) -> DataFrame:
+    """The history rows that an upsert appends."""
+    delta = table(spark, sf, "orders").where("o_orderstatus = 'F'").selectExpr("o_orderkey AS id", "o_orderstatus AS status")
+    return X.history_rows(delta, "import", F.expr(AT)).select("id", "status", "snapshot_reason", F.date_format("captured_at", "yyyy-MM-dd").alias("captured"))
+
+
+@query("SELECT doc_id, concat_ws(chr(10), lang, source, coalesce(text, ''), '{}') AS search_text, 'c' || doc_id || ' ' || lang || ' ' || source || ' ' || lang AS refkey_text FROM documents")
+def search_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The search columns that are filled at write time."""
+    a = table(spark, sf, "documents").selectExpr("doc_id", "lang AS title", "source AS summary", "coalesce(text, '') AS content", "'{}' AS metadata", "'c' || doc_id AS concept_id", "array(source, lang) AS keywords")
+    return X.with_search_text(a).select("doc_id", "search_text", "refkey_text")
+
+
+@query("SELECT doc_id, lang AS title, '' AS missing, coalesce(text, '') AS body FROM documents")
+def metadata_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Fields of a JSON column, blank where there is none."""
+    d = table(spark, sf, "documents").select("doc_id", F.to_json(F.struct(F.col("lang").alias("title"), F.struct("text").alias("inner"))).alias("j"))
+    return d.select("doc_id", T.json_field(F.col("j"), "title").alias("title"), T.json_field(F.col("j"), "nothing").alias("missing"), T.json_field(F.col("j"), "inner.text").alias("body"))

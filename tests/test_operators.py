@@ -336,3 +336,13 @@ def test_folder_scan(spark):
     assert [r.path.split("/")[0] for r in rows] == sorted(r.path.split("/")[0] for r in rows) and {r.extension for r in rows} == {"parquet"}
     flat = {f for f in os.listdir(SF) if os.path.isfile(f"{SF}/{f}")}
     assert flat <= {r.path for r in rows} and all(r.size == os.path.getsize(f"{SF}/{r.path}") for r in rows)
+
+
+def test_text_search_config():
+    assert R.text_search_config(["jiebacfg", "simple"]) == "jiebacfg" and R.text_search_config([]) == "simple"
+
+
+def test_numbered(spark):
+    rows = spark.createDataFrame([(i * 7919 % 1000, "x") for i in range(1000)] + [(None, "n")], "k long, v string").repartition(7)
+    found = sorted((r.place, r.k) for r in R.numbered(rows, [F.asc_nulls_first("k")]).collect())
+    assert found == [(1, None), *((k + 2, k) for k in range(1000))]
