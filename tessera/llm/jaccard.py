@@ -247,34 +247,6 @@ def linked(s: list[np.ndarray], percent: int, root: np.ndarray | None = None, gu
     return out
 
 
-def groups(batches: Iterator[pa.RecordBatch], by: int = 2) -> Iterator[pa.RecordBatch]:
-    """The rows of each value of the first ``by`` columns, which come sorted, together."""
-    held: list[pa.RecordBatch] = []
-
-    def same(a: pa.RecordBatch, i: int, b: pa.RecordBatch, j: int) -> bool:
-        return all(a.column(k)[i] == b.column(k)[j] for k in range(by))
-
-    def whole() -> pa.RecordBatch:
-        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        change = np.zeros(batch.num_rows, bool)
-        for k in range(by):
-            x = batch.column(k).to_numpy()
-            change[1:] |= x[1:] != x[:-1]
-        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            part = batch.slice(a, b - a)
-            if held and not (a == 0 and same(held[-1], held[-1].num_rows - 1, part, 0)):
-                yield whole()
-                held = []
-            held.append(part)
-    if held:
-        yield whole()
-
-
 def binary_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a binary column without nulls, and its n+1 offsets from 0."""
     column = column.cast(pa.large_binary())
