@@ -130,12 +130,13 @@ def simple_claims(answers: DataFrame, key: str = "answer_id", column: str = "ans
     return answers.select(key, F.posexplode(parts).alias("claim_index", "claim"))
 
 
-def ordinals(claim_rows: DataFrame, key: str = "answer_id") -> DataFrame:
-    """key, claim_index, ordinal, literal, kind, target: every citation with its number within the answer."""
-    rows = claim_rows.select(key, "claim_index", citations(F.col("claim")).alias("c"))
+def ordinals(claim_rows: DataFrame, key: str = "answer_id", with_claim: bool = False) -> DataFrame:
+    """key, claim_index, ordinal, literal, kind, target: every citation with its number within the answer; and its claim, if asked for, which saves a join with the claims."""
+    more = ["claim"] if with_claim else []
+    rows = claim_rows.select(key, "claim_index", *more, citations(F.col("claim")).alias("c"))
     w = Window.partitionBy(key).orderBy("claim_index").rowsBetween(Window.unboundedPreceding, -1)
     before = rows.withColumn("first", F.coalesce(F.sum(F.size("c")).over(w), F.lit(0)))
-    return before.select(key, "claim_index", "first", F.posexplode("c").alias("i", "x")).select(key, "claim_index", (F.col("first") + F.col("i")).alias("ordinal"), "x.*")
+    return before.select(key, "claim_index", *more, "first", F.posexplode("c").alias("i", "x")).select(key, "claim_index", *more, (F.col("first") + F.col("i")).alias("ordinal"), "x.*")
 
 
 def direct_line(text: Column) -> Column:

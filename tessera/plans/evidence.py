@@ -50,8 +50,7 @@ CHECK_SQL = """checked AS (SELECT doc_id AS answer_id, 0 AS claim_index, CASE WH
 
 def checked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     claims = E.simple_claims(answers(spark, sf))
-    cited = E.ordinals(claims).join(claims, ["answer_id", "claim_index"])
-    return claims, E.validate(cited, evidence(spark, sf))
+    return claims, E.validate(E.ordinals(claims, with_claim=True), evidence(spark, sf))
 
 
 @query(f"WITH {CHECK_SQL} SELECT * FROM checked")
