@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, htmltext, jaccard, linededup, packing, quality, secrets, suffixdedup, warc
+from . import ann, decontam, divergence, forest, htmltext, jaccard, linededup, negatives, packing, quality, secrets, suffixdedup, warc
 from .common import shared_dir
 
 try:
@@ -66,9 +66,23 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, out).drop("archive", "url")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").where("label is not null")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors.withColumn("label", moved))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.cluster(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": linededup.ORACLE}
+    return {"op2_line_dedup": linededup.ORACLE, "op11_hard_negatives": negatives.ORACLE, "op12_divergence": divergence.ORACLE}
