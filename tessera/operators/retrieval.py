@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocabulary as V
+from . import fulltext
 from .common import cut
 
 try:
@@ -179,28 +180,11 @@ def top_k(scores: DataFrame, k: int, *ties: str) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{Nd}]+"), lambda w: w != "")
-
-
 def fts_match(questions: DataFrame, docs: DataFrame, id_column: str, column: str) -> DataFrame:
-    """question_id, id, score: documents that hold all of a question's different terms, ranked by 0.1 for each occurrence of one.
-
-    Each question meets the documents through its rarest term (by document counts), then all its terms are looked up in
-    each of these documents' words; a frequent term joins nothing.
-    """
-    words = docs.select(F.col(id_column).alias("id"), words_of(F.col(column)).alias("words"))
-    terms = questions.select("question_id", F.array_distinct(words_of(F.col("question"))).alias("terms")).where(F.size("terms") > 0)
-    wanted = terms.select("question_id", F.explode("terms").alias("word"))
-    each = words.select("id", F.explode(F.array_distinct("words")).alias("word")).join(wanted.select("word").distinct(), "word", "left_semi")
-    held = each.groupBy("word").agg(F.count("*").alias("n"))
-    rarest = wanted.join(held, "word", "left").groupBy("question_id").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("word"), F.min(F.coalesce("n", F.lit(0))).alias("n")).where("n > 0")
-    pairs = each.join(rarest.select("question_id", "word"), "word").select("question_id", "id")
-    met = words.join(pairs, "id").join(terms, "question_id")
-    # pairs are few for each document and hold all terms or go
-    whole = met.where(F.size(F.array_except("terms", "words")) == 0)
-    n = F.size(F.filter("words", lambda w: F.array_contains("terms", w)))
-    return whole.select("question_id", "id", (n * 0.1).alias("score"))
+    """question_id, id, score: documents that hold all of a question's different words, by cover density (see ``fulltext``), without an index: the texts are read once, and postings of the questions' words are kept for the search."""
+    terms = fulltext.terms_of(questions)
+    held = cut(fulltext.postings(docs, id_column, column).join(terms.select("word").distinct(), "word", "left_semi")).withColumn("generation", F.lit(0))
+    return fulltext.ranked(terms, held, held.groupBy("word").agg(F.count("*").alias("n")))
 
 
 def rewrite(questions: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:

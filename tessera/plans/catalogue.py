@@ -23,7 +23,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from . import compile, evidence, governance, retrieval, versioning  # noqa: F401
+    from . import compile, evidence, governance, indexes, retrieval, versioning  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -102,9 +102,15 @@ def contribution_like_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SQL_WORDS = "list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{Nd}}]+'), lambda w: w <> '')"
+#: Covers end where every word of the question has stood; of those with one beginning the first end counts.
 FTS_SQL = f"""terms AS (SELECT question_id, word, count(*) OVER (PARTITION BY question_id) AS n_terms FROM (SELECT DISTINCT question_id, unnest({SQL_WORDS.format(c='question')}) AS word FROM questions)),
- held AS (SELECT id, word, count(*) AS n FROM (SELECT doc_id AS id, unnest({SQL_WORDS.format(c="coalesce(text, '')")}) AS word FROM documents) WHERE word IN (SELECT word FROM terms) GROUP BY ALL),
- fts AS (SELECT question_id, id, sum(n) * 0.1 AS score FROM held JOIN terms USING (word) GROUP BY question_id, id, n_terms HAVING count(*) = n_terms)"""
+ held AS (SELECT id, word, pos FROM (SELECT id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM (SELECT doc_id AS id, {SQL_WORDS.format(c="coalesce(text, '')")} AS w FROM documents)) WHERE word IN (SELECT word FROM terms)),
+ met AS (SELECT question_id, id FROM held JOIN terms USING (word) GROUP BY question_id, id, n_terms HAVING count(DISTINCT word) = n_terms),
+ entries AS (SELECT met.question_id, met.id, terms.word, pos, row_number() OVER (PARTITION BY met.question_id, met.id ORDER BY pos) AS i FROM met JOIN terms ON terms.question_id = met.question_id JOIN held ON held.id = met.id AND held.word = terms.word),
+ lasts AS (SELECT e.question_id, e.id, e.i, e.pos, max(CASE WHEN e.word = t.word THEN e.i END) OVER (PARTITION BY e.question_id, e.id, t.word ORDER BY e.i) AS last FROM entries e JOIN terms t ON t.question_id = e.question_id),
+ ends AS (SELECT question_id, id, i, pos, min(last) AS b FROM lasts GROUP BY question_id, id, i, pos HAVING count(last) = count(*)),
+ covers AS (SELECT question_id, id, b, min(i) AS i, min(pos) AS q FROM ends GROUP BY question_id, id, b),
+ fts AS (SELECT c.question_id, c.id, sum(0.1 / (1 + (c.q - e.pos) - (c.i - c.b))) AS score FROM covers c JOIN entries e ON e.question_id = c.question_id AND e.id = c.id AND e.i = c.b GROUP BY c.question_id, c.id)"""
 
 
 @query(f"WITH {sql_views('questions')}, {FTS_SQL} SELECT question_id, id, round(score, 6)::DOUBLE AS score FROM fts")
