@@ -59,3 +59,34 @@ SUBJECT_ENDINGS = ["[？?。！!]+$", "是什么$", "吗$"]
 
 # --- fixed values: marks of repaired answers ----------------------------------------------------------------------------
 NO_EVIDENCE = "当前证据不足"
+
+# --- fixed values: types of questions, and what lines must hold to answer them ---------------------------------------------
+QUESTION_TYPES = {
+    "fact": ["配置", "参数", "阈值", "观察窗口", "多少", "几", "数值", "值", "分别"],
+    "number": ["多少", "几", "数值", "值", "阈值", "窗口", "分别"],
+    "setup": ["需要", "配置", "准备", "顺序"],
+    "capability": CAPABILITY_QUESTIONS,
+    "listing": ["有哪些", "哪些", "几种", "几个", "列出", "包括", "包含", "分别", "技巧", "形态", "字段", "渠道", "步骤", "主要完成"],
+    "status": ["状态", "可用", "是否可用", "是否启用", "就绪", "待配置", "是否正常"],
+    "flow": FLOW_QUESTIONS,
+    "current": ["现在", "当前"],
+}
+CURRENT_SIGNS = ["当前", "建议值"]
+STATUS_SIGNS = ["当前可用", "已可用", "不可用", "待配置", "未配置", "启用", "禁用", "就绪", "正常", "还没有", "未发现"]
+SETUP_SIGNS = ["准备好", "确认", "创建", "schema", "profile", "环境变量", "容器", "启动", "顺序", "步骤", "处理的事情", "只需要", "只有 4 件"]
+STEP_SIGNS = ["federation", "saml endpoint", "entity id", "claim", "saml request", "saml response", "证书", "身份验证", "完成用户登录"]
+SUMMARY_SENTENCES = "^(?:换句话说|本质上)|更像一个|而不是一个"
+KEY_PARTS = [".", "_", "threshold", "window", "timeout", "retry", "psp rt", "观察窗口"]
+LINE_WORDS = [
+    (["乐观锁", "悲观锁", "redis", "distributed lock", "inventory_lock_version"], 6),
+    (["采用", "通过", "使用字段", "默认值", "配置项"], 4),
+    (["本条目汇总", "主要记录了", "记录了若干", "回答时需要", "当前资料", "文档规则", "现有资料主要包含", "在当前资料中", "主要聚焦于"], -8),
+    (["汇总", "概述", "概要"], -3),
+    (["应视为", "而非", "来源未展开", "适用条件", "不能进一步断言", "未提供校准依据"], -8),
+]
+TEXT_FIELDS = ["summary:", "description:", "content:"]
+FIELD_LINES = "^(?:title|referential_keywords|sources|source_paths|article_key|concept_id|file_path|metadata|depends_on|related|confidence|compiled_at|review_status|lifecycle):|^<h[1-4]"
+ECHO_SIGNS = "[#*`|\\[\\]（）()“”\"'：:；;，,。！？?\\s-]+"
+FOCUS_SEPARATORS = "和|以及|及|、|/|，|,"
+FOCUS_FILLERS = ["当前", "现在", "目前", "分别", "多少", "几", "数值", "参数", "配置", "是什么", "是多少", "值"]
+FOCUS_SIGNS = "[？?。！!：:（）()“”\"'`]"

@@ -3,8 +3,8 @@ centroids are nearest to its queries.
 
 ``build`` fits the centroids by Lloyd rounds in Spark on a bounded sample (``sample`` vectors, smallest hashes first) and
 writes every vector to its list; ``add`` deals more vectors to the same centroids, in place of those with the same ids.
-Every write has a generation; of an id the newest committed one counts, and since the ids are written last, a write that
-breaks off half-way changes nothing. Probing all lists is exact; fewer lists cost less and may miss neighbours (figures in
+Every write has a generation; of an id the newest committed one counts, and since the ids are written last, and every attempt
+has a version of its own, a write that breaks off half-way changes nothing. Probing all lists is exact; fewer lists cost less and may miss neighbours (figures in
 the README). An index has one width: vectors of another raise an error, null ones and those without a norm or with a
 component that isn't finite are left out. ``realign`` rebuilds for another width from the vectors that have it and says
 which ids must be embedded anew.
@@ -15,6 +15,7 @@ shuffled: a task multiplies what it reads of a list with the queries that probe
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,10 +96,11 @@ def _write(rows: DataFrame, folder: str, centres: np.ndarray, generation: int) -
 
     kind = rows.schema["id"].dataType.simpleString()
     one = rows.groupBy("id").agg(F.min("v").alias("v"))  # of rows that repeat an id the smallest vector
-    placed = one.mapInArrow(dealt, f"id {kind}, v array<double>, list int").withColumn("generation", F.lit(generation))
+    version = f"{generation}-{uuid.uuid4().hex}"
+    placed = one.mapInArrow(dealt, f"id {kind}, v array<double>, list int").withColumn("version", F.lit(version))
     parts = max(1, -(-2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // len(centres)))
     placed.repartition("list", F.pmod(F.xxhash64("id"), F.lit(parts))).write.mode("append").partitionBy("list").parquet(f"{folder}/vectors")
-    one.select("id", F.lit(generation).alias("generation")).write.mode("append").parquet(f"{folder}/ids")  # the commit
+    one.select("id", F.lit(generation).alias("generation"), F.lit(version).alias("version")).write.mode("append").parquet(f"{folder}/ids")  # the commit
 
 
 def build(vectors: DataFrame, folder: str, lists: int = 100, sample: int = 50_000, rounds: int = 8, seed: int = 5) -> int:
@@ -126,11 +128,13 @@ def add(vectors: DataFrame, folder: str) -> int:
 def live(spark: SparkSession, folder: str, lists: list[int] | None = None) -> DataFrame:
     """id, v, list of the vectors that count, of the given lists or all."""
     ids = spark.read.parquet(f"{folder}/ids")
-    rows = spark.read.schema(f"id {ids.schema['id'].dataType.simpleString()}, v array<double>, generation int, list int").parquet(f"{folder}/vectors")
+    rows = spark.read.schema(f"id {ids.schema['id'].dataType.simpleString()}, v array<double>, version string, list int").parquet(f"{folder}/vectors")
     if lists is not None:
         rows = rows.where(F.col("list").isin(lists))
-    if (ids.agg(F.max("generation")).first()[0] or 0) > 0:
-        rows = rows.join(ids.groupBy("id").agg(F.max("generation").alias("generation")), ["id", "generation"], "left_semi")
+    versions = [r.version for r in ids.select("version").distinct().collect()]  # one for each write
+    rows = rows.where(F.col("version").isin(versions))
+    if len(versions) > 1:
+        rows = rows.join(ids.groupBy("id").agg(F.max_by("version", "generation").alias("version")), ["id", "version"], "left_semi")
     return rows.select("id", "v", "list")
 
 

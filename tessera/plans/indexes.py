@@ -1,4 +1,4 @@
-"""Queries that build a persistent index and search it."""
+"""Queries that build a persistent index or table and read it."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import fulltext, vectors
+from ..operators import fulltext, tables, vectors
 from ..operators.adapt import table
 from ..operators.common import shared_dir
 from .catalogue import query
@@ -67,3 +67,43 @@ def vector_lists(spark: SparkSession, sf: str) -> DataFrame:
     """The same with half of the lists probed; recall is measured in the tests."""
     asked = table(spark, sf, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("question_id"), "embedding")
     return vectors.search(spark, asked, _vector_index(spark, sf), 8, probes=50)
+
+
+LINES = "SELECT doc_id, pos AS place, line FROM (SELECT doc_id, posexplode(split({text}, '\\n')) AS (pos, line) FROM {d})"
+SQL_LINES = "SELECT doc_id, unnest(range(0, len(l)))::INT AS place, unnest(l) AS line FROM (SELECT doc_id, string_split({text}, chr(10)) AS l FROM documents)"
+
+
+def _chunk_table(spark: SparkSession, sf: str) -> str:
+    """Lines of documents as chunks of their owners: all rebuilt, then some replaced and some deleted by one batch, which is played twice."""
+    docs, folder = table(spark, sf, "documents"), _fresh(spark, "chunks")
+    lines = lambda text: spark.sql(LINES.replace("{text}", text), d=docs)
+    tables.rebuild(lines("coalesce(text, '')"), folder, 0)
+    for _ in range(2):
+        tables.replace(lines("replace(coalesce(text, ''), 'e', '3')").where("doc_id % 5 = 0"), folder, 1, docs.where("doc_id % 7 = 0").select("doc_id"))
+    return folder
+
+
+@query(f"""WITH a AS ({SQL_LINES.format(text="coalesce(text, '')")}), b AS ({SQL_LINES.format(text="replace(coalesce(text, ''), 'e', '3')")})
+SELECT doc_id, place, sha256(line) AS chunk_hash FROM (SELECT * FROM a WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0 UNION ALL SELECT * FROM b WHERE doc_id % 5 = 0)""")
+def chunk_table(spark: SparkSession, sf: str) -> DataFrame:
+    """What a table of chunks holds after a rebuild and a batch that replaces and deletes."""
+    return tables.read(spark, _chunk_table(spark, sf)).select("doc_id", "place", F.sha2("line", 256).alias("chunk_hash"))
+
+
+@query(f"""WITH a AS (SELECT doc_id, count(*) AS n FROM ({SQL_LINES.format(text="coalesce(text, '')")}) GROUP BY 1), t AS (SELECT doc_id, NOT contains(coalesce(text, ''), 'e') AS same FROM documents)
+SELECT doc_id, 0::BIGINT AS batch, 'rebuild' AS reason, 'ADDED' AS change, 0::BIGINT AS rows_old, n AS rows_new FROM a
+UNION ALL SELECT doc_id, 1, 'replace', CASE WHEN doc_id % 5 <> 0 THEN 'REMOVED' WHEN same THEN 'SAME' ELSE 'CHANGED' END, n, CASE WHEN doc_id % 5 = 0 THEN n ELSE 0 END FROM a JOIN t USING (doc_id) WHERE doc_id % 5 = 0 OR doc_id % 7 = 0""")
+def chunk_history(spark: SparkSession, sf: str) -> DataFrame:
+    """The history that the same batches leave."""
+    return tables.history(spark, _chunk_table(spark, sf)).drop("hash_old", "hash_new")
+
+
+@query(f"SELECT doc_id, place, sha256(line) AS chunk_hash FROM ({SQL_LINES.format(text="coalesce(text, '')")})")
+def streamed_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents as a stream of files into a table of chunks, one commit for each micro-batch."""
+    folder, path = _fresh(spark, "streamed"), f"{sf}/documents.parquet"
+    # as a pattern the path may be a file or a folder
+    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[t]")
+    lines = source.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("place", "line"))
+    tables.stream(lines, folder, _fresh(spark, "progress")).awaitTermination()
+    return tables.read(spark, folder).select("doc_id", "place", F.sha2("line", 256).alias("chunk_hash"))

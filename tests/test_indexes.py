@@ -55,9 +55,11 @@ def test_rank_equals_plain_covers_and_replaced_documents_go(spark, tmp_path):
     assert max(r["rank"] for r in best) == 3
     # postings without a commit are not seen
     half = fulltext.postings(spark.createDataFrame([(5001, "a b c d e f")], TEXTS), "id", "text")
-    half = half.withColumn("generation", F.lit(2)).withColumn("bucket", fulltext.bucket_of(F.col("word"), 16))
+    half = half.withColumn("version", F.lit("2-broken")).withColumn("bucket", fulltext.bucket_of(F.col("word"), 16))
     half.write.mode("append").partitionBy("bucket").parquet(f"{folder}/postings")
     check(fulltext.search(spark, asked, folder), texts)
+    fulltext.add(spark.createDataFrame([(5001, "a b")], TEXTS), "id", "text", folder)
+    check(fulltext.search(spark, asked, folder), [*texts, (5001, "a b")])
 
 
 def test_a_search_reads_the_buckets_of_its_words_only(spark, tmp_path):
