@@ -79,33 +79,43 @@ def spark_broadcast(df: DataFrame, value):
 
 
 def _best_of_task(held, columns: list[str], channels: dict[str, dict[str, float]], k: int):
+    """The tokens that the texts of a block hold become counts for each text and question at once; a question's k-th score so far drops rows before they are sorted."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = list(dict.fromkeys(t for _, t in held.value))
-        number = {t: i for i, t in enumerate(names)}
-        ids = list(dict.fromkeys(q for q, _ in held.value))
-        place = {q: i for i, q in enumerate(ids)}
-        askers: list[list[int]] = [[] for _ in names]
-        for q, t in held.value:
-            askers[number[t]].append(place[q])
-        askers = [np.array(x, np.int64) for x in askers]
+        names, ids = list(dict.fromkeys(t for _, t in held.value)), list(dict.fromkeys(q for q, _ in held.value))
+        number, place = {t: i for i, t in enumerate(names)}, {q: i for i, q in enumerate(ids)}
+        pairs = np.array(sorted((number[t], place[q]) for q, t in held.value), np.int64).reshape(-1, 2)
+        first, askers = np.searchsorted(pairs[:, 0], np.arange(len(names) + 1)), pairs[:, 1]
         find = finder(names)
+
+        def counted(texts: list[str]) -> np.ndarray:
+            """How many tokens of each question each text holds."""
+            found = [np.fromiter(x, np.int64, len(x)) for x in map(find, texts)]
+            token, row = np.concatenate([*found, np.zeros(0, np.int64)]), np.repeat(np.arange(len(texts)), [len(x) for x in found])
+            n = first[token + 1] - first[token]
+            at = np.repeat(first[token] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            return np.bincount(np.repeat(row, n) * len(ids) + askers[at], minlength=len(texts) * len(ids)).reshape(len(texts), len(ids))
+
         best: dict[str, pd.DataFrame] = {}
+        least = {c: np.zeros(len(ids)) for c in channels}
         for frame in frames:
             for at in range(0, len(frame), 512):
                 part = frame.iloc[at : at + 512]
                 sums = {c: np.zeros((len(part), len(ids))) for c in channels}
                 for j, c in enumerate(columns, 1):
-                    weights = [(sums[channel], w[c]) for channel, w in channels.items() if c in w]
-                    for i, text in enumerate(part.iloc[:, j]):
-                        for t in find(text):
-                            for total, weight in weights:
-                                total[i, askers[t]] += weight
+                    held_by = counted(part.iloc[:, j].tolist())
+                    for channel, weights in channels.items():
+                        if c in weights:
+                            sums[channel] += weights[c] * held_by
                 for channel, total in sums.items():
-                    i, q = np.nonzero(total)
+                    i, q = np.nonzero((total > 0) & (total >= least[channel]))
                     new = pd.DataFrame({"q": q, "id": part["id"].to_numpy()[i], "score": total[i, q]})
                     both = pd.concat([best[channel], new]) if channel in best else new
                     both = both.sort_values(["q", "score", "id"], ascending=[True, False, True], kind="stable")
-                    best[channel] = both[both.groupby("q").cumcount() < k]
+                    best[channel] = both = both[both.groupby("q").cumcount() < k]
+                    full = both.groupby("q")["score"].agg(["size", "min"])
+                    full = full[full["size"] == k]
+                    least[channel][full.index.to_numpy(np.int64)] = full["min"].to_numpy()
         for channel, rows in best.items():
             yield pd.DataFrame({"question_id": [ids[q] for q in rows["q"]], "channel": channel, "id": rows["id"].to_numpy(), "score": rows["score"].to_numpy()})
 
@@ -183,7 +193,7 @@ def top_k(scores: DataFrame, k: int, *ties: str) -> DataFrame:
 def fts_match(questions: DataFrame, docs: DataFrame, id_column: str, column: str) -> DataFrame:
     """question_id, id, score: documents that hold all of a question's different words, by cover density (see ``fulltext``), without an index: the texts are read once, and postings of the questions' words are kept for the search."""
     terms = fulltext.terms_of(questions)
-    held = cut(fulltext.postings(docs, id_column, column).join(terms.select("word").distinct(), "word", "left_semi")).withColumn("generation", F.lit(0))
+    held = cut(fulltext.postings(docs, id_column, column).join(terms.select("word").distinct(), "word", "left_semi")).withColumn("version", F.lit(""))
     return fulltext.ranked(terms, held, held.groupBy("word").agg(F.count("*").alias("n")))
 
 
@@ -350,7 +360,7 @@ def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int, places: int = 9
     The queries are a stated set: blocks of at most ``MOST_VALUES`` numbers are broadcast, each task multiplies its vectors with
     a block and keeps the k best of each query, so the vectors themselves are never shuffled.
     """
-    usable = lambda df, name: df.select(F.col(name).alias("id"), F.col("embedding").cast("array<double>").alias("v")).where("v is not null and size(v) > 0 and forall(v, x -> x is not null) and exists(v, x -> x != 0)")
+    usable = lambda df, name: df.select(F.col(name).alias("id"), F.col("embedding").cast("array<double>").alias("v")).where("v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(v, x -> x != 0)")
     left, right = usable(queries, "question_id"), usable(vectors, "id")
     kind, asked = right.schema["id"].dataType.simpleString(), left.schema["id"].dataType.simpleString()
     n = left.agg(F.sum(F.size("v"))).first()[0] or 0
