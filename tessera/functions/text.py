@@ -235,16 +235,24 @@ def json_has(array: Column, kind: str, name: str, value: Column) -> Column:
     return F.coalesce(F.exists(F.from_json(array, kind), lambda e: e[name].eqNullSafe(value)), F.lit(False))
 
 
-def json_append(array: Column, kind: str, element: Column) -> Column:
-    """The JSON array with one object more; null and what doesn't parse count as empty."""
-    old = F.coalesce(F.from_json(array, kind), F.from_json(F.lit("[]"), kind))
-    return F.to_json(F.concat(old, F.array(element)))
+def json_objects(array: Column) -> Column:
+    """The objects of a JSON array as they are written, with all their fields; null where it doesn't parse."""
+    return F.from_json(array, "array<string>")
 
 
-def json_remove(array: Column, kind: str, name: str, value: Column) -> Column:
-    """The JSON array without the objects whose field ``name`` is value."""
-    old = F.coalesce(F.from_json(array, kind), F.from_json(F.lit("[]"), kind))
-    return F.to_json(F.filter(old, lambda e: ~e[name].eqNullSafe(value)))
+def json_append(array: Column, element: Column) -> Column:
+    """The JSON array of objects with one object (a struct) more; null and blank texts count as empty, what doesn't parse stays as it is."""
+    empty = F.trim(F.coalesce(array, F.lit(""))) == ""
+    old = F.when(empty, F.array().cast("array<string>")).otherwise(json_objects(array))
+    return F.when(old.isNull(), array).otherwise(F.concat(F.lit("["), F.array_join(F.array_append(old, F.to_json(element)), ","), F.lit("]")))
+
+
+def json_remove(array: Column, name: str, value: Column) -> Column:
+    """The JSON array without the objects whose field ``name`` is value; null and blank texts become an empty array, what doesn't parse stays as it is."""
+    empty = F.trim(F.coalesce(array, F.lit(""))) == ""
+    old = F.when(empty, F.array().cast("array<string>")).otherwise(json_objects(array))
+    left = F.filter(old, lambda e: ~F.get_json_object(e, f"$['{name}']").eqNullSafe(value.cast("string")))
+    return F.when(old.isNull(), array).otherwise(F.concat(F.lit("["), F.array_join(left, ","), F.lit("]")))
 
 
 def unfenced(text: Column) -> Column:

@@ -198,9 +198,17 @@ def replace_chunks(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def merge_concepts(concepts: DataFrame) -> DataFrame:
     """One row per concept slug: the longest title and description (the first of equals), all paths in order, snippets as first seen. concepts: position, concept_id, title, description, paths, snippets."""
     longest = lambda c: F.max_by(c, F.struct(F.length(F.coalesce(c, F.lit(""))), -F.col("position")))
-    in_order = lambda c: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("position", F.col(c).alias("v")))), lambda s: s["v"])))
     rows = concepts.withColumn("slug", T.concept_slug(F.col("concept_id")))
-    return rows.groupBy("slug").agg(longest(F.col("title")).alias("title"), longest(F.col("description")).alias("description"), F.array_sort(in_order("paths")).alias("paths"), in_order("snippets").alias("snippets"))
+
+    def first_seen(c: str, order: list) -> DataFrame:
+        """slug, c: the different values of the lists, each told apart before they are gathered."""
+        each = rows.select("slug", "position", F.posexplode(c).alias("_i", "_v")).groupBy("slug", "_v").agg(F.min(F.struct("position", "_i")).alias("_at"))
+        return each.groupBy("slug").agg(F.transform(F.array_sort(F.collect_list(F.struct(*order))), lambda s: s["_v"]).alias(c))
+
+    one = rows.groupBy("slug").agg(longest(F.col("title")).alias("title"), longest(F.col("description")).alias("description"))
+    out = one.join(first_seen("paths", ["_v"]), "slug", "left").join(first_seen("snippets", ["_at", "_v"]), "slug", "left")
+    none = F.array().cast("array<string>")
+    return out.select("slug", "title", "description", F.coalesce("paths", none).alias("paths"), F.coalesce("snippets", none).alias("snippets"))
 
 
 def toc(rows: DataFrame, key: str, column: str) -> DataFrame:
@@ -284,7 +292,10 @@ def decide_sources(bundles: DataFrame, sources: DataFrame) -> DataFrame:
     slugs = lambda c: F.transform(c, T.ascii_slug)
     b = bundles.select("bundle_id", T.ascii_slug(F.col("name")).alias("b_name"), F.col("path_hash").alias("b_path"), F.col("manifest_hash").alias("b_manifest"), F.col("tops").alias("b_tops"))
     s = usable.select("source_id", "ordinal", T.ascii_slug(F.col("name")).alias("s_name"), F.col("path_hash").alias("s_path"), F.col("manifest_hash").alias("s_manifest"), F.col("tops").alias("s_tops"), T.ascii_slug(F.col("summary")).alias("s_summary"))
-    keyed = lambda df, side: df.select("*", F.explode(F.array_distinct(F.concat(F.array(F.concat(F.lit("n"), f"{side}_name"), F.concat(F.lit("p"), F.coalesce(f"{side}_path", F.lit(""))), F.concat(F.lit("m"), F.coalesce(f"{side}_manifest", F.lit("")))), F.transform(slugs(F.col(f"{side}_tops")), lambda t: F.concat(F.lit("t"), t))))).alias("k"))
+    # blank names, paths and hashes are no keys: they would make all bundles meet all sources
+    key = lambda mark, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(mark), c))
+    keys = lambda side: F.concat(F.array(key("n", F.col(f"{side}_name")), key("p", F.col(f"{side}_path")), key("m", F.col(f"{side}_manifest"))), F.transform(slugs(F.coalesce(F.col(f"{side}_tops"), F.array().cast("array<string>"))), lambda t: key("t", t)))
+    keyed = lambda df, side: df.select("*", F.explode(F.array_distinct(F.array_compact(keys(side)))).alias("k"))
     by_key = keyed(b, "b").join(keyed(s, "s"), "k").drop("k")
     # a summary that holds a name: the names as tokens of one automaton, each summary read once
     from .retrieval import holders

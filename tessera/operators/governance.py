@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .common import cut
 
 
 def covered_paths(files: DataFrame, articles: DataFrame) -> DataFrame:
@@ -173,6 +174,7 @@ def review_loop(articles: DataFrame, fix, rounds: int = 1, threshold: str = "HIG
         issues = open_.withColumn("issues", review_issues(F.col("article"), F.col("sources")))
         severities = F.transform("issues", lambda i: F.substring_index(i, ":", 1))
         routed = review_route(issues.withColumn("passed", F.size("issues") == 0).withColumn("severities", severities), threshold, attempt=attempt, rounds=rounds)
+        routed = cut(routed)  # else every later round would repair all of this one's rows again
         settled = routed.where("route != 'fixable'").select(*articles.columns, "route", "review_status")
         done = settled if done is None else done.unionByName(settled)
         if attempt < rounds:

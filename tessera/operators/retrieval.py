@@ -328,13 +328,14 @@ def research_hits(hits: DataFrame) -> DataFrame:
     return rows.where((F.col("evidence_type") == "GRAPH") | (F.col("relevant") & (F.col("_named") | (F.col("_some") == 0)))).drop("_named", "_some")
 
 
-def lexical(questions: DataFrame, docs: DataFrame, id_column: str, weights: dict[str, float], k: int, fts_column: str | None = None, fts_weight: float = 1.0) -> DataFrame:
-    """question_id, id, score: the k best rows that hold any token or, in ``fts_column``, all terms of a question; the weights of the columns that hold a token, and the full-text rank times its weight."""
-    like = like_top(questions, docs, id_column, {"like": weights}, k if fts_column is None else 4 * k).select("question_id", "id", "score")
-    if fts_column is None:
+def lexical(questions: DataFrame, docs: DataFrame, id_column: str, weights: dict[str, float], k: int, fts: str | dict[str, float] | None = None) -> DataFrame:
+    """question_id, id, score: the k best rows that hold any token or, in a column of ``fts`` (a column, or columns with the weights of their ranks), all words of a question; the weights of the columns that hold a token, and the full-text ranks times their weights."""
+    like = like_top(questions, docs, id_column, {"like": weights}, k if fts is None else 4 * k).select("question_id", "id", "score")
+    if fts is None:
         return like
-    # whatever holds all terms holds many tokens too; its own like score is taken from the pairs themselves
-    whole = fts_match(questions, docs, id_column, fts_column).select("question_id", "id", (F.col("score") * fts_weight).alias("fts"))
+    # whatever holds all words holds many tokens too; its own like score is taken from the pairs themselves
+    ranks = [fts_match(questions, docs, id_column, c).select("question_id", "id", (F.col("score") * w).alias("fts")) for c, w in ({fts: 1.0} if isinstance(fts, str) else fts).items()]
+    whole = reduce(DataFrame.unionByName, ranks).groupBy("question_id", "id").agg(F.sum("fts").alias("fts"))
     texts = docs.select(F.col(id_column).alias("id"), *(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(f"_{c}") for c in weights))
     tokens = questions.select("question_id", T.tokens(F.col("question")).alias("_tokens"))
     pairs = whole.join(tokens, "question_id").join(texts, "id")

@@ -12,6 +12,7 @@ from ..operators import compile as C
 from ..operators import graph
 from ..operators import retrieval as R
 from ..operators.adapt import sql_views, table, view
+from ..operators.common import cut
 from .catalogue import query
 
 
@@ -52,11 +53,12 @@ def _like(columns: dict[str, float], docs: str, key: str) -> str:
     return f"scored AS (SELECT question_id, {key} AS id, sum({score}) AS score FROM {docs}, picked WHERE {any_} GROUP BY ALL), ranked AS (SELECT question_id, id, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id)::INT AS rank FROM scored)"
 
 
+# fixed values: weights of the channels' columns
 REFKEY = {"keyword": 5.0, "concept_id": 4.0, "title": 2.0, "lang": 1.0}
 CHUNK = {"content": 3.0, "title": 1.5, "concept_id": 1.0}
 SOURCE = {"path": 4.0, "preview": 1.5, "content": 1.0}
 SOURCE_CHUNK = {"path": 1.5, "content": 3.0}
-CONTRIBUTION = {"question_text": 3.0, "answer_text": 4.0}
+CONTRIBUTION = {"question_text": 3.0, "answer_text": 4.0, "corrections": 1.5}
 
 
 def _channel(spark: SparkSession, sf: str, docs: DataFrame, key: str, weights: dict[str, float], k: int = 8) -> DataFrame:
@@ -87,14 +89,14 @@ def source_chunk_like_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _channel(spark, sf, view(spark, sf, "files"), "id", SOURCE_CHUNK)
 
 
-PAIRS_SQL = "turns AS (SELECT conv_id, turn, role, text, lead(text) OVER w AS next_text, lead(role) OVER w AS next_role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), pairs AS (SELECT conv_id || '-' || turn AS query_id, conv_id, turn, coalesce(text, '') AS question_text, coalesce(next_text, '') AS answer_text FROM turns WHERE role = 'user' AND next_role = 'assistant')"
+PAIRS_SQL = "turns AS (SELECT conv_id, turn, role, text, lead(text) OVER w AS next_text, lead(role) OVER w AS next_role, CASE WHEN lead(role, 2) OVER w = 'user' THEN lead(text, 2) OVER w END AS reply FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), pairs AS (SELECT conv_id || '-' || turn AS query_id, conv_id, turn, coalesce(text, '') AS question_text, coalesce(next_text, '') AS answer_text, coalesce(reply, '') AS corrections FROM turns WHERE role = 'user' AND next_role = 'assistant')"
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """A user's turn and the assistant's turn after it."""
+    """A user's turn, the assistant's turn after it, and the user's reply to that as corrections."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = table(spark, sf, "conversations").withColumn("next_text", F.lead("text").over(w)).withColumn("next_role", F.lead("role").over(w))
-    return rows.where("role = 'user' AND next_role = 'assistant'").select(F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("query_id"), "conv_id", "turn", F.coalesce("text", F.lit("")).alias("question_text"), F.coalesce("next_text", F.lit("")).alias("answer_text"))
+    rows = table(spark, sf, "conversations").withColumn("next_text", F.lead("text").over(w)).withColumn("next_role", F.lead("role").over(w)).withColumn("reply", F.when(F.lead("role", 2).over(w) == "user", F.lead("text", 2).over(w)))
+    return rows.where("role = 'user' AND next_role = 'assistant'").select(F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("query_id"), "conv_id", "turn", F.coalesce("text", F.lit("")).alias("question_text"), F.coalesce("next_text", F.lit("")).alias("answer_text"), F.coalesce("reply", F.lit("")).alias("corrections"))
 
 
 @query(_like_sql(sql_views("questions") + ", " + PAIRS_SQL, "pairs", "query_id", CONTRIBUTION))
@@ -103,15 +105,19 @@ def contribution_like_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SQL_WORDS = "list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{Nd}}]+'), lambda w: w <> '')"
-#: Covers end where every word of the question has stood; of those with one beginning the first end counts.
-FTS_SQL = f"""terms AS (SELECT question_id, word, count(*) OVER (PARTITION BY question_id) AS n_terms FROM (SELECT DISTINCT question_id, unnest({SQL_WORDS.format(c='question')}) AS word FROM questions)),
- held AS (SELECT id, word, pos FROM (SELECT id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM (SELECT doc_id AS id, {SQL_WORDS.format(c="coalesce(text, '')")} AS w FROM documents)) WHERE word IN (SELECT word FROM terms)),
- met AS (SELECT question_id, id FROM held JOIN terms USING (word) GROUP BY question_id, id, n_terms HAVING count(DISTINCT word) = n_terms),
- entries AS (SELECT met.question_id, met.id, terms.word, pos, row_number() OVER (PARTITION BY met.question_id, met.id ORDER BY pos) AS i FROM met JOIN terms ON terms.question_id = met.question_id JOIN held ON held.id = met.id AND held.word = terms.word),
- lasts AS (SELECT e.question_id, e.id, e.i, e.pos, max(CASE WHEN e.word = t.word THEN e.i END) OVER (PARTITION BY e.question_id, e.id, t.word ORDER BY e.i) AS last FROM entries e JOIN terms t ON t.question_id = e.question_id),
- ends AS (SELECT question_id, id, i, pos, min(last) AS b FROM lasts GROUP BY question_id, id, i, pos HAVING count(last) = count(*)),
- covers AS (SELECT question_id, id, b, min(i) AS i, min(pos) AS q FROM ends GROUP BY question_id, id, b),
- fts AS (SELECT c.question_id, c.id, sum(0.1 / (1 + (c.q - e.pos) - (c.i - c.b))) AS score FROM covers c JOIN entries e ON e.question_id = c.question_id AND e.id = c.id AND e.i = c.b GROUP BY c.question_id, c.id)"""
+def fts_sql(docs: str, key: str, column: str, p: str = "") -> str:
+    """The CTE {p}fts: question_id, id, score. Covers end where every word of the question has stood; of those with one beginning the first end counts."""
+    return f"""{p}terms AS (SELECT question_id, word, count(*) OVER (PARTITION BY question_id) AS n_terms FROM (SELECT DISTINCT question_id, unnest({SQL_WORDS.format(c='question')}) AS word FROM questions)),
+ {p}held AS (SELECT id, word, pos FROM (SELECT id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM (SELECT {key} AS id, {SQL_WORDS.format(c=f"coalesce({column}, '')")} AS w FROM {docs})) WHERE word IN (SELECT word FROM {p}terms)),
+ {p}met AS (SELECT question_id, id FROM {p}held JOIN {p}terms USING (word) GROUP BY question_id, id, n_terms HAVING count(DISTINCT word) = n_terms),
+ {p}entries AS (SELECT m.question_id, m.id, t.word, pos, row_number() OVER (PARTITION BY m.question_id, m.id ORDER BY pos) AS i FROM {p}met m JOIN {p}terms t ON t.question_id = m.question_id JOIN {p}held h ON h.id = m.id AND h.word = t.word),
+ {p}lasts AS (SELECT e.question_id, e.id, e.i, e.pos, max(CASE WHEN e.word = t.word THEN e.i END) OVER (PARTITION BY e.question_id, e.id, t.word ORDER BY e.i) AS last FROM {p}entries e JOIN {p}terms t ON t.question_id = e.question_id),
+ {p}ends AS (SELECT question_id, id, i, pos, min(last) AS b FROM {p}lasts GROUP BY question_id, id, i, pos HAVING count(last) = count(*)),
+ {p}covers AS (SELECT question_id, id, b, min(i) AS i, min(pos) AS q FROM {p}ends GROUP BY question_id, id, b),
+ {p}fts AS (SELECT c.question_id, c.id, sum(0.1 / (1 + (c.q - e.pos) - (c.i - c.b))) AS score FROM {p}covers c JOIN {p}entries e ON e.question_id = c.question_id AND e.id = c.id AND e.i = c.b GROUP BY c.question_id, c.id)"""
+
+
+FTS_SQL = fts_sql("documents", "doc_id", "text")
 
 
 @query(f"WITH {sql_views('questions')}, {FTS_SQL} SELECT question_id, id, round(score, 6)::DOUBLE AS score FROM fts")
@@ -120,6 +126,38 @@ def fts_match(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("question_id", "id", F.round("score", 6).alias("score"))
 
 
+def _lexical_sql(views: str, docs: str, key: str, weights: dict[str, float], fts: dict[str, float], k: int = 8) -> str:
+    """Token weights and full-text ranks of all rows that hold any token or, in a column, all words of a question."""
+    parts = [fts_sql(docs, key, c, f"f{i}_") for i, c in enumerate(fts)]
+    ranks = " UNION ALL ".join(f"SELECT question_id, id, score * {w} AS score FROM f{i}_fts" for i, w in enumerate(fts.values()))
+    return f"""WITH {views}, {SQL_TOKENS}, {SQL_TOP_TOKENS}, {_like(weights, docs, key)}, {', '.join(parts)},
+ total AS (SELECT question_id, id, round(sum(score), 9) AS score FROM (SELECT question_id, id, score FROM scored UNION ALL {ranks}) GROUP BY question_id, id),
+ best AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id)::INT AS rank FROM total) SELECT question_id, id, score::DOUBLE AS score, rank FROM best WHERE rank <= {k}"""
+
+
+def _lexical(spark: SparkSession, sf: str, docs: DataFrame, key: str, weights: dict[str, float], fts: dict[str, float], k: int = 8) -> DataFrame:
+    found = R.lexical(view(spark, sf, "questions"), docs, key, weights, 2 * k, fts).withColumn("score", F.round("score", 9))
+    return R.top_k(found, k, "id")
+
+
+@query(_lexical_sql(sql_views("questions") + ", " + PAIRS_SQL, "pairs", "query_id", CONTRIBUTION, CONTRIBUTION))
+def contribution_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Question-answer pairs with corrections: full-text ranks of three columns and token weights."""
+    return _lexical(spark, sf, pairs(spark, sf), "query_id", CONTRIBUTION, CONTRIBUTION)
+
+
+@query(_lexical_sql(sql_views("questions", "files") + ", previews AS (SELECT *, substr(content, 1, 200) AS preview FROM files)", "previews", "id", SOURCE, {"content": 1.0}))
+def source_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Source files: the full-text rank of the content and token weights."""
+    return _lexical(spark, sf, view(spark, sf, "files").withColumn("preview", T.excerpt(F.col("content"))), "id", SOURCE, {"content": 1.0})
+
+
+@query(_lexical_sql(sql_views("questions", "articles"), "articles", "article_key", CHUNK, {"content": 1.0}))
+def article_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Articles: the full-text rank of the content and token weights."""
+    return _lexical(spark, sf, view(spark, sf, "articles"), "article_key", CHUNK, {"content": 1.0})
+
+
 SQL_SIGNAL = "len(list_filter(tokens, lambda t: NOT (length(t) <= 1) AND (regexp_matches(t, '^[\\x00-\\x7F]+$') AND length(t) >= 4 OR regexp_matches(t, '[_\\-=/.]') OR regexp_matches(t, '\\p{Han}')))) > 0"
 SQL_BASE = " UNION ALL ".join(f"SELECT '{c}' AS channel, {w}::DOUBLE AS base" for c, w in V.CHANNELS.items())
 SQL_BOOST = "CASE " + " ".join(f"WHEN intent = '{i}' AND channel = '{c}' THEN {w}::DOUBLE" for i, m in V.INTENT_BOOST.items() for c, w in m.items()) + " ELSE 1.0::DOUBLE END"
@@ -270,8 +308,9 @@ def _channels(spark: SparkSession, sf: str, k: int) -> dict:
         cut_ = C.chunked(rows, key, "content").withColumnRenamed(key, "owner")
         return cut_.join(more, "owner").withColumn("id", F.concat_ws("#", F.col("owner").cast("string"), F.col("chunk_index").cast("string")))
 
-    article_chunks = chunks_of(articles, "article_key", articles.select(F.col("article_key").alias("owner"), "title", "concept_id"))
-    file_chunks = chunks_of(files, "id", files.select(F.col("id").alias("owner"), "path"))
+    # each is read by several channels and steps
+    article_chunks = cut(chunks_of(articles, "article_key", articles.select(F.col("article_key").alias("owner"), "title", "concept_id")))
+    file_chunks = cut(chunks_of(files, "id", files.select(F.col("id").alias("owner"), "path")))
     entities = spark.sql("SELECT p_partkey AS entity_id, p_name AS canonical_name, split_part(p_name, ' ', 2) AS simple_name, p_size % 5 = 0 AS unresolved FROM {p}", p=table(spark, sf, "part"))
     lines = spark.sql("SELECT l_partkey AS entity_id, l_orderkey * 10 + l_linenumber AS id, 'flag' AS predicate, l_returnflag AS value, 'supplies' AS edge_type, CAST(l_suppkey AS STRING) AS dst, l_discount AS confidence, false AS tombstoned, CAST(NULL AS STRING) AS superseded_by FROM {l}", l=table(spark, sf, "lineitem"))
     blocks = graph.facts_block(entities, lines, lines)
@@ -292,7 +331,7 @@ def _channels(spark: SparkSession, sf: str, k: int) -> dict:
         "refkey": lambda q: hits_of(R.lexical(q, articles, "article_key", REFKEY, k).withColumnRenamed("id", "key"), article, "key", "ARTICLE"),
         "source": lambda q: hits_of(R.lexical(q, files, "id", SOURCE, k, "content"), file, "id", "SOURCE"),
         "source_chunk_fts": lambda q: chunk_hits(R.lexical(q, file_chunks, "id", {"path": 1.5, "chunk": 3.0}, k, "chunk"), file_chunks.withColumn("owner", F.col("path")), file, "key", "SOURCE"),
-        "contribution": lambda q: hits_of(R.lexical(q, answered, "query_id", CONTRIBUTION, k, "answer_text", 4.0).withColumnRenamed("id", "key"), contribution, "key", "CONTRIBUTION"),
+        "contribution": lambda q: hits_of(R.lexical(q, answered, "query_id", CONTRIBUTION, k, CONTRIBUTION).withColumnRenamed("id", "key"), contribution, "key", "CONTRIBUTION"),
         "graph": lambda q: hits_of(graph.entity_search(q, entities, blocks, k).drop("rank"), entity, "entity_id", "GRAPH"),
         "article_vector": lambda q: with_doc(nearest(q), F.col("id")),
         "chunk_vector": lambda q: with_doc(nearest(q), F.floor(F.col("id") / 10)),

@@ -117,9 +117,9 @@ def json_array_edit(spark: SparkSession, sf: str) -> DataFrame:
     kind = "array<struct<`from`:string,note:string>>"
     d = table(spark, sf, "documents").select("doc_id", "source", F.to_json(F.array(F.struct(F.col("source").alias("from"), F.col("lang").alias("note")), F.struct(F.col("lang").alias("from"), F.col("source").alias("note")))).alias("j"))
     has = T.json_has(F.col("j"), kind, "from", F.lit("en")) | T.json_has(F.col("j"), kind, "from", F.lit("src1"))
-    more = T.json_append(F.col("j"), kind, F.struct(F.lit("en").alias("from"), F.lit("new").alias("note")))
+    more = T.json_append(F.col("j"), F.struct(F.lit("en").alias("from"), F.lit("new").alias("note")))
     size = lambda c: F.size(F.from_json(c, kind))
-    return d.select("doc_id", has.cast("int").alias("has_en"), size(more).alias("appended"), size(T.json_remove(more, kind, "from", F.col("source"))).alias("left_over"))
+    return d.select("doc_id", has.cast("int").alias("has_en"), size(more).alias("appended"), size(T.json_remove(more, "from", F.col("source"))).alias("left_over"))
 
 
 @query("SELECT vec_id, len(embedding)::INT AS width, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6)::DOUBLE AS total FROM embeddings")
