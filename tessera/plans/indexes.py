@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import fulltext, tables, vectors
+from ..operators import fulltext, snapshots, tables, vectors
 from ..operators.adapt import table
 from ..operators.common import shared_dir
 from .catalogue import query
@@ -107,3 +107,28 @@ def streamed_chunks(spark: SparkSession, sf: str) -> DataFrame:
     lines = source.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("place", "line"))
     tables.stream(lines, folder, _fresh(spark, "progress")).awaitTermination()
     return tables.read(spark, folder).select("doc_id", "place", F.sha2("line", 256).alias("chunk_hash"))
+
+
+ITEMS = "SELECT 'doc' AS type, CAST(doc_id AS STRING) AS id, sha2(payload, 256) AS hash, payload FROM (SELECT doc_id, {payload} AS payload FROM {d})"
+CHANGED = "CASE WHEN doc_id % 50 = 0 THEN coalesce(text, '') || '!' ELSE coalesce(text, '') END"
+
+
+def _snapshots(spark: SparkSession, sf: str) -> str:
+    """Two snapshots of all documents, the first named as the baseline; then back to it."""
+    docs, folder = table(spark, sf, "documents").select("doc_id", "text"), _fresh(spark, "snapshots")
+    snapshots.name(spark, folder, snapshots.take(spark.sql(ITEMS.replace("{payload}", "coalesce(text, '')"), d=docs.where("doc_id % 50 != 2")), folder), "baseline")
+    snapshots.take(spark.sql(ITEMS.replace("{payload}", CHANGED), d=docs.where("doc_id % 50 != 1")), folder)
+    snapshots.roll_back(spark, folder, snapshots.named(spark, folder, "baseline"))
+    return folder
+
+
+@query("SELECT 'doc' AS type, doc_id::VARCHAR AS id, CASE doc_id % 50 WHEN 0 THEN 'MODIFIED' WHEN 1 THEN 'REMOVED' ELSE 'ADDED' END AS change FROM documents WHERE doc_id % 50 < 3")
+def snapshot_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """What changed from the baseline to the second snapshot, from the leaves in which their trees differ."""
+    return snapshots.diff(spark, _snapshots(spark, sf), 0, 1).select("type", "id", "change")
+
+
+@query("SELECT 'doc' AS type, doc_id::VARCHAR AS id, sha256(coalesce(text, '')) AS hash, length(coalesce(text, ''))::INT AS n FROM documents WHERE doc_id % 50 <> 2")
+def snapshot_restored(spark: SparkSession, sf: str) -> DataFrame:
+    """The repository after it was rolled back to the baseline, payloads included."""
+    return snapshots.read(spark, _snapshots(spark, sf), 2).select("type", "id", "hash", F.length("payload").alias("n"))
