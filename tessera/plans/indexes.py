@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import fulltext, snapshots, tables, vectors
 from ..operators.adapt import table
 from ..operators.common import shared_dir
+from ..streaming import expiry
 from .catalogue import query
 from .retrieval import FTS_SQL, VECTOR_SQL
 
@@ -132,3 +133,40 @@ def snapshot_diff(spark: SparkSession, sf: str) -> DataFrame:
 def snapshot_restored(spark: SparkSession, sf: str) -> DataFrame:
     """The repository after it was rolled back to the baseline, payloads included."""
     return snapshots.read(spark, _snapshots(spark, sf), 2).select("type", "id", "hash", F.length("payload").alias("n"))
+
+
+#: Users' clicks and views put an entry, purchases evict it, all else reads it; an entry lives for six hours.
+KINDS = "CASE WHEN event_type IN ('click', 'view') THEN 'PUT' WHEN event_type = 'purchase' THEN 'EVICT' ELSE 'GET' END"
+LIFETIMES_SQL = f"""WITH e AS (SELECT user_id::VARCHAR AS key, ts AS moment, event_id AS id, {KINDS} AS kind FROM events),
+ n AS (SELECT *, sum((kind <> 'GET')::INT) OVER w AS entry FROM e WINDOW w AS (PARTITION BY key ORDER BY moment, id ROWS UNBOUNDED PRECEDING)),
+ c AS (SELECT key, entry, id, moment, kind, lead(moment) OVER w AS next_at, lead(kind) OVER w AS next_kind FROM n WHERE kind <> 'GET' WINDOW w AS (PARTITION BY key ORDER BY moment, id)),
+ p AS (SELECT *, moment + INTERVAL 6 HOUR AS expiry, coalesce(next_at < moment + INTERVAL 6 HOUR, false) AS cut FROM c WHERE kind = 'PUT'),
+ r AS (SELECT p.key, p.id, count(*) AS reads FROM p JOIN n ON n.key = p.key AND n.entry = p.entry AND n.kind = 'GET' AND n.moment < p.expiry GROUP BY ALL)
+SELECT p.key, p.id AS entry_id, epoch_us(p.moment) AS put_us, epoch_us(CASE WHEN cut THEN next_at ELSE expiry END) AS ended_us, CASE WHEN NOT cut THEN 'EXPIRED' WHEN next_kind = 'PUT' THEN 'REPLACED' ELSE 'EVICTED' END AS reason, coalesce(reads, 0) AS reads
+FROM p LEFT JOIN r ON r.key = p.key AND r.id = p.id WHERE CASE WHEN cut THEN next_at ELSE expiry END < (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM events)"""
+
+
+def _events(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("id"), F.expr(KINDS).alias("kind"))
+
+
+def _in_us(rows: DataFrame) -> DataFrame:
+    return rows.select("key", "entry_id", F.unix_micros("put_at").alias("put_us"), F.unix_micros("ended_at").alias("ended_us"), "reason", "reads")
+
+
+@query(LIFETIMES_SQL)
+def entry_lifetimes(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries that ended by the watermark, from the events as a stream with timers."""
+    path, out = f"{sf}/events.parquet", _fresh(spark, "lifetimes")
+    rows = _events(spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[t]"))
+    ended = expiry.lifetimes(rows, 6 * 3600)
+    ended.writeStream.format("parquet").option("path", out).option("checkpointLocation", _fresh(spark, "progress")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return _in_us(spark.read.schema(expiry.ENDED).parquet(out))
+
+
+@query(LIFETIMES_SQL)
+def entry_lifetimes_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from the table at once."""
+    events = table(spark, sf, "events")
+    until = events.agg((F.date_trunc("millisecond", F.max(F.col("ts").cast("timestamp"))) - F.expr("INTERVAL 10 MINUTES")).alias("u")).first().u
+    return _in_us(expiry.lifetimes_until(_events(events), 6 * 3600, F.lit(until)))
