@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import fulltext, snapshots, tables, vectors
-from ..operators.adapt import table
+from ..operators import fulltext, planning, snapshots, tables, vectors
+from ..operators.adapt import sql_views, table, view
 from ..operators.common import shared_dir
 from ..streaming import expiry
 from .catalogue import query
@@ -170,3 +170,30 @@ def entry_lifetimes_batch(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events")
     until = events.agg((F.date_trunc("millisecond", F.max(F.col("ts").cast("timestamp"))) - F.expr("INTERVAL 10 MINUTES")).alias("u")).first().u
     return _in_us(expiry.lifetimes_until(_events(events), 6 * 3600, F.lit(until)))
+
+
+PLAN_NEEDS = "SELECT source_id AS plan_id, concept_id AS task_id, depends AS needs FROM {a} WHERE depends <> '' UNION SELECT source_id, concept_id, {target} FROM {a} WHERE link <> ''"
+PLAN_SQL = f"""WITH RECURSIVE {sql_views("articles")}, needs AS ({PLAN_NEEDS.format(a='articles', target="string_split(string_split(link, '|')[1], '#')[1]")}),
+ tasks AS (SELECT source_id AS plan_id, concept_id AS task_id, n_chars AS cost, doc_id % 3 AS priority FROM articles),
+ inner_ AS (SELECT n.* FROM needs n JOIN tasks t ON t.plan_id = n.plan_id AND t.task_id = n.needs),
+ reach AS (SELECT plan_id, task_id, needs FROM inner_ UNION SELECT r.plan_id, r.task_id, i.needs FROM reach r JOIN inner_ i ON i.plan_id = r.plan_id AND i.task_id = r.needs),
+ cycles AS (SELECT DISTINCT plan_id, task_id FROM reach WHERE task_id = needs),
+ stuck AS (SELECT * FROM cycles UNION SELECT r.plan_id, r.task_id FROM reach r JOIN cycles c ON c.plan_id = r.plan_id AND c.task_id = r.needs),
+ free AS (SELECT * FROM inner_ WHERE (plan_id, task_id) NOT IN (SELECT (plan_id, task_id) FROM stuck)),
+ deep AS (SELECT plan_id, task_id, 1 AS layer FROM tasks WHERE (plan_id, task_id) NOT IN (SELECT (plan_id, task_id) FROM stuck) UNION SELECT f.plan_id, f.task_id, d.layer + 1 FROM deep d JOIN free f ON f.plan_id = d.plan_id AND f.needs = d.task_id),
+ laid AS (SELECT t.plan_id, t.task_id, t.cost, t.priority, max(layer)::INT AS layer FROM tasks t LEFT JOIN deep d ON d.plan_id = t.plan_id AND d.task_id = t.task_id GROUP BY ALL),
+ away AS (SELECT n.plan_id, n.task_id, count(DISTINCT n.needs) AS missing FROM needs n LEFT JOIN tasks t ON t.plan_id = n.plan_id AND t.task_id = n.needs WHERE t.task_id IS NULL GROUP BY ALL),
+ placed AS (SELECT *, row_number() OVER w AS place, sum(cost) OVER w AS spent FROM laid WINDOW w AS (PARTITION BY plan_id ORDER BY layer NULLS LAST, priority, task_id ROWS UNBOUNDED PRECEDING))
+SELECT p.plan_id, p.task_id, layer, CASE WHEN layer IS NULL THEN 'BLOCKED' WHEN layer = 1 THEN 'READY' ELSE 'WAITING' END AS status, coalesce(missing, 0)::INT AS missing, place::INT AS place, spent::BIGINT AS spent,
+ CASE WHEN layer IS NULL THEN 'BLOCKED' WHEN spent <= 150000 THEN 'DO' ELSE 'DEFER' END AS decision FROM placed p LEFT JOIN away a ON a.plan_id = p.plan_id AND a.task_id = p.task_id"""
+
+
+@query(PLAN_SQL)
+def layered_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """The articles of each source in the layers in which they can be compiled, within a budget of characters."""
+    a = view(spark, sf, "articles")
+    needs = spark.sql(PLAN_NEEDS.replace("{target}", "split(split(link, '[|]')[0], '#')[0]"), a=a)
+    planned = planning.layers(a.select(F.col("source_id").alias("plan_id"), F.col("concept_id").alias("task_id")), needs)
+    costs = a.select(F.col("source_id").alias("plan_id"), F.col("concept_id").alias("task_id"), F.expr("doc_id % 3").alias("priority"), F.col("n_chars").alias("cost"))
+    found = planning.budgeted(planned, costs, a.select(F.col("source_id").alias("plan_id"), F.lit(150_000).alias("budget")).distinct())
+    return found.withColumn("missing", F.size("missing"))
