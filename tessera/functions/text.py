@@ -204,6 +204,15 @@ def front_matter(markdown: Column, name: str) -> Column:
     return F.trim(F.regexp_extract(block, rf"(?m)^{name}:[ \t]*(.*)$", 1))
 
 
+def front_matter_list(markdown: Column, name: str) -> Column:
+    """A list field of the front matter: ``name: [a, "b"]``, lines ``- a`` below ``name:``, or one plain value; blanks and quotes go, an absent field is an empty list."""
+    block = F.concat(F.regexp_extract(markdown, r"(?s)\A\s*---\r?\n(.*?)\r?\n---", 1), F.lit("\n"))
+    below = F.regexp_extract(block, rf"(?m)^{name}:[ \t]*\r?\n((?:[ \t]*-[ \t]+.*\r?\n)+)", 1)
+    inline = F.trim(F.regexp_extract(block, rf"(?m)^{name}:[ \t]*(.*)$", 1))
+    parts = F.when(below != "", F.transform(F.split(below, r"\r?\n"), lambda x: F.regexp_replace(x, r"^[ \t]*-[ \t]+", ""))).when(inline.rlike(r"^\[.*\]$"), F.split(F.regexp_replace(inline, r"^\[|\]$", ""), ",")).otherwise(F.array(inline))
+    return F.filter(F.transform(parts, lambda x: F.regexp_replace(F.trim(x), "^[\"']|[\"']$", "")), lambda x: F.trim(x) != "")
+
+
 def with_review_status(markdown: Column, status: Column) -> Column:
     """The same markdown with its review_status line rewritten."""
     return F.regexp_replace(markdown, F.lit(r"(?m)^review_status:.*$"), F.concat(F.lit("review_status: "), status))

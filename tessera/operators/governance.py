@@ -180,3 +180,11 @@ def review_loop(articles: DataFrame, fix, rounds: int = 1, threshold: str = "HIG
         if attempt < rounds:
             open_ = fix(routed.where("route = 'fixable'")).select(*articles.columns)
     return done
+
+
+def route_runs(runs: DataFrame, now) -> DataFrame:
+    """Adds status, sync_action, error to source runs (decision: as of ``decide_sources``, requested_at): unchanged bundles are skipped, doubtful ones wait for a confirmation and fail after seven days without one, new sources are created, others updated or appended to."""
+    status = F.when(F.col("decision") == "SKIP", "SKIPPED_NO_CHANGE").when(F.col("decision") == "AMBIGUOUS", "WAIT_CONFIRM").otherwise("COMPILE_QUEUED")
+    late = (status == "WAIT_CONFIRM") & F.col("requested_at").isNotNull() & (F.col("requested_at") + F.expr("INTERVAL 7 DAYS") <= now)
+    action = F.when(F.col("decision") == "NEW_SOURCE", "CREATE").when(F.col("decision") == "EXISTING_SOURCE_UPDATE", "UPDATE").when(F.col("decision") == "EXISTING_SOURCE_APPEND", "APPEND")
+    return runs.withColumn("error", F.when(late, "WAIT_CONFIRM timed out after 7 days")).withColumn("sync_action", action).withColumn("status", F.when(late, "FAILED").otherwise(status))

@@ -223,6 +223,16 @@ def channel_weights(questions: DataFrame) -> DataFrame:
     return rows.select("question_id", "intent", "channel", F.when(off, 0.0).otherwise(F.col("base") * boost * semantic).alias("weight"))
 
 
+def strategy_tags(weights: DataFrame, rewritten: DataFrame, parallel: bool = True) -> DataFrame:
+    """question_id, tag: the strategy of each question in one string. weights: as of ``channel_weights``; rewritten: question_id, applied."""
+    on = lambda c: F.when(c, "on").otherwise("off")
+    any_on = lambda *names: F.bool_or(F.col("channel").isin(*names) & (F.col("weight") > 0))
+    per = weights.groupBy("question_id", "intent").agg(any_on("graph").alias("graph"), any_on("article_vector", "chunk_vector").alias("vector"))
+    rows = per.join(rewritten.select("question_id", (F.size("applied") > 0).alias("rewrite")), "question_id")
+    tag = F.concat(F.lit("intent="), "intent", F.lit("|mode=" + ("parallel" if parallel else "serial") + "|rewrite="), on(F.col("rewrite")), F.lit("|graph="), on(F.col("graph")), F.lit("|vector="), on(F.col("vector")))
+    return rows.select("question_id", tag.alias("tag"))
+
+
 def fuse(hits: DataFrame, weights: DataFrame, k: int = V.RRF_K, limit: int = 5, places: int = 12) -> DataFrame:
     """Weighted reciprocal rank fusion of hits (question_id, channel, evidence_type, key, rank): each hit adds weight / (k + rank); every hit counts, duplicates too."""
     parts = hits.join(weights.select("question_id", "channel", "weight"), ["question_id", "channel"]).where("weight > 0")

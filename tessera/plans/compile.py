@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vocabulary as V
 from ..operators import compile as C
+from ..operators import governance as G
 from ..operators.adapt import sql_views, table, view
 from ..sources import files as S
 from .catalogue import query
@@ -141,6 +142,25 @@ def source_decision(spark: SparkSession, sf: str) -> DataFrame:
     return C.decide_sources(bundles, sources).select("bundle_id", "decision", "source_id", "best")
 
 
+@query("""WITH r AS (SELECT s_suppkey, s_suppkey % 5 AS m, TIMESTAMP '2024-01-01' + s_suppkey * INTERVAL 1 HOUR AS asked FROM supplier)
+SELECT 'b' || s_suppkey AS bundle_id, CASE WHEN m = 0 THEN 'SKIPPED_NO_CHANGE' WHEN m IN (2, 3) THEN CASE WHEN asked + INTERVAL 7 DAY <= TIMESTAMP '2024-01-10 12:00:00' THEN 'FAILED' ELSE 'WAIT_CONFIRM' END ELSE 'COMPILE_QUEUED' END AS status,
+ CASE m WHEN 4 THEN 'CREATE' WHEN 1 THEN 'UPDATE' END AS sync_action, CASE WHEN m IN (2, 3) AND asked + INTERVAL 7 DAY <= TIMESTAMP '2024-01-10 12:00:00' THEN 'WAIT_CONFIRM timed out after 7 days' END AS error FROM r""")
+def run_routing(spark: SparkSession, sf: str) -> DataFrame:
+    """Where the decisions about bundles take their runs."""
+    runs = source_decision(spark, sf).withColumn("requested_at", F.expr("timestamp'2024-01-01' + make_dt_interval(0, CAST(substring(bundle_id, 2) AS INT))"))
+    return G.route_runs(runs, F.lit("2024-01-10 12:00:00").cast("timestamp")).select("bundle_id", "status", "sync_action", "error")
+
+
+@query("""SELECT doc_id, source || '/' || lang || '.md,' || source || '/' || doc_id AS sources, lang || '=' || source || ',two words' AS keywords, CASE WHEN doc_id % 2 = 0 THEN 'c' || (doc_id + 1) ELSE '' END AS depends_on, 0::INT AS n_related FROM documents""")
+def front_matter_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """List fields of front matter in all their forms, before whole texts."""
+    d = table(spark, sf, "documents")
+    depends = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("depends_on: c"), (F.col("doc_id") + 1).cast("string"))).otherwise("depends_on: []")
+    md = F.concat(F.lit("---\nsources:\n  - "), "source", F.lit("/"), "lang", F.lit(".md\n  - '"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("'\nreferential_keywords: ["), "lang", F.lit("="), "source", F.lit(', "two words", ]\n'), depends, F.lit("\n---\nrelated: [x]\n"), F.coalesce("text", F.lit("")))
+    joined = lambda name: F.array_join(T.front_matter_list(md, name), ",")
+    return d.select("doc_id", joined("sources").alias("sources"), joined("referential_keywords").alias("keywords"), joined("depends_on").alias("depends_on"), F.size(T.front_matter_list(md, "related")).alias("n_related"))
+
+
 @query("SELECT doc_id, 'topic-' || lang || '-x1' AS slug, 'a-' || doc_id || '-b' AS ascii, 'Topic ' || CASE lang WHEN 'en' THEN 'En' WHEN 'fr' THEN 'Fr' WHEN 'de' THEN 'De' WHEN 'es' THEN 'Es' ELSE upper(lang[1]) || lang[2:] END || ' X1' AS title, 'dir/' || doc_id || '.md' AS path, 'target' AS link, (length(text) - length(replace(text, 'the', ''))) // 3 AS occurrences FROM documents")
 def scalar_text(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")

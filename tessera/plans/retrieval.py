@@ -191,6 +191,12 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     return fused.join(titles, "key").select("question_id", "key", F.round("score", 9).alias("score"), "rank", "title")
 
 
+@query(f"WITH {_hits_sql()} SELECT question_id, key, round(score, 9)::DOUBLE AS score, rank FROM top WHERE rank <= 8")
+def answer_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """The 8 fused hits that an answer is made from."""
+    return R.fuse(hits(spark, sf), R.channel_weights(view(spark, sf, "questions")), limit=8).select("question_id", "key", F.round("score", 9).alias("score"), "rank")
+
+
 @query(f"WITH {_hits_sql()} SELECT question_id, channel, h.key, h.rank, t.rank AS fused_rank FROM hits h LEFT JOIN (SELECT * FROM top WHERE rank <= 5) t USING (question_id, key)")
 def rrf_audit(spark: SparkSession, sf: str) -> DataFrame:
     h = hits(spark, sf)
@@ -254,6 +260,14 @@ def rewrite_apply(spark: SparkSession, sf: str) -> DataFrame:
     return R.rewrite(view(spark, sf, "questions"), RULES).select("question_id", "rewritten")
 
 
+@query(f"""WITH {sql_views('questions')}, {SQL_TOKENS}, {SQL_WEIGHTS}, r AS (SELECT question_id, contains(lower(question), 'config') AND NOT contains(question, '参数 retry') OR contains(lower(question), 'retry') AND NOT contains(question, '重试') OR contains(lower(question), 'class') AND NOT contains(question, '源码') AS rewrite FROM questions)
+SELECT question_id, 'intent=' || intent || '|mode=parallel|rewrite=' || CASE WHEN rewrite THEN 'on' ELSE 'off' END || '|graph=' || CASE WHEN bool_or(channel = 'graph' AND weight > 0) THEN 'on' ELSE 'off' END || '|vector=' || CASE WHEN bool_or(channel IN ('article_vector', 'chunk_vector') AND weight > 0) THEN 'on' ELSE 'off' END AS tag
+FROM weights JOIN r USING (question_id) GROUP BY question_id, intent, rewrite""")
+def strategy_tags(spark: SparkSession, sf: str) -> DataFrame:
+    questions = view(spark, sf, "questions")
+    return R.strategy_tags(R.channel_weights(questions), R.rewrite(questions, RULES))
+
+
 VECTOR_SQL = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings), p AS (SELECT a.vec_id AS question_id, b.vec_id AS id, b.label, round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 9) AS score FROM v a, v b WHERE a.vec_id % 100 = 0),
  r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id)::INT AS rank FROM p) """
 
