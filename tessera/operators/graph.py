@@ -102,7 +102,7 @@ def mark_downstream(articles: DataFrame, marks: DataFrame) -> DataFrame:
     """Articles (concept_id, corrections: JSON array) with a correction appended for each mark (concept_id, upstream, note) that isn't there yet."""
     new = marks.groupBy("concept_id").agg(F.array_sort(F.collect_set(F.struct(F.col("upstream").alias("from"), "note"))).alias("_new"))
     rows = articles.join(new, "concept_id", "left")
-    add = F.aggregate("_new", F.coalesce("corrections", F.lit("[]")), lambda a, e: F.when(T.json_has(a, CORRECTION, "from", e["from"]), a).otherwise(T.json_append(a, CORRECTION, e)))
+    add = F.aggregate("_new", F.coalesce("corrections", F.lit("[]")), lambda a, e: F.when(T.json_has(a, CORRECTION, "from", e["from"]), a).otherwise(T.json_append(a, e)))
     return rows.withColumn("corrections", F.when(F.col("_new").isNull(), F.col("corrections")).otherwise(add)).drop("_new")
 
 
@@ -110,7 +110,7 @@ def clear_upstream(articles: DataFrame, cleared: DataFrame) -> DataFrame:
     """Articles without the corrections that come from the cleared upstream articles (concept_id, upstream)."""
     gone = cleared.groupBy("concept_id").agg(F.collect_set("upstream").alias("_gone"))
     rows = articles.join(gone, "concept_id", "left")
-    left = F.aggregate("_gone", F.coalesce("corrections", F.lit("[]")), lambda a, u: T.json_remove(a, CORRECTION, "from", u))
+    left = F.aggregate("_gone", F.coalesce("corrections", F.lit("[]")), lambda a, u: T.json_remove(a, "from", u))
     return rows.withColumn("corrections", F.when(F.col("_gone").isNull(), F.col("corrections")).otherwise(left)).drop("_gone")
 
 
