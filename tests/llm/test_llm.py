@@ -733,4 +733,4 @@ def test_pipeline(spark):
 
 def test_every_query_is_registered():
     found = queries.queries()
-    assert {int(k[2:].split("_")[0]) for k in found} == set(range(1, 11)) and set(queries.oracle_sql()) <= set(found)
+    assert {int(k[2:].split("_")[0]) for k in found} == set(range(1, 14)) and set(queries.oracle_sql()) <= set(found)
