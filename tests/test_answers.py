@@ -150,7 +150,7 @@ the pool is 汇总 of 3
 """
 
 
-@pytest.mark.parametrize("limit", [1, 2, 3, 10])
+@pytest.mark.parametrize("limit", [1, 3])
 def test_question_types(spark, limit):
     asked = ["retry.max 和 timeout 分别多少？", "pool 的当前状态", "支持哪些入口", "流程是什么", "启动前需要准备什么配置", "pool", "", None, "retry、retry、pool 的值", "the pool is 汇总 of"]
     rows = [(i, q, ["pool", "retry"], page, r) for i, q in enumerate(asked) for r, page in enumerate([PAGE, PAGE.replace("5", "6"), None, ""])]

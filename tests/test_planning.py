@@ -19,7 +19,7 @@ def plain(tasks, needs):
     return out | dict.fromkeys(left)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_layers_equal_a_plain_sort(spark, seed):
     rng = random.Random(seed)
     tasks = [(p, f"t{i}") for p in range(4) for i in range(12)]
