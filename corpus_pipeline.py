@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import decontam, jaccard, linededup, packing, quality
 from tessera.llm.common import columns_of, cut, free, made, release
-from tessera.llm.queries import RANKS, VOCABULARY, table
+from tessera.llm.queries import VOCABULARY, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 1024 tokens. A null or empty text is one piece of one token; repeated rows and rows without a doc_id are packed each; other columns aren't read."""
-    return packing.pack(docs, VOCABULARY, RANKS)
+    return packing.pack(docs, VOCABULARY)
 
 
 STAGES = [("quality", keep_good), ("line_dedup", drop_lines), ("near_copies", keep_one_copy), ("decontamination", drop_leaks), ("packing", pack)]

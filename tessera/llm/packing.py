@@ -3,18 +3,26 @@
 Each input partition tokenises its documents, cuts only documents longer than the sequence into whole-sequence pieces
 (the first piece takes the remainder) and packs its pieces best-fit decreasing. Full and nearly full bins are final.
 Underfull bins become items: groups of ``fan_in`` partitions pack them again, round after round up a tree, until one
-group is left. Rows between the rounds hold a bin's number and fill only, never tokens.
+group is left.
 
-The tokens are those of the given vocabulary with the tokenizers library. Texts of common Latin characters take a
-shorter way to the same ids: a plain split into words and a bounded cache of each word's ids from the same vocabulary.
+Bins of one fill are alike, so a group of the tree gets no bins but how many there are of each fill: at most ``size`` rows
+from each of its ``fan_in`` members, whatever the input. Best fit on these counts gives stretches: of the items of a fill
+the numbers from a to b come to bins in a row, at one offset. The stretches are composed from the root down to the
+partitions, and each bin finds its place by (partition, fill) and its number there. No task and no group grows with the
+table, not even where nothing fits with anything.
 
-Null and empty texts give one piece that holds the end token alone. Rows that repeat a doc_id are packed as rows of
-their own. Null doc_ids stay null. An empty table gives no rows. Other columns are ignored.
+The tokens are those of the given vocabulary with the tokenizers library. Where the vocabulary splits texts as byte-level
+vocabularies do, texts of common Latin characters are split the same way first and the ids of each word are kept in a
+bounded cache.
+
+Null and empty texts give one piece that holds the end token alone. A very long text is many pieces; a task holds the
+numbers of its pieces (some 60 bytes for each 1024 tokens) and the tokens of one text at a time. Rows that repeat a
+doc_id are packed as rows of their own. Null doc_ids stay null. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import base64
+import json
 import re
 import unicodedata
 import zlib
@@ -29,7 +37,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, documents_of
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, leaf long, bin long, offset long, fill long, number long"
+#: Items of a member (its numbers start to stop of one fill) and where they come: bins of the group above from ``bin`` on, each at ``offset``; what these bins are filled to in the end, and their numbers among the bins of that fill.
+STRETCHES = "node long, fill long, start long, stop long, up long, bin long, offset long, filled long, number long"
 
 
 def _split_pattern() -> tuple[re.Pattern, re.Pattern]:
@@ -44,27 +54,28 @@ def _split_pattern() -> tuple[re.Pattern, re.Pattern]:
 class Tokens:
     """Text to ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, vocabulary: str, ranks: str | None, cached: int = 400_000):
+    def __init__(self, vocabulary: str, cached: int = 400_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(vocabulary)
         self.words: dict[str, bytes] = {}
-        self.cached, self.single = cached, None
+        self.cached = cached
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        if ranks:
-            import tiktoken
+        with open(vocabulary, encoding="utf-8") as f:
+            rules = json.load(f)
+        before = rules.get("pre_tokenizer") or {}
+        self.bytewise = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not rules.get("normalizer")
+        self.split, self.plain = _split_pattern()
 
-            self.split, self.plain = _split_pattern()
-            with open(ranks, "rb") as f:
-                table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-            self.single = tiktoken.Encoding("plain", pat_str=self.split.pattern, mergeable_ranks=table, special_tokens={})._core_bpe.encode_single_piece
+    def ids(self, text: str) -> bytes:
+        return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if self.single is None or not self.plain.fullmatch(text) or any(s in text for s in self.special):
-            return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if not self.bytewise or not self.plain.fullmatch(text) or any(s in text for s in self.special):
+            return self.ids(text)
         parts, known = self.split.findall(text), self.words
         for w in set(parts).difference(known):
-            known[w] = np.asarray(self.single(w.encode()), "<u4").tobytes()
+            known[w] = self.ids(w)
         out = b"".join(map(known.__getitem__, parts))
         if len(known) > self.cached:
             known.clear()
@@ -95,9 +106,79 @@ def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np
     return bins, offsets, np.asarray(fills, np.int64)
 
 
-def _packed(vocabulary: str, ranks: str | None, end: int, size: int):
+def best_fit_counts(counts: dict[int, int], size: int) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int, int]]]:
+    """Best-fit decreasing of alike items: counts by length. Stretches (length, first item, items, first bin, offset), and the bins as runs (first bin, bins, fill) in order."""
+    stretches: list[tuple[int, int, int, int, int]] = []
+    by_room: dict[int, list[tuple[int, int]]] = {}  # runs of bins: first, how many
+    bins = 0
+    for length in sorted(counts, reverse=True):
+        left, item = counts[length], 0
+
+        def place(first: int, many: int, room: int, each: int) -> None:
+            nonlocal item
+            for k in range(each):
+                stretches.append((length, item, many, first, size - room + k * length))  # noqa: B023
+                item += many
+            by_room.setdefault(room - each * length, []).append((first, many))  # noqa: B023
+
+        for room in sorted(r for r in by_room if r >= length):
+            runs, each = by_room.pop(room), room // length
+            while runs and left:
+                first, many = runs.pop()
+                whole = min(many, left // each)
+                rest = left - whole * each if whole < many else 0  # fewer than ``each``: they share one bin
+                if whole:
+                    place(first, whole, room, each)
+                if rest:
+                    place(first + whole, 1, room, rest)
+                left -= whole * each + rest
+                if kept := many - whole - bool(rest):
+                    runs.append((first + many - kept, kept))
+            if runs:
+                by_room.setdefault(room, []).extend(runs)
+            if not left:
+                break
+        each = size // length
+        for many, of in ((left // each, each), (1, left % each)):
+            if many and of:
+                place(bins, many, size, of)
+                bins += many
+    return stretches, sorted((first, many, size - room) for room, runs in by_room.items() for first, many in runs)
+
+
+def _merged(fan_in: int, size: int):
+    """Best fit over one group of the tree: node, fill, n of its members to STRETCHES."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["fill", "node"], ignore_index=True)
+        members: dict[int, list[tuple[int, int]]] = {}
+        for node, fill, n in zip(frame["node"].tolist(), frame["fill"].tolist(), frame["n"].tolist(), strict=True):
+            members.setdefault(fill, []).append((node, n))
+        stretches, runs = best_fit_counts({fill: sum(n for _, n in m) for fill, m in members.items()}, size)
+        firsts = np.asarray([first for first, _, _ in runs], np.int64)
+        numbers, seen = [], {}
+        for _, many, fill in runs:  # bins of one fill are numbered in their order
+            numbers.append(seen.get(fill, 0))
+            seen[fill] = numbers[-1] + many
+        ends = {fill: np.cumsum([n for _, n in m]) for fill, m in members.items()}
+        out = []
+        for fill, item, many, first, offset in stretches:
+            at, owners, borders = 0, members[fill], ends[fill]
+            while at < many:  # cut where the member or the bins' final fill changes
+                m, r = int(np.searchsorted(borders, item + at, "right")), int(np.searchsorted(firsts, first + at, "right")) - 1
+                node, n = owners[m]
+                take = min(many - at, int(borders[m]) - item - at, runs[r][0] + runs[r][1] - first - at)
+                start = item + at - (int(borders[m]) - n)
+                out.append((node, fill, start, start + take, node // fan_in, first + at, offset, runs[r][2], numbers[r] + first + at - runs[r][0]))
+                at += take
+        return pd.DataFrame(out, columns=[c.split()[0] for c in STRETCHES.split(", ")])
+
+    return run
+
+
+def _packed(vocabulary: str, end: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, tail = Tokens(vocabulary, ranks), np.asarray([end], "<u4").tobytes()
+        tokens, tail = Tokens(vocabulary), np.asarray([end], "<u4").tobytes()
         docs, pieces, starts, lengths, sums = [], [], [], [], []
         for batch in batches:
             for d, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -113,38 +194,47 @@ def _packed(vocabulary: str, ranks: str | None, end: int, size: int):
                     sums.append(zlib.crc32(ids[4 * at : 4 * to]))
                     at = to
         bins, offsets, fills = best_fit(np.asarray(lengths, np.int64), size)
-        base = TaskContext.get().partitionId() << 40
-        table = pa.table({"doc_id": pa.array(docs, pa.int64()), "piece": pa.array(pieces, pa.int32()), "start": pa.array(starts, pa.int64()), "length": pa.array(lengths, pa.int64()), "ids_crc32": pa.array(sums, pa.int64()), "bin": bins + base, "offset": offsets, "fill": fills[bins] if len(fills) else fills})
+        leaf = np.full(len(docs), TaskContext.get().partitionId(), np.int64)
+        order = np.argsort(fills, kind="stable")
+        number = np.zeros(len(fills), np.int64)  # of a bin among those of its fill
+        number[order] = np.arange(len(fills)) - np.searchsorted(fills[order], fills[order])
+        table = pa.table({"doc_id": pa.array(docs, pa.int64()), "piece": pa.array(pieces, pa.int32()), "start": pa.array(starts, pa.int64()), "length": pa.array(lengths, pa.int64()), "ids_crc32": pa.array(sums, pa.int64()), "leaf": leaf, "bin": bins, "offset": offsets, "fill": fills[bins], "number": number[bins]})
         yield from table.to_batches(max_chunksize=65536)
 
     return run
 
 
-def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, end: int = 2, size: int = 1024, nearly: float = 0.985, fan_in: int = 16) -> DataFrame:
+def _sequence(level: int, node: str, number: str) -> F.Column:
+    """Numbers of sequences: the round that closed it, the group there, the bin there."""
+    return F.expr(f"shiftleft(CAST({level} AS LONG), 57) + shiftleft({node}, 36) + {number}")
+
+
+def pack(docs: DataFrame, vocabulary: str, end: int = 2, size: int = 1024, nearly: float = 0.985, fan_in: int = 16) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document.
 
-    ``ranks`` optionally names the same vocabulary as a rank file, for the shorter way. ``nearly``: bins filled to this
-    share are final; all others go up.
+    ``nearly``: bins filled to this share are final; all others go up.
     """
-    placed = cut(documents_of(docs).mapInArrow(_packed(vocabulary, ranks, end, size), PIECES))
+    placed = cut(documents_of(docs).mapInArrow(_packed(vocabulary, end, size), PIECES))
     full = int(size * nearly)
-    items = placed.where(F.col("fill") < full).groupBy("bin").agg(F.max("fill").alias("fill")).withColumn("place", F.expr("shiftright(bin, 40)"))
-    moved = items.select("bin", F.col("bin").alias("home"), F.lit(0).cast("long").alias("shift"))
-    top = placed.agg(F.max(F.expr("shiftright(bin, 40)"))).first()[0] or 0
-
-    def again(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["fill", "bin"], ascending=[True, True], ignore_index=True)
-        bins, offsets, fills = best_fit(frame["fill"].to_numpy(np.int64), size)
-        home = np.zeros(len(fills), np.int64)
-        first = offsets == 0
-        home[bins[first]] = frame["bin"].to_numpy(np.int64)[first]
-        return pd.DataFrame({"bin": frame["bin"], "up": home[bins], "by": offsets, "fill": fills[bins], "place": frame["place"] // fan_in})
-
-    while True:
-        step = cut(items.groupBy(F.floor(F.col("place") / fan_in)).applyInPandas(again, "bin long, up long, by long, fill long, place long"))
-        moved = cut(moved.join(step.select(F.col("bin").alias("home"), "up", "by"), "home", "left").select("bin", F.coalesce("up", "home").alias("home"), (F.col("shift") + F.coalesce("by", F.lit(0))).alias("shift")))
+    items = placed.where((F.col("offset") == 0) & (F.col("fill") < full)).groupBy(F.col("leaf").alias("node"), "fill").agg(F.count("*").alias("n"))
+    top = placed.agg(F.max("leaf")).first()[0] or 0
+    rounds: list[DataFrame] = []
+    while not rounds or top:
+        rounds.append(cut(items.groupBy(F.floor(F.col("node") / fan_in)).applyInPandas(_merged(fan_in, size), STRETCHES)))
+        items = rounds[-1].where((F.col("offset") == 0) & (F.col("filled") < full)).groupBy(F.col("up").alias("node"), F.col("filled").alias("fill")).agg(F.sum(F.col("stop") - F.col("start")).alias("n"))
         top //= fan_in
-        if top == 0:
-            break
-        items = step.where((F.col("bin") == F.col("up")) & (F.col("fill") < full)).select("bin", "fill", "place")
-    return placed.join(moved, "bin", "left").select("doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("home", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))
+    places = None  # node, fill, start, stop, sequence_id of the first, offset
+    for level in range(len(rounds), 0, -1):
+        step = rounds[level - 1]
+        last = F.lit(places is None) | (F.col("filled") >= full)
+        found = step.where(last).select("node", "fill", "start", "stop", _sequence(level, "up", "bin").alias("sequence_id"), "offset")
+        if places is not None:
+            above = places.select(F.col("node").alias("up"), F.col("fill").alias("filled"), F.col("start").alias("first"), F.col("stop").alias("end"), "sequence_id", F.col("offset").alias("by"))
+            met = step.where(~last).join(above, ["up", "filled"]).withColumn("lo", F.greatest("number", "first")).withColumn("hi", F.least(F.expr("number + stop - start"), F.col("end"))).where("lo < hi")
+            found = found.unionByName(met.selectExpr("node", "fill", "start + lo - number AS start", "start + hi - number AS stop", "sequence_id + lo - first AS sequence_id", "offset + by AS offset"))
+        places = cut(found)
+    held = places.groupBy(F.col("node").alias("leaf"), "fill").agg(F.collect_list(F.struct("start", "stop", "sequence_id", F.col("offset").alias("by"))).alias("stretches"))
+    mine = F.filter("stretches", lambda x: (F.col("number") >= x["start"]) & (F.col("number") < x["stop"]))[0]
+    rows = placed.join(held, ["leaf", "fill"], "left").withColumn("mine", mine)
+    moved = F.col("mine.sequence_id") + F.col("number") - F.col("mine.start")
+    return rows.select("doc_id", "piece", "start", "length", "ids_crc32", F.coalesce(moved, _sequence(0, "leaf", "bin")).alias("sequence_id"), (F.col("offset") + F.coalesce("mine.by", F.lit(0))).alias("offset"))

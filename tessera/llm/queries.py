@@ -14,9 +14,9 @@ from .common import shared_dir
 try:
     import public_tokenizers
 
-    VOCABULARY, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
-except ImportError:  # then their paths are to be given
-    VOCABULARY = RANKS = None
+    VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+except ImportError:  # then its path is to be given
+    VOCABULARY = None
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +28,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY, RANKS)
+    return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

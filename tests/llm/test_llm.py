@@ -478,7 +478,7 @@ def test_secrets(spark, texts, empty):
 def test_tokens_are_the_vocabularys(texts):
     from tokenizers import Tokenizer
 
-    plain, fast = Tokenizer.from_file(queries.VOCABULARY), packing.Tokens(queries.VOCABULARY, queries.RANKS, cached=50)
+    plain, fast = Tokenizer.from_file(queries.VOCABULARY), packing.Tokens(queries.VOCABULARY, cached=50)
     odd = ["a  b\n\n c\t", "it's we'll 'S", " <|endoftext|> x", "日本 é½ ²x", "x\x85y\xa0z\x1cq", "don't!!  ", "\r\n\r\n a", "ﬁ ǅ ʰ", "".join(map(chr, range(0x20, 0x250)))]
     for t in [*(t for _, t in texts if t), *odd]:
         assert np.frombuffer(fast(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
@@ -519,7 +519,7 @@ def test_short_way_gives_the_same_ids_on_a_whole_table(spark):
     """Every text of sf0.01, by the tokenizers library and by the shorter way."""
     from tokenizers import Tokenizer
 
-    plain, tokens = Tokenizer.from_file(queries.VOCABULARY), packing.Tokens(queries.VOCABULARY, queries.RANKS)
+    plain, tokens = Tokenizer.from_file(queries.VOCABULARY), packing.Tokens(queries.VOCABULARY)
     texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
     for text, want in zip(texts, plain.encode_batch(texts, add_special_tokens=False), strict=True):
         assert np.frombuffer(tokens(text), "<u4").tolist() == want.ids
@@ -529,7 +529,7 @@ def test_packing(spark, texts, docs, empty):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(queries.VOCABULARY)
-    found = packing.pack(docs, queries.VOCABULARY, queries.RANKS, fan_in=2).collect()
+    found = packing.pack(docs, queries.VOCABULARY, fan_in=2).collect()
     want = collections.Counter()
     for d, t in texts:
         ids = [*plain.encode(t or "", add_special_tokens=False).ids, 2]
@@ -551,16 +551,66 @@ def test_packing(spark, texts, docs, empty):
         assert at <= 1024
         total += at
     assert len(bins) <= -(-total // 1024) + 2
-    assert packing.pack(empty, queries.VOCABULARY, queries.RANKS).count() == 0
+    assert packing.pack(empty, queries.VOCABULARY).count() == 0
 
 
 def test_packing_merges_every_underfull_bin(spark):
     many = spark.range(0, 100_000, 1, 1).selectExpr("id AS doc_id", "'a a a a' AS text")  # 5 of 8 tokens
     docs = many.union(spark.range(100_000, 100_001, 1, 1).selectExpr("id", "'a a a a a'")).coalesce(1).union(spark.range(100_001, 100_003, 1, 2).selectExpr("id", "'a'"))
-    found = packing.pack(docs, queries.VOCABULARY, queries.RANKS, size=8).where("doc_id >= 100000").collect()
+    found = packing.pack(docs, queries.VOCABULARY, size=8).where("doc_id >= 100000").collect()
     assert sorted(r.length for r in found) == [2, 2, 6] and len({r.sequence_id for r in found}) == 2  # a piece of 2 fills the sequence of 6
 
 
+def test_best_fit_of_counts_is_best_fit_of_items():
+    rng = random.Random(12)
+    for size, n in [(10, 40), (64, 300), (1024, 500), (1024, 5000), (8, 1000), (1024, 0)]:
+        for _ in range(5):
+            lengths = [rng.randint(1, rng.choice([size, size // 2, max(1, size // 8)])) for _ in range(n)]
+            _, _, fills = packing.best_fit(np.asarray(lengths, np.int64), size)
+            stretches, runs = packing.best_fit_counts(dict(collections.Counter(lengths)), size)
+            assert sorted(fills.tolist()) == sorted(fill for _, many, fill in runs for _ in range(many))
+            items, held = collections.Counter(), collections.defaultdict(list)
+            for length, item, many, first, offset in stretches:
+                for k in range(many):
+                    items[length, item + k] += 1
+                    held[first + k].append((offset, length))
+            assert set(items.values()) <= {1} and len(items) == n and all(i < c for (x, i), c in zip(items, (lengths.count(x) for x, _ in items), strict=True))
+            for first, many, fill in runs:
+                for b in range(first, first + many):
+                    at = 0
+                    for offset, length in sorted(held.pop(b)):
+                        assert offset == at
+                        at += length
+                    assert at == fill <= size
+            assert not held
+
+
+def test_packing_groups_hold_counts_where_nothing_fits(spark, monkeypatch):
+    """Documents that fill 5 of 8 tokens, so that no two share a sequence: what a group of the tree is given doesn't grow with them."""
+    seen = []
+    whole = packing._merged
+
+    def watched(fan_in, size):
+        run = whole(fan_in, size)
+
+        def counted(frame):
+            out = run(frame)
+            assert len(frame) <= fan_in * size and len(out) <= fan_in * size
+            return out
+
+        seen.append(fan_in)
+        return counted
+
+    monkeypatch.setattr(packing, "_merged", watched)
+    docs = spark.range(0, 60_000, 1, 12).selectExpr("id AS doc_id", "'a a a a' AS text").union(spark.range(60_000, 60_001, 1, 1).selectExpr("id", "'a a'"))
+    found = packing.pack(docs, queries.VOCABULARY, size=8, fan_in=3).collect()
+    bins = collections.defaultdict(list)
+    for r in found:
+        bins[r.sequence_id].append((r.offset, r.length))
+    assert len(found) == 60_001 and len(bins) == 60_000 and len(seen) == 3
+    assert sum(sorted(x) == [(0, 5), (5, 3)] for x in bins.values()) == 1
+
+
 def test_best_fit():
     bins, offsets, fills = packing.best_fit(np.array([5, 7, 3, 5, 10]), 10)
     assert fills.tolist() == [10, 10, 10] and (fills <= 10).all() and sorted(zip(bins.tolist(), offsets.tolist(), strict=True)) == [(0, 0), (1, 0), (1, 7), (2, 0), (2, 5)]
