@@ -2,12 +2,14 @@
 
 All visible text comes out, boilerplate included. Blocks stand on lines of their own, paragraph-like blocks with an empty
 line between them; list items carry ``-`` or their number, nested ones are indented; table cells are padded so that
-columns align and are joined by `` | ``; preformatted text keeps its white space, other white space collapses.
+columns align and are joined by `` | `` (a cell of several rows stands in its first, its place is empty in the others); preformatted text keeps its white space, other white space collapses.
 
 Hidden: head, script, style, template and embedded-media fallbacks; hidden inputs; what a closed ``details`` folds away;
 and elements whose ``display`` is none or whose ``visibility`` is hidden, by the ``hidden`` attribute, inline or by a style
 sheet of the page. Of rules the important, then the more specific, then the later one wins; selectors may name tags,
-classes, ids, attributes and ancestors or parents; those with pseudo-classes or sibling combinators are left out.
+classes, ids, attributes, ancestors, parents and siblings before, and use ``:not``, ``:is``, ``:where``, ``:root``,
+``:empty`` and the child pseudo-classes of ``CHILD``; rules may be nested. Selectors with other pseudo-classes are left
+out. Classes and ids are told apart by case in a page with a doctype and only there.
 ``visibility`` is inherited, and a descendant may be visible again. ``aria-hidden`` text is visible and stays.
 
 Null and empty pages give empty text; other columns are ignored; every row gives a row. A page is parsed in one pass
@@ -48,6 +50,7 @@ IMPLIED = {
     "body": ({"head"}, set()),
 }
 TAG = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|)|[\"'])*+)(?:>|\Z))", re.S)
+DOCTYPE = re.compile(r"<!doctype\s+html\b", re.I)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: In svg and math: what isn't shown, and what stands apart from its neighbours.
 FOREIGN_UNSEEN = frozenset("desc defs metadata symbol clippath mask pattern marker annotation annotation-xml".split())
@@ -62,16 +65,21 @@ SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("attrs", "children", "parent", "tag")
+    __slots__ = ("attrs", "before", "children", "latest", "parent", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None = None):
         self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
+        self.latest: Node | None = None  # its last child element
+        self.before = parent.latest if parent else None  # the sibling element before it
+        if parent:
+            parent.latest = self
 
 
-def parse(page: str) -> tuple[Node, list[str]]:
-    """The tree, and the contents of style elements."""
+def parse(page: str) -> tuple[Node, list[str], bool]:
+    """The tree, the contents of style elements, and whether the page has a doctype. Without a doctype, ids and classes come in lower case."""
     root = Node("html", {})
     stack, styles, at = [root], [], 0
+    strict = seen = False  # whether a doctype stands before the first tag
     opened: dict[str, int] = {}  # how many of each tag are open, so that a tag without any needs no search
 
     def close_from(i: int) -> None:
@@ -106,9 +114,11 @@ def parse(page: str) -> tuple[Node, list[str]]:
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
+            strict |= bool(DOCTYPE.match(m[0])) and not seen
             if m[0].startswith("<![CDATA["):
                 text(m[0][9:].removesuffix("]]>"))
             continue
+        seen = True
         if m[1]:
             if tag == "br":
                 push("br", {})
@@ -125,6 +135,8 @@ def parse(page: str) -> tuple[Node, list[str]]:
                         break
             continue
         attrs = {k.lower(): html.unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(m[3])} if m[3] and not m[3].isspace() else {}
+        if not strict:
+            attrs |= {k: attrs[k].lower() for k in ("id", "class") if k in attrs}
         if tag in ("html", "body") and stack[0].tag == "html":
             end({"head"}, set())
             for k, v in attrs.items():
@@ -161,7 +173,7 @@ def parse(page: str) -> tuple[Node, list[str]]:
                 close_from(len(stack) - 1)
             at = close.end() if close else len(page)
     text(page[at:])
-    return root, styles
+    return root, styles, strict
 
 
 def on_screen(media: str) -> bool:
@@ -183,7 +195,7 @@ def on_screen(media: str) -> bool:
 
 
 def rules(sheet: str) -> Iterator[tuple[str, str]]:
-    """Selectors and declarations of the style rules that apply to a screen, in their order; rules nested in others don't count."""
+    """Selectors and declarations of the style rules that apply to a screen, in their order; those nested in others with the selectors they amount to."""
     sheet = COMMENT.sub(" ", sheet)
     stack: list[list] = []  # kind, applies, selectors, declarations
     at = 0
@@ -196,14 +208,15 @@ def rules(sheet: str) -> Iterator[tuple[str, str]]:
                 stack[-1][3] += before + ";"
             prelude = prelude.strip()
             name = re.match(r"@([\w-]+)", prelude)
-            if kind != "group":
+            if kind == "other":
                 stack.append(["other", False, "", ""])
             elif not name:
-                stack.append(["style", applies, prelude, ""])
+                stack.append(["style", applies, nested(stack[-1][2], prelude) if kind == "style" else prelude, ""])
             else:
                 rest, word = prelude[name.end() :].strip(), name[1].lower()
                 met = on_screen(rest) if word == "media" else word == "layer" or word == "supports" and not rest.lower().startswith("not")
-                stack.append(["group" if word in ("media", "supports", "layer") else "other", applies and met, "", ""])
+                inside = kind if word in ("media", "supports", "layer") else "other"
+                stack.append([inside, applies and met, stack[-1][2] if kind == "style" else "", ""])
             at = i + 1
         elif mark == "}":
             if stack:
@@ -222,69 +235,172 @@ def shows(body: str) -> Iterator[tuple[str, bool, bool]]:
         yield name, "!important" in re.sub(r"\s", "", rest.lower()), value == "none" if name == "display" else value in ("hidden", "collapse")
 
 
-SIMPLE = re.compile(r"([.#]?)([\w-]+)|\[\s*([\w-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([\w-]+))\s*)?\]|(\*)")
+def parts_of(text: str, separators: str) -> list[str]:
+    """The text split at the separators that stand outside of brackets and quotes; each part after the first is preceded by its separator."""
+    out, depth, quote, at = [], 0, "", 0
+    for i, c in enumerate(text):
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "\"'":
+            quote = c
+        elif c in "([":
+            depth += 1
+        elif c in ")]":
+            depth -= 1
+        elif depth == 0 and c in separators:
+            out += [text[at:i], c]
+            at = i + 1
+    return [*out, text[at:]]
 
 
-class Rule:
-    """A selector: the parts of its last compound, those before it with their combinators, and what wins over what."""
+def nested(outer: str, inner: str) -> str:
+    """The selectors of a rule inside of another."""
+    of = f":is({outer})"
+    return ",".join(x.replace("&", of) if "&" in x else f"{of} {x}" for x in map(str.strip, parts_of(inner, ",")[::2]))
+
+
+SIMPLE = re.compile(r"([.#]?)([\w-]+)|\[\s*([\w-]+)\s*(?:([~|^$*]?)=\s*(?:\"([^\"]*)\"|'([^']*)'|([\w-]+))\s*(i\s*)?)?\]|(\*)|:([\w-]+)(\(?)", re.I)
+#: Pseudo-classes that are judged by the siblings.
+CHILD = frozenset("first-child last-child only-child".split())
+#: Attributes whose values HTML compares without regard to case (those that bear on what pages hide).
+CASELESS = frozenset("align checked dir disabled hidden lang media method open rel selected shape type valign".split())
 
-    __slots__ = ("before", "last", "sets", "weight")
 
-    def __init__(self, compounds: list[list[tuple]], joints: list[str], weight: tuple, sets: dict[str, tuple]):
-        self.last, self.before, self.weight, self.sets = compounds[-1], list(zip(compounds[:-1], joints, strict=True)), weight, sets
+class Selector:
+    """Compounds, the combinators between them, and the specificity."""
+
+    __slots__ = ("compounds", "joints", "weight")
+
+    def __init__(self, compounds: list[list[tuple]], joints: list[str], weight: tuple[int, int, int]):
+        self.compounds, self.joints, self.weight = compounds, joints, weight
 
     def meets(self, node: Node) -> bool:
-        if not all(_has(node, x) for x in self.last):
+        if not all(_has(node, x) for x in self.compounds[-1]):
             return False
-        at = node.parent
-        for k in range(len(self.before) - 1, -1, -1):
-            compound, joint = self.before[k]
-            while at is not None and not all(_has(at, x) for x in compound):
-                if joint == ">":
-                    return False
-                at = at.parent
-            if at is None:
-                return False
-            at = at.parent
-        return True
-
-
-def _has(node: Node, part: tuple[str, str, str | None]) -> bool:
+        tried: set[tuple[int, int]] = set()  # so that every node is tried once for each compound
+        todo = [(len(self.joints), node)]
+        while todo:
+            k, at = todo.pop()
+            if k == 0:
+                return True
+            joint = self.joints[k - 1]
+            at = at.parent if joint in " >" else at.before
+            while at is not None and (k, id(at)) not in tried:
+                tried.add((k, id(at)))
+                if all(_has(at, x) for x in self.compounds[k - 1]):
+                    todo.append((k - 1, at))
+                if joint in ">+":
+                    break
+                at = at.parent if joint == " " else at.before
+        return False
+
+
+class Rule:
+    """A selector and what it sets."""
+
+    __slots__ = ("selector", "sets")
+
+    def __init__(self, selector: Selector, sets: dict[str, tuple]):
+        self.selector, self.sets = selector, sets
+
+
+def _has(node: Node, part: tuple) -> bool:
     kind, name, value = part
     if kind == "":
         return node.tag == name
     if kind == "#":
-        return node.attrs.get("id", "").lower() == name
+        return node.attrs.get("id") == name
     if kind == ".":
-        return name in node.attrs.get("class", "").lower().split()
+        return name in node.attrs.get("class", "").split()
     if kind == "[":
-        return name in node.attrs and (value is None or node.attrs[name].lower() == value)
+        if (held := node.attrs.get(name)) is None or value is None:
+            return held is not None
+        how, wanted, caseless = value
+        if caseless:
+            held, wanted = held.lower(), wanted.lower()
+        if how in "^$*" and not wanted and how:
+            return False
+        return {"": held == wanted, "~": wanted in held.split(), "|": held == wanted or held.startswith(f"{wanted}-"), "^": held.startswith(wanted), "$": held.endswith(wanted), "*": wanted in held}[how]
+    if kind == ":":
+        if name in ("not", "is"):
+            return any(x.meets(node) for x in value) == (name == "is")
+        if name == "root":
+            return node.parent is None
+        if name == "empty":
+            return not any(not isinstance(c, str) or c for c in node.children)
+        first, last = node.parent is None or node.before is None, node.parent is None or node.parent.latest is node
+        return first and last if name == "only-child" else first if name == "first-child" else last
     return True
 
 
-def compounds_of(selector: str) -> tuple[list[list[tuple]], list[str], tuple] | None:
-    """Compounds, the combinators between them and the specificity; None for what isn't understood."""
-    parts = re.split(r"\s*(>)\s*|\s+", selector)
-    compounds, joints, weight = [], [], [0, 0, 0]
-    for k, part in enumerate(parts):
-        if k % 2:
-            joints.append(part or " ")
+def selectors_of(text: str, strict: bool) -> list[Selector] | None:
+    """The selectors of a list; None if one of them isn't understood."""
+    found = [selector_of(x.strip(), strict) for x in parts_of(text, ",")[::2]]
+    return None if None in found else found
+
+
+def selector_of(text: str, strict: bool) -> Selector | None:
+    """None for what isn't understood."""
+    compounds, joints, weight, joint = [], [], [0, 0, 0], ""
+    pieces = parts_of(text, " \t\n\r\f>+~")
+    for separator, part in zip(["", *pieces[1::2]], pieces[::2], strict=True):
+        if separator:
+            joint = separator if separator in ">+~" else joint or " "
+        if not part:
             continue
         compound, at = [], 0
         while m := SIMPLE.match(part, at):
-            kind, name = ("[", m[3]) if m[3] else ("*", "") if m[7] else (m[1], m[2])
-            compound.append((kind, name, next((x for x in (m[4], m[5], m[6]) if x is not None), None)))
-            if kind != "*":
-                weight[{"#": 0, ".": 1, "[": 1}.get(kind, 2)] += 1
             at = m.end()
+            if m[3]:
+                name = m[3].lower()
+                given = next((x for x in (m[5], m[6], m[7]) if x is not None), None)
+                compound.append(("[", name, None if given is None else (m[4], given, bool(m[8]) or name in CASELESS or not strict and name in ("id", "class"))))
+                weight[1] += 1
+            elif m[9]:
+                compound.append(("*", "", None))
+            elif m[10]:
+                name, inner = m[10].lower(), None
+                if m[11]:
+                    end = _closing(part, at)
+                    inner = selectors_of(part[at:end], strict) if name in ("not", "is", "where", "matches") else None
+                    at = end + 1
+                    if inner is None:
+                        return None
+                    if name != "where":
+                        weight = [a + b for a, b in zip(weight, max(x.weight for x in inner), strict=True)]
+                    name = "not" if name == "not" else "is"
+                elif name in CHILD or name in ("root", "empty"):
+                    weight[1] += 1
+                else:
+                    return None
+                compound.append((":", name, inner))
+            else:
+                kind, name = m[1], m[2] if m[1] and strict else m[2].lower()
+                compound.append((kind, name, None))
+                weight[{"#": 0, ".": 1}.get(kind, 2)] += 1
         if at != len(part) or not compound:
             return None
+        if compounds:
+            joints.append(joint or " ")
+        elif joint in (">", "+", "~"):
+            return None
         compounds.append(compound)
-    return compounds, joints, tuple(weight)
+        joint = ""
+    return Selector(compounds, joints, tuple(weight)) if compounds and not joint.strip() else None
+
 
+def _closing(text: str, at: int) -> int:
+    """The place of the bracket that closes what is open at ``at``; the end without one."""
+    depth = 1
+    for i in range(at, len(text)):
+        depth += (text[i] == "(") - (text[i] == ")")
+        if depth == 0:
+            return i
+    return len(text)
 
-def hidden_selectors(styles: list[str]) -> dict[str, list[Rule]]:
-    """The rules that bear on visibility, by a part of their last compound."""
+
+def hidden_selectors(styles: list[str], strict: bool = True) -> dict[str, list[Rule]]:
+    """The rules that bear on visibility, by a part of their last compound. strict: whether case tells classes and ids apart."""
     found: dict[str, list[Rule]] = {}
     place = 0
     for sheet in styles:
@@ -295,12 +411,9 @@ def hidden_selectors(styles: list[str]) -> dict[str, list[Rule]]:
                 sets[name] = max(sets.get(name, (False, 0, False)), (important, place, hides))
             if not sets:
                 continue
-            for selector in selectors.split(","):
-                if (read := compounds_of(selector.strip().lower())) is None:
-                    continue
-                rule = Rule(*read, sets)
-                kind, name, _ = min(rule.last, key=lambda x: "#.[*".find(x[0]) if x[0] else 2.5)
-                found.setdefault(kind + name if kind in (".", "#", "") else "*", []).append(rule)
+            for selector in selectors_of(selectors, strict) or ():  # one that isn't understood makes the whole rule void
+                kind, name, _ = min(selector.compounds[-1], key=lambda x: "#.[:*".find(x[0]) if x[0] else 1.5)
+                found.setdefault(kind + name if kind in (".", "#", "") else "*", []).append(Rule(selector, sets))
     return found
 
 
@@ -313,11 +426,11 @@ def shown(node: Node, selectors: dict[str, list[Rule]]) -> tuple[bool, bool | No
         return True, None
     wins: dict[str, tuple] = {"display": (False, (-1, 0, 0), 0, True)} if "hidden" in a else {}
     if selectors:
-        for key in [node.tag, f"#{a.get('id', '').lower()}", *(f".{c}" for c in a.get("class", "").lower().split()), "*"]:
+        for key in [node.tag, f"#{a.get('id', '')}", *(f".{c}" for c in a.get("class", "").split()), "*"]:
             for rule in selectors.get(key, ()):
-                if rule.meets(node):
+                if rule.selector.meets(node):
                     for name, (important, place, hides) in rule.sets.items():
-                        new = (important, rule.weight, place, hides)
+                        new = (important, rule.selector.weight, place, hides)
                         wins[name] = max(wins.get(name, new), new)
     for place, (name, important, hides) in enumerate(shows(a.get("style", ""))):
         new = (important, (1 << 30, 0, 0), place, hides)
@@ -370,18 +483,23 @@ class Page:
         return "\n".join(self.lines)
 
 
-def cells(table: Node, selectors: dict[str, list[Rule]], tables: int, dark: bool) -> Iterator[list[tuple[str, int]]]:
-    """The rows of a table: each cell's text and the columns it spans; what is no row stands alone. dark: whether the table's visibility is hidden."""
+def _span(cell: Node, name: str, least: int, most: int) -> int:
+    given = cell.attrs.get(name, "1").strip()
+    return max(least, min(most, int(given))) if given.isdecimal() and len(given) < 10 else most if given.isdecimal() else 1
+
+
+def cells(table: Node, selectors: dict[str, list[Rule]], tables: int, dark: bool) -> Iterator[tuple[int, list[tuple[str, int, int]]]]:
+    """The rows of a table with the number of their row group: each cell's text, the columns and the rows that it spans (0: all of the group's); what is no row stands alone, without columns. dark: whether the table's visibility is hidden."""
     loose: list = []
     parts: list[tuple] = []
-    for child in table.children:
+    for group, child in enumerate(table.children):
         if not isinstance(child, Node) or child.tag not in ("thead", "tbody", "tfoot"):
-            parts.append((child, dark))
+            parts.append((child, dark, group))
             continue
         displayed, seen = shown(child, selectors)
         if displayed:
-            parts.extend((x, dark if seen is None else not seen) for x in child.children)
-    for part, hid in parts:
+            parts.extend((x, dark if seen is None else not seen, group) for x in child.children)
+    for part, hid, group in parts:
         if not isinstance(part, Node) or part.tag != "tr":
             loose.append((part, hid))
             continue
@@ -396,40 +514,83 @@ def cells(table: Node, selectors: dict[str, list[Rule]], tables: int, dark: bool
                 continue
             if not isinstance(cell, Node) and not cell.strip():
                 continue
-            span = cell.attrs.get("colspan", "1").strip() if isinstance(cell, Node) else "1"
+            whole = isinstance(cell, Node) and cell.tag in ("td", "th")
             held = Node("div", {})
-            held.children = cell.children if isinstance(cell, Node) and cell.tag in ("td", "th") else [cell]
-            row.append((render(held, selectors, tables + 1, unlit if seen is None else not seen), max(1, min(1000, int(span) if span.isdecimal() else 1))))
-        if row:
-            yield row
+            held.children = cell.children if whole else [cell]
+            spans = (_span(cell, "colspan", 1, 1000), _span(cell, "rowspan", 0, 65534)) if whole else (1, 1)
+            row.append((render(held, selectors, tables + 1, unlit if seen is None else not seen), *spans))
+        yield group, row
     for unlit in (False, True):
         held = Node("div", {})
         held.children = [x for x, hid in loose if hid == unlit]
         if text := render(held, selectors, tables + 1, unlit) if held.children else "":
-            yield [(text, 0)]
+            yield -1, [(text, 0, 1)]
 
 
-def aligned(rows: list[list[tuple[str, int]]]) -> Iterator[str]:
+def placed(rows: list[tuple[int, list[tuple[str, int, int]]]]) -> Iterator[list[tuple[str, int, int]]]:
+    """Each row's cells with the column they begin in and the columns they span; a cell from a row above keeps its columns, without text."""
+    group, above = -1, {}  # first column: columns and rows left (below 0: all) of cells that reach into the next row
+    for its, row in rows:
+        if its != group:
+            group, above = its, {}
+        if row and row[0][1] == 0:
+            yield [(row[0][0], 0, 0)]
+            continue
+        line, reach, at = [], {}, 0
+        todo = iter(row)
+        cell = next(todo, None)
+        while cell or any(first >= at for first in above):
+            if at in above:
+                columns, left = above.pop(at)
+                line.append(("", at, columns))
+                if left != 1:
+                    reach[at] = (columns, left - 1)
+                at += columns
+            elif cell:
+                text, columns, deep = cell
+                line.append((text, at, columns))
+                if deep != 1:
+                    reach[at] = (columns, deep - 1)
+                at += columns
+                cell = next(todo, None)
+            else:
+                at = min(first for first in above if first >= at)
+        above = reach
+        if row:
+            yield line
+
+
+def aligned(rows: list[tuple[int, list[tuple[str, int, int]]]]) -> Iterator[str]:
+    lines = list(placed(rows))
     widths: list[int] = []
-    for row in rows:
-        at = 0
-        for text, span in row:
-            widths += [0] * (at + span - len(widths))
-            if span == 1:
-                widths[at] = max(widths[at], max(map(len, text.split("\n"))))
-            at += span
-    for row in rows:
-        if row[0][1] == 0:
-            yield from row[0][0].split("\n")
+    spread: list[tuple[int, int, int]] = []
+    for line in lines:
+        for text, at, columns in line:
+            widths += [0] * (at + columns - len(widths))
+            need = max(map(len, text.split("\n")))
+            if columns == 1:
+                widths[at] = max(widths[at], need)
+            elif columns:
+                spread.append((columns, at, need))
+    for columns, at, need in sorted(spread):  # what doesn't fit over its columns widens the last of them
+        widths[at + columns - 1] += max(0, need - sum(widths[at : at + columns]) - 3 * (columns - 1))
+    for line in lines:
+        if line[0][2] == 0:
+            yield from line[0][0].split("\n")
             continue
-        split = [text.split("\n") for text, _ in row]
+        split = [text.split("\n") for text, _, _ in line]
         for k in range(max(map(len, split))):
-            at, line = 0, []
-            for lines, (_, span) in zip(split, row, strict=True):
-                width = sum(widths[at : at + span]) + 3 * (span - 1)
-                line.append((lines[k] if k < len(lines) else "").ljust(width))
-                at += span
-            yield " | ".join(line).rstrip()
+            out, end = [], 0
+            for texts, (_, at, columns) in zip(split, line, strict=True):
+                out += [" " * w for w in widths[end:at]]  # columns that no cell of this row covers
+                width = sum(widths[at : at + columns]) + 3 * (columns - 1)
+                out.append((texts[k] if k < len(texts) else "").ljust(width))
+                end = at + columns
+            yield " | ".join(out).rstrip()
+
+
+def _whole(given: str | None) -> int | None:
+    return int(given) if given and re.fullmatch(r"\s*[-+]?\d{1,9}\s*", given) else None
 
 
 def render(root: Node, selectors: dict[str, list[Rule]], tables: int = 0, dark: bool = False) -> str:
@@ -484,13 +645,19 @@ def render(root: Node, selectors: dict[str, list[Rule]], tables: int = 0, dark:
             continue
         inner = state
         if node.tag in ("ul", "ol", "menu"):
-            start = node.attrs.get("start", "1")
-            inner = state | {"list": node.tag, "number": [int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1]}
+            step = -1 if "reversed" in node.attrs else 1
+            first = _whole(node.attrs.get("start")) if node.tag == "ol" else 1
+            if first is None:
+                first = 1 if step > 0 else sum(isinstance(c, Node) and c.tag == "li" for c in node.children)
+            inner = state | {"list": node.tag, "number": [first, step]}
         elif node.tag in ("li", "dd"):
             mark = "  " if node.tag == "dd" else "- "
             if node.tag == "li" and state.get("list") == "ol":
-                mark = f"{state['number'][0]}. "
-                state["number"][0] += 1
+                number = state["number"]
+                given = _whole(node.attrs.get("value"))
+                number[0] = number[0] if given is None else given
+                mark = f"{number[0]}. "
+                number[0] += number[1]
             inner = state | {"indent": page.indent}
             page.indent += len(mark)
             if not state["dark"]:
@@ -514,8 +681,8 @@ def render(root: Node, selectors: dict[str, list[Rule]], tables: int = 0, dark:
 def to_text(page: str | None) -> str:
     if not page:
         return ""
-    root, styles = parse(page)
-    return render(root, hidden_selectors(styles))
+    root, styles, strict = parse(page)
+    return render(root, hidden_selectors(styles, strict))
 
 
 def extract(pages: DataFrame) -> DataFrame:
