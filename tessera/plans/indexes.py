@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import fulltext, planning, snapshots, tables, vectors
+from ..operators import fulltext, planning, segment, snapshots, tables, vectors
 from ..operators.adapt import sql_views, table, view
 from ..operators.common import shared_dir
 from ..streaming import expiry
@@ -197,3 +197,27 @@ def layered_plan(spark: SparkSession, sf: str) -> DataFrame:
     costs = a.select(F.col("source_id").alias("plan_id"), F.col("concept_id").alias("task_id"), F.expr("doc_id % 3").alias("priority"), F.col("n_chars").alias("cost"))
     found = planning.budgeted(planned, costs, a.select(F.col("source_id").alias("plan_id"), F.lit(150_000).alias("budget")).distinct())
     return found.withColumn("missing", F.size("missing"))
+
+
+LETTERS = r"\p{L}+"
+
+
+@query("""WITH r AS (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '\\p{L}+')) AS run FROM documents), s AS (SELECT run, count(*) AS times FROM r GROUP BY 1),
+p AS (SELECT run, times, unnest(range(1, length(run) + 1)) AS place FROM s), g AS (SELECT substr(run, place, k) AS word, sum(times)::HUGEINT AS n FROM p, (VALUES (1), (2), (3), (4)) v(k) WHERE place + k - 1 <= length(run) GROUP BY 1),
+t AS (SELECT sum(n) AS total FROM g WHERE length(word) = 1)
+SELECT word, n::BIGINT AS n FROM g WHERE length(word) = 1 UNION ALL SELECT w.word, w.n::BIGINT FROM g w, t WHERE length(w.word) > 1 AND w.n >= 5
+ AND NOT EXISTS (SELECT 1 FROM (VALUES (1), (2), (3)) v(k), g a, g b WHERE k < length(w.word) AND a.word = left(w.word, k) AND b.word = substr(w.word, k + 1) AND w.n * t.total < 20 * a.n * b.n)""")
+def word_lexicon(spark: SparkSession, sf: str) -> DataFrame:
+    """Character n-grams of all documents that hold together, with their counts, and all single letters."""
+    docs = table(spark, sf, "documents").select(F.lower("text").alias("text"))
+    return segment.learn(docs, "text", LETTERS)
+
+
+@query()
+def segmented_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Every turn of the conversations, written without blanks, cut into words by the counts of the documents' words; the tests hold it against a plain programme."""
+    words = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(f"({LETTERS})"), 1)).alias("word"))
+    lexicon = words.groupBy("word").agg(F.count("*").alias("n"))
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(f"({LETTERS})"), 1), "").alias("run"))
+    found = turns.join(segment.segment(turns, lexicon, longest=12), "run", "left")
+    return found.select("conv_id", "turn", F.coalesce(F.size("words"), F.lit(0)).alias("n_words"), F.coalesce(F.array_join("words", " "), F.lit("")).alias("segments"))
