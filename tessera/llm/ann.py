@@ -2,18 +2,20 @@
 
 Vectors are scaled by the largest norm and given one more coordinate that makes all norms equal, so the largest inner
 product is the nearest point. ``curves`` random projections to ``dims`` coordinates, each shifted at random, are quantised
-and put in Hilbert order; Spark range-partitions (curve, position), which gives every vector its rank on each curve. A
-curve's ranks make blocks of ``window`` vectors; a query looks at its own block and the two next to it, on every curve. The
-window is a fixed number of rows, so all work grows with the table and not with its square. On the curves vectors travel
-as one signed byte a coordinate with a scale; a task holds one block and streams the queries past it, and merges what it
-finds for a query before it emits. The best of all blocks and curves are merged, and those few more than k that are left
+and put in Hilbert order; Spark range-partitions (curve, position), which gives every vector its rank on each curve. On each
+curve a query looks at the vectors at most ``reach`` ranks away, in blocks of at most BLOCK vectors. On the curves vectors
+travel as one signed byte a coordinate with a scale; a task holds one block and streams the queries past it, and merges what
+it finds for a query before it emits. The best of all blocks and curves are merged, and those few more than k that are left
 are reranked by exact products of the original vectors, each summed in one fixed order.
 
-Many curves with small windows see far fewer vectors for the same recall than few curves with large ones: a neighbour is
-near on a curve more often than its share of the rows, and the smaller the window the more so. In isotropic vectors a
-fixed window still loses recall as the table grows; ``curves`` and ``window`` raise it (figures in the README). Identical
-vectors are one point of the index that stands for up to k+1 smallest ids, which is all that can be among a query's k
-nearest, so a vector shared by a third of all rows costs no more than another.
+The reach is measured, not set: the true nearest of at most ``pilots`` queries (those with the smallest hashes of their ids)
+are found by one pass of exact products over all vectors, and for each of them the curve is taken that brings it nearest to
+its query. A share ``recall`` of these pairs lies within the reach, at every size of the table. Clustered vectors need a
+short reach; isotropic ones one that grows with the table, which no index avoids (figures in the README). With a given
+``reach`` of all rows, on one curve, every vector is a candidate, and only the bytes' rounding beyond SPARE places can lose one.
+
+Identical vectors are one point of the index that stands for up to k+1 smallest ids, which is all that can be among a
+query's k nearest, so a vector shared by a third of all rows costs no more than another.
 
 Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do those whose length isn't
 the most frequent one, nor rows with a null vec_id; of rows that repeat a vec_id the smallest vector counts. A table
@@ -68,6 +70,8 @@ def keys(x: np.ndarray, curves: int, dims: int, bits: int, seed: int) -> np.ndar
 SPARE = 12
 #: Queries whose best a task holds at a time.
 HELD = 50_000
+#: Vectors that a task holds at a time, at most.
+BLOCK = 2048
 
 
 def _curved(top: float, curves: int, dims: int, bits: int, seed: int):
@@ -177,14 +181,44 @@ def _best(k: int):
     return run
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, curves: int = 72, dims: int = 12, bits: int = 3, window: int = 128, seed: int = 7) -> DataFrame:
+def _products(pilots, k: int):
+    """query, gid, score: each batch's k best vectors for each pilot, but for itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q = pilots.value
+        best = Best(k + 1)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                best.add(names, part.column(0).to_numpy(), q @ matrix(part.column(1)).T)
+        if best.row:
+            yield best.flush()
+
+    return run
+
+
+def needed(points: DataFrame, placed: DataFrame, k: int, recall: float, pilots: int) -> int:
+    """How many ranks a query must look to either side to meet a share ``recall`` of the pilots' true neighbours on some curve."""
+    first = points.where("asked").orderBy(F.xxhash64("gid"), "gid").limit(pilots).select("gid", "embedding").collect()
+    if not first:
+        return 1
+    shared = points.sparkSession.sparkContext.broadcast(([r.gid for r in first], np.array([r.embedding for r in first])))
+    near = points.select("gid", "embedding").mapInArrow(_products(shared, k), "query long, gid long, score double").where("query <> gid")
+    near = near.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "gid"))).where(F.col("place") <= k)
+    pairs = cut(near.select("query", "gid"))  # pilots * k rows at most
+    there = placed.where("role = 0").select("curve", "gid", "at").join(F.broadcast(pairs), "gid")
+    here = placed.where("role = 1").select("curve", F.col("gid").alias("query"), F.col("at").alias("own")).join(F.broadcast(pairs.select("query").distinct()), "query")
+    gaps = there.join(here, ["curve", "query"]).groupBy("query", "gid").agg(F.min(F.abs(F.col("at") - F.col("own"))).alias("gap"))
+    return max(1, gaps.agg(F.expr(f"percentile_disc({recall}) within group (order by gap)")).first()[0] or 1)
+
+
+def search(vectors: DataFrame, every: int = 20, k: int = 20, curves: int = 72, dims: int = 12, bits: int = 3, recall: float = 0.95, pilots: int = 64, reach: int | None = None, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row whose vec_id is divisible by ``every``."""
     rows = cut(usable(vectors))
     asks = F.col("vec_id") % every == 0
     points = rows.groupBy("embedding").agg(F.min("vec_id").alias("gid"), F.max(asks).alias("asked"))
     points = cut(points)
     n, top = points.agg(F.count("*"), F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)))).first()
-    blocks = max(1, -(-n // window))
     curved = points.select("gid", "embedding", "asked").mapInArrow(_curved(top or 1.0, curves, dims, bits, seed), "curve int, position long, role int, gid long, scale double, code binary")
     ordered = curved.repartitionByRange("curve", "position", "gid", "role").sortWithinPartitions("curve", "position", "gid", "role")
     ranked = cut(ordered.mapInArrow(_ranked, "curve int, position long, role int, gid long, scale double, code binary, part int, index long"))
@@ -193,9 +227,12 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, curves: int = 72, d
     # one row for each partition and curve: as many as tasks, not as rows; parts of queries alone follow their curve's last
     parts = ranked.select("curve", "part").distinct().join(before, ["curve", "part"], "left")
     parts = parts.withColumn("before", F.coalesce("before", F.max(F.col("before")).over(Window.partitionBy("curve").orderBy("part")), F.lit(0)))
-    placed = ranked.join(parts, ["curve", "part"]).withColumn("block", F.least(F.floor((F.col("index") + F.col("before")) / window), F.lit(blocks - 1)))
-    near = F.filter(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1), lambda b: (b >= 0) & (b < blocks))
-    dealt = placed.select("curve", F.explode(F.when(F.col("role") == 0, F.array("block")).otherwise(near)).alias("block"), "role", "gid", "scale", "code")
+    placed = ranked.join(cut(parts), ["curve", "part"]).withColumn("at", F.col("index") + F.col("before"))
+    reach = reach or needed(points, placed, k, recall, pilots)
+    size = min(BLOCK, max(16, reach))
+    block = lambda at: F.floor(F.greatest(F.lit(0), F.least(at, F.lit(n - 1))) / size)
+    near = F.sequence(block(F.col("at") - reach), block(F.col("at") + reach))
+    dealt = placed.select("curve", F.explode(F.when(F.col("role") == 0, F.array(block(F.col("at")))).otherwise(near)).alias("block"), "role", "gid", "scale", "code")
     dealt = dealt.repartition("curve", "block").sortWithinPartitions("curve", "block", "role", "gid")
     found = dealt.mapInArrow(_best(k + 1 + SPARE), "query long, gid long, score double").groupBy("query", "gid").agg(F.max("score").alias("score"))
     first = Window.partitionBy("query").orderBy(F.desc("score"), "gid")
