@@ -195,7 +195,7 @@ def test_decontamination(spark, docs, empty):
     d = spark.createDataFrame([(i, t, 0.5) for i, t in rows], "doc_id long, text string, score double")
     found = {(r.doc_id, r.item_id) for r in decontam.contaminated(d, bench).collect()}
     assert found == {(1, 0), (2, 1), (None, 3), (7, 93), (9, 4)} | {(100 + i, 5) for i in range(30)}
-    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(d, bench, block_bytes=300).collect()} == found
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(d.unionByName(d).repartition(5), bench).collect()} == found
     marked = decontam.mark(d, bench)
     assert marked.columns == ["doc_id", "text", "score", "matches"] and marked.count() == len(rows)
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0 and decontam.contaminated(empty, bench).count() == 0
@@ -242,13 +242,23 @@ def test_decontamination_equals_brute_force(spark):
                 h[i + 1, j + 1] = max(0, h[i, j] + (2 if a[i] == b[j] else -1), h[i, j + 1] - 1, h[i + 1, j] - 1)
         return h.max()
 
-    grams = lambda w: {tuple(w[i : i + 4]) for i in range(len(w) - 3)}
-    want = set()
+    grams = lambda w, n: [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
+    times = collections.Counter(g for _, text in rows for g in set(grams(text.split(), 3)))
+
+    def rare(w):
+        g = grams(w, 3)
+        return {g[i] if times[g[i]] <= times[g[i + 1]] else g[i + 1] for i in range(len(g) - 1)}
+
+    want, whole = set(), set()
     for d, text in rows:
         for i, item in enumerate(items):
             a, b = item.split(), text.split()
-            if grams(a) & grams(b) and best(a, b) >= 0.5 * 2 * len(a):
-                want.add((d, i))
+            if best(a, b) >= 0.5 * 2 * len(a):
+                if rare(a) & set(grams(b, 3)):
+                    want.add((d, i))
+                if set(grams(a, 4)) & set(grams(b, 4)):
+                    whole.add((d, i))  # four words in a row are left, which always hold a seed
+    assert whole <= want
     found = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
     assert found == want and len(want) > 20
 
@@ -506,6 +516,14 @@ def test_ann(spark):
         if 100 <= q < 160 and s[101] >= s.max():
             assert [i for _, i, _ in got] == [i for i in range(100, 160) if i != q][:20]
     assert hit / (20 * len(found)) > 0.9
+    exact = collections.defaultdict(list)
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score double"), every=100, curves=1, reach=1500).collect():
+        exact[r.query_id].append((r["rank"], r.vec_id))
+    for q, got in exact.items():
+        s = v @ v[q]
+        s[q] = -np.inf
+        assert [i for _, i in sorted(got)] == np.lexsort((np.arange(1500), -s))[:20].tolist()
+    assert len(exact) == 15
     assert ann.search(spark.createDataFrame(odd[:2], "vec_id long, embedding array<double>, score double")).count() == 0
     few = ann.search(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<double>")).collect()
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in few] == [(0, 1, 1, 0.5)]
