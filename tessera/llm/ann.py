@@ -11,7 +11,7 @@ are reranked by exact products of the original vectors, each summed in one fixed
 The reach is measured, not set: the true nearest of at most ``pilots`` queries (those with the smallest hashes of their ids)
 are found by one pass of exact products over all vectors, and for each of them the curve is taken that brings it nearest to
 its query. A share ``recall`` of these pairs lies within the reach, at every size of the table. Clustered vectors need a
-short reach; isotropic ones one that grows with the table, which no index avoids (figures in the README). With a given
+short reach, isotropic ones one that grows with the table (figures in the README). With a given
 ``reach`` of all rows, on one curve, every vector is a candidate, and only the bytes' rounding beyond SPARE places can lose one.
 
 Identical vectors are one point of the index that stands for up to k+1 smallest ids, which is all that can be among a
