@@ -35,8 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bitmap_of, cut, documents_of, drop_cut, in_bitmap, mix, slices
-from .components import components
-from .jaccard import binary_of, joined, linked, set_ids, shingle_sets
+from .components import components, joined
+from .jaccard import binary_of, linked, set_ids, shingle_sets
 
 TREES, DEPTH, SHALLOW = 32, 4, 2
 FIRST = 6
@@ -305,7 +305,7 @@ def cluster(docs: DataFrame, n: int = 4, percent: int = 80) -> DataFrame:
     large = sc.broadcast(bitmap_of(deepest, "key")) if most else None
 
     def forest(placed: DataFrame) -> DataFrame:
-        return placed.repartition("key", "split").sortWithinPartitions("key", "split").mapInArrow(_near_ones(percent), "a long, b long").distinct()
+        return placed.repartition("key", "split").sortWithinPartitions("key", "split").mapInArrow(_near_ones(percent), "a long, b long")
 
     alone = signed.select("home", "n", F.col("home").alias("comp"), "sig")
     edges = cut(forest(alone.mapInArrow(_dealt(depths, live, FIRST, large, -(-2 * most // REGION)), PLACED)))
@@ -325,8 +325,7 @@ def cluster(docs: DataFrame, n: int = 4, percent: int = 80) -> DataFrame:
         spread = F.when(F.col("comp") == F.col("major"), F.array(F.pmod(F.xxhash64("home", "key"), F.col("splits")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("splits") - 1))
         visiting = visiting.join(major, "key").withColumn("split", F.explode(spread)).select(*more.columns)
         more = more.unionByName(visiting)
-    edges2 = cut(edges.unionByName(forest(more)))
-    members = cut(components(edges2).toDF("home", "comp").join(placed.select("home", "n"), "home"))
+    members = cut(components(edges.unionByName(forest(more))).toDF("home", "comp").join(placed.select("home", "n"), "home"))
     drop_cut(placed)
 
     # the sets of a group of near ones meet
@@ -334,7 +333,7 @@ def cluster(docs: DataFrame, n: int = 4, percent: int = 80) -> DataFrame:
         """met: home, comp, block, root, guest."""
         texts = known.mapInArrow(_held_by(bits), "doc_id long, text string").withColumnRenamed("doc_id", "home")
         meeting = texts.join(met, "home").select("comp", "block", "home", "root", "guest", "text")
-        return cut(meeting.repartition("comp", "block").sortWithinPartitions("comp", "block").mapInArrow(_met(n, percent), "a long, b long").where("a != b").distinct())
+        return meeting.repartition("comp", "block").sortWithinPartitions("comp", "block").mapInArrow(_met(n, percent), "a long, b long")
 
     sizes = members.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     own = cut(members.join(sizes, "comp"))

@@ -5,9 +5,10 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tessera.llm import divergence, forest, negatives, queries
+from tessera.llm import common, components, divergence, forest, negatives, queries
 
 SF = "/root/testdata/sf0.001"
 VECTORS = "vec_id long, embedding array<double>, label int"
@@ -236,3 +237,64 @@ def test_near_signatures_are_rare_misses():
         keys = forest.region_keys(np.stack([x, y]), forest.DEPTH)
         missed += forest.agreement(x, y) < forest.AGREE or not (keys[0] == keys[1]).any()
     assert missed == 0
+
+
+def plain_components(edges):
+    lead = {}
+
+    def top(x):
+        while lead.setdefault(x, x) != x:
+            x = lead[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            low, high = sorted((top(a), top(b)))
+            lead[high] = low
+    return {x: top(x) for x in list(lead)}
+
+
+def random_edges(seed):
+    rng = np.random.default_rng(seed)
+    chain = [(i + 1, i) for i in range(1000, 1200)]
+    return chain + [(-5, 7), (7, -5), (3, 3), (7, 1 << 60)] + [tuple(x) for x in rng.integers(0, 500, (300, 2)).tolist()]
+
+
+@pytest.mark.parametrize("chunk", [4, 1 << 16])
+def test_components_by_rounds_and_in_one_chunk(spark, monkeypatch, chunk):
+    monkeypatch.setattr(components, "CHUNK", chunk)
+    edges = random_edges(5)
+    found = components.components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()
+    assert len(found) == len({r.node for r in found})
+    assert {r.node: r.component for r in found} == plain_components(edges)
+
+
+def test_stars_hold_one_chunk():
+    edges = np.array(random_edges(6), np.int64)
+    batches = [pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"]) for x in (edges[:7], edges[7:400], edges[400:])]
+    for chunk in (1, 5, 64, 10_000):
+        left = list(components.stars(chunk)(iter(batches)))
+        assert all(b.num_rows <= 2 * chunk for b in left)
+        assert plain_components([p for b in left for p in zip(*(b.column(k).to_pylist() for k in (0, 1)), strict=True)]) == plain_components(edges.tolist())
+
+
+def stages_of(spark, run):
+    sc, group = spark.sparkContext, f"counted-{np.random.default_rng().integers(1 << 60)}"
+    sc.setJobGroup(group, "")
+    try:
+        result = run()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup(group)]
+    return result, len({s for j in jobs for s in j.stageIds})
+
+
+def test_small_components_and_bitmaps_take_few_stages(spark):
+    """Each stage has a task for every shuffle partition, however little there is to do."""
+    edges = spark.createDataFrame(random_edges(7), "a long, b long").repartition(3).localCheckpoint()
+    assert stages_of(spark, lambda: components.components(edges))[1] <= 6
+    keys = np.random.default_rng(8).integers(-(1 << 62), 1 << 62, 5000)
+    df = spark.createDataFrame([(int(x),) for x in keys], "k long").repartition(3).localCheckpoint()
+    bits, stages = stages_of(spark, lambda: common.bitmap_of(df, "k"))
+    assert common.in_bitmap(bits, keys.view(np.uint64)).all() and sum(int(x).bit_count() for x in bits) <= 5000
+    assert stages <= 3
