@@ -325,7 +325,8 @@ def cluster(docs: DataFrame, n: int = 4, percent: int = 80) -> DataFrame:
         spread = F.when(F.col("comp") == F.col("major"), F.array(F.pmod(F.xxhash64("home", "key"), F.col("splits")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("splits") - 1))
         visiting = visiting.join(major, "key").withColumn("split", F.explode(spread)).select(*more.columns)
         more = more.unionByName(visiting)
-    members = cut(components(edges.unionByName(forest(more))).toDF("home", "comp").join(placed.select("home", "n"), "home"))
+    edges2 = cut(edges.unionByName(forest(more)))
+    members = cut(components(edges2).toDF("home", "comp").join(placed.select("home", "n"), "home"))
     drop_cut(placed)
 
     # the sets of a group of near ones meet
@@ -333,7 +334,7 @@ def cluster(docs: DataFrame, n: int = 4, percent: int = 80) -> DataFrame:
         """met: home, comp, block, root, guest."""
         texts = known.mapInArrow(_held_by(bits), "doc_id long, text string").withColumnRenamed("doc_id", "home")
         meeting = texts.join(met, "home").select("comp", "block", "home", "root", "guest", "text")
-        return meeting.repartition("comp", "block").sortWithinPartitions("comp", "block").mapInArrow(_met(n, percent), "a long, b long")
+        return cut(meeting.repartition("comp", "block").sortWithinPartitions("comp", "block").mapInArrow(_met(n, percent), "a long, b long"))
 
     sizes = members.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     own = cut(members.join(sizes, "comp"))
