@@ -491,11 +491,20 @@ def test_suffix_later_passes_read_anchors_only_where_a_bucket_is_shared(monkeypa
         return types.SimpleNamespace(value=out)
 
     held = list(suffixdedup._held(iter(batches)))
-    pairs = {p for b in suffixdedup._unpacked(iter(held)) for p in zip(*(b.column(k).to_pylist() for k in (0, 1)), strict=True)}
-    direct = {p for b in suffixdedup._keys([], None)(iter(batches)) for p in zip(*(b.column(k).to_pylist() for k in (0, 1)), strict=True)}
-    assert pairs == direct
-    times = collections.Counter(k for k, _ in pairs)
-    live = bits(np.array([k for k, n in times.items() if n > 1], np.int64).view(np.uint64))
+
+    def counts(batches):
+        out = {}
+        for b in batches:
+            for key, low, high, n in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                was = out.get(key, (low, high, 0))
+                out[key] = min(low, was[0]), max(high, was[1]), n + was[2]
+        return out
+
+    times = counts(suffixdedup._unpacked(iter(held)))
+    assert times == counts(suffixdedup._keys([], None)(iter(batches)))
+    common_one = [pa.RecordBatch.from_arrays([pa.array([f"{passage}{i}" for i in range(200)])], names=["text"])]
+    assert sum(b.num_rows for b in suffixdedup._keys([], None)(iter(common_one))) < 300 + sum(b.num_rows for b in suffixdedup._keys([], None)(iter(batches)))
+    live = bits(np.array([k for k, (low, high, _) in times.items() if low != high], np.int64).view(np.uint64))
     wanted = bits(np.concatenate([b.column(0).to_numpy() for b in suffixdedup._holders(live)(iter(held))]).view(np.uint64))
     read, anchored = [], suffixdedup.anchored
     monkeypatch.setattr(suffixdedup, "anchored", lambda data, offsets: read.append(len(data)) or anchored(data, offsets))
