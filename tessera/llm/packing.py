@@ -12,8 +12,9 @@ partitions, and each bin finds its place by (partition, fill) and its number the
 table, not even where nothing fits with anything.
 
 The tokens are those of the given vocabulary with the tokenizers library. Where the vocabulary splits texts as byte-level
-vocabularies do, texts of common Latin characters are split the same way first and the ids of each word are kept in a
-bounded cache.
+vocabularies do, texts of common Latin characters are split the same way first, and the library's model is asked for the
+ids of each word, which a bounded cache keeps. Texts whose blanks all stand between visible characters are cut before
+each blank by Arrow, and of the parts of a slice of texts each different one is split into words once.
 
 Null and empty texts give one piece that holds the end token alone. A very long text is many pieces; a task holds the
 numbers of its pieces (some 60 bytes for each 1024 tokens) and the tokens of one text at a time. Rows that repeat a
@@ -24,63 +25,118 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, documents_of
+from .common import cut, documents_of, slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, leaf long, bin long, offset long, fill long, number long"
 #: Items of a member (its numbers start to stop of one fill) and where they come: bins of the group above from ``bin`` on, each at ``offset``; what these bins are filled to in the end, and their numbers among the bins of that fill.
 STRETCHES = "node long, fill long, start long, stop long, up long, bin long, offset long, filled long, number long"
 
 
+#: Characters of the texts that are split here.
+VISIBLE = [*map(chr, range(0x21, 0x7F)), *map(chr, range(0xA1, 0x250))]
+
+
 def _split_pattern() -> tuple[re.Pattern, re.Pattern]:
     """The word split for characters up to U+024F and a pattern of texts that hold no other: same pieces as the vocabulary's own split there."""
     kinds: dict[str, list[str]] = {"L": [], "N": [], "S": []}
-    for c in [*map(chr, range(0x21, 0x7F)), *map(chr, range(0xA1, 0x250))]:
+    for c in VISIBLE:
         kinds[k if (k := unicodedata.category(c)[0]) in "LN" else "S"].append(re.escape(c))
     letters, digits, signs = ("".join(kinds[k]) for k in "LNS")
     return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{digits}]+| ?[{signs}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+"), re.compile(f"[ \t\n\r{letters}{digits}{signs}]*")
 
 
+def _alone(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each text of a slice whether no blank ends it or stands beside other white space."""
+    blank = data == 32
+    white = blank | (data == 9) | (data == 10) | (data == 13)
+    pairs = np.flatnonzero((blank[:-1] & white[1:]) | (white[:-1] & blank[1:]))
+    last = blank[np.maximum(offsets[1:], 1) - 1] if len(blank) else np.zeros(len(offsets) - 1, bool)
+    return (np.diff(np.searchsorted(pairs, offsets)) == 0) & ~(last & (np.diff(offsets) > 0))
+
+
+class Words(dict):
+    """Words to ids, by the model of the vocabulary where they aren't known yet. signs: the vocabulary's signs of a character's bytes."""
+
+    def __init__(self, model, signs: dict[int, str]):
+        self.model, self.signs = model, signs
+
+    def __missing__(self, word: str) -> bytes:
+        ids = list(map(attrgetter("id"), self.model.tokenize(word.translate(self.signs))))
+        self[word] = found = struct.pack(f"<{len(ids)}I", *ids)
+        return found
+
+
 class Tokens:
     """Text to ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, vocabulary: str, cached: int = 400_000):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.whole = Tokenizer.from_file(vocabulary)
-        self.words: dict[str, bytes] = {}
         self.cached = cached
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         with open(vocabulary, encoding="utf-8") as f:
             rules = json.load(f)
         before = rules.get("pre_tokenizer") or {}
-        self.bytewise = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not rules.get("normalizer")
+        signs = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.words = Words(self.whole.model, {ord(c): "".join(x for x, _ in signs.pre_tokenize_str(c)) for c in [*" \t\n\r", *VISIBLE]})
+        ids = self.whole.get_vocab(with_added_tokens=False)
+        self.led = np.zeros(max(ids.values(), default=0) + 1, bool)  # tokens that begin with a blank
+        self.led[[i for x, i in ids.items() if x.startswith(self.words.signs[32])]] = True
+        self.bytewise = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not rules.get("normalizer") and all(c in ids for x in self.words.signs.values() for c in x)
         self.split, self.plain = _split_pattern()
 
     def ids(self, text: str) -> bytes:
         return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __call__(self, text: str) -> bytes:
-        if not self.bytewise or not self.plain.fullmatch(text) or any(s in text for s in self.special):
-            return self.ids(text)
-        parts, known = self.split.findall(text), self.words
-        for w in set(parts).difference(known):
-            known[w] = self.ids(w)
-        out = b"".join(map(known.__getitem__, parts))
-        if len(known) > self.cached:
-            known.clear()
+    def simple(self, text: str) -> bool:
+        return bool(self.bytewise and self.plain.fullmatch(text) and not any(s in text for s in self.special))
+
+    def by_words(self, text: str) -> bytes:
+        out = b"".join(map(self.words.__getitem__, self.split.findall(text)))
+        if len(self.words) > self.cached:
+            self.words.clear()
         return out
 
+    def __call__(self, text: str) -> bytes:
+        return self.by_words(text) if self.simple(text) else self.ids(text)
+
+    def many(self, texts: pa.Array, data: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
+        """The ids of each text of a slice; their bytes and offsets are given, too."""
+        cuttable = np.array([alone and self.simple(t) for alone, t in zip(_alone(data, offsets).tolist(), texts.to_pylist(), strict=True)], bool)
+        parts = pc.split_pattern(texts.filter(pa.array(cuttable)), " ")
+        places = parts.offsets.to_numpy().astype(np.int64)
+        first = np.zeros(len(parts.values), bool)
+        first[places[:-1]] = True
+        heads = parts.values.filter(pa.array(first)).to_pylist()
+        rest = parts.values.filter(pa.array(~first)).dictionary_encode()
+        # each different part once, in one text: its ids begin with the one that holds its blank
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(rest.dictionary)], rest.dictionary), " ")[0].as_py()
+        ids = np.frombuffer(self.by_words(f" {joined}" if joined else ""), "<u4")
+        starts = np.flatnonzero(self.led[ids])
+        sizes, part = np.diff(starts, append=len(ids)), rest.indices.to_numpy()
+        ends = np.append(0, np.cumsum(sizes[part]))
+        ids = ids[np.repeat(starts[part] - ends[:-1], sizes[part]) + np.arange(ends[-1])]
+        cuts = ends[places - np.arange(len(places))].tolist()
+        found = (self.by_words(head) + ids[a:b].tobytes() for head, a, b in zip(heads, cuts[:-1], cuts[1:], strict=True))
+        for t, c in zip(texts, cuttable.tolist(), strict=True):
+            yield next(found) if c else self(t.as_py())
+
 
 def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best-fit decreasing: each item's bin and offset, and each bin's fill."""
@@ -180,9 +236,9 @@ def _packed(vocabulary: str, end: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, tail = Tokens(vocabulary), np.asarray([end], "<u4").tobytes()
         docs, pieces, starts, lengths, sums = [], [], [], [], []
-        for batch in batches:
-            for d, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = tokens(text.as_py()) + tail
+        for rows, data, offsets in slices(batches, "text", 1 << 23):
+            for d, ids in zip(rows.column(0).to_pylist(), tokens.many(rows.column(1), data, offsets), strict=True):
+                ids += tail
                 n = len(ids) // 4
                 at = 0
                 for k in range(-(-n // size)):

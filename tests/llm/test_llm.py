@@ -606,6 +606,29 @@ def test_tokens_are_the_vocabularys(texts):
         assert np.frombuffer(fast(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
+def test_parts_that_texts_share_are_split_into_words_once(texts):
+    """Ids of whole slices are the library's, and texts of the same few words aren't split word by word each."""
+    from tokenizers import Tokenizer
+
+    plain, tokens, split, rng = Tokenizer.from_file(queries.VOCABULARY), packing.Tokens(queries.VOCABULARY, cached=50), [], random.Random(8)
+    whole = tokens.by_words
+    tokens.by_words = lambda text: split.append(len(text)) or whole(text)
+
+    def check(some, most):
+        batch = pa.RecordBatch.from_arrays([pa.array(some, pa.string())], names=["text"])
+        found = [ids for rows, data, offsets in common.slices(iter([batch]), "text", most) for ids in tokens.many(rows.column(0), data, offsets)]
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in found] == [plain.encode(t, add_special_tokens=False).ids for t in some]
+
+    odd = ["", " ", " a", "a ", "a  b", "\n", "a\n b", "a \nb", "a b\n", " <|endoftext|> x", "日本 é½ ²x", "x\x85y\xa0z\x1cq", "don't!!  ", " ".join(map(chr, range(0x21, 0x250)))]
+    check([*(t for _, t in texts if t), *odd], 1 << 23)
+    for most in (10, 100, 1 << 23):
+        check(odd + ["".join(rng.choices(" \n\t\r  aé1½.'s日", k=rng.randrange(12))) for _ in range(300)], most)
+    split.clear()
+    few = [" ".join(rng.choices(["the", "Eau", "12", "x.", "y,\nz", "don't"], k=200)) for _ in range(50)]
+    check(few, 1 << 23)
+    assert sum(split) < sum(map(len, few)) / 50
+
+
 def test_random_strings_are_found(spark):
     """Planted secrets of several kinds in prose without any known word before them, and ordinary long runs: precision and recall."""
     rng = random.Random(77)
