@@ -1,6 +1,7 @@
 """Literal cases and invariants of the core's operators."""
 
 import io
+import re
 import zipfile
 
 from pyspark.sql import functions as F
@@ -346,3 +347,35 @@ def test_numbered(spark):
     rows = spark.createDataFrame([(i * 7919 % 1000, "x") for i in range(1000)] + [(None, "n")], "k long, v string").repartition(7)
     found = sorted((r.place, r.k) for r in R.numbered(rows, [F.asc_nulls_first("k")]).collect())
     assert found == [(1, None), *((k + 2, k) for k in range(1000))]
+
+
+def test_entity_search_looks_for_tokens_and_not_for_questions(spark, monkeypatch):
+    """Many questions of few texts: what is broadcast are the different tokens, and facts are asked for the entities found only."""
+    rows = [(i, ("Blue", "red", "hot", None)[i % 4], f"{('Blue', 'red', 'hot', None)[i % 4] or 'no'} {('ring', 'bolt')[i % 3 % 2]}", i % 5 == 0) for i in range(300)]
+    entities = spark.createDataFrame(rows, "entity_id long, simple_name string, canonical_name string, unresolved boolean")
+    texts = ["blue bolt", "RING", "nothing here", "", None, "red ring hot"]
+    asked = [(q, texts[q % len(texts)]) for q in range(600)]
+    sent, wanted = [], []
+    broadcast = R.spark_broadcast
+    monkeypatch.setattr(R, "MOST_TOKENS", 4)
+    monkeypatch.setattr(R, "spark_broadcast", lambda df, value: sent.append(value) or broadcast(df, value))
+
+    def blocks(only):
+        wanted.extend(r.entity_id for r in only.collect())
+        return entities.join(only, "entity_id", "left_semi").select("entity_id", F.concat(F.lit("x "), "canonical_name", F.lit(" ring")).alias("block"))
+
+    found = graph.entity_search(spark.createDataFrame(asked, "question_id long, question string"), entities, blocks, 3).collect()
+    expected, held = set(), set()
+    for q, text in asked:
+        tokens = set(re.findall(r"[a-z0-9]{2,}", (text or "").lower()))
+        meets = sorted((s or "", i) for i, s, c, _ in rows if any(t in (s or "").lower() or t in c.lower() for t in tokens))[:8]
+        held |= {i for _, i in meets}
+        scores = []
+        for _, i in meets:
+            _, s, c, unresolved = rows[i]
+            score = sum(3.0 * (t in (s or "").lower()) + 2.5 * (t in c.lower()) + (t in f"x {c} ring".lower()) for t in tokens)
+            scores.append((-round(score * (0.6 if unresolved else 1), 9), i))
+        expected |= {(q, i, -s, n) for n, (s, i) in enumerate(sorted(scores)[:3], 1)}
+    assert {(r.question_id, r.entity_id, r.score, r["rank"]) for r in found} == expected and expected
+    assert sorted(t for block in sent for t in block) == ["blue", "bolt", "here", "hot", "nothing", "red", "ring"] and max(map(len, sent)) < 7
+    assert set(wanted) == held and len(wanted) < 100
