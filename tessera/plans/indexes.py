@@ -37,7 +37,7 @@ def fts_rank(spark: SparkSession, sf: str) -> DataFrame:
     docs, folder = table(spark, sf, "documents").select("doc_id", "text"), _fresh(spark, "fulltext")
     fulltext.add(docs.where("doc_id % 3 = 0").withColumn("text", F.reverse("text")), "doc_id", "text", folder)
     fulltext.add(docs, "doc_id", "text", folder)
-    return _best(fulltext.search(spark, _asked(spark, sf), folder), 8)
+    return _best(fulltext.search(spark, _asked(spark, sf), folder, 8, 9), 8)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:

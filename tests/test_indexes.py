@@ -78,6 +78,45 @@ def test_a_search_reads_the_buckets_of_its_words_only(spark, tmp_path):
     assert [r.id for r in found.collect()] == [10]
 
 
+def test_the_best_are_chosen_within_tasks(spark, tmp_path, monkeypatch):
+    """More parts than one, more matches than k, equal ranks, halves at the last place; no row for a question and a document outside a task."""
+    folder, texts = f"file://{tmp_path}/index", [*corpus(400, 5), *((1000 + i, "c d e") for i in range(30)), (2000, "a" + " x" * 511 + " h")]
+    fulltext.add(spark.createDataFrame([(i, "z " + t) for i, t in texts[:200]], TEXTS), "id", "text", folder, buckets=8)
+    fulltext.add(spark.createDataFrame(texts, TEXTS), "id", "text", folder)
+    monkeypatch.setattr(fulltext, "DOCUMENTS", 40)
+    monkeypatch.setattr(fulltext, "TERMS", 8)
+    found = fulltext.search(spark, spark.createDataFrame(QUESTIONS, "question_id long, question string"), folder, 5, 9)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "block" in plan
+    half_up = lambda x: int(x * 1e9 + 0.5) / 1e9
+    wanted = {q: sorted((-half_up(s), i) for i, t in texts if (s := plain_rank(question, t)) is not None)[:5] for q, question in QUESTIONS}
+    got = {q: [] for q, _ in QUESTIONS}
+    for r in sorted(found.collect(), key=lambda r: r["rank"]):
+        got[r.question_id].append((-half_up(r.score), r.id))
+    assert got == wanted and len(wanted[3]) == 5
+
+
+def test_matches_are_ranked_like_plain_covers(monkeypatch):
+    import pyarrow as pa
+
+    texts = [*corpus(300, 7), (900, "b a " * 50), (901, "")]
+    asked = fulltext.Asked(pa.array([q for q, t in QUESTIONS if words(t)]), pa.array([sorted(set(words(t))) for _, t in QUESTIONS if words(t)]))
+    number = {w: i for i, w in enumerate(asked.words.to_pylist())}
+    rows = [(d, number[w], p) for d, (_, t) in enumerate(texts) for p, w in enumerate(words(t), 1) if w in number]
+    doc, word, place = map(np.array, zip(*rows, strict=True))
+    for most in (60, 1 << 21):
+        monkeypatch.setattr(fulltext, "RANKED", most)
+        for k in (None, 4):
+            best = fulltext.Best(len(asked.ids), k, 9)
+            fulltext.match(asked, pa.array([i for i, _ in texts]), doc, word, place, best)
+            got = {(r["question_id"], r["id"]): round(r["score"], 9) for r in best.batch(asked, pa.int64()).to_pylist()}
+            wanted = {}
+            for q, question in QUESTIONS:
+                scores = sorted((-round(s, 9), i) for i, t in texts if (s := plain_rank(question, t)) is not None)
+                wanted |= {(q, i): -s for s, i in (scores if k is None else scores[:k])}
+            assert got == wanted
+
+
 def test_missing_index_and_no_words(spark, tmp_path):
     asked = spark.createDataFrame(QUESTIONS, "question_id long, question string")
     with pytest.raises(ValueError):
