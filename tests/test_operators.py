@@ -379,3 +379,27 @@ def test_entity_search_looks_for_tokens_and_not_for_questions(spark, monkeypatch
     assert {(r.question_id, r.entity_id, r.score, r["rank"]) for r in found} == expected and expected
     assert sorted(t for block in sent for t in block) == ["blue", "bolt", "here", "hot", "nothing", "red", "ring"] and max(map(len, sent)) < 7
     assert set(wanted) == held and len(wanted) < 100
+
+
+def test_full_text_matches_and_chunks_shuffle_no_text(spark):
+    docs = spark.createDataFrame([(i, "a c " + "b " * (i % 3), f"t{i}") for i in range(50)] + [(99, None, "x")], "id long, text string, title string")
+    q = spark.createDataFrame([(1, "c a"), (2, "B"), (3, "nowhere"), (4, None)], "question_id long, question string")
+    found = R.fts_match(q, docs, "id", "text")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    got = {(r.question_id, r.id): round(r.score, 9) for r in found.collect()}
+    assert got == {(1, i): 0.1 for i in range(50)} | {(2, i): round(0.1 * (i % 3), 9) for i in range(50) if i % 3}
+    cut = C.chunked(docs, "id", "text", keep=("title",))
+    assert {(r.id, r.chunk_index, r.title) for r in cut.collect()} == {(i, 0, f"t{i}") for i in range(50)}
+    assert "Exchange" not in cut._jdf.queryExecution().executedPlan().toString()
+
+
+def test_knowledge_search_sorts_the_facts_of_found_entities_only(spark, monkeypatch):
+    from tessera.plans import retrieval
+
+    seen, block = [], graph.facts_block
+    monkeypatch.setattr(graph, "facts_block", lambda e, *lines: seen.append((e.count(), lines[0].select("entity_id").distinct().count())) or block(e, *lines))
+    q = spark.createDataFrame([(1, "blue ring")], "question_id long, question string")
+    hits = retrieval._channels(spark, SF, 5)["graph"](q).collect()
+    assert len(hits) == 5 and all(r.content for r in hits)
+    assert len(seen) == 2 and max(n for pair in seen for n in pair) <= 10 < spark.read.parquet(f"{SF}/part.parquet").count()
